@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The job this library re-expresses is a batch job over receipt tables; it has no
+stream sources, watermarks or stateful operators. Nothing is built here so the
+library does not grow operators the job does not have (see README).
+"""
