@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, BasketConfig
 from ..operators import baskets as B
+from ..operators import evaluate as E
 from ..operators import mining as M
+from ..operators import recommend as R
 from ..sources.fixtures import Tables
 from .stages import StageStore
 
@@ -110,3 +112,56 @@ class BasketRun:
     @cached_property
     def rule_items(self) -> DataFrame:
         return M.rule_items(self.rules)
+
+    # -- recommendations and their evaluation
+
+    @cached_property
+    def lookup(self) -> Column:
+        self._check_vocabulary()
+        return R.rule_lookup(self.rules, self.item_freq, self.n_baskets, self.vocabulary_size)
+
+    @cached_property
+    def vocabulary_size(self) -> int:
+        """Rule vocabulary size; checked before scoring inside rows."""
+        return self.rule_items.count()
+
+    def basket_scores(self, variant: str) -> DataFrame:
+        return R.basket_scores(self.baskets, self.lookup, self.cfg, variant)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """Leave-one-out samples with their top-n lists (stage table)."""
+        return self._stage(
+            "ranked", E.ranked_samples(self.baskets, self.rule_items, self.lookup, self.cfg)
+        )
+
+    def _check_vocabulary(self) -> None:
+        n = self.vocabulary_size
+        if n > self.cfg.max_inrow_vocabulary:
+            # Still exact, only heavier: the matrix grows as n^2.
+            import warnings
+
+            warnings.warn(
+                f"rule vocabulary of {n} items exceeds max_inrow_vocabulary="
+                f"{self.cfg.max_inrow_vocabulary}; the in-row matrix is {n * n} cells"
+            )
+
+    @cached_property
+    def topn_recs(self) -> DataFrame:
+        return E.topn_recs(self.ranked)
+
+    @cached_property
+    def eval_per_item(self) -> DataFrame:
+        return E.eval_per_item(self.ranked, self.rule_items, self.names, self.cfg.topn)
+
+    @cached_property
+    def eval_hits_by_rank(self) -> DataFrame:
+        return E.eval_hits_by_rank(self.ranked, self.rule_items, self.cfg.topn)
+
+    @cached_property
+    def eval_overall(self) -> DataFrame:
+        return E.eval_overall(self.ranked)
+
+    @cached_property
+    def eval_confusion(self) -> DataFrame:
+        return E.eval_confusion(self.ranked, self.rule_items, self.cfg.topn)

@@ -39,13 +39,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def presentable(df: DataFrame, digits: int = 6, log_digits: int = 9) -> DataFrame:
-    """Round doubles (log scores to ``log_digits``) and join arrays with '|'."""
+def presentable(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round doubles and join arrays with '|'.
+
+    Ranks are decided on logs rounded to 9 places inside the operators; the
+    values shown are rounded to 6 so both engines print the same digits.
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, log_digits if f.name.startswith("log") else digits)
+            c = F.round(c, digits)
         elif isinstance(f.dataType, T.ArrayType):
             c = F.concat_ws("|", c.cast("array<string>"))
         cols.append(c.alias(f.name))
@@ -403,6 +407,196 @@ def q_basket_subsets(spark, sf_dir):
     return presentable(M.basket_subsets(run(spark, sf_dir).baskets, DEFAULT.subset_len_max))
 
 
+# =================================================================== recommend
+
+_LNP = (
+    "lnp AS (SELECT item, ln(freq / (SELECT n FROM nb)) AS lnp FROM item_freq "
+    "WHERE item IN (SELECT item FROM rule_items))"
+)
+# Per basket and candidate: sum, count, max of ln conf and the positive part.
+_BSC = """bsc AS (
+  SELECT b.register, b.receipt, r.b AS item, sum(ln(r.confidence)) AS s, count(*) AS cnt,
+         max(ln(r.confidence)) AS mx,
+         sum(CASE WHEN ln(r.confidence) > 0 THEN ln(r.confidence) END) AS pos_s,
+         count(CASE WHEN ln(r.confidence) > 0 THEN 1 END) AS pos_cnt
+  FROM bitems b JOIN rules r ON r.a = b.item GROUP BY 1, 2, 3)"""
+_BCAND = """bcand AS (
+  SELECT b.register, b.receipt, b.size, v.item FROM baskets b CROSS JOIN rule_items v
+  WHERE NOT list_contains(b.items, v.item))"""
+_REC = _MINING + [_LNP, _BSC, _BCAND]
+_LEN_MAX = DEFAULT.subset_len_max
+
+
+@register(
+    "nb_classic",
+    _sql(
+        _REC,
+        "SELECT c.register, c.receipt, c.item, round(p.lnp + s.s, 6) AS log_score "
+        "FROM bcand c JOIN lnp p ON p.item = c.item JOIN bsc s "
+        "ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item",
+    ),
+)
+def q_nb_classic(spark, sf_dir):
+    return presentable(run(spark, sf_dir).basket_scores("classic"))
+
+
+@register(
+    "nb_subset",
+    _sql(
+        _REC,
+        "SELECT c.register, c.receipt, c.item, "
+        "round(CASE WHEN s.cnt > 0 THEN p.lnp + s.s END, 6) AS log_score "
+        "FROM bcand c JOIN lnp p ON p.item = c.item LEFT JOIN bsc s "
+        "ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item",
+    ),
+)
+def q_nb_subset(spark, sf_dir):
+    return presentable(run(spark, sf_dir).basket_scores("subset"))
+
+
+@register(
+    "nb_best_subset",
+    _sql(
+        _REC,
+        f"""SELECT c.register, c.receipt, c.item, round(CASE
+              WHEN c.size > {_LEN_MAX} THEN CASE WHEN s.cnt > 0 THEN p.lnp + s.s END
+              WHEN s.pos_cnt > 0 THEN p.lnp + s.pos_s
+              WHEN s.cnt > 0 THEN p.lnp + s.mx END, 6) AS log_score
+            FROM bcand c JOIN lnp p ON p.item = c.item LEFT JOIN bsc s
+            ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item""",
+    ),
+)
+def q_nb_best_subset(spark, sf_dir):
+    return presentable(run(spark, sf_dir).basket_scores("best"))
+
+
+# Leave-one-out samples, their candidate scores and the top-n ranking.
+_LOO = _MINING + [
+    _LNP,
+    O.CATEGORY_NAMES,
+    """loo AS (
+  SELECT register, receipt, item AS label FROM bitems
+  WHERE item IN (SELECT item FROM rule_items) AND size > 1)""",
+    """lsc AS (
+  SELECT l.register, l.receipt, l.label, r.b AS item, sum(ln(r.confidence)) AS s, count(*) AS cnt
+  FROM loo l JOIN bitems c ON c.register = l.register AND c.receipt = l.receipt AND c.item <> l.label
+  JOIN rules r ON r.a = c.item GROUP BY 1, 2, 3, 4)""",
+    """lcand AS (
+  SELECT l.register, l.receipt, l.label, v.item
+  FROM loo l JOIN baskets b ON b.register = l.register AND b.receipt = l.receipt
+  CROSS JOIN rule_items v WHERE v.item = l.label OR NOT list_contains(b.items, v.item))""",
+    """lscored AS (
+  SELECT c.*, CASE WHEN s.cnt > 0 THEN p.lnp + s.s END AS log_score
+  FROM lcand c JOIN lnp p ON p.item = c.item LEFT JOIN lsc s
+  ON s.register = c.register AND s.receipt = c.receipt AND s.label = c.label AND s.item = c.item)""",
+    f"""ltop AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY register, receipt, label
+                 ORDER BY round(log_score, 9) DESC NULLS LAST, item) AS rank FROM lscored)
+  WHERE rank <= {DEFAULT.topn})""",
+    """lhit AS (
+  SELECT l.register, l.receipt, l.label, coalesce(t.rank, 0) AS hit_rank FROM loo l
+  LEFT JOIN ltop t ON t.register = l.register AND t.receipt = l.receipt
+   AND t.label = l.label AND t.item = l.label)""",
+    """lcount AS (
+  SELECT v.item, coalesce(h.nX, 0) AS nX, coalesce(h.tp, 0) AS tp FROM rule_items v LEFT JOIN (
+    SELECT label AS item, count(*) AS nX, count(*) FILTER (WHERE hit_rank > 0) AS tp
+    FROM lhit GROUP BY label) h ON h.item = v.item)""",
+]
+
+
+@register(
+    "leave_one_out",
+    _sql(
+        _LOO,
+        "SELECT l.register, l.receipt, l.label, "
+        "array_to_string(list_filter(b.items, lambda x: x <> l.label), '|') AS items "
+        "FROM loo l JOIN baskets b ON b.register = l.register AND b.receipt = l.receipt",
+    ),
+)
+def q_leave_one_out(spark, sf_dir):
+    from .operators.evaluate import leave_one_out
+
+    r = run(spark, sf_dir)
+    return presentable(leave_one_out(r.baskets, r.rule_items))
+
+
+@register(
+    "topn_recs",
+    _sql(
+        _LOO,
+        "SELECT register, receipt, label, CAST(rank AS INTEGER) AS rank, item, "
+        "round(log_score, 6) AS log_score FROM ltop",
+    ),
+)
+def q_topn_recs(spark, sf_dir):
+    return presentable(run(spark, sf_dir).topn_recs)
+
+
+@register(
+    "eval_per_item",
+    _sql(
+        _LOO,
+        "SELECT cn.name, c.item, (SELECT count(*) FROM loo) AS n, c.nX, c.tp, "
+        "round(CASE WHEN c.nX > 0 THEN c.tp / c.nX END, 6) AS recall "
+        "FROM lcount c LEFT JOIN category_names cn ON cn.item = c.item "
+        "ORDER BY recall DESC, c.item",
+    ),
+)
+def q_eval_per_item(spark, sf_dir):
+    return presentable(run(spark, sf_dir).eval_per_item)
+
+
+@register(
+    "eval_hits_by_rank",
+    _sql(
+        _LOO,
+        f"SELECT v.item, CAST(r.rank AS INTEGER) AS rank, coalesce(h.hits, 0) AS hits "
+        f"FROM rule_items v CROSS JOIN range(1, {DEFAULT.topn + 1}) r(rank) LEFT JOIN ("
+        f"SELECT label AS item, hit_rank, count(*) AS hits FROM lhit WHERE hit_rank > 0 "
+        f"GROUP BY 1, 2) h ON h.item = v.item AND h.hit_rank = r.rank",
+    ),
+)
+def q_eval_hits_by_rank(spark, sf_dir):
+    return run(spark, sf_dir).eval_hits_by_rank
+
+
+@register(
+    "eval_overall",
+    _sql(
+        _LOO,
+        "SELECT n, tp, round(CASE WHEN n > 0 THEN tp / n ELSE 0 END, 6) AS accuracy, "
+        "round(CASE WHEN n > 0 THEN (n - tp) / n ELSE 0 END, 6) AS mae FROM ("
+        "SELECT count(*) AS n, count(*) FILTER (WHERE hit_rank > 0) AS tp FROM lhit)",
+    ),
+)
+def q_eval_overall(spark, sf_dir):
+    return presentable(run(spark, sf_dir).eval_overall)
+
+
+@register(
+    "eval_confusion",
+    _sql(
+        _LOO
+        + [
+            """conf AS (
+  SELECT c.item, c.tp, c.nX - c.tp AS fn, coalesce(r.n_rec, 0) - c.tp AS fp,
+         (SELECT count(*) FROM loo) AS n
+  FROM lcount c LEFT JOIN (SELECT item, count(*) AS n_rec FROM ltop GROUP BY item) r
+  ON r.item = c.item)"""
+        ],
+        """SELECT item, tp, n - tp - fp - fn AS tn, fp, fn,
+             round(CASE WHEN n > 0 THEN (n - fp - fn) / n ELSE 0 END, 6) AS accuracy,
+             round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+             round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+             round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn))
+                   / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f1
+           FROM conf""",
+    ),
+)
+def q_eval_confusion(spark, sf_dir):
+    return presentable(run(spark, sf_dir).eval_confusion)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(SPARK)
 
