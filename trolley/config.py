@@ -42,9 +42,12 @@ class BasketConfig:
     interaction_list_max: int = 100
     # Rows shown by the table preview.
     preview_rows: int = 200
-    # Largest rule vocabulary scored inside each row; above it the
-    # recommender switches to the join-and-aggregate plan.
+    # Rule vocabulary size above which scoring warns: the rule matrix shipped
+    # to every task has vocabulary^2 cells. Results stay exact either way.
     max_inrow_vocabulary: int = 1000
+    # Cart scorer: "vectorized" (numpy over Arrow batches) or "jvm"
+    # (higher-order functions only). Same results.
+    scoring: str = "vectorized"
 
     def __post_init__(self) -> None:
         if self.register not in REGISTER_CHOICES:
@@ -55,6 +58,8 @@ class BasketConfig:
             raise ValueError("cartsize_max must be >= cartsize_min")
         if self.topn < 1:
             raise ValueError("topn must be positive")
+        if self.scoring not in ("vectorized", "jvm"):
+            raise ValueError("scoring must be 'vectorized' or 'jvm'")
         if self.smooth_k < 0:
             raise ValueError("smooth_k must be >= 0")
 

@@ -55,10 +55,10 @@ def ranked_samples(
     cfg: BasketConfig,
     variant: str | None = None,
 ) -> DataFrame:
-    """(register, receipt, label, top, hit_rank).
+    """(register, receipt, label, top_items, top_logs, hit_rank).
 
-    ``top`` is array<struct<k, item, log_score>> of length <= topn; hit_rank
-    is the label's 1-based position in it, 0 when missing. The cart is cut
+    The top lists hold at most topn candidates in rank order; hit_rank is the
+    label's 1-based position in them, 0 when missing. The cart is cut
     out of the basket inside the scoring expression, so the projection that
     attaches the lookup holds plain columns only and folds into the scoring
     projection.
@@ -77,16 +77,16 @@ def ranked_samples(
         "register",
         "receipt",
         "label",
-        "top",
+        F.col("top.item").alias("top_items"),
+        F.col("top.log_score").alias("top_logs"),
         F.array_position(F.col("top.item"), F.col("label")).cast("int").alias("hit_rank"),
     )
 
 
 def topn_recs(ranked: DataFrame) -> DataFrame:
     """Long form: (register, receipt, label, rank, item, log_score)."""
-    return ranked.select(
-        "register", "receipt", "label", F.posexplode("top").alias("pos", "c")
-    ).select(
+    z = F.arrays_zip(F.col("top_items").alias("item"), F.col("top_logs").alias("log_score"))
+    return ranked.select("register", "receipt", "label", F.posexplode(z).alias("pos", "c")).select(
         "register",
         "receipt",
         "label",
@@ -168,7 +168,7 @@ def eval_confusion(ranked: DataFrame, vocab: DataFrame, topn: int) -> DataFrame:
     n_all = ranked.select(F.count("*")).scalar()
     per = _label_counts(ranked, vocab, topn).select("item", "nX", "tp")
     rec = (
-        ranked.select(F.explode("top.item").alias("item"))
+        ranked.select(F.explode("top_items").alias("item"))
         .groupBy("item")
         .agg(F.count("*").alias("n_rec"))
     )

@@ -1,0 +1,218 @@
+"""Vectorized naive Bayes scoring with numpy inside Spark tasks.
+
+Same results as :mod:`trolley.operators.recommend`, faster per row: carts are
+scored in Arrow batches by ``mapInPandas``. For a block of carts the
+ln-confidence terms are gathered from the rule matrix as one array
+(carts x cart slots x vocabulary) and reduced with numpy; the top n come from
+a stable argsort per cart. Spark still partitions the baskets and runs one
+batch stream per task; nothing is shuffled.
+
+The rule matrix reaches the tasks in the function closure (PySpark broadcasts
+a closure larger than 1 MB); it is |V|^2 doubles, |V| bounded by the number of
+frequent items.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..config import BasketConfig
+
+# Upper bound on the gathered block (carts x slots x vocabulary) in cells.
+BLOCK_CELLS = 4_000_000
+
+
+@dataclass(frozen=True)
+class Model:
+    vocab: np.ndarray  # object array of item strings, sorted
+    lnp: np.ndarray  # ln P(X), aligned with vocab
+    lnconf: np.ndarray  # (|V| + 1) x |V|; nan without a rule; last row all nan
+
+    @property
+    def index(self) -> dict[str, int]:
+        return {v: i for i, v in enumerate(self.vocab)}
+
+
+def collect_model(rules: DataFrame, lookup: Column) -> Model:
+    """Evaluate the bounded lookup struct once (one row) into numpy arrays."""
+    row = rules.agg(F.count("*").alias("n")).select(lookup.alias("L")).first()["L"]
+    vocab = np.array(row["vocab"], dtype=object)
+    n = len(vocab)
+    lnp = np.array(row["lnp"], dtype=float) if n else np.zeros(0)
+    m = np.full((n + 1, n), np.nan)
+    for i, r in enumerate(row["lnconf"] or []):
+        if r is not None:
+            m[i] = np.array(r, dtype=float)
+    return Model(vocab=vocab, lnp=lnp, lnconf=m)
+
+
+def _logs(model: Model, carts: np.ndarray, sizes: np.ndarray, variant: str, len_max: int):
+    """Log scores (n x |V|), nan for 'no rule'; and the cart-membership mask."""
+    n_v = len(model.vocab)
+    t = model.lnconf[carts]  # n x w x V ; padding index -1 hits the nan row
+    have = ~np.isnan(t)
+    cnt = have.sum(axis=1)
+    t0 = np.where(have, t, 0.0)
+    total = model.lnp[None, :] + t0.sum(axis=1)
+    plain = np.where(cnt > 0, total, np.nan)
+    if variant in ("classic", "subset"):
+        logs = plain
+    elif variant == "best":
+        pos = np.where(have & (t > 0), t, 0.0)
+        n_pos = (have & (t > 0)).sum(axis=1)
+        mx = np.where(have, t, -np.inf).max(axis=1)
+        best = np.where(
+            n_pos > 0,
+            model.lnp[None, :] + pos.sum(axis=1),
+            np.where(cnt > 0, model.lnp[None, :] + mx, np.nan),
+        )
+        logs = np.where((sizes <= len_max)[:, None], best, plain)
+    else:
+        raise ValueError(f"unknown variant {variant}")
+    member = np.zeros((len(carts), n_v), dtype=bool)
+    rows, slots = np.nonzero(carts >= 0)
+    member[rows, carts[rows, slots]] = True
+    return logs, member
+
+
+def _rank(logs: np.ndarray, member: np.ndarray, variant: str, topn: int | None):
+    """Order of candidates: round(log, 9) desc, nulls last, vocabulary order."""
+    key = -np.round(logs, 9)
+    key = np.where(np.isnan(key), np.inf if variant == "classic" else 1e308, key)
+    key[member] = np.inf
+    order = np.argsort(key, axis=1, kind="stable")
+    if topn is not None:
+        order = order[:, :topn]
+    keep = np.take_along_axis(key, order, axis=1) < np.inf
+    return order, keep
+
+
+def _carts_matrix(cart_idx: list[list[int]]) -> np.ndarray:
+    w = max((len(c) for c in cart_idx), default=0) or 1
+    out = np.full((len(cart_idx), w), -1, dtype=np.int64)
+    for i, c in enumerate(cart_idx):
+        out[i, : len(c)] = c
+    return out
+
+
+def _blocks(n: int, w: int, n_v: int):
+    step = max(1, BLOCK_CELLS // max(1, w * max(n_v, 1)))
+    for s in range(0, n, step):
+        yield s, min(n, s + step)
+
+
+RANKED_SCHEMA = (
+    "register int, receipt bigint, label string, "
+    "top_items array<string>, top_logs array<double>, hit_rank int"
+)
+SCORES_SCHEMA = "register int, receipt bigint, items array<string>, logs array<double>"
+
+
+def _as_list(a: np.ndarray) -> list:
+    return [None if (isinstance(x, float) and np.isnan(x)) else x for x in a.tolist()]
+
+
+def ranked_samples(
+    baskets: DataFrame, model: Model, cfg: BasketConfig, variant: str
+) -> DataFrame:
+    """Leave-one-out samples with their top-n lists (see evaluate.ranked_samples)."""
+    topn, len_max = cfg.topn, cfg.subset_len_max
+
+    def run(batches):
+        index = model.index
+        n_v = len(model.vocab)
+        for pdf in batches:
+            keys_r, keys_c, labels, label_idx, carts, sizes = [], [], [], [], [], []
+            for reg, rec, items in zip(pdf["register"], pdf["receipt"], pdf["items"]):
+                items = list(items)
+                if len(items) < 2:
+                    continue
+                idx = [index.get(x, -1) for x in items]
+                for p, li in enumerate(idx):
+                    if li < 0:
+                        continue
+                    keys_r.append(reg)
+                    keys_c.append(rec)
+                    labels.append(items[p])
+                    label_idx.append(li)
+                    carts.append([j for q, j in enumerate(idx) if q != p and j >= 0])
+                    sizes.append(len(items) - 1)
+            if not labels:
+                continue
+            cm = _carts_matrix(carts)
+            sz = np.array(sizes)
+            lab = np.array(label_idx)
+            top_items, top_logs, hits = [], [], []
+            for s, e in _blocks(len(labels), cm.shape[1], n_v):
+                logs, member = _logs(model, cm[s:e], sz[s:e], variant, len_max)
+                order, keep = _rank(logs, member, variant, topn)
+                chosen = np.take_along_axis(logs, order, axis=1)
+                hit = (order == lab[s:e, None]) & keep
+                hit_rank = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0)
+                for i in range(e - s):
+                    k = keep[i]
+                    top_items.append(model.vocab[order[i][k]].tolist())
+                    top_logs.append(_as_list(chosen[i][k]))
+                hits.extend(hit_rank.tolist())
+            yield pd.DataFrame(
+                {
+                    "register": pd.array(keys_r, dtype="Int32"),
+                    "receipt": pd.array(keys_c, dtype="Int64"),
+                    "label": labels,
+                    "top_items": top_items,
+                    "top_logs": top_logs,
+                    "hit_rank": np.array(hits, dtype=np.int32),
+                }
+            )
+
+    return baskets.select("register", "receipt", "items").mapInPandas(run, RANKED_SCHEMA)
+
+
+def basket_scores(
+    baskets: DataFrame, model: Model, cfg: BasketConfig, variant: str
+) -> DataFrame:
+    """Every candidate of every basket, the basket itself as the cart."""
+    len_max = cfg.subset_len_max
+
+    def run(batches):
+        index = model.index
+        n_v = len(model.vocab)
+        for pdf in batches:
+            carts, sizes = [], []
+            for items in pdf["items"]:
+                items = list(items)
+                carts.append([j for j in (index.get(x, -1) for x in items) if j >= 0])
+                sizes.append(len(items))
+            if not carts:
+                continue
+            cm = _carts_matrix(carts)
+            sz = np.array(sizes)
+            out_items, out_logs = [], []
+            for s, e in _blocks(len(carts), cm.shape[1], n_v):
+                logs, member = _logs(model, cm[s:e], sz[s:e], variant, len_max)
+                order, keep = _rank(logs, member, variant, None)
+                chosen = np.take_along_axis(logs, order, axis=1)
+                for i in range(e - s):
+                    k = keep[i]
+                    out_items.append(model.vocab[order[i][k]].tolist())
+                    out_logs.append(_as_list(chosen[i][k]))
+            yield pd.DataFrame(
+                {
+                    "register": pdf["register"].astype("Int32"),
+                    "receipt": pdf["receipt"].astype("Int64"),
+                    "items": out_items,
+                    "logs": out_logs,
+                }
+            )
+
+    scored = baskets.select("register", "receipt", "items").mapInPandas(run, SCORES_SCHEMA)
+    return scored.select(
+        "register",
+        "receipt",
+        F.explode(F.arrays_zip(F.col("items").alias("item"), F.col("logs").alias("log_score"))).alias("z"),
+    ).select("register", "receipt", F.col("z.item").alias("item"), F.col("z.log_score").alias("log_score"))

@@ -19,6 +19,7 @@ from ..config import DEFAULT, BasketConfig
 from ..operators import baskets as B
 from ..operators import evaluate as E
 from ..operators import mining as M
+from ..operators import nb_vectorized as V
 from ..operators import recommend as R
 from ..sources.fixtures import Tables
 from .stages import StageStore
@@ -125,15 +126,39 @@ class BasketRun:
         """Rule vocabulary size; checked before scoring inside rows."""
         return self.rule_items.count()
 
+    @cached_property
+    def model(self) -> V.Model:
+        """The lookup evaluated once into numpy arrays (bounded, see _check_vocabulary)."""
+        return V.collect_model(self.rules, self.lookup)
+
+    @cached_property
+    def scoring_baskets(self) -> DataFrame:
+        """Baskets spread over at least the default parallelism.
+
+        Scoring is CPU work per row; a small stage table can be a single
+        file, so it is spread out. A large table already has enough
+        partitions and is left as it is (no shuffle).
+        """
+        b = self.baskets
+        want = self.spark.sparkContext.defaultParallelism
+        if b.rdd.getNumPartitions() < want:
+            b = b.repartition(want)
+        return b
+
     def basket_scores(self, variant: str) -> DataFrame:
-        return R.basket_scores(self.baskets, self.lookup, self.cfg, variant)
+        if self.cfg.scoring == "jvm":
+            return R.basket_scores(self.scoring_baskets, self.lookup, self.cfg, variant)
+        return V.basket_scores(self.scoring_baskets, self.model, self.cfg, variant)
 
     @cached_property
     def ranked(self) -> DataFrame:
         """Leave-one-out samples with their top-n lists (stage table)."""
-        return self._stage(
-            "ranked", E.ranked_samples(self.baskets, self.rule_items, self.lookup, self.cfg)
-        )
+        variant = R.variant_of(self.cfg)
+        if self.cfg.scoring == "jvm":
+            df = E.ranked_samples(self.scoring_baskets, self.rule_items, self.lookup, self.cfg, variant)
+        else:
+            df = V.ranked_samples(self.scoring_baskets, self.model, self.cfg, variant)
+        return self._stage("ranked", df)
 
     def _check_vocabulary(self) -> None:
         n = self.vocabulary_size
