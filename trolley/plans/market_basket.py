@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, BasketConfig
 from ..operators import baskets as B
+from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import mining as M
 from ..operators import nb_vectorized as V
 from ..operators import recommend as R
+from ..operators import reports as P
+from ..sources import files as S
 from ..sources.fixtures import Tables
 from .stages import StageStore
 
@@ -190,3 +193,31 @@ class BasketRun:
     @cached_property
     def eval_confusion(self) -> DataFrame:
         return E.eval_confusion(self.ranked, self.rule_items, self.cfg.topn)
+
+    # -- classification
+
+    @cached_property
+    def item_index(self) -> DataFrame:
+        return C.item_index(self.frequent)
+
+    @cached_property
+    def training_rows(self) -> DataFrame:
+        """(label, indices) — see operators.classify.training_rows."""
+        return C.training_rows(self.baskets, self.item_index, self.cfg.unique)
+
+    @cached_property
+    def training_data(self) -> DataFrame:
+        """(label, features): the training rows as a libsvm file, read back."""
+        path = f"{self.store.path}/training.libsvm"
+        S.write_libsvm_text(self.training_rows, path)
+        n_features = self.item_index.count()
+        return S.read_libsvm(self.spark, path, max(n_features, 1))
+
+    @cached_property
+    def rf_predictions(self) -> DataFrame:
+        return self._stage("rf_predictions", C.rf_predict(self.training_data))
+
+    # -- reports
+
+    def item_freq_since(self, years: list[int]) -> DataFrame:
+        return P.item_freq_since(self.baskets, self.tables.headers, self.tables.catalog, years)

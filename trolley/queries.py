@@ -15,9 +15,13 @@ from pyspark.sql import types as T
 
 from . import oracle as O
 from .config import DEFAULT, BasketConfig
+from .functions.text import ljust_sql, rjust_sql
 from .operators import baskets as B
+from .operators import classify as C
 from .operators import mining as M
+from .operators import reports as P
 from .plans.market_basket import BasketRun
+from .sources import files as S
 from .sources import fixtures as X
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -597,6 +601,203 @@ def q_eval_confusion(spark, sf_dir):
     return presentable(run(spark, sf_dir).eval_confusion)
 
 
+# =================================================================== files
+
+
+@register("taxonomy_scan", _sql([O.TAXONOMY], "SELECT cat0_id, cat1_id, cat0_name, cat1_name, item FROM taxonomy"))
+def q_taxonomy_scan(spark, sf_dir):
+    r = run(spark, sf_dir)
+    path = f"{r.store.path}/taxonomy.tsv"
+    S.write_taxonomy_tsv(r.tables.taxonomy, path)
+    return S.read_taxonomy_tsv(spark, path)
+
+
+@register(
+    "taxonomy_build",
+    _sql(
+        [O.CATALOG, O.TAXONOMY],
+        "SELECT t.cat0_id, t.cat1_id, 'cn0_' || t.cat0_id AS cat0_name, 'cn1_' || t.cat1_id AS cat1_name, "
+        "'0' AS store, c.item, c.name, c.descr "
+        "FROM (SELECT DISTINCT item, name, descr FROM catalog) c LEFT JOIN taxonomy t ON t.item = c.item "
+        "ORDER BY t.cat0_id, t.cat1_id, c.item",
+    ),
+)
+def q_taxonomy_build(spark, sf_dir):
+    r = run(spark, sf_dir)
+    path = f"{r.store.path}/category_ids.csv"
+    S.write_category_ids_csv(X.category_ids(spark, sf_dir), path)
+    return B.taxonomy_build(r.tables.catalog, S.read_category_ids_csv(spark, path))
+
+
+@register("tsv_roundtrip", _sql(O.basket_ctes(), "SELECT array_to_string(items, '|') AS items, size FROM baskets"))
+def q_tsv_roundtrip(spark, sf_dir):
+    r = run(spark, sf_dir)
+    path = f"{r.store.path}/carts.tsv"
+    S.write_carts(r.baskets, path)
+    return presentable(S.read_carts(spark, path))
+
+
+# =================================================================== classification
+
+_INDEX = "item_index AS (SELECT item, freq, CAST(row_number() OVER (ORDER BY freq, item) AS INTEGER) AS idx FROM frequent)"
+_TRAIN = _MINING + [
+    _INDEX,
+    "fi AS (SELECT b.register, b.receipt, i.idx FROM bitems b JOIN item_index i ON i.item = b.item)",
+    "fl AS (SELECT register, receipt, list_sort(list(idx)) AS fidx FROM fi GROUP BY register, receipt)",
+    """train AS (
+  SELECT CAST(l.idx AS DOUBLE) AS label, list_filter(fl.fidx, lambda x: x <> l.idx) AS indices
+  FROM fi l JOIN fl ON fl.register = l.register AND fl.receipt = l.receipt WHERE len(fl.fidx) > 1)""",
+]
+
+
+@register("item_index", _sql(_TRAIN, "SELECT item, freq, idx FROM item_index"))
+def q_item_index(spark, sf_dir):
+    return run(spark, sf_dir).item_index
+
+
+@register("training_rows", _sql(_TRAIN, "SELECT label, array_to_string(indices, '|') AS indices FROM train"))
+def q_training_rows(spark, sf_dir):
+    return presentable(run(spark, sf_dir).training_rows)
+
+
+@register("training_counts", _sql(_TRAIN, "SELECT label, count(*) AS n FROM train GROUP BY label"))
+def q_training_counts(spark, sf_dir):
+    return C.training_counts(run(spark, sf_dir).training_rows)
+
+
+@register("libsvm_roundtrip", _sql(_TRAIN, "SELECT label, array_to_string(indices, '|') AS indices FROM train"))
+def q_libsvm_roundtrip(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    data = run(spark, sf_dir).training_data
+    arr = vector_to_array(F.col("features"))
+    ones = F.filter(
+        F.transform(arr, lambda v, i: F.when(v != 0, i + 1)), lambda x: x.isNotNull()
+    ).cast("array<int>")
+    return presentable(data.select("label", ones.alias("indices")))
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    train, test = C.train_test_split(run(spark, sf_dir).training_data)
+    return train.select(F.lit("train").alias("split"), "label").unionByName(
+        test.select(F.lit("test").alias("split"), "label")
+    ).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@register("rf_predict")
+def q_rf_predict(spark, sf_dir):
+    return run(spark, sf_dir).rf_predictions
+
+
+@register("rf_matches")
+def q_rf_matches(spark, sf_dir):
+    return C.matches(run(spark, sf_dir).rf_predictions)
+
+
+@register("rf_accuracy")
+def q_rf_accuracy(spark, sf_dir):
+    pred = run(spark, sf_dir).rf_predictions
+    return pred.agg(
+        F.count("*").alias("n_test"),
+        F.avg((F.col("indexedLabel") == F.col("prediction")).cast("double")).alias("accuracy"),
+    )
+
+
+@register("ml_nb_predict")
+def q_ml_nb_predict(spark, sf_dir):
+    return C.nb_predict(run(spark, sf_dir).training_data)
+
+
+# =================================================================== reports
+
+
+@register(
+    "item_freq_named",
+    _sql(_MINING + [O.CATEGORY_NAMES],
+         "SELECT f.item, f.freq, cn.name FROM item_freq f LEFT JOIN category_names cn ON cn.item = f.item"),
+)
+def q_item_freq_named(spark, sf_dir):
+    r = run(spark, sf_dir)
+    return P.item_freq_named(r.item_freq, r.names)
+
+
+@register(
+    "pair_freq_named",
+    _sql(
+        _MINING + [O.CATEGORY_NAMES],
+        "SELECT p.a, p.b, p.freq, na.name AS name_a, nb.name AS name_b FROM pair_freq p "
+        "LEFT JOIN category_names na ON na.item = p.a LEFT JOIN category_names nb ON nb.item = p.b "
+        "ORDER BY p.freq DESC, p.a, p.b",
+    ),
+)
+def q_pair_freq_named(spark, sf_dir):
+    r = run(spark, sf_dir)
+    return P.pair_freq_named(r.pair_freq, r.names)
+
+
+_PA, _PB = rjust_sql("p.a", 4), rjust_sql("p.b", 4)
+
+
+@register(
+    "pair_freq_category",
+    _sql(
+        _MINING
+        + [
+            f"short AS (SELECT DISTINCT {rjust_sql('(' + O.CODE + ')', 4)} AS category, "
+            f"{ljust_sql('cat1_name', 20)} AS cat1_name FROM taxonomy)"
+        ],
+        f"SELECT {_PA} AS a, {_PB} AS b, p.freq, sa.cat1_name AS cat1_a, sb.cat1_name AS cat1_b "
+        f"FROM pair_freq p LEFT JOIN short sa ON sa.category = {_PA} "
+        f"LEFT JOIN short sb ON sb.category = {_PB} ORDER BY p.freq DESC",
+    ),
+)
+def q_pair_freq_category(spark, sf_dir):
+    r = run(spark, sf_dir)
+    return P.pair_freq_category(r.pair_freq, r.tables.taxonomy)
+
+
+# "Since" cut-offs inside the fixture span; item-level baskets of 2..7 items.
+SINCE_YEARS = [1996, 1997, 1998, 1999, 2000]
+_ITEMS_2_7 = DEFAULT.with_(taxo=False, cartsize_max=7)
+_FS = ", ".join(
+    f"count(*) FILTER (WHERE h.ts > TIMESTAMP '{y}-01-01') AS fs_{y}" for y in SINCE_YEARS
+)
+_FS_OUT = ", ".join(f"CAST(coalesce(n.fs_{y}, 0) AS INTEGER) AS fs_{y}" for y in SINCE_YEARS)
+
+
+@register(
+    "item_freq_since",
+    _sql(
+        O.basket_ctes(_ITEMS_2_7)
+        + [
+            "ht AS (SELECT register, receipt, max(ts) AS ts FROM headers GROUP BY register, receipt)",
+            f"""cnt AS (SELECT b.item, count(*) AS freq_all, {_FS} FROM bitems b LEFT JOIN ht h
+               ON h.register IS NOT DISTINCT FROM b.register AND h.receipt = b.receipt GROUP BY b.item)""",
+        ],
+        f"SELECT CAST(coalesce(n.freq_all, 0) AS INTEGER) AS freq_all, {_FS_OUT}, c.item, c.name, c.descr "
+        f"FROM (SELECT DISTINCT item, name, descr FROM catalog) c LEFT JOIN cnt n ON n.item = c.item",
+    ),
+)
+def q_item_freq_since(spark, sf_dir):
+    return run(spark, sf_dir, _ITEMS_2_7).item_freq_since(SINCE_YEARS)
+
+
+_ITEMS = DEFAULT.with_(taxo=False)
+
+
+@register(
+    "register_only_items",
+    _sql(
+        O.basket_ctes(_ITEMS),
+        "SELECT item, count(*) AS freq FROM bitems WHERE register = 3 AND item NOT IN "
+        "(SELECT item FROM bitems WHERE register IN (1, 2)) GROUP BY item",
+    ),
+)
+def q_register_only_items(spark, sf_dir):
+    return P.register_only_items(run(spark, sf_dir, _ITEMS).baskets)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(SPARK)
 
