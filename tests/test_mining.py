@@ -111,3 +111,26 @@ def test_pair_plan_has_no_cartesian(run):
     plan = M.pair_freq(run.baskets, run.frequent, run.cfg)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("support", [0.0, 0.3])
+def test_pair_freq_long_baskets_in_chunks(spark, support):
+    import string
+
+    long1 = list(string.ascii_lowercase[:11])  # 11 items: chunks of 3 anchors
+    baskets = [long1, ["a", "b"], ["b", "c", "d"], long1[3:], ["a", "k"], ["z", "a"]]
+    lines = [(1, i, x, 1.0) for i, b in enumerate(baskets) for x in b]
+    cfg = DEFAULT.with_(taxo=False, cartsize_max=None, support_item=support)
+    run = BasketRun(spark, tables(spark, lines), cfg, materialize=False)
+    got = {(r.a, r.b): r.freq for r in M.pair_freq(run.baskets, run.frequent, cfg, chunk=3).collect()}
+    n = len(baskets)
+    freq = {}
+    for b in baskets:
+        for x in set(b):
+            freq[x] = freq.get(x, 0) + 1
+    frequent = {x for x, f in freq.items() if f > support * n}
+    want = {}
+    for b in baskets:
+        for p in combinations(sorted(set(b) & frequent), 2):
+            want[p] = want.get(p, 0) + 1
+    assert got == want

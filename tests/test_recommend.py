@@ -66,7 +66,7 @@ def _model(run):
 
 
 @pytest.mark.parametrize("variant", ["classic", "subset", "best"])
-@pytest.mark.parametrize("scoring", ["vectorized", "jvm"])
+@pytest.mark.parametrize("scoring", ["vectorized", "jvm", "join"])
 def test_basket_scores_match_enumeration(spark, small, variant, scoring):
     baskets, run0 = small
     run = BasketRun(spark, run0.tables, run0.cfg.with_(scoring=scoring), materialize=False)
@@ -82,7 +82,7 @@ def test_basket_scores_match_enumeration(spark, small, variant, scoring):
             assert (v is None and have[x] is None) or math.isclose(have[x], v, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("scoring", ["vectorized", "jvm"])
+@pytest.mark.parametrize("scoring", ["vectorized", "jvm", "join"])
 def test_leave_one_out_top_lists(spark, small, scoring):
     baskets, run0 = small
     run = BasketRun(spark, run0.tables, run0.cfg.with_(scoring=scoring), materialize=False)
@@ -103,12 +103,40 @@ def test_leave_one_out_top_lists(spark, small, scoring):
     assert got == want
 
 
-def test_scorers_agree_on_fixture(spark):
-    a = Q.run(spark, SF_SMALL)
-    b = Q.run(spark, SF_SMALL, DEFAULT.with_(scoring="jvm"))
+@pytest.mark.parametrize("subset", [True, False])
+def test_scorers_agree_on_fixture(spark, subset):
     key = ["register", "receipt", "label"]
-    ra = {tuple(r[k] for k in key): (r.top_items, r.hit_rank) for r in a.ranked.collect()}
-    rb = {tuple(r[k] for k in key): (r.top_items, r.hit_rank) for r in b.ranked.collect()}
+    got = []
+    for scoring in ("vectorized", "jvm", "join"):
+        r = Q.run(spark, SF_SMALL, DEFAULT.with_(scoring=scoring, subset=subset))
+        got.append({tuple(x[k] for k in key): (x.top_items, x.hit_rank) for x in r.ranked.collect()})
+    assert got[0] == got[1] == got[2]
+    assert len(got[0]) > 0
+
+
+def test_auto_scorer_choice(spark, small):
+    _, run0 = small
+    # the default bound (6 / 0.15 frequent items) is within the limit: in-row
+    assert BasketRun(spark, run0.tables, run0.cfg, materialize=False).scorer == "vectorized"
+    # no proven bound and a counted vocabulary above the limit: joins
+    cfg = run0.cfg.with_(cartsize_max=None, max_inrow_vocabulary=2)
+    run = BasketRun(spark, run0.tables, cfg, materialize=False)
+    assert run.scorer == "join"
+    assert run.max_cart == 4
+
+
+@pytest.mark.parametrize("variant", ["classic", "best"])
+def test_join_loo_matches_vectorized(spark, small, variant):
+    from trolley.operators import nb_join as J
+    from trolley.operators import nb_vectorized as V
+
+    _, run0 = small
+    run = BasketRun(spark, run0.tables, run0.cfg, materialize=False)
+    a = J.ranked_samples(run.baskets, run.rules, run.rule_items, run.log_prob, run.max_cart, run.cfg, variant)
+    b = V.ranked_samples(run.baskets, run.model, run.cfg, variant)
+    key = ["register", "receipt", "label"]
+    ra = {tuple(r[k] for k in key): (r.top_items, r.hit_rank) for r in a.collect()}
+    rb = {tuple(r[k] for k in key): (r.top_items, r.hit_rank) for r in b.collect()}
     assert ra == rb
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 REGISTER_CHOICES = ("all", "shop", "espresso", "shop1", "shop2")
+SCORERS = ("auto", "vectorized", "jvm", "join")
 
 
 @dataclass(frozen=True)
@@ -42,12 +43,15 @@ class BasketConfig:
     interaction_list_max: int = 100
     # Rows shown by the table preview.
     preview_rows: int = 200
-    # Rule vocabulary size above which scoring warns: the rule matrix shipped
-    # to every task has vocabulary^2 cells. Results stay exact either way.
+    # Largest rule vocabulary scored in-row: the rule matrix shipped to every
+    # task has vocabulary^2 cells (1000 -> 8 MB). Beyond it, "auto" scoring
+    # switches to joins. Results are the same either way.
     max_inrow_vocabulary: int = 1000
-    # Cart scorer: "vectorized" (numpy over Arrow batches) or "jvm"
-    # (higher-order functions only). Same results.
-    scoring: str = "vectorized"
+    # Cart scorer: "auto" (in-row when the vocabulary is within
+    # max_inrow_vocabulary, by proof or by count, else "join"), "vectorized"
+    # (numpy over Arrow batches), "jvm" (higher-order functions only) or
+    # "join" (joins and grouped sums, no matrix). Same results.
+    scoring: str = "auto"
 
     def __post_init__(self) -> None:
         if self.register not in REGISTER_CHOICES:
@@ -58,8 +62,8 @@ class BasketConfig:
             raise ValueError("cartsize_max must be >= cartsize_min")
         if self.topn < 1:
             raise ValueError("topn must be positive")
-        if self.scoring not in ("vectorized", "jvm"):
-            raise ValueError("scoring must be 'vectorized' or 'jvm'")
+        if self.scoring not in SCORERS:
+            raise ValueError(f"scoring must be one of {SCORERS}")
         if self.smooth_k < 0:
             raise ValueError("smooth_k must be >= 0")
 

@@ -24,6 +24,24 @@ def ordered_pairs(items: str = "items") -> Column:
     )
 
 
+def chunk_pairs(items: str, start: Column, length: int) -> Column:
+    """Pairs ``(a, b)``, ``a`` before ``b``, whose ``a`` sits at 0-based
+    positions ``start`` .. ``start + length - 1`` of the sorted array.
+
+    The chunks of one basket together give exactly its ordered pairs, so a
+    long basket's pairs can be made by several tasks.
+    """
+    return F.flatten(
+        F.transform(
+            F.slice(F.col(items), start + 1, F.lit(length)),
+            lambda x, i: F.transform(
+                F.slice(F.col(items), start + i + 2, F.size(items)),
+                lambda y: F.struct(x.alias("a"), y.alias("b")),
+            ),
+        )
+    )
+
+
 def subsets(items: str = "items", len_max: int = 6) -> Column:
     """Non-empty subsets of a basket of at most ``len_max`` items.
 

@@ -27,13 +27,13 @@ def loo_positions(baskets: DataFrame, vocab: DataFrame) -> DataFrame:
 
     ``items`` is the whole basket; the cart is ``items`` without position
     ``pos``. Only baskets of two or more items give a non-empty cart.
-    ``vocab`` (item) is the rule vocabulary, bounded by the frequent-item
-    count, so the label filter is a broadcast semi join.
+    ``vocab`` (item) is the rule vocabulary; Spark sizes the semi join (a
+    broadcast when the vocabulary stage table is small).
     """
     return (
         baskets.where(F.size("items") > 1)
         .select("register", "receipt", "items", F.posexplode("items").alias("pos", "label"))
-        .join(F.broadcast(vocab.select(F.col("item").alias("label"))), "label", "left_semi")
+        .join(vocab.select(F.col("item").alias("label")), "label", "left_semi")
     )
 
 

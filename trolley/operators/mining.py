@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BasketConfig
-from ..functions.arrays import ordered_pairs, subsets
+from ..functions.arrays import chunk_pairs, ordered_pairs, subsets
 
 
 def frequent_bound(cfg: BasketConfig) -> int | None:
@@ -76,19 +76,47 @@ def candidate_pairs(frequent: DataFrame) -> DataFrame:
     )
 
 
-def pair_freq(baskets: DataFrame, frequent: DataFrame, cfg: BasketConfig) -> DataFrame:
+# Anchor positions per pair-making row for long baskets.
+PAIR_CHUNK = 32
+
+
+def pair_freq(
+    baskets: DataFrame, frequent: DataFrame, cfg: BasketConfig, chunk: int = PAIR_CHUNK
+) -> DataFrame:
     """(a, b, freq): baskets holding both frequent items a < b; only freq > 0.
 
-    Pairs come out of each sorted basket row (at most C(cartsize_max, 2) per
-    basket), are kept when both sides are frequent (broadcast semi joins on a
-    bounded table) and counted with map-side partial counts, so a pair present
-    in a third of all baskets costs one row per map task in the shuffle.
+    Pairs come out of each sorted basket row and are kept when both sides
+    are frequent (semi joins on the frequent items), then counted with
+    map-side partial counts, so a pair present in a third of all baskets
+    costs one row per map task in the shuffle.
+
+    A basket of up to ``chunk`` items makes its pairs in its own row (with the
+    default size cap of 6, at most 15). A longer one — possible only without
+    a size cap — is cut into rows of ``chunk`` anchor positions that are
+    spread round-robin over the shuffle partitions first, so one huge basket
+    does not put its quadratic pair count on one task. Exact either way.
     """
-    if cfg.cartsize_max is None:
-        raise ValueError("pair counting needs cartsize_max (pairs per basket grow as size^2)")
-    pairs = baskets.select(F.explode(ordered_pairs("items")).alias("p")).select(
-        F.col("p.a").alias("a"), F.col("p.b").alias("b")
-    )
+    short = baskets
+    parts = []
+    if cfg.cartsize_max is None or cfg.cartsize_max > chunk:
+        short = baskets.where(F.col("size") <= chunk)
+        n_parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        long_rows = (
+            baskets.where(F.col("size") > chunk)
+            .select(
+                "items",
+                F.explode(
+                    F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1)
+                ).alias("c"),
+            )
+            .repartition(n_parts)
+        )
+        parts.append(long_rows.select(F.explode(chunk_pairs("items", F.col("c") * chunk, chunk)).alias("p")))
+    parts.insert(0, short.select(F.explode(ordered_pairs("items")).alias("p")))
+    p = parts[0]
+    for q in parts[1:]:
+        p = p.unionByName(q)
+    pairs = p.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     if cfg.support_item > 0:
         fa = bounded_broadcast(frequent.select(F.col("item").alias("a")), cfg)
         fb = bounded_broadcast(frequent.select(F.col("item").alias("b")), cfg)

@@ -1,0 +1,205 @@
+"""Naive Bayes scoring as joins and grouped aggregates (no rule matrix).
+
+The in-row scorers (:mod:`trolley.operators.recommend`,
+:mod:`trolley.operators.nb_vectorized`) ship the |V| x |V| rule matrix to
+every task; that is only safe when the vocabulary has a proven bound. This
+module is the way beyond that bound, with the same results:
+
+  cart items (sample, a)  JOIN  rules (a, x, ln conf)        on a
+  ANTI JOIN cart items                                       on (sample, x)
+  GROUP BY (sample, x): sum, max and positive sum of ln conf
+  JOIN ln P(x)                                               on x
+  row_number over (sample) by (round(log, 9) desc, x) <= n
+
+Nothing is broadcast by hint: Spark picks the join strategy from the sizes it
+measures, AQE splits a hot evidence item (a key of a third of all carts) into
+several tasks, the grouped sums are combined map-side, and the top-n window
+is limited per sample before its shuffle.
+
+Variants "subset" and "best" also list candidates with no rule (null log)
+after the scored ones, in vocabulary order. For a top-n list only the first
+2n + (largest cart) vocabulary items can be needed, so that short prefix is
+the only lookup attached to the rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import BasketConfig
+
+KEYS_LOO = ["register", "receipt", "label"]
+KEYS_BASKET = ["register", "receipt"]
+
+
+def log_prob(rule_items: DataFrame, item_freq: DataFrame, n_baskets: Column) -> DataFrame:
+    """(x, lnp): ln P(X) of the rule vocabulary (raw frequency, as in-row)."""
+    return rule_items.join(item_freq, "item").select(
+        F.col("item").alias("x"), F.ln(F.col("freq") / n_baskets).alias("lnp")
+    )
+
+
+def scored(
+    samples: DataFrame,
+    keys: list[str],
+    rules: DataFrame,
+    lnp: DataFrame,
+    cfg: BasketConfig,
+    variant: str,
+) -> DataFrame:
+    """(keys..., x, log_score) for every candidate x with at least one rule.
+
+    ``samples`` has the key columns, ``cart`` (array of items) and ``size``
+    (cart length used by the "best" variant).
+    """
+    ev = samples.select(*keys, "size", F.explode("cart").alias("a"))
+    terms = ev.join(
+        rules.select("a", F.col("b").alias("x"), F.ln("confidence").alias("l")), "a"
+    )
+    terms = terms.join(ev.select(*keys, F.col("a").alias("x")), [*keys, "x"], "left_anti")
+    g = terms.groupBy(*keys, "size", "x").agg(
+        F.sum("l").alias("s"),
+        F.max("l").alias("mx"),
+        F.sum(F.when(F.col("l") > 0, F.col("l"))).alias("ps"),
+    )
+    g = g.join(lnp, "x")
+    plain = F.col("lnp") + F.col("s")
+    if variant in ("classic", "subset"):
+        log = plain
+    elif variant == "best":
+        best = F.when(F.col("ps").isNotNull(), F.col("lnp") + F.col("ps")).otherwise(
+            F.col("lnp") + F.col("mx")
+        )
+        log = F.when(F.col("size") <= cfg.subset_len_max, best).otherwise(plain)
+    else:
+        raise ValueError(f"unknown variant {variant}")
+    return g.select(*keys, "x", log.alias("log_score"))
+
+
+def _rank_order() -> list[Column]:
+    return [F.desc_nulls_last(F.round("log_score", 9)), F.col("x")]
+
+
+def top_lists(scores: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys..., top_items, top_logs): best n scored candidates per sample."""
+    w = Window.partitionBy(*keys).orderBy(*_rank_order())
+    best = scores.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    lists = best.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("rn", "x", "log_score"))).alias("t")
+    )
+    return lists.select(
+        *keys,
+        F.col("t.x").alias("top_items"),
+        F.col("t.log_score").alias("top_logs"),
+    )
+
+
+def vocabulary_prefix(rule_items: DataFrame, length: int) -> Column:
+    """The first ``length`` vocabulary items in order, as one array value.
+
+    A top-k (sorted limit), then one bounded collect: never the whole
+    vocabulary in one task.
+    """
+    return (
+        rule_items.orderBy("item")
+        .limit(max(1, int(length)))
+        .agg(F.array_sort(F.collect_list("item")))
+        .scalar()
+    )
+
+
+def pad(
+    top_items: Column, top_logs: Column, cart: Column, prefix: Column, n: int
+) -> tuple[Column, Column]:
+    """Fill a list shorter than n with unscored items from the prefix (null log).
+
+    A list shorter than n holds every scored candidate, so the unscored ones
+    are the prefix items in neither the cart nor the list.
+    """
+    items = F.coalesce(top_items, F.array().cast("array<string>"))
+    logs = F.coalesce(top_logs, F.array().cast("array<double>"))
+    free = F.filter(
+        prefix, lambda v: ~F.array_contains(cart, v) & ~F.array_contains(items, v)
+    )
+    short = F.greatest(F.lit(n) - F.size(items), F.lit(0))
+    extra = F.when(short > 0, F.slice(free, 1, short)).otherwise(
+        F.array().cast("array<string>")
+    )
+    nulls = F.transform(extra, lambda v: F.lit(None).cast("double"))
+    return F.concat(items, extra), F.concat(logs, nulls)
+
+
+def loo_samples(baskets: DataFrame, rule_items: DataFrame) -> DataFrame:
+    """(register, receipt, label, cart, size) for each held-out vocabulary item."""
+    s = (
+        baskets.where(F.size("items") > 1)
+        .select("register", "receipt", "items", F.posexplode("items").alias("pos", "label"))
+        .join(rule_items.select(F.col("item").alias("label")), "label", "left_semi")
+    )
+    return s.select(
+        "register",
+        "receipt",
+        "label",
+        F.filter("items", lambda x, i: i != F.col("pos")).alias("cart"),
+        (F.size("items") - 1).alias("size"),
+    )
+
+
+def ranked_samples(
+    baskets: DataFrame,
+    rules: DataFrame,
+    rule_items: DataFrame,
+    lnp: DataFrame,
+    max_cart: int,
+    cfg: BasketConfig,
+    variant: str,
+) -> DataFrame:
+    """Leave-one-out samples with top-n lists and hit rank (in-row schema)."""
+    n = cfg.topn
+    samples = loo_samples(baskets, rule_items)
+    tops = top_lists(scored(samples, KEYS_LOO, rules, lnp, cfg, variant), KEYS_LOO, n)
+    j = samples.join(tops, KEYS_LOO, "left")
+    if variant == "classic":
+        items = F.coalesce("top_items", F.array().cast("array<string>"))
+        logs = F.coalesce("top_logs", F.array().cast("array<double>"))
+    else:
+        # a subquery cannot sit inside a lambda: attach it as a column first
+        prefix = vocabulary_prefix(rule_items, 2 * n + max_cart)
+        j = j.withColumn("_prefix", prefix)
+        items, logs = pad(F.col("top_items"), F.col("top_logs"), F.col("cart"), F.col("_prefix"), n)
+    out = j.select(*KEYS_LOO, items.alias("top_items"), logs.alias("top_logs"))
+    return out.select(
+        *KEYS_LOO,
+        "top_items",
+        "top_logs",
+        F.array_position("top_items", F.col("label")).cast("int").alias("hit_rank"),
+    )
+
+
+def basket_scores(
+    baskets: DataFrame,
+    rules: DataFrame,
+    rule_items: DataFrame,
+    lnp: DataFrame,
+    cfg: BasketConfig,
+    variant: str,
+) -> DataFrame:
+    """Every candidate of every basket: (register, receipt, item, log_score).
+
+    For "subset" and "best" the full list includes every vocabulary item
+    outside the cart without a rule (null log): the result is baskets x
+    vocabulary rows by definition, and those rows are produced by an
+    anti join of each basket's vocabulary candidates against its scored ones.
+    """
+    samples = baskets.select(*KEYS_BASKET, F.col("items").alias("cart"), F.size("items").alias("size"))
+    s = scored(samples, KEYS_BASKET, rules, lnp, cfg, variant).withColumnRenamed("x", "item")
+    if variant == "classic":
+        return s
+    vocab = rule_items.agg(F.array_sort(F.collect_list("item"))).scalar()
+    cands = samples.select(
+        *KEYS_BASKET,
+        F.explode(F.array_except(vocab, F.col("cart"))).alias("item"),
+    )
+    unscored = cands.join(s.select(*KEYS_BASKET, "item"), [*KEYS_BASKET, "item"], "left_anti")
+    return s.unionByName(unscored.withColumn("log_score", F.lit(None).cast("double")))

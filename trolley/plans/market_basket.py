@@ -20,6 +20,7 @@ from ..operators import baskets as B
 from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import mining as M
+from ..operators import nb_join as J
 from ..operators import nb_vectorized as V
 from ..operators import recommend as R
 from ..operators import reports as P
@@ -121,7 +122,6 @@ class BasketRun:
 
     @cached_property
     def lookup(self) -> Column:
-        self._check_vocabulary()
         return R.rule_lookup(self.rules, self.item_freq, self.n_baskets, self.vocabulary_size)
 
     @cached_property
@@ -148,8 +148,42 @@ class BasketRun:
             b = b.repartition(want)
         return b
 
+    @cached_property
+    def scorer(self) -> str:
+        """The scorer that runs: the configured one, or the choice of "auto".
+
+        In-row scoring ships the |V|^2 rule matrix to every task, so "auto"
+        takes it only when the vocabulary is within max_inrow_vocabulary —
+        proven from the configuration (frequent-item bound) or else counted;
+        beyond that it scores with joins.
+        """
+        if self.cfg.scoring != "auto":
+            if self.cfg.scoring in ("vectorized", "jvm"):
+                self._check_vocabulary()
+            return self.cfg.scoring
+        limit = self.cfg.max_inrow_vocabulary
+        bound = M.frequent_bound(self.cfg)
+        if bound is not None and bound <= limit:
+            return "vectorized"
+        return "vectorized" if self.vocabulary_size <= limit else "join"
+
+    @cached_property
+    def log_prob(self) -> DataFrame:
+        return J.log_prob(self.rule_items, self.item_freq, self.n_baskets)
+
+    @cached_property
+    def max_cart(self) -> int:
+        """Longest basket: the size cap, or measured when there is none."""
+        if self.cfg.cartsize_max is not None:
+            return self.cfg.cartsize_max
+        return int(self.baskets.agg(F.max("size")).first()[0] or 0)
+
     def basket_scores(self, variant: str) -> DataFrame:
-        if self.cfg.scoring == "jvm":
+        if self.scorer == "join":
+            return J.basket_scores(
+                self.baskets, self.rules, self.rule_items, self.log_prob, self.cfg, variant
+            )
+        if self.scorer == "jvm":
             return R.basket_scores(self.scoring_baskets, self.lookup, self.cfg, variant)
         return V.basket_scores(self.scoring_baskets, self.model, self.cfg, variant)
 
@@ -157,7 +191,12 @@ class BasketRun:
     def ranked(self) -> DataFrame:
         """Leave-one-out samples with their top-n lists (stage table)."""
         variant = R.variant_of(self.cfg)
-        if self.cfg.scoring == "jvm":
+        if self.scorer == "join":
+            df = J.ranked_samples(
+                self.baskets, self.rules, self.rule_items, self.log_prob, self.max_cart,
+                self.cfg, variant,
+            )
+        elif self.scorer == "jvm":
             df = E.ranked_samples(self.scoring_baskets, self.rule_items, self.lookup, self.cfg, variant)
         else:
             df = V.ranked_samples(self.scoring_baskets, self.model, self.cfg, variant)
@@ -171,7 +210,8 @@ class BasketRun:
 
             warnings.warn(
                 f"rule vocabulary of {n} items exceeds max_inrow_vocabulary="
-                f"{self.cfg.max_inrow_vocabulary}; the in-row matrix is {n * n} cells"
+                f"{self.cfg.max_inrow_vocabulary}; the in-row matrix is {n * n} cells; "
+                "scoring='auto' or 'join' avoids it"
             )
 
     @cached_property
