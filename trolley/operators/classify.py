@@ -27,11 +27,18 @@ NB_SMOOTHING = 0.01
 def item_index(frequent: DataFrame) -> DataFrame:
     """(item, freq, idx): frequent items numbered from 1 by (freq, item).
 
-    One ordered window over the frequent items, whose number is bounded by
-    cartsize_max / support_item.
+    No window over the whole table: items are counted per freq value, a
+    running sum over the distinct freq values (far fewer than items) gives
+    each value's offset, and the items sharing one freq value are numbered
+    within their own partition.
     """
-    w = Window.orderBy("freq", "item")
-    return frequent.select("item", "freq", F.row_number().over(w).cast("int").alias("idx"))
+    per_freq = frequent.groupBy("freq").agg(F.count("*").alias("k"))
+    before = Window.orderBy("freq").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_freq.select("freq", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("off"))
+    local = Window.partitionBy("freq").orderBy("item")
+    return frequent.join(offsets, "freq").select(
+        "item", "freq", (F.col("off") + F.row_number().over(local)).cast("int").alias("idx")
+    )
 
 
 def index_order(index: DataFrame) -> Column:
@@ -41,24 +48,8 @@ def index_order(index: DataFrame) -> Column:
     ).scalar()
 
 
-def training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
-    """(label DOUBLE, indices ARRAY<INT>): one row per frequent item of a basket.
-
-    Basket items are mapped to indices inside the row (the index order is a
-    bounded scalar bound once per row), the labels are exploded, rows with no
-    other frequent item are dropped. ``unique`` keeps distinct rows.
-    """
-    order = index_order(index)
-    idx = with_lookup(
-        baskets,
-        order,
-        ["items"],
-        "fidx",
-        lambda o: F.array_sort(
-            F.filter(F.transform("items", lambda x: F.array_position(o, x).cast("int")), lambda i: i > 0)
-        ),
-    )
-    rows = idx.select("fidx", F.posexplode("fidx").alias("pos", "label_idx")).select(
+def _rows_from_indices(fidx: DataFrame, unique: bool) -> DataFrame:
+    rows = fidx.select("fidx", F.posexplode("fidx").alias("pos", "label_idx")).select(
         F.col("label_idx").cast("double").alias("label"),
         F.filter("fidx", lambda x, i: i != F.col("pos")).alias("indices"),
     )
@@ -66,6 +57,40 @@ def training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) ->
     return rows.distinct() if unique else rows
 
 
+def training_rows(
+    baskets: DataFrame, index: DataFrame, unique: bool = False, in_row: bool = True
+) -> DataFrame:
+    """(label DOUBLE, indices ARRAY<INT>): one row per frequent item of a basket.
+
+    ``in_row``: basket items are mapped to indices inside the row against the
+    index order, a scalar bound once — for an index with a proven size bound.
+    Otherwise the basket items are joined to the index and regrouped per
+    basket (key: register, receipt and the item set, which also tells
+    distinct baskets apart). Labels are then exploded, rows with no other
+    frequent item dropped; ``unique`` keeps distinct rows.
+    """
+    if in_row:
+        order = index_order(index)
+        fidx = with_lookup(
+            baskets,
+            order,
+            ["items"],
+            "fidx",
+            lambda o: F.array_sort(
+                F.filter(F.transform("items", lambda x: F.array_position(o, x).cast("int")), lambda i: i > 0)
+            ),
+        )
+    else:
+        keys = ["register", "receipt", "items"]
+        fidx = (
+            baskets.select(*keys, F.explode("items").alias("item"))
+            .join(index.select("item", "idx"), "item")
+            .groupBy(*keys)
+            .agg(F.array_sort(F.collect_list("idx")).alias("fidx"))
+        )
+    return _rows_from_indices(fidx, unique)
+
+
 def training_counts(rows: DataFrame) -> DataFrame:
     """Training rows per label."""
     return rows.groupBy("label").agg(F.count("*").alias("n"))

@@ -243,7 +243,9 @@ class BasketRun:
     @cached_property
     def training_rows(self) -> DataFrame:
         """(label, indices) — see operators.classify.training_rows."""
-        return C.training_rows(self.baskets, self.item_index, self.cfg.unique)
+        bound = M.frequent_bound(self.cfg)
+        in_row = bound is not None and bound <= self.cfg.max_inrow_vocabulary
+        return C.training_rows(self.baskets, self.item_index, self.cfg.unique, in_row)
 
     @cached_property
     def training_data(self) -> DataFrame:
