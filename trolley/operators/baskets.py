@@ -130,9 +130,11 @@ def category_lines(
 
 
 def basket_items(tables: Tables, cfg: BasketConfig) -> DataFrame:
-    """Long form of the baskets, unsized: distinct (register, receipt, item).
+    """Long form of the baskets, unsized: (register, receipt, item), maybe repeated.
 
-    ``item`` is the category code when ``cfg.taxo`` is set, else the raw item.
+    ``item`` is the category code when ``cfg.taxo`` is set, else the raw item;
+    several items of one category give repeated rows, removed when the
+    basket is collected as a set.
     """
     net = net_lines(register_filter(tables.lines, cfg.register))
     if cfg.taxo:
@@ -142,24 +144,24 @@ def basket_items(tables: Tables, cfg: BasketConfig) -> DataFrame:
         rows = net.select("register", "receipt", "item")
     if cfg.drop_item is not None:
         rows = rows.where(F.col("item") != F.lit(cfg.drop_item))
-    return rows.dropDuplicates(["register", "receipt", "item"])
+    return rows
 
 
-def sized_items(items: DataFrame, lo: int, hi: int | None) -> DataFrame:
-    """Basket rows whose receipt holds between lo and hi distinct items (inclusive)."""
-    w = Window.partitionBy("register", "receipt")
-    cond = F.col("size") >= lo
-    if hi is not None:
-        cond = cond & (F.col("size") <= hi)
-    return items.withColumn("size", F.count("*").over(w)).where(cond)
-
+def collect_baskets(items: DataFrame, lo: int, hi: int | None) -> DataFrame:
+    """(register, receipt, items ARRAY sorted, size) with lo <= size <= hi.
 
-def collect_baskets(sized: DataFrame) -> DataFrame:
-    """(register, receipt, items ARRAY sorted, size) from sized long-form rows."""
-    return sized.groupBy("register", "receipt").agg(
-        F.array_sort(F.collect_list("item")).alias("items"),
-        F.count("*").cast("int").alias("size"),
+    One grouped aggregate: the set is built map-side first, so a receipt
+    holding a third of all lines ships at most one set of its distinct items
+    per map task, and the size bounds are checked on the finished set.
+    """
+    b = items.groupBy("register", "receipt").agg(
+        F.array_sort(F.collect_set("item")).alias("items")
     )
+    size = F.size("items")
+    cond = size >= lo
+    if hi is not None:
+        cond = cond & (size <= hi)
+    return b.where(cond).select("register", "receipt", "items", size.cast("int").alias("size"))
 
 
 def receipts_in_range(headers: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -202,8 +204,7 @@ def build_baskets(tables: Tables, cfg: BasketConfig) -> DataFrame:
     ``cfg.unique`` the receipt keys are dropped and only distinct item sets
     remain (register and receipt are then null).
     """
-    sized = sized_items(basket_items(tables, cfg), cfg.cartsize_min, cfg.cartsize_max)
-    baskets = collect_baskets(sized)
+    baskets = collect_baskets(basket_items(tables, cfg), cfg.cartsize_min, cfg.cartsize_max)
     if cfg.timerange:
         lo, hi = cfg.timerange
         baskets = restrict_to_receipts(baskets, receipts_in_range(tables.headers, lo, hi))
