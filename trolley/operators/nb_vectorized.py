@@ -51,6 +51,27 @@ def collect_model(rules: DataFrame, lookup: Column) -> Model:
     return Model(vocab=vocab, lnp=lnp, lnconf=m)
 
 
+def model_from_tables(rules: DataFrame, log_prob: DataFrame) -> Model:
+    """The model from the rule table and ln P(X), fetched once through Arrow.
+
+    Only for a vocabulary with a size bound (the caller checks it): the rule
+    table then has fewer than |V|^2 rows, the same cells the tasks receive.
+    Logs are taken in Spark, as the higher-order-function scorer does, so
+    both scorers rank on identical values.
+    """
+    lp = log_prob.select(F.col("x").alias("item"), "lnp").toPandas()
+    cells = rules.select("a", "b", F.ln("confidence").alias("l")).toPandas()
+    lp = lp.sort_values("item", kind="stable")
+    vocab = lp["item"].to_numpy(dtype=object)
+    n = len(vocab)
+    lnp = lp["lnp"].to_numpy(dtype=float) if n else np.zeros(0)
+    m = np.full((n + 1, n), np.nan)
+    if n and len(cells):
+        pos = pd.Series(np.arange(n), index=vocab)
+        m[pos[cells["a"]].to_numpy(), pos[cells["b"]].to_numpy()] = cells["l"].to_numpy(dtype=float)
+    return Model(vocab=vocab, lnp=lnp, lnconf=m)
+
+
 def _logs(model: Model, carts: np.ndarray, sizes: np.ndarray, variant: str, len_max: int):
     """Log scores (n x |V|), nan for 'no rule'; and the cart-membership mask."""
     n_v = len(model.vocab)
@@ -113,8 +134,9 @@ RANKED_SCHEMA = (
 SCORES_SCHEMA = "register int, receipt bigint, items array<string>, logs array<double>"
 
 
-def _as_list(a: np.ndarray) -> list:
-    return [None if (isinstance(x, float) and np.isnan(x)) else x for x in a.tolist()]
+def _nan_to_null(c: Column) -> Column:
+    """NaN marks "no score" in the numpy arrays; it becomes null on the JVM side."""
+    return F.when(~F.isnan(c), c)
 
 
 def ranked_samples(
@@ -156,8 +178,8 @@ def ranked_samples(
                 hit_rank = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0)
                 for i in range(e - s):
                     k = keep[i]
-                    top_items.append(model.vocab[order[i][k]].tolist())
-                    top_logs.append(_as_list(chosen[i][k]))
+                    top_items.append(model.vocab[order[i][k]])
+                    top_logs.append(chosen[i][k])
                 hits.extend(hit_rank.tolist())
             yield pd.DataFrame(
                 {
@@ -170,7 +192,8 @@ def ranked_samples(
                 }
             )
 
-    return baskets.select("register", "receipt", "items").mapInPandas(run, RANKED_SCHEMA)
+    ranked = baskets.select("register", "receipt", "items").mapInPandas(run, RANKED_SCHEMA)
+    return ranked.withColumn("top_logs", F.transform("top_logs", _nan_to_null))
 
 
 def basket_scores(
@@ -199,8 +222,8 @@ def basket_scores(
                 chosen = np.take_along_axis(logs, order, axis=1)
                 for i in range(e - s):
                     k = keep[i]
-                    out_items.append(model.vocab[order[i][k]].tolist())
-                    out_logs.append(_as_list(chosen[i][k]))
+                    out_items.append(model.vocab[order[i][k]])
+                    out_logs.append(chosen[i][k])
             yield pd.DataFrame(
                 {
                     "register": pdf["register"].astype("Int32"),
@@ -215,4 +238,9 @@ def basket_scores(
         "register",
         "receipt",
         F.explode(F.arrays_zip(F.col("items").alias("item"), F.col("logs").alias("log_score"))).alias("z"),
-    ).select("register", "receipt", F.col("z.item").alias("item"), F.col("z.log_score").alias("log_score"))
+    ).select(
+        "register",
+        "receipt",
+        F.col("z.item").alias("item"),
+        _nan_to_null(F.col("z.log_score")).alias("log_score"),
+    )

@@ -132,7 +132,7 @@ class BasketRun:
     @cached_property
     def model(self) -> V.Model:
         """The lookup evaluated once into numpy arrays (bounded, see _check_vocabulary)."""
-        return V.collect_model(self.rules, self.lookup)
+        return V.model_from_tables(self.rules, self.log_prob)
 
     @cached_property
     def scoring_baskets(self) -> DataFrame:
