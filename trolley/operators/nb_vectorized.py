@@ -38,19 +38,6 @@ class Model:
         return {v: i for i, v in enumerate(self.vocab)}
 
 
-def collect_model(rules: DataFrame, lookup: Column) -> Model:
-    """Evaluate the bounded lookup struct once (one row) into numpy arrays."""
-    row = rules.agg(F.count("*").alias("n")).select(lookup.alias("L")).first()["L"]
-    vocab = np.array(row["vocab"], dtype=object)
-    n = len(vocab)
-    lnp = np.array(row["lnp"], dtype=float) if n else np.zeros(0)
-    m = np.full((n + 1, n), np.nan)
-    for i, r in enumerate(row["lnconf"] or []):
-        if r is not None:
-            m[i] = np.array(r, dtype=float)
-    return Model(vocab=vocab, lnp=lnp, lnconf=m)
-
-
 def model_from_tables(rules: DataFrame, log_prob: DataFrame) -> Model:
     """The model from the rule table and ln P(X), fetched once through Arrow.
 
