@@ -11,7 +11,7 @@ window has the same symbol at the same place.
 
 Every window of ``width`` words takes as its anchor the best symbol decided
 inside it (of the highest level that has one; then the longest, then by hash,
-then the leftmost). At level 0 every word decides itself, so an anchor always
+then the leftmost), named together with the words that decide it. At level 0 every word decides itself, so an anchor always
 exists, and equal windows have equal anchors. Neighbouring windows mostly share
 theirs, so a text gives one row for about every ten words, not one for each.
 
@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stages
+from .packing import pack, unpack
 from .tokens import Words, chunks, mix, powers, words
 
 WIDTH = 20
@@ -118,6 +119,7 @@ def anchors(h: np.ndarray, first: np.ndarray, width: int = WIDTH, n: int = ROUND
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0, dtype=np.uint64)
     window = np.concatenate([np.arange(a, a + c) for a, c in zip(first[:-1], counts) if c])
+    contents = Contents(h)
     best = np.zeros(len(window), dtype=np.uint64)
     which = np.full(len(window), -1, dtype=np.int64)
     offset = 0
@@ -135,7 +137,8 @@ def anchors(h: np.ndarray, first: np.ndarray, width: int = WIDTH, n: int = ROUND
                 rank = (np.uint64(7) - np.minimum(size, 7).astype(np.uint64)) << np.uint64(61) | salted >> np.uint64(3)
                 at = _lowest(rank, a, b)
                 which[todo] = at + offset
-                best[todo] = salted[at]
+                # Named with all the words that decide it: they stand in every window it anchors.
+                best[todo] = mix(salted[at] ^ contents.of(low[at], high[at]))
         offset += len(name)
     cut = np.ones(len(window), dtype=bool)
     cut[1:] = (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)
@@ -218,7 +221,7 @@ def repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> DataFrame:
     )
     mixed = mixed.groupBy("_at").agg(F.collect_list("_part").alias("_parts"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
-    windows = stages.put(texts.join(mixed, F.col("_id").eqNullSafe(F.col("_at"))).select("_id", "_text", "_parts").mapInArrow(
+    windows = stages.put(pack(texts).join(mixed, F.col("_id").eqNullSafe(F.col("_at"))).select("_id", "_z", "_zn", "_parts").mapInArrow(
         _windows(width), "_name bigint, _seg bigint, _id bigint, _lo int"
     ))
     first = windows.groupBy("_name", "_seg").agg(F.min(here).alias("_first"), F.max(here).alias("_last")).where("_first < _last")
@@ -248,8 +251,8 @@ def _inside(w: Words, h: np.ndarray, row: np.ndarray, lo: np.ndarray, n: np.ndar
 def _windows(width: int):
     def run(batches):
         for b in batches:
-            for offset, part in chunks(b.column("_text")):
-                w = words(part)
+            for offset, part in unpack(b):
+                w = words(part.fill_null(""))
                 h = w.hashes()
                 row, name, lo, n, seg = _parts(b.column("_parts").slice(offset, len(part)), ("_name", "lo", "n", "seg"))
                 good, at, contents = _inside(w, h, row, lo.astype(np.int64), n.astype(np.int64), seg, width)
@@ -268,23 +271,27 @@ def _windows(width: int):
 
 
 def cut(docs: DataFrame, stages: Stages, columns: list[str], texts: bool, width: int = WIDTH) -> DataFrame:
-    """Rows of docs as _c0, _c1, ... (columns) with _n_words, _n_removed and, as asked for, _kept or _sha.
+    """Rows of docs as _c0, _c1, ... (columns but the text) with _n_words, _n_removed and, as asked for, _kept or _sha.
 
     _kept: the text itself if nothing is removed, else the kept words joined by
     one space. _sha: SHA-256 of the kept words joined by one space.
     """
     names = [f"_c{i}" for i in range(len(columns))]
     found = repeats(docs, stages, width).withColumnRenamed("_id", "_at")
+    # The text moves once, compressed; as a column of the result it is _kept.
     source = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text")
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names) if c != "text"],
+        F.col("doc_id").cast("bigint").alias("_id"),
+        F.col("text").alias("_text"),
     )
-    joined = source.join(found, F.col("_id").eqNullSafe(F.col("_at")), "left").drop("_at", "_id")
+    names = [n for c, n in zip(columns, names) if c != "text"]
+    joined = pack(source).join(found, F.col("_id").eqNullSafe(F.col("_at")), "left").drop("_at", "_id")
     last = "_kept" if texts else "_sha"
 
     def run(batches):
         for b in batches:
-            for offset, part in chunks(b.column("_text")):
-                w = words(part)
+            for offset, part in unpack(b):
+                w = words(part.fill_null(""))
                 h = w.hashes()
                 row, lo, n, seg = _parts(b.column("_cuts").slice(offset, len(part)), ("lo", "n", "seg"))
                 good, at, _ = _inside(w, h, row, lo.astype(np.int64), n.astype(np.int64), seg, width)
@@ -299,9 +306,9 @@ def cut(docs: DataFrame, stages: Stages, columns: list[str], texts: bool, width:
                 for d, text in enumerate(part.to_pylist()):
                     whole = kept[d] == w.counts[d]
                     if texts and whole:
-                        out.append(b.column("_text")[offset + d].as_py())
+                        out.append(text)
                         continue
-                    found = text.encode("utf-8", "surrogatepass").split()
+                    found = (text or "").encode("utf-8", "surrogatepass").split()
                     stay = found if whole else compress(found, keep[w.first[d] : w.first[d + 1]].tolist())
                     joined_words = b" ".join(stay)
                     out.append(joined_words.decode("utf-8", "surrogatepass") if texts else hashlib.sha256(joined_words).hexdigest())
@@ -331,7 +338,14 @@ def without_repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> Data
     """docs with the repeated passages cut from text (n_chars follows); texts that lose every word go."""
     columns = docs.columns
     done = cut(docs, stages, columns, texts=True, width=width)
-    names = [f"_c{i}" for i in range(len(columns))]
-    changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept").cast("bigint")).otherwise(F.col(names[columns.index("n_chars")]))} if "n_chars" in columns else {"text": F.col("_kept")}
     alive = done.where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
-    return alive.select(*[changed.get(c, F.col(n)).alias(c) for c, n in zip(columns, names)])
+    out = []
+    for i, c in enumerate(columns):
+        if c == "text":
+            column = F.col("_kept")
+        elif c == "n_chars":
+            column = F.when(F.col("_n_removed") > 0, F.length("_kept").cast("bigint")).otherwise(F.col(f"_c{i}"))
+        else:
+            column = F.col(f"_c{i}")
+        out.append(column.alias(c))
+    return alive.select(*out)
