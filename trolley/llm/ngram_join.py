@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import Stages
 from .components import components
 from .cover_tree import Forest
+from .packing import pack, unpack
 from .tokens import chunks, list_array, mix, phrases, ranges, words
 
 SHINGLE = 5
@@ -102,12 +103,12 @@ def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(_id, _n, _f, _g, _s): size, two hashes and the shingles of each set that is not empty."""
+    """(_id, _n, _f, _g, _s): size, two hashes and the shingles of each set (of packed texts) that is not empty."""
 
     def run(batches):
         for b in batches:
-            for row, part in chunks(b.column("_text")):
-                h, n = shingles(part, k)
+            for row, part in unpack(b):
+                h, n = shingles(part.fill_null(""), k)
                 total = np.concatenate(([0], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64))).astype(np.uint64)
                 other = np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(0x5DEECE66D)), dtype=np.uint64))).astype(np.uint64)
                 end = np.cumsum(n)
@@ -120,7 +121,7 @@ def sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
                     names=["_id", "_n", "_f", "_g", "_s"],
                 )
 
-    return texts.select("_id", "_text").mapInArrow(run, "_id bigint, _n bigint, _f bigint, _g bigint, _s array<bigint>").where("_n > 0")
+    return texts.select("_id", "_z", "_zn").mapInArrow(run, "_id bigint, _n bigint, _f bigint, _g bigint, _s array<bigint>").where("_n > 0")
 
 
 def groups(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
@@ -136,7 +137,7 @@ def groups(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
         .select(F.col("_id").alias("_p"))
     )
     possible = stages.put(possible)
-    found = stages.put(sets(_texts(docs).join(possible, F.col("_id") == F.col("_p")).drop("_p"), k))
+    found = stages.put(sets(pack(_texts(docs)).join(possible, F.col("_id") == F.col("_p")).drop("_p"), k))
     # One set for all that are equal.
     kinds = stages.put(found.groupBy("_f", "_g", "_n").agg(F.min("_id").alias("_rep"), F.count("*").alias("_c")))
     equal = [F.col(a) == F.col(b) for a, b in (("_f", "_kf"), ("_g", "_kg"), ("_n", "_kn"))]
