@@ -6,21 +6,21 @@ shingles shares at least a = ceil(3n/4) of them with any partner.
 
 1. Who can have a partner at all? With all shingles in one global order (of
    their hashes), a set's first n - a + l shingles hold at least l of those it
-   shares, and so do its partner's. Only these prefixes are counted; documents
-   with too few shingles that another prefix has too are out. l grows with n,
-   so a few common lines do not keep a document in.
-2. The rest, one per different set, gets the global order that makes prefixes
-   selective: by the number of sets a shingle is in, rarest first. Sets that
-   have fewer than a shingles in common with anyone are out; the others meet in
-   the shingles of their shortened prefixes. Every such shingle ties its sets to
-   the smallest one, a row per set and shingle, never a row per pair; connected
-   sets are the candidates for one another.
-3. Within candidates, sets of similar size are cut into blocks of bounded
-   length; each pair of blocks is one task. There the sets of one block are
-   stored in a prefix tree, commonest shingles first, so that similar sets share
-   paths; sets of the other walk down it together with their partial overlaps,
-   and a subtree is left when the overlap so far and what remains on both sides
-   cannot reach the bound. A task returns a spanning forest of its links.
+   shares, and so do its partner's. These prefixes are counted; documents with
+   too few shingles that another prefix has too are out. l grows with n, so a
+   few common lines do not keep a document in.
+2. The rest meet in the rarest shingles of their prefixes: as partners share at
+   least l of them, the l - 1 most frequent ones may be left out. Every such
+   shingle ties its documents to the smallest one, a row per document and
+   shingle, never a row per pair; connected documents are the candidates for
+   one another.
+3. Within candidates, one document per different set, sets of similar size are
+   cut into blocks of bounded length; each pair of blocks is one task. There
+   the sets of one block are stored in a prefix tree, commonest shingles first,
+   so that similar sets share paths; sets of the other walk down it together
+   with their partial overlaps, and a subtree is left when the overlap so far
+   and what remains on both sides cannot reach the bound. A task returns a
+   spanning forest of its links.
 4. Links and equal sets are joined into components.
 
 No step emits pairs or gathers a group: what grows with a group of near copies
@@ -38,11 +38,11 @@ from .common import Stages
 from .components import components
 from .cover_tree import Forest
 from .packing import pack, unpack
-from .tokens import chunks, list_array, mix, phrases, ranges, words
+from .tokens import chunks, mix, phrases, ranges, words
 
 SHINGLE = 5
 #: Share of a set's shingles by which its prefix is longer than it must be (l / n).
-EXTRA = 0.05
+EXTRA = 0.1
 #: Shingles in a block: bounds the memory of a task (a longer set is a block alone).
 BLOCK_SHINGLES = 1 << 20
 CHUNK = 64
@@ -102,93 +102,96 @@ def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return _texts(docs).where("_id is not null").mapInArrow(run, "_id bigint, _need int, _h bigint")
 
 
-def sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(_id, _n, _f, _g, _s): size, two hashes and the shingles of each set (of packed texts) that is not empty."""
+def marked(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Packed texts with _n, the size of each set, and two hashes of it, _f and _g; empty sets are left out."""
 
     def run(batches):
         for b in batches:
             for row, part in unpack(b):
                 h, n = shingles(part.fill_null(""), k)
-                total = np.concatenate(([0], np.cumsum(mix(h + np.uint64(1)), dtype=np.uint64))).astype(np.uint64)
-                other = np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(0x5DEECE66D)), dtype=np.uint64))).astype(np.uint64)
                 end = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("_id").slice(row, len(part)), pa.array(n),
-                        pa.array((total[end] - total[end - n]).view(np.int64)), pa.array((other[end] - other[end - n]).view(np.int64)),
-                        list_array(pa.array(h.view(np.int64)), n),
-                    ],
-                    names=["_id", "_n", "_f", "_g", "_s"],
-                )
+                marks = []
+                for salted in (h + np.uint64(1), h ^ np.uint64(0x5DEECE66D)):
+                    total = np.zeros(len(h) + 1, dtype=np.uint64)
+                    np.cumsum(mix(salted), out=total[1:])
+                    marks.append(pa.array((total[end] - total[end - n]).view(np.int64)))
+                some = [b.column(c).slice(row, len(part)) for c in ("_id", "_z", "_zn")]
+                yield pa.RecordBatch.from_arrays([*some, pa.array(n), *marks], names=["_id", "_z", "_zn", "_n", "_f", "_g"])
 
-    return texts.select("_id", "_z", "_zn").mapInArrow(run, "_id bigint, _n bigint, _f bigint, _g bigint, _s array<bigint>").where("_n > 0")
+    schema = "_id bigint, _z binary, _zn bigint, _n bigint, _f bigint, _g bigint"
+    return texts.select("_id", "_z", "_zn").mapInArrow(run, schema).where("_n > 0")
 
 
-def groups(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
-    """(node, component): doc_ids that are linked to others, with the smallest reachable doc_id."""
-    # 1. Documents that can have a partner.
+def candidates(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
+    """(_p, _meet): ids that can have a partner, with the shingles in which they meet it."""
     first = prefixes(docs, k)
-    twice = first.groupBy("_h").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_h").alias("_t"))
-    possible = (
+    # Written before it is joined: of a join of two plain shuffles Spark can split the hot keys.
+    twice = stages.put(first.groupBy("_h").agg(F.count("*").alias("_df")).where("_df > 1").select(F.col("_h").alias("_t"), "_df"))
+    # A list holds shingles of one document's prefix.
+    shared = (
         first.join(twice, F.col("_h") == F.col("_t"))
         .groupBy("_id")
-        .agg(F.count("*").alias("_c"), F.min("_need").alias("_need"))
-        .where("_c >= _need")
-        .select(F.col("_id").alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_o"), F.min("_need").alias("_need"))
+        .where(F.size("_o") >= F.col("_need"))
     )
-    possible = stages.put(possible)
-    found = stages.put(sets(pack(_texts(docs)).join(possible, F.col("_id") == F.col("_p")).drop("_p"), k))
-    # One set for all that are equal.
+    meet = F.transform(F.slice("_o", 1, F.size("_o") - F.col("_need") + 1), lambda x: x["_h"])
+    return stages.put(shared.select(F.col("_id").alias("_p"), meet.alias("_meet")))
+
+
+def groups(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
+    """(node, component): doc_ids that are linked to others, with the smallest reachable doc_id."""
+    # 1, 2. Documents that can have a partner, tied to their candidates.
+    possible = candidates(docs, stages, k)
+    meet = possible.select(F.col("_p").alias("_id"), F.explode("_meet").alias("_h"))
+    low = meet.groupBy("_h").agg(F.min("_id").alias("_low"), F.max("_id").alias("_top")).where("_low < _top")
+    low = stages.put(low.select(F.col("_h").alias("_t"), "_low"))
+    ties = meet.join(low, F.col("_h") == F.col("_t")).select(F.col("_id").alias("a"), F.col("_low").alias("b")).distinct()
+    tied = components(ties, stages)
+    # 3. One document for all with equal sets.
+    ids = possible.select("_p")
+    found = stages.put(marked(pack(_texts(docs)).join(ids, F.col("_id") == F.col("_p")), k))
     kinds = stages.put(found.groupBy("_f", "_g", "_n").agg(F.min("_id").alias("_rep"), F.count("*").alias("_c")))
-    equal = [F.col(a) == F.col(b) for a, b in (("_f", "_kf"), ("_g", "_kg"), ("_n", "_kn"))]
     rep = kinds.select(F.col("_f").alias("_kf"), F.col("_g").alias("_kg"), F.col("_n").alias("_kn"), "_rep", "_c")
+    equal = [F.col(a) == F.col(b) for a, b in (("_f", "_kf"), ("_g", "_kg"), ("_n", "_kn"))]
     copies = found.select("_id", "_f", "_g", "_n").join(rep.where("_c > 1"), equal).select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
     own = found.join(rep.select("_kf", "_kg", "_kn", "_rep"), [*equal, F.col("_id") == F.col("_rep")])
-    # A repeated id may stand for several sets: a number tells them apart.
-    own = stages.put(own.select("_id", "_n", "_s", "_f", "_g").dropDuplicates(["_id", "_f", "_g"]).withColumn("_r", F.monotonically_increasing_id()).drop("_f", "_g"))
-    # 2. Shingles in rising order of how many sets they are in.
-    token = own.select("_r", F.explode("_s").alias("_h"))
-    shared = token.groupBy("_h").agg(F.count("*").alias("_df")).where("_df > 1").select(F.col("_h").alias("_t"), "_df")
-    ordered = (
-        token.join(shared, F.col("_h") == F.col("_t"))
-        .groupBy("_r")
-        .agg(F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_o"))
-    )
-    least = F.ceil(F.col("_n") * 0.75).cast("int")
-    able = own.select("_r", "_id", "_n").join(ordered, "_r").where(F.size("_o") >= least)
-    able = stages.put(able.withColumn("_prefix", F.size("_o") - least + 1))
-    meet = stages.put(able.select("_r", F.explode(F.slice("_o", 1, F.col("_prefix"))).alias("_x")).select("_r", F.col("_x._h").alias("_h")))
-    low = meet.groupBy("_h").agg(F.min("_r").alias("_low"), F.max("_r").alias("_top")).where("_low < _top").select(F.col("_h").alias("_t"), "_low")
-    ties = meet.join(low, F.col("_h") == F.col("_t")).select(F.col("_r").alias("a"), F.col("_low").alias("b")).distinct()
-    candidates = components(ties, stages)
-    # 3. Blocks of candidates of similar size, and the prefix-tree join of pairs of blocks.
-    member = able.join(candidates, F.col("_r") == F.col("node")).select("_r", "_n", F.col("component").alias("_comp"), F.transform("_o", lambda x: x["_h"]).alias("_s"), F.transform("_o", lambda x: x["_df"]).alias("_d"))
+    own = own.dropDuplicates(["_id", "_f", "_g"]).select("_id", "_z", "_zn", "_n")
     # Partners' sizes differ by a factor of 4/3 at most, so by one class at most.
-    member = member.withColumn("_class", F.floor(F.log("_n") / F.log(F.lit(4 / 3))).cast("int"))
-    sizes = member.groupBy("_comp", "_class").agg(F.ceil(F.sum(F.size("_s")) / BLOCK_SHINGLES).cast("int").alias("_k"))
-    sizes = stages.put(sizes)
+    size_class = F.floor(F.log("_n") / F.log(F.lit(4 / 3))).cast("int")
+    member = own.join(tied, F.col("_id") == F.col("node")).select(
+        "_id", "_z", "_zn", "_n", F.col("component").alias("_comp"), size_class.alias("_class")
+    )
+    member = stages.put(member)
+    sizes = stages.put(member.groupBy("_comp", "_class").agg(F.ceil(F.sum("_n") / BLOCK_SHINGLES).cast("int").alias("_k"), F.count("*").alias("_c")))
+    # Blocks of the own class and of its neighbours; candidates alone have no task.
     for shift, name in ((0, "_k0"), (1, "_k1"), (-1, "_k2")):
-        other = sizes.select(F.col("_comp").alias("_oc"), (F.col("_class") - shift).alias("_ocl"), F.col("_k").alias(name))
+        other = sizes.select(F.col("_comp").alias("_oc"), (F.col("_class") - shift).alias("_ocl"), F.col("_k").alias(name), F.col("_c").alias("_c" + name))
         member = member.join(other, (F.col("_comp") == F.col("_oc")) & (F.col("_class") == F.col("_ocl")), "left").drop("_oc", "_ocl")
-    mine = F.pmod(F.xxhash64("_r"), F.col("_k0")).cast("int")
-    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    task = lambda c1, a, c2, b, right: F.struct(c1.alias("c1"), a.alias("a"), c2.alias("c2"), b.alias("b"), F.lit(right).alias("right"))
-    cls, my = F.col("_class"), F.col("_mine")
-    within = F.transform(up_to("_k0"), lambda b: F.struct(cls.alias("c1"), F.least(my, b).alias("a"), cls.alias("c2"), F.greatest(my, b).alias("b"), (my > b).alias("right")))
-    above = F.when(F.col("_k1").isNotNull(), F.transform(up_to("_k1"), lambda b: task(cls, my, cls + 1, b, False))).otherwise(F.array())
-    below = F.when(F.col("_k2").isNotNull(), F.transform(up_to("_k2"), lambda a: task(cls - 1, a, cls, my, True))).otherwise(F.array())
-    dealt = member.withColumn("_mine", mine).withColumn("_task", F.explode(F.concat(within, above, below)))
-    dealt = dealt.select("_comp", F.col("_task.c1").alias("_c1"), F.col("_task.a").alias("_a"), F.col("_task.c2").alias("_c2"), F.col("_task.b").alias("_b"), F.col("_task.right").alias("_right"), "_r", "_n", "_s", "_d")
-    linked = dealt.groupBy("_comp", "_c1", "_a", "_c2", "_b").applyInArrow(_join_blocks, "a bigint, b bigint")
-    linked = stages.put(linked)
-    # 4. Links between sets, equal sets and ids.
-    ids = able.select(F.col("_r"), F.col("_id"))
-    links = (
-        linked.join(ids.withColumnRenamed("_id", "_ia"), F.col("a") == F.col("_r")).drop("_r")
-        .join(ids.withColumnRenamed("_id", "_ib"), F.col("b") == F.col("_r"))
-        .select(F.col("_ia").alias("a"), F.col("_ib").alias("b"))
+    cls, mine = F.col("_class"), F.pmod(F.xxhash64("_id", "_n"), F.col("_k0")).cast("int")
+
+    def tasks(c1, a, c2, b, right):
+        return F.struct(c1.alias("c1"), a.alias("a"), c2.alias("c2"), b.alias("b"), right.alias("right"))
+
+    def blocks(count, make, there):
+        return F.when(there, F.transform(F.sequence(F.lit(0), F.col(count) - 1), make)).otherwise(F.array())
+
+    yes, no, my = F.lit(True), F.lit(False), F.col("_mine")
+    dealt = member.withColumn("_mine", mine).withColumn(
+        "_task",
+        F.explode(
+            F.concat(
+                blocks("_k0", lambda b: tasks(cls, F.least(my, b), cls, F.greatest(my, b), my > b), F.col("_c_k0") > 1),
+                blocks("_k1", lambda b: tasks(cls, my, cls + 1, b, no), F.col("_k1").isNotNull()),
+                blocks("_k2", lambda a: tasks(cls - 1, a, cls, my, yes), F.col("_k2").isNotNull()),
+            )
+        ),
+    )
+    dealt = dealt.select(
+        "_comp", *[F.col(f"_task.{c}").alias(f"_{c}") for c in ("c1", "a", "c2", "b", "right")], "_id", "_z", "_zn", "_n"
     )
-    return components(links.unionByName(copies), stages)
+    linked = stages.put(dealt.groupBy("_comp", "_c1", "_a", "_c2", "_b").applyInArrow(_join_blocks(k), "a bigint, b bigint"))
+    # 4. Links between sets and between equal sets.
+    return components(linked.unionByName(copies), stages)
 
 
 class PrefixTree:
@@ -280,36 +283,39 @@ class PrefixTree:
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _join_blocks(rows: pa.Table) -> pa.Table:
-    rows = rows.combine_chunks()
-    r, n = rows["_r"].to_numpy(), rows["_n"].to_numpy()
-    right = rows["_right"].to_numpy(zero_copy_only=False)
-    lists = rows["_s"].combine_chunks() if rows["_s"].num_chunks != 1 else rows["_s"].chunk(0)
-    counts = rows["_d"].combine_chunks() if rows["_d"].num_chunks != 1 else rows["_d"].chunk(0)
-    flat, df = lists.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
-    length = lists.value_lengths().to_numpy().astype(np.int64)
-    # Numbers in the global order, commonest first.
-    token, at, inverse = np.unique(flat, return_index=True, return_inverse=True)
-    rank = np.empty(len(token), dtype=np.int64)
-    rank[np.lexsort((token, -df[at]))] = np.arange(len(token))
-    numbers = rank[inverse]
-    first = np.concatenate(([0], np.cumsum(length)))
-    paths = [np.sort(numbers[a:b]) for a, b in zip(first[:-1], first[1:])]
-    one = rows["_c1"][0].as_py() == rows["_c2"][0].as_py() and rows["_a"][0].as_py() == rows["_b"][0].as_py()
-    stored = np.arange(len(r)) if one else np.flatnonzero(right)
-    probes = np.arange(len(r)) if one else np.flatnonzero(~right)
-    forest = Forest(len(r))
-    if len(stored) and len(probes):
-        tree = PrefixTree([paths[i] for i in stored], n[stored])
-        member = np.zeros(len(token), dtype=bool)
-        for i in probes.tolist():
-            member[paths[i]] = True
-            j = stored[tree.partners(member, paths[i], int(n[i]))]
-            member[paths[i]] = False
-            forest.join(np.full(len(j), i), j)
-    root = forest.find(np.arange(len(r)))
-    tied = root != np.arange(len(r))
-    return pa.table({"a": r[tied], "b": r[root[tied]]})
+def _join_blocks(k: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        batch = rows.to_batches()[0]
+        r, n = rows["_id"].to_numpy(), rows["_n"].to_numpy()
+        right = rows["_right"].to_numpy(zero_copy_only=False)
+        parts = [shingles(part.fill_null(""), k) for _, part in unpack(batch)]
+        flat, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        # One order for all sets here, commonest first; what stands in one set alone is not shared.
+        token, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(token), dtype=np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(token))
+        numbers, common = rank[inverse], times[inverse] > 1
+        first = np.concatenate(([0], np.cumsum(length)))
+        paths = [np.sort(numbers[a:b][common[a:b]]) for a, b in zip(first[:-1], first[1:])]
+        enough = np.array([len(p) for p in paths]) >= shared_at_least(n)
+        one = rows["_c1"][0].as_py() == rows["_c2"][0].as_py() and rows["_a"][0].as_py() == rows["_b"][0].as_py()
+        stored = np.flatnonzero(enough & (one | right))
+        probes = np.flatnonzero(enough & (one | ~right))
+        forest = Forest(len(r))
+        if len(stored) and len(probes):
+            tree = PrefixTree([paths[i] for i in stored], n[stored])
+            member = np.zeros(len(token), dtype=bool)
+            for i in probes.tolist():
+                member[paths[i]] = True
+                j = stored[tree.partners(member, paths[i], int(n[i]))]
+                member[paths[i]] = False
+                forest.join(np.full(len(j), i), j)
+        root = forest.find(np.arange(len(r)))
+        tied = root != np.arange(len(r))
+        return pa.table({"a": r[tied], "b": r[root[tied]]})
+
+    return run
 
 
 def report(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:

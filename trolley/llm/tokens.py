@@ -147,8 +147,3 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     skip = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) if total else np.zeros(0, np.int64)
     return np.arange(total) + skip
 
-
-def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(counts) + 1, dtype=np.int32)
-    np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
