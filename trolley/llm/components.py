@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from .common import Stages
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, stages: Stages) -> DataFrame:
     """edges: (u, v), u > v. One large-star or small-star step."""
     near = edges.select(F.col("u").alias("n"), F.col("v").alias("w"))
     if large:
         near = near.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("w")))
     low = near.groupBy("n").agg(F.min("w").alias("m")).select("n", F.least("m", "n").alias("m"))
+    # Written first: of a join of two plain shuffles Spark can split the hot keys (centres of large stars).
+    low = stages.put(low)
     moved = near.join(low, "n").where(F.col("w") != F.col("m"))
     if large:
         moved = moved.where(F.col("w") > F.col("n")).select(F.col("w").alias("u"), F.col("m").alias("v"))
@@ -43,7 +45,7 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
     )
     mark = None
     while True:
-        now = stages.put(_star(_star(now, large=True), large=False))
+        now = stages.put(_star(stages.put(_star(now, True, stages)), False, stages))
         seen = now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))
         ).first()

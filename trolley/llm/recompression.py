@@ -207,7 +207,8 @@ def repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> DataFrame:
     further up in the same one. seg is the hash of their words.
     """
     found = segments(docs, width)
-    again = found.groupBy("_name").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_name").alias("_again"))
+    # Written first: a join of two plain shuffles is one whose hot keys Spark can split.
+    again = stages.put(found.groupBy("_name").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_name").alias("_again")))
     found = stages.put(found.join(again, F.col("_name") == F.col("_again")).drop("_again"))
     here = F.struct("_id", "_lo")
     kinds = stages.put(found.groupBy("_name", "_seg").agg(F.min(here).alias("_first"), F.first("_n").alias("_n"), F.count("*").alias("_c")))
@@ -215,7 +216,7 @@ def repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> DataFrame:
     same = (F.col("_name") == F.col("_k")) & (F.col("_seg") == F.col("_s"))
     whole = found.join(copied, same).where(here > F.col("_first")).select("_id", "_lo", "_n", "_seg")
     # One segment of each kind, of the anchors that have several kinds, window by window.
-    several = kinds.groupBy("_name").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_name").alias("_k"))
+    several = stages.put(kinds.groupBy("_name").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_name").alias("_k")))
     mixed = kinds.join(several, F.col("_name") == F.col("_k")).select(
         F.col("_first._id").alias("_at"), F.struct("_name", F.col("_first._lo").alias("lo"), F.col("_n").alias("n"), F.col("_seg").alias("seg")).alias("_part")
     )
@@ -225,7 +226,7 @@ def repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> DataFrame:
         _windows(width), "_name bigint, _seg bigint, _id bigint, _lo int"
     ))
     first = windows.groupBy("_name", "_seg").agg(F.min(here).alias("_first"), F.max(here).alias("_last")).where("_first < _last")
-    first = first.select(F.col("_name").alias("_k"), F.col("_seg").alias("_s"), "_first")
+    first = stages.put(first.select(F.col("_name").alias("_k"), F.col("_seg").alias("_s"), "_first"))
     single = windows.join(first, same).where(here > F.col("_first")).select("_id", "_lo", F.lit(1).alias("_n"), "_seg")
     cuts = whole.unionByName(single)
     return stages.put(cuts.groupBy("_id").agg(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_n").alias("n"), F.col("_seg").alias("seg"))).alias("_cuts")))
