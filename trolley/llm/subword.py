@@ -35,6 +35,8 @@ class Spec:
     min_texts: int = 5
     dim: int = 4
     epochs: int = 8
+    #: Few rows are gone through more often, until so many batches have been seen.
+    min_steps: int = 500
     rate: float = 0.5
     batch: int = 32
     #: Labelled rows of class 0 and of class 1 used for fitting, at most.
@@ -134,7 +136,8 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
     emb, g_emb = emb[seen], g_emb[seen]
     # The mean of many near-random vectors is short; a fixed gain keeps steps sensible.
     gain = np.float32(10.0)
-    for _ in range(spec.epochs):
+    steps = -(-len(bags) // spec.batch)
+    for _ in range(max(spec.epochs, -(-spec.min_steps // steps))):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), spec.batch):
             part = order[lo : lo + spec.batch]
