@@ -59,8 +59,6 @@ def test_item_index_and_training_rows(spark):
     idx = {x.item: x.idx for x in r.item_index.collect()}
     assert idx == {"b": 1, "c": 2, "a": 3}
     got = sorted((x.label, tuple(x.indices)) for x in r.training_rows.collect())
-    joined = C.training_rows(r.baskets, r.item_index, False, in_row=False)
-    assert sorted((x.label, tuple(x.indices)) for x in joined.collect()) == got
     want = sorted(
         [(3.0, (1, 2)), (1.0, (2, 3)), (2.0, (1, 3))] * 2  # two baskets a b c
         + [(3.0, (1,)), (1.0, (3,))]  # a b

@@ -13,18 +13,18 @@ from trolley.config import DEFAULT
 from trolley.plans.market_basket import BasketRun
 
 
-def brute_scores(cart, rules, p, variant, len_max=6):
+def brute_scores(cart, rules, p, variant):
     """Scores by enumeration: dict candidate -> log score (None = score 0).
 
     rules: {(a, x): confidence}; p: {x: P(x)}. ``best`` literally searches
-    every non-empty subset of the cart (carts longer than len_max: the cart).
+    every non-empty subset of the cart.
     """
     vocab = sorted({a for a, _ in rules} | {x for _, x in rules})
     out = {}
     for x in vocab:
         if x in cart:
             continue
-        if variant == "best" and len(cart) <= len_max:
+        if variant == "best":
             subsets = [c for i in range(1, len(cart) + 1) for c in combinations(cart, i)]
         else:
             subsets = [tuple(cart)]
@@ -66,78 +66,54 @@ def _model(run):
 
 
 @pytest.mark.parametrize("variant", ["classic", "subset", "best"])
-@pytest.mark.parametrize("scoring", ["vectorized", "jvm", "join"])
-def test_basket_scores_match_enumeration(spark, small, variant, scoring):
+@pytest.mark.parametrize("n", [2, 50])
+def test_recommendations_match_enumeration(spark, small, variant, n):
     baskets, run0 = small
-    run = BasketRun(spark, run0.tables, run0.cfg.with_(scoring=scoring), materialize=False)
+    run = BasketRun(spark, run0.tables, run0.cfg.with_(topn=n), materialize=False)
     rules, p = _model(run)
     got = {}
-    for r in run.basket_scores(variant).collect():
-        got.setdefault(r.receipt, {})[r.item] = r.log_score
+    for r in run.recommendations(variant).collect():
+        got.setdefault(r.receipt, {})[r.rank] = (r.item, r.log_score)
     for i, b in enumerate(baskets):
-        want = brute_scores(sorted(set(b)), rules, p, variant)
-        have = got.get(i, {})
-        assert set(have) == set(want), (i, variant)
-        for x, v in want.items():
-            assert (v is None and have[x] is None) or math.isclose(have[x], v, rel_tol=1e-9)
+        scores = brute_scores(sorted(set(b)), rules, p, variant)
+        want = brute_top(scores, n)
+        have = [got.get(i, {})[k] for k in sorted(got.get(i, {}))]
+        assert [x for x, _ in have] == want, (i, variant)
+        for x, v in have:
+            assert (v is None and scores[x] is None) or math.isclose(v, scores[x], rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("scoring", ["vectorized", "jvm", "join"])
-def test_leave_one_out_top_lists(spark, small, scoring):
-    baskets, run0 = small
-    run = BasketRun(spark, run0.tables, run0.cfg.with_(scoring=scoring), materialize=False)
-    rules, p = _model(run)
+def _loo(baskets, rules, p, n, variant="subset"):
     vocab = {a for a, _ in rules} | {x for _, x in rules}
-    got = {(r.receipt, r.label): (r.top_items, r.hit_rank) for r in run.ranked.collect()}
-    want = {}
-    for i, b in enumerate(baskets):
+    for key, b in baskets:
         b = sorted(set(b))
-        if len(b) < 2:
-            continue
         for label in b:
-            if label not in vocab:
-                continue
-            cart = [x for x in b if x != label]
-            top = brute_top(brute_scores(cart, rules, p, "subset"), 3)
-            want[(i, label)] = (top, top.index(label) + 1 if label in top else 0)
-    assert got == want
+            if label in vocab and len(b) > 1:
+                top = brute_top(brute_scores([x for x in b if x != label], rules, p, variant), n)
+                yield key, label, top, top.index(label) + 1 if label in top else 0
 
 
 @pytest.mark.parametrize("subset", [True, False])
-def test_scorers_agree_on_fixture(spark, subset):
-    key = ["register", "receipt", "label"]
-    got = []
-    for scoring in ("vectorized", "jvm", "join"):
-        r = Q.run(spark, SF_SMALL, DEFAULT.with_(scoring=scoring, subset=subset))
-        got.append({tuple(x[k] for k in key): (x.top_items, x.hit_rank) for x in r.ranked.collect()})
-    assert got[0] == got[1] == got[2]
-    assert len(got[0]) > 0
-
-
-def test_auto_scorer_choice(spark, small):
-    _, run0 = small
-    # the default bound (6 / 0.15 frequent items) is within the limit: in-row
-    assert BasketRun(spark, run0.tables, run0.cfg, materialize=False).scorer == "vectorized"
-    # no proven bound and a counted vocabulary above the limit: joins
-    cfg = run0.cfg.with_(cartsize_max=None, max_inrow_vocabulary=2)
-    run = BasketRun(spark, run0.tables, cfg, materialize=False)
-    assert run.scorer == "join"
-    assert run.max_cart == 4
-
-
-@pytest.mark.parametrize("variant", ["classic", "best"])
-def test_join_loo_matches_vectorized(spark, small, variant):
-    from trolley.operators import nb_join as J
-    from trolley.operators import nb_vectorized as V
-
-    _, run0 = small
-    run = BasketRun(spark, run0.tables, run0.cfg, materialize=False)
-    a = J.ranked_samples(run.baskets, run.rules, run.rule_items, run.log_prob, run.max_cart, run.cfg, variant)
-    b = V.ranked_samples(run.baskets, run.model, run.cfg, variant)
-    key = ["register", "receipt", "label"]
-    ra = {tuple(r[k] for k in key): (r.top_items, r.hit_rank) for r in a.collect()}
-    rb = {tuple(r[k] for k in key): (r.top_items, r.hit_rank) for r in b.collect()}
-    assert ra == rb
+def test_leave_one_out_top_lists(spark, small, subset):
+    baskets, run0 = small
+    run = BasketRun(spark, run0.tables, run0.cfg.with_(subset=subset), materialize=False)
+    rules, p = _model(run)
+    got = sorted((r.receipt, r.label, r.top_items, r.hit_rank) for r in run.ranked.collect())
+    assert got == sorted(_loo(enumerate(baskets), rules, p, 3, "subset" if subset else "classic"))
+
+
+def test_distinct_baskets_null_registers_and_large_ids(spark, small):
+    baskets, run0 = small
+    big = 2**53 + 1
+    lines = [(None if i % 2 else 1, big + i, x, 1.0) for i, b in enumerate(baskets + baskets[:3]) for x in b]
+    run = BasketRun(spark, tables(spark, lines), run0.cfg, materialize=False)
+    rules, p = _model(run)
+    got = sorted((r.receipt - big, r.label, r.top_items, r.hit_rank) for r in run.ranked.collect())
+    assert got == sorted(_loo(enumerate(baskets + baskets[:3]), rules, p, 3))
+    distinct = BasketRun(spark, tables(spark, lines), run0.cfg.with_(unique=True), materialize=False)
+    rules, p = _model(distinct)
+    got = sorted((r.label, r.top_items, r.hit_rank) for r in distinct.ranked.collect())
+    assert got == sorted(t[1:] for t in _loo(enumerate(baskets), rules, p, 3))
 
 
 def test_evaluation_identities(spark):
@@ -152,29 +128,8 @@ def test_evaluation_identities(spark):
     assert all(c.tp + c.tn + c.fp + c.fn == o.n for c in conf)
 
 
-def test_subset_variant_extends_classic(spark):
-    run = Q.run(spark, SF_SMALL)
-    classic = {(r.register, r.receipt, r.item): r.log_score for r in run.basket_scores("classic").collect()}
-    subset = {(r.register, r.receipt, r.item): r.log_score for r in run.basket_scores("subset").collect()}
-    best = {(r.register, r.receipt, r.item): r.log_score for r in run.basket_scores("best").collect()}
-    for k, v in subset.items():
-        if v is None:
-            assert k not in classic
-        else:
-            assert math.isclose(classic[k], v, rel_tol=1e-12)
-            assert best[k] >= v - 1e-12
-
-
 def test_zero_sized_evaluation(spark):
     t = tables(spark, [(1, 1, "a", 1.0)])
     run = BasketRun(spark, t, DEFAULT.with_(taxo=False, cartsize_min=1), materialize=False)
     o = run.eval_overall.first()
     assert (o.n, o.tp, o.accuracy, o.mae) == (0, 0, 0.0, 0.0)
-
-
-def test_lookup_folds_into_scoring_projection(spark, small):
-    _, run0 = small
-    run = BasketRun(spark, run0.tables, run0.cfg.with_(scoring="jvm"), materialize=False)
-    plan = run.ranked._jdf.queryExecution().optimizedPlan().toString()
-    # the lookup struct is never a column of its own: no per-row copy
-    assert "_rule_lookup" not in plan

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 REGISTER_CHOICES = ("all", "shop", "espresso", "shop1", "shop2")
-SCORERS = ("auto", "vectorized", "jvm", "join")
 
 
 @dataclass(frozen=True)
@@ -35,7 +34,7 @@ class BasketConfig:
     timerange: tuple[str, str] | None = None
     # Item removed from every basket before sizing (off by default).
     drop_item: str | None = None
-    # Subsets are enumerated for baskets of at most this many items.
+    # basket_subsets enumerates baskets of at most this many items (the whole-cart rule).
     subset_len_max: int = 6
     # Category given to items missing from the taxonomy.
     unknown_category: str = "0000"
@@ -43,15 +42,6 @@ class BasketConfig:
     interaction_list_max: int = 100
     # Rows shown by the table preview.
     preview_rows: int = 200
-    # Largest rule vocabulary scored in-row: the rule matrix shipped to every
-    # task has vocabulary^2 cells (1000 -> 8 MB). Beyond it, "auto" scoring
-    # switches to joins. Results are the same either way.
-    max_inrow_vocabulary: int = 1000
-    # Cart scorer: "auto" (in-row when the vocabulary is within
-    # max_inrow_vocabulary, by proof or by count, else "join"), "vectorized"
-    # (numpy over Arrow batches), "jvm" (higher-order functions only) or
-    # "join" (joins and grouped sums, no matrix). Same results.
-    scoring: str = "auto"
 
     def __post_init__(self) -> None:
         if self.register not in REGISTER_CHOICES:
@@ -62,8 +52,6 @@ class BasketConfig:
             raise ValueError("cartsize_max must be >= cartsize_min")
         if self.topn < 1:
             raise ValueError("topn must be positive")
-        if self.scoring not in SCORERS:
-            raise ValueError(f"scoring must be one of {SCORERS}")
         if self.smooth_k < 0:
             raise ValueError("smooth_k must be >= 0")
 

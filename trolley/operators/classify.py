@@ -12,11 +12,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorIndexer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .recommend import with_lookup
-
 SPLIT_WEIGHTS = (0.8, 0.2)
 SPLIT_SEED = 12345
 RF_TREES = 10
@@ -41,13 +39,6 @@ def item_index(frequent: DataFrame) -> DataFrame:
     )
 
 
-def index_order(index: DataFrame) -> Column:
-    """Scalar subquery: the frequent items in index order (array position = idx)."""
-    return index.select(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda s: s["item"])
-    ).scalar()
-
-
 def _rows_from_indices(fidx: DataFrame, unique: bool) -> DataFrame:
     rows = fidx.select("fidx", F.posexplode("fidx").alias("pos", "label_idx")).select(
         F.col("label_idx").cast("double").alias("label"),
@@ -57,37 +48,21 @@ def _rows_from_indices(fidx: DataFrame, unique: bool) -> DataFrame:
     return rows.distinct() if unique else rows
 
 
-def training_rows(
-    baskets: DataFrame, index: DataFrame, unique: bool = False, in_row: bool = True
-) -> DataFrame:
+def training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
     """(label DOUBLE, indices ARRAY<INT>): one row per frequent item of a basket.
 
-    ``in_row``: basket items are mapped to indices inside the row against the
-    index order, a scalar bound once — for an index with a proven size bound.
-    Otherwise the basket items are joined to the index and regrouped per
-    basket (key: register, receipt and the item set, which also tells
-    distinct baskets apart). Labels are then exploded, rows with no other
-    frequent item dropped; ``unique`` keeps distinct rows.
+    Basket items are joined to the index and regrouped per basket (key:
+    register, receipt and the item set, which also tells distinct baskets
+    apart). Labels are then exploded, rows with no other frequent item
+    dropped; ``unique`` keeps distinct rows.
     """
-    if in_row:
-        order = index_order(index)
-        fidx = with_lookup(
-            baskets,
-            order,
-            ["items"],
-            "fidx",
-            lambda o: F.array_sort(
-                F.filter(F.transform("items", lambda x: F.array_position(o, x).cast("int")), lambda i: i > 0)
-            ),
-        )
-    else:
-        keys = ["register", "receipt", "items"]
-        fidx = (
-            baskets.select(*keys, F.explode("items").alias("item"))
-            .join(index.select("item", "idx"), "item")
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list("idx")).alias("fidx"))
-        )
+    keys = ["register", "receipt", "items"]
+    fidx = (
+        baskets.select(*keys, F.explode("items").alias("item"))
+        .join(index.select("item", "idx"), "item")
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list("idx")).alias("fidx"))
+    )
     return _rows_from_indices(fidx, unique)
 
 

@@ -5,21 +5,16 @@ the rest of the basket (items outside the vocabulary included) is the cart
 and must not be empty. The recommender ranks candidates for the cart; a hit
 is the label appearing in the top n.
 
-All samples of a basket are built and ranked inside the basket's row, so the
-ranked table comes from one narrow pass over the baskets; the statistics are
-grouped aggregates over it (map-side partial counts, one row per label after
-the shuffle). No per-item jobs, no collect.
+The lists come from ``recommend.ranked_samples``; the statistics are grouped
+aggregates over them (map-side partial counts, one row per label after the
+shuffle). No per-item jobs, no collect.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BasketConfig
-from pyspark.sql import Column
-
-from .recommend import scored_candidates, top_n, variant_of, with_lookup
 
 
 def loo_positions(baskets: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -48,41 +43,6 @@ def leave_one_out(baskets: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-def ranked_samples(
-    baskets: DataFrame,
-    vocab: DataFrame,
-    lookup: Column,
-    cfg: BasketConfig,
-    variant: str | None = None,
-) -> DataFrame:
-    """(register, receipt, label, top_items, top_logs, hit_rank).
-
-    The top lists hold at most topn candidates in rank order; hit_rank is the
-    label's 1-based position in them, 0 when missing. The cart is cut
-    out of the basket inside the scoring expression, so the projection that
-    attaches the lookup holds plain columns only and folds into the scoring
-    projection.
-    """
-    v = variant or variant_of(cfg)
-    samples = loo_positions(baskets, vocab)
-    keep = ["register", "receipt", "label", "items", "pos"]
-    ranked = with_lookup(
-        samples,
-        lookup,
-        keep,
-        "top",
-        lambda l: top_n(scored_candidates(cart_of(), l, cfg, v), cfg.topn),
-    )
-    return ranked.select(
-        "register",
-        "receipt",
-        "label",
-        F.col("top.item").alias("top_items"),
-        F.col("top.log_score").alias("top_logs"),
-        F.array_position(F.col("top.item"), F.col("label")).cast("int").alias("hit_rank"),
-    )
-
-
 def topn_recs(ranked: DataFrame) -> DataFrame:
     """Long form: (register, receipt, label, rank, item, log_score)."""
     z = F.arrays_zip(F.col("top_items").alias("item"), F.col("top_logs").alias("log_score"))

@@ -1,12 +1,6 @@
 """Item and pair counts, smoothed probabilities and association rules.
 
-Size bound used for broadcasts: with N baskets of at most ``cartsize_max``
-items, the item counts add up to at most N * cartsize_max, and a frequent item
-has a count above ``support_item`` * N, so there are fewer than
-cartsize_max / support_item frequent items (600 with the defaults). Tables
-keyed by frequent items (their probabilities, the rules) are therefore
-broadcast only when that bound exists; otherwise the join is left to Spark's
-own size check.
+Joins carry no hints: Spark picks their strategy from the sizes it measures.
 """
 
 from __future__ import annotations
@@ -18,25 +12,13 @@ from ..config import BasketConfig
 from ..functions.arrays import chunk_pairs, ordered_pairs, subsets
 
 
-def frequent_bound(cfg: BasketConfig) -> int | None:
-    """Upper bound on the number of frequent items, or None when unbounded."""
-    if cfg.support_item > 0 and cfg.cartsize_max is not None:
-        return int(cfg.cartsize_max / cfg.support_item) + 1
-    return None
-
-
-def bounded_broadcast(df: DataFrame, cfg: BasketConfig) -> DataFrame:
-    """Broadcast a table keyed by frequent items only when their count is bounded."""
-    return F.broadcast(df) if frequent_bound(cfg) is not None else df
-
-
 def basket_count(baskets: DataFrame) -> Column:
     """N, the number of baskets, as a scalar subquery."""
     return baskets.select(F.count("*")).scalar()
 
 
 def item_freq(baskets: DataFrame) -> DataFrame:
-    """Baskets holding each item; most frequent first."""
+    """Baskets holding each item, in no order."""
     return (
         baskets.select(F.explode("items").alias("item"))
         .groupBy("item")
@@ -118,8 +100,8 @@ def pair_freq(
         p = p.unionByName(q)
     pairs = p.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     if cfg.support_item > 0:
-        fa = bounded_broadcast(frequent.select(F.col("item").alias("a")), cfg)
-        fb = bounded_broadcast(frequent.select(F.col("item").alias("b")), cfg)
+        fa = frequent.select(F.col("item").alias("a"))
+        fb = frequent.select(F.col("item").alias("b"))
         pairs = pairs.join(fa, "a", "left_semi").join(fb, "b", "left_semi")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("freq"))
 
@@ -156,9 +138,9 @@ def association_rules(
 
     Each pair gives two rows. For row (x, y): confidence = P(xy) / P(y) and
     lift = confidence / P(x), so lift is the same both ways. Strict lift and
-    confidence thresholds, ordered by (confidence, lift) descending.
+    confidence thresholds, in no order.
     """
-    probs = bounded_broadcast(frequent_prob.select("item", "prob"), cfg)
+    probs = frequent_prob.select("item", "prob")
     pa = probs.select(F.col("item").alias("a"), F.col("prob").alias("pa"))
     pb = probs.select(F.col("item").alias("b"), F.col("prob").alias("pb"))
     j = pair_prob.join(pa, "a").join(pb, "b")

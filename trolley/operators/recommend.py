@@ -1,4 +1,4 @@
-"""Naive Bayes recommendations: score items missing from a basket.
+"""Naive Bayes recommendations: score items missing from a basket, by joins.
 
 score(X | cart) = P(X) * prod over cart items A with a rule (A, X) of
 P(A given X). Ranking uses logs: ln P(X) + sum ln conf(A, X), rounded to 9
@@ -9,214 +9,157 @@ Three variants:
   subset   — as the job wrote it: such X is listed with score 0 (null log);
   best     — the best non-empty subset of the cart: all factors above 1, or
              the single largest factor when none is (a closed form of the
-             subset search); carts longer than ``subset_len_max`` fall back
-             to "subset".
-
-Plan: the rule vocabulary V (sorted), ln P(X) aligned with V and the matrix
-ln conf[a][x] form one struct built by scalar subqueries over the rules. Its
-size is bounded by the square of the number of frequent items (see
-:mod:`trolley.operators.mining`); Spark evaluates each subquery once and ships
-the value with the stage's task binary. Every cart is then scored inside its
-own row by higher-order functions: no join, no shuffle, work linear in the
-number of carts.
-
-The struct is attached as one column and read through exactly one reference
-(``transform(array(L), l -> ...)``), so Catalyst folds it into the scoring
-projection instead of copying it into every row.
+             subset search, exact for carts of any length).
+
+Plan: every basket is taken once. Its items meet the rules on the evidence
+item; the terms of one basket go to one place (its id is the only key that all
+later steps need) and are summed per candidate. A held-out label's score is the
+basket's sum without the label's own term, so leave-one-out needs no second
+pass over the terms. A ``row_number() <= n`` window keeps the best n. No table
+is hinted, collected or shipped whole: Spark sizes the joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BasketConfig
 
-INF = float("inf")
-LOOKUP_COL = "_rule_lookup"
+VARIANTS = ("classic", "subset", "best")
 
 
-def _positions(n: int) -> Column:
-    if n <= 0:
-        return F.array().cast("array<int>")
-    return F.sequence(F.lit(0), F.lit(n - 1))
+def variant_of(cfg: BasketConfig) -> str:
+    return "subset" if cfg.subset else "classic"
 
 
-def vocabulary(rules: DataFrame) -> DataFrame:
-    """(item, idx): rule items with their 0-based position in sorted order.
+def with_id(baskets: DataFrame) -> DataFrame:
+    """baskets with basket_id, a key that is never null.
 
-    One ordered window over at most F items (the frequent-item bound).
+    The receipt's keys as text (a null register is left out of it), or the
+    items themselves where distinct baskets have no receipt.
     """
-    items = (
-        rules.select(F.col("a").alias("item"))
-        .union(rules.select(F.col("b").alias("item")))
-        .distinct()
-    )
-    return items.withColumn("idx", (F.row_number().over(Window.orderBy("item")) - 1).cast("int"))
-
+    no_receipt = F.col("register").isNull() & F.col("receipt").isNull()
+    key = F.when(no_receipt, F.to_json("items")).otherwise(F.to_json(F.struct("register", "receipt")))
+    return baskets.withColumn("basket_id", key)
 
-def rule_lookup(
-    rules: DataFrame, item_freq: DataFrame, n_baskets: Column, n_vocab: int
-) -> Column:
-    """struct<vocab, lnp, lnconf> as one column of scalar subqueries.
 
-    ``n_vocab`` is the checked vocabulary size (rule items).
-    """
-    voc = F.broadcast(vocabulary(rules))
-    vocab = voc.select(F.array_sort(F.collect_list("item"))).scalar()
-    lnp = (
-        voc.join(item_freq, "item")
-        .select(F.struct("idx", F.ln(F.col("freq") / n_baskets).alias("lnp")).alias("s"))
-        .select(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["lnp"]))
-        .scalar()
-    )
-    pos = _positions(n_vocab)
-    cells = (
-        rules.join(voc.select(F.col("item").alias("a"), F.col("idx").alias("ai")), "a")
-        .join(voc.select(F.col("item").alias("b"), F.col("idx").alias("bi")), "b")
-        .select("ai", "bi", F.ln("confidence").alias("l"))
-    )
-    rows = cells.groupBy("ai").agg(
-        F.map_from_entries(F.collect_list(F.struct("bi", "l"))).alias("m")
-    )
-    rows = rows.select(
-        F.struct("ai", F.transform(pos, lambda x: F.try_element_at("m", x)).alias("row")).alias("r")
-    )
-    matrix = (
-        rows.select(F.map_from_entries(F.collect_list("r")).alias("mm"))
-        .select(F.transform(pos, lambda i: F.try_element_at("mm", i)))
-        .scalar()
-    )
-    return F.struct(vocab.alias("vocab"), lnp.alias("lnp"), matrix.alias("lnconf"))
+def log_prob(rule_items: DataFrame, item_freq: DataFrame, n_baskets: Column) -> DataFrame:
+    """(x, lnp): ln P(X) of the rule vocabulary (raw frequency)."""
+    return rule_items.join(item_freq, "item").select(F.col("item").alias("x"), F.ln(F.col("freq") / n_baskets).alias("lnp"))
 
 
-def with_lookup(
-    df: DataFrame, lookup: Column, keep: list[str], name: str, fn: Callable[[Column], Column]
-) -> DataFrame:
-    """Add column ``name`` = fn(l), where l is the lookup struct, bound once."""
-    attached = df.select(*keep, lookup.alias(LOOKUP_COL))
-    return attached.select(
-        *keep, F.transform(F.array(LOOKUP_COL), fn).getItem(0).alias(name)
-    )
+def weighted_rules(rules: DataFrame, lnp: DataFrame) -> DataFrame:
+    """(a, x, l, lnp): evidence item, candidate, ln confidence, ln P(candidate)."""
+    return rules.select("a", F.col("b").alias("x"), F.ln("confidence").alias("l")).join(lnp, "x")
 
 
-def vocab_index(vocab: Column, item: Column) -> Column:
-    """0-based position of item in the sorted vocabulary, -1 when absent."""
-    return (F.array_position(vocab, item) - 1).cast("int")
+def candidate_terms(baskets: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(basket_id, x, own, lnp, parts): a basket's candidates with their terms.
 
+    parts maps each evidence item to ln confidence (as many as the basket has
+    items at most); own marks candidates that are items of the basket, which
+    count only while they are held out.
+    """
+    evidence = baskets.select("basket_id", "items", F.explode("items").alias("a"))
+    terms = evidence.join(weighted, "a").select(
+        "basket_id", "x", F.array_contains("items", F.col("x")).alias("own"), "lnp", F.struct("a", "l").alias("part")
+    )
+    # All that follows is per basket: one shuffle serves the sums, the labels and the ranking.
+    return (
+        terms.repartition("basket_id")
+        .groupBy("basket_id", "x", "own", "lnp")
+        .agg(F.map_from_entries(F.collect_list("part")).alias("parts"))
+    )
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (no CSE inside lambdas)."""
-    return F.transform(F.array(value), body).getItem(0)
 
+def log_score(parts: Column, lnp: Column, variant: str) -> Column:
+    """Log score of a candidate from its terms; null without any."""
+    terms = F.array_sort(F.map_values(parts))
+    positive = F.filter(terms, lambda v: v > 0)
 
-def scored_candidates(cart: Column, l: Column, cfg: BasketConfig, variant: str) -> Column:
-    """array<struct<k, item, log_score>> for every candidate X not in the cart.
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
-    ``l`` is the lookup struct. ``k`` is the sort key: -round(log_score, 9),
-    +inf for a null score, so an ascending sort of the structs gives score
-    desc, nulls last, item asc. Work per cart: |V| candidates times the cart
-    items that are in V.
-    """
-    vocab, lnp, lnconf = l["vocab"], l["lnp"], l["lnconf"]
-    n = F.size(vocab)
-    all_pos = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def total(base: Column, t: Column) -> Column:
-        return base + F.aggregate(t, F.lit(0.0), lambda acc, v: acc + v)
-
-    def log_score(s: Column, cart_size: Column) -> Column:
-        t = s["t"]
-        base = lnp[s["x"]]
-        plain = F.when(F.size(t) > 0, total(base, t))
-        if variant in ("classic", "subset"):
-            return plain
-        if variant == "best":
-            pos = F.filter(t, lambda v: v > 0)
-            best = F.when(F.size(pos) > 0, total(base, pos)).when(
-                F.size(t) > 0, base + F.array_max(t)
-            )
-            return F.when(cart_size <= cfg.subset_len_max, best).otherwise(plain)
+    if variant == "best":
+        best = F.when(F.size(positive) > 0, total(positive)).otherwise(F.array_max(terms))
+    elif variant in VARIANTS:
+        best = total(terms)
+    else:
         raise ValueError(f"unknown variant {variant}")
+    return F.when(F.size(terms) > 0, lnp + best)
 
-    def body(c: Column) -> Column:
-        idx = c["idx"]
-        cands = F.filter(all_pos, lambda x: ~F.array_contains(idx, x))
-        with_terms = F.transform(
-            cands,
-            lambda x: F.struct(
-                x.alias("x"),
-                F.filter(F.transform(idx, lambda a: lnconf[a][x]), lambda t: t.isNotNull()).alias("t"),
-            ),
-        )
-        logs = F.transform(
-            with_terms,
-            lambda s: F.struct(s["x"].alias("x"), log_score(s, c["size"]).alias("log_score")),
-        )
-        if variant == "classic":
-            logs = F.filter(logs, lambda s: s["log_score"].isNotNull())
-        return F.transform(
-            logs,
-            lambda s: F.struct(
-                F.coalesce(-F.round(s["log_score"], 9), F.lit(INF)).alias("k"),
-                vocab[s["x"]].alias("item"),
-                s["log_score"].alias("log_score"),
-            ),
-        )
-
-    return let(
-        cart,
-        lambda ct: let(
-            F.struct(
-                F.filter(F.transform(ct, lambda x: vocab_index(vocab, x)), lambda i: i >= 0).alias("idx"),
-                F.size(ct).alias("size"),
-            ),
-            body,
-        ),
-    )
 
+def top_lists(scores: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys..., top_items, top_logs): best n scored candidates of each key."""
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.round("log_score", 9)), F.col("x"))
+    best = scores.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    lists = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "x", "log_score"))).alias("t"))
+    return lists.select(*keys, F.col("t.x").alias("top_items"), F.col("t.log_score").alias("top_logs"))
 
-def top_n(cands: Column, n: int) -> Column:
-    """Best n candidates, in rank order."""
-    return F.slice(F.array_sort(cands), 1, n)
 
+def vocabulary_head(rule_items: DataFrame, length: int) -> Column:
+    """The first ``length`` vocabulary items in order, as one array value."""
+    head = rule_items.orderBy("item").limit(max(1, int(length)))
+    return head.agg(F.array_sort(F.collect_list("item"))).scalar()
 
-def variant_of(cfg: BasketConfig) -> str:
-    return "subset" if cfg.subset else "classic"
 
+def listed(keyed: DataFrame, keys: list[str], tops: DataFrame, rule_items: DataFrame, variant: str, n: int) -> DataFrame:
+    """keyed (keys, cart, others) with top_items and top_logs.
 
-def basket_scores(
-    baskets: DataFrame, lookup: Column, cfg: BasketConfig, variant: str
-) -> DataFrame:
-    """Every candidate of every basket: (register, receipt, item, log_score)."""
-    keys = ["register", "receipt", "items"]
-    scored = with_lookup(
-        baskets, lookup, keys, "c", lambda l: scored_candidates(F.col("items"), l, cfg, variant)
-    )
-    return scored.select("register", "receipt", F.explode("c").alias("c")).select(
-        "register",
-        "receipt",
-        F.col("c.item").alias("item"),
-        F.col("c.log_score").alias("log_score"),
+    For "subset" and "best" a list shorter than n goes on with vocabulary items
+    without a rule (null log), in order. Such a list holds every scored
+    candidate, so the first 2n + |cart| vocabulary items hold all that can
+    follow; |cart| is measured here, on the table itself.
+    """
+    j = keyed.join(tops, keys, "left")
+    items = F.coalesce("top_items", F.array().cast("array<string>"))
+    logs = F.coalesce("top_logs", F.array().cast("array<double>"))
+    if variant != "classic":
+        longest = int(keyed.agg(F.max(F.size("cart"))).first()[0] or 0)
+        # A subquery cannot sit inside a lambda: attach it as a column first.
+        j = j.withColumn("_head", vocabulary_head(rule_items, 2 * n + longest))
+        free = F.filter("_head", lambda v: ~F.array_contains("cart", v) & ~F.array_contains(items, v))
+        short = F.greatest(F.lit(n) - F.size(items), F.lit(0))
+        more = F.when(short > 0, F.slice(free, 1, short)).otherwise(F.array().cast("array<string>"))
+        items, logs = F.concat(items, more), F.concat(logs, F.transform(more, lambda v: F.lit(None).cast("double")))
+    others = [c for c in keyed.columns if c != "cart"]
+    return j.select(*others, items.alias("top_items"), logs.alias("top_logs"))
+
+
+def recommend(baskets: DataFrame, rules: DataFrame, rule_items: DataFrame, lnp: DataFrame, variant: str, n: int) -> DataFrame:
+    """(register, receipt, rank, item, log_score): the n best items that each basket lacks."""
+    b = with_id(baskets)
+    terms = candidate_terms(b, weighted_rules(rules, lnp)).where(~F.col("own"))
+    scores = terms.select("basket_id", "x", log_score(F.col("parts"), F.col("lnp"), variant).alias("log_score"))
+    keyed = b.select("basket_id", "register", "receipt", F.col("items").alias("cart"))
+    found = listed(keyed, ["basket_id"], top_lists(scores, ["basket_id"], n), rule_items, variant, n)
+    z = F.arrays_zip(F.col("top_items").alias("item"), F.col("top_logs").alias("log_score"))
+    return found.select("register", "receipt", F.posexplode(z).alias("pos", "c")).select(
+        "register", "receipt", (F.col("pos") + 1).alias("rank"), F.col("c.item").alias("item"), F.col("c.log_score").alias("log_score")
     )
 
 
-def basket_topn(baskets: DataFrame, lookup: Column, cfg: BasketConfig) -> DataFrame:
-    """Top-n list of each basket with the configured variant (long form)."""
-    keys = ["register", "receipt", "items"]
-    ranked = with_lookup(
-        baskets,
-        lookup,
-        keys,
-        "top",
-        lambda l: top_n(scored_candidates(F.col("items"), l, cfg, variant_of(cfg)), cfg.topn),
-    )
-    return ranked.select("register", "receipt", F.posexplode("top").alias("pos", "c")).select(
-        "register",
-        "receipt",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("c.item").alias("item"),
-        F.col("c.log_score").alias("log_score"),
+def ranked_samples(baskets: DataFrame, rules: DataFrame, rule_items: DataFrame, lnp: DataFrame, variant: str, n: int) -> DataFrame:
+    """(register, receipt, label, top_items, top_logs, hit_rank) of every leave-one-out sample.
+
+    A sample is a basket of two items or more without one of its vocabulary
+    items, the label. hit_rank is the label's place in the list, 0 if missing.
+    """
+    b = with_id(baskets.where(F.size("items") > 1))
+    samples = (
+        b.select("basket_id", "register", "receipt", "items", F.explode("items").alias("label"))
+        .join(rule_items.select(F.col("item").alias("label")), "label", "left_semi")
+        .select("basket_id", "label", "register", "receipt", F.filter("items", lambda v: v != F.col("label")).alias("cart"))
     )
+    terms = candidate_terms(b, weighted_rules(rules, lnp))
+    held = terms.join(samples.select("basket_id", "label"), "basket_id")
+    # An item of the basket is a candidate only as the label held out.
+    held = held.where(~F.col("own") | (F.col("x") == F.col("label")))
+    rest = F.map_filter("parts", lambda a, l: a != F.col("label"))
+    scores = held.select("basket_id", "label", "x", log_score(rest, F.col("lnp"), variant).alias("log_score"))
+    keys = ["basket_id", "label"]
+    scores = scores.where(F.col("log_score").isNotNull())
+    found = listed(samples, keys, top_lists(scores, keys, n), rule_items, variant, n)
+    hit = F.coalesce(F.array_position("top_items", F.col("label")), F.lit(0)).cast("int")
+    return found.select("register", "receipt", "label", "top_items", "top_logs", hit.alias("hit_rank"))

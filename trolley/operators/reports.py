@@ -75,7 +75,7 @@ def item_freq_since(
     counts = timed.groupBy("item").agg(F.count("*").alias("freq_all"), *cuts)
     cols = ["freq_all"] + [f"fs_{y}" for y in years]
     return catalog_distinct(catalog).join(counts, "item", "left").select(
-        *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in cols],
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in cols],
         "item",
         "name",
         "descr",

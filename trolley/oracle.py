@@ -113,6 +113,15 @@ def mining_ctes(cfg: BasketConfig = DEFAULT) -> list[str]:
     """Adds n_baskets, item_freq, frequent, pair_freq, item/pair probabilities, rules."""
     k = _d(cfg.smooth_k)
     ctes = basket_ctes(cfg)
+    if cfg.unique:
+        # Distinct item sets, numbered so that the later joins have a key.
+        ctes[-2:] = [ctes[-2].replace("bitems AS", "all_items AS", 1), ctes[-1].replace("baskets AS", "all_baskets AS", 1).replace("FROM bitems", "FROM all_items")]
+        ctes.append(
+            """baskets AS (
+  SELECT 1 AS register, row_number() OVER (ORDER BY items) AS receipt, items, size
+  FROM (SELECT DISTINCT items, size FROM all_baskets))"""
+        )
+        ctes.append("bitems AS (SELECT register, receipt, unnest(items) AS item, size FROM baskets)")
     ctes.append("nb AS (SELECT count(*) AS n FROM baskets)")
     ctes.append("item_freq AS (SELECT item, count(*) AS freq FROM bitems GROUP BY item)")
     ctes.append(
@@ -152,6 +161,3 @@ def mining_ctes(cfg: BasketConfig = DEFAULT) -> list[str]:
     ctes.append("rule_items AS (SELECT a AS item FROM rules UNION SELECT b FROM rules)")
     return ctes
 
-
-def r6(expr: str) -> str:
-    return f"round({expr}, 6)"

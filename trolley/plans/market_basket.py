@@ -20,8 +20,6 @@ from ..operators import baskets as B
 from ..operators import classify as C
 from ..operators import evaluate as E
 from ..operators import mining as M
-from ..operators import nb_join as J
-from ..operators import nb_vectorized as V
 from ..operators import recommend as R
 from ..operators import reports as P
 from ..sources import files as S
@@ -120,99 +118,25 @@ class BasketRun:
 
     # -- recommendations and their evaluation
 
-    @cached_property
-    def lookup(self) -> Column:
-        return R.rule_lookup(self.rules, self.item_freq, self.n_baskets, self.vocabulary_size)
-
-    @cached_property
-    def vocabulary_size(self) -> int:
-        """Rule vocabulary size; checked before scoring inside rows."""
-        return self.rule_items.count()
-
-    @cached_property
-    def model(self) -> V.Model:
-        """The lookup evaluated once into numpy arrays (bounded, see _check_vocabulary)."""
-        return V.model_from_tables(self.rules, self.log_prob)
-
-    @cached_property
-    def scoring_baskets(self) -> DataFrame:
-        """Baskets spread over at least the default parallelism.
-
-        Scoring is CPU work per row; a small stage table can be a single
-        file, so it is spread out. A large table already has enough
-        partitions and is left as it is (no shuffle).
-        """
-        b = self.baskets
-        want = self.spark.sparkContext.defaultParallelism
-        if b.rdd.getNumPartitions() < want:
-            b = b.repartition(want)
-        return b
-
-    @cached_property
-    def scorer(self) -> str:
-        """The scorer that runs: the configured one, or the choice of "auto".
-
-        In-row scoring ships the |V|^2 rule matrix to every task, so "auto"
-        takes it only when the vocabulary is within max_inrow_vocabulary —
-        proven from the configuration (frequent-item bound) or else counted;
-        beyond that it scores with joins.
-        """
-        if self.cfg.scoring != "auto":
-            if self.cfg.scoring in ("vectorized", "jvm"):
-                self._check_vocabulary()
-            return self.cfg.scoring
-        limit = self.cfg.max_inrow_vocabulary
-        bound = M.frequent_bound(self.cfg)
-        if bound is not None and bound <= limit:
-            return "vectorized"
-        return "vectorized" if self.vocabulary_size <= limit else "join"
-
     @cached_property
     def log_prob(self) -> DataFrame:
-        return J.log_prob(self.rule_items, self.item_freq, self.n_baskets)
+        return R.log_prob(self.rule_items, self.item_freq, self.n_baskets)
 
-    @cached_property
-    def max_cart(self) -> int:
-        """Longest basket: the size cap, or measured when there is none."""
-        if self.cfg.cartsize_max is not None:
-            return self.cfg.cartsize_max
-        return int(self.baskets.agg(F.max("size")).first()[0] or 0)
-
-    def basket_scores(self, variant: str) -> DataFrame:
-        if self.scorer == "join":
-            return J.basket_scores(
-                self.baskets, self.rules, self.rule_items, self.log_prob, self.cfg, variant
-            )
-        if self.scorer == "jvm":
-            return R.basket_scores(self.scoring_baskets, self.lookup, self.cfg, variant)
-        return V.basket_scores(self.scoring_baskets, self.model, self.cfg, variant)
+    def recommendations(self, variant: str | None = None) -> DataFrame:
+        """(register, receipt, rank, item, log_score): the top n of every basket."""
+        return R.recommend(
+            self.baskets, self.rules, self.rule_items, self.log_prob, variant or R.variant_of(self.cfg), self.cfg.topn
+        )
 
     @cached_property
     def ranked(self) -> DataFrame:
         """Leave-one-out samples with their top-n lists (stage table)."""
-        variant = R.variant_of(self.cfg)
-        if self.scorer == "join":
-            df = J.ranked_samples(
-                self.baskets, self.rules, self.rule_items, self.log_prob, self.max_cart,
-                self.cfg, variant,
-            )
-        elif self.scorer == "jvm":
-            df = E.ranked_samples(self.scoring_baskets, self.rule_items, self.lookup, self.cfg, variant)
-        else:
-            df = V.ranked_samples(self.scoring_baskets, self.model, self.cfg, variant)
-        return self._stage("ranked", df)
-
-    def _check_vocabulary(self) -> None:
-        n = self.vocabulary_size
-        if n > self.cfg.max_inrow_vocabulary:
-            # Still exact, only heavier: the matrix grows as n^2.
-            import warnings
-
-            warnings.warn(
-                f"rule vocabulary of {n} items exceeds max_inrow_vocabulary="
-                f"{self.cfg.max_inrow_vocabulary}; the in-row matrix is {n * n} cells; "
-                "scoring='auto' or 'join' avoids it"
-            )
+        return self._stage(
+            "ranked",
+            R.ranked_samples(
+                self.baskets, self.rules, self.rule_items, self.log_prob, R.variant_of(self.cfg), self.cfg.topn
+            ),
+        )
 
     @cached_property
     def topn_recs(self) -> DataFrame:
@@ -243,9 +167,7 @@ class BasketRun:
     @cached_property
     def training_rows(self) -> DataFrame:
         """(label, indices) — see operators.classify.training_rows."""
-        bound = M.frequent_bound(self.cfg)
-        in_row = bound is not None and bound <= self.cfg.max_inrow_vocabulary
-        return C.training_rows(self.baskets, self.item_index, self.cfg.unique, in_row)
+        return C.training_rows(self.baskets, self.item_index, self.cfg.unique)
 
     @cached_property
     def training_data(self) -> DataFrame:

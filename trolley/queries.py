@@ -428,54 +428,42 @@ _BCAND = """bcand AS (
   SELECT b.register, b.receipt, b.size, v.item FROM baskets b CROSS JOIN rule_items v
   WHERE NOT list_contains(b.items, v.item))"""
 _REC = _MINING + [_LNP, _BSC, _BCAND]
-_LEN_MAX = DEFAULT.subset_len_max
 
 
-@register(
-    "nb_classic",
-    _sql(
-        _REC,
-        "SELECT c.register, c.receipt, c.item, round(p.lnp + s.s, 6) AS log_score "
-        "FROM bcand c JOIN lnp p ON p.item = c.item JOIN bsc s "
-        "ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item",
-    ),
-)
+def _best_n(score: str, join: str) -> str:
+    """Top n candidates of each basket by a score expression over c, p (ln P) and s (sums)."""
+    return f"""SELECT register, receipt, CAST(rank AS INTEGER) AS rank, item, round(log_score, 6) AS log_score FROM (
+      SELECT *, row_number() OVER (PARTITION BY register, receipt
+                                   ORDER BY round(log_score, 9) DESC NULLS LAST, item) AS rank FROM (
+        SELECT c.register, c.receipt, c.item, {score} AS log_score
+        FROM bcand c JOIN lnp p ON p.item = c.item {join} bsc s
+        ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item))
+    WHERE rank <= {DEFAULT.topn}"""
+
+
+@register("nb_classic", _sql(_REC, _best_n("p.lnp + s.s", "JOIN")))
 def q_nb_classic(spark, sf_dir):
-    return presentable(run(spark, sf_dir).basket_scores("classic"))
+    return presentable(run(spark, sf_dir).recommendations("classic"))
 
 
-@register(
-    "nb_subset",
-    _sql(
-        _REC,
-        "SELECT c.register, c.receipt, c.item, "
-        "round(CASE WHEN s.cnt > 0 THEN p.lnp + s.s END, 6) AS log_score "
-        "FROM bcand c JOIN lnp p ON p.item = c.item LEFT JOIN bsc s "
-        "ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item",
-    ),
-)
+@register("nb_subset", _sql(_REC, _best_n("CASE WHEN s.cnt > 0 THEN p.lnp + s.s END", "LEFT JOIN")))
 def q_nb_subset(spark, sf_dir):
-    return presentable(run(spark, sf_dir).basket_scores("subset"))
+    return presentable(run(spark, sf_dir).recommendations("subset"))
 
 
 @register(
     "nb_best_subset",
     _sql(
         _REC,
-        f"""SELECT c.register, c.receipt, c.item, round(CASE
-              WHEN c.size > {_LEN_MAX} THEN CASE WHEN s.cnt > 0 THEN p.lnp + s.s END
-              WHEN s.pos_cnt > 0 THEN p.lnp + s.pos_s
-              WHEN s.cnt > 0 THEN p.lnp + s.mx END, 6) AS log_score
-            FROM bcand c JOIN lnp p ON p.item = c.item LEFT JOIN bsc s
-            ON s.register = c.register AND s.receipt = c.receipt AND s.item = c.item""",
+        _best_n("CASE WHEN s.pos_cnt > 0 THEN p.lnp + s.pos_s WHEN s.cnt > 0 THEN p.lnp + s.mx END", "LEFT JOIN"),
     ),
 )
 def q_nb_best_subset(spark, sf_dir):
-    return presentable(run(spark, sf_dir).basket_scores("best"))
+    return presentable(run(spark, sf_dir).recommendations("best"))
 
 
 # Leave-one-out samples, their candidate scores and the top-n ranking.
-_LOO = _MINING + [
+_LOO_STEPS = [
     _LNP,
     O.CATEGORY_NAMES,
     """loo AS (
@@ -506,6 +494,9 @@ _LOO = _MINING + [
     SELECT label AS item, count(*) AS nX, count(*) FILTER (WHERE hit_rank > 0) AS tp
     FROM lhit GROUP BY label) h ON h.item = v.item)""",
 ]
+_LOO = _MINING + _LOO_STEPS
+_UNIQUE = DEFAULT.with_(unique=True)
+_LOO_UNIQUE = O.mining_ctes(_UNIQUE) + _LOO_STEPS
 
 
 @register(
@@ -536,6 +527,18 @@ def q_topn_recs(spark, sf_dir):
     return presentable(run(spark, sf_dir).topn_recs)
 
 
+@register(
+    "topn_recs_unique",
+    _sql(
+        _LOO_UNIQUE,
+        "SELECT CAST(NULL AS INTEGER) AS register, CAST(NULL AS BIGINT) AS receipt, label, "
+        "CAST(rank AS INTEGER) AS rank, item, round(log_score, 6) AS log_score FROM ltop",
+    ),
+)
+def q_topn_recs_unique(spark, sf_dir):
+    return presentable(run(spark, sf_dir, _UNIQUE).topn_recs)
+
+
 @register(
     "eval_per_item",
     _sql(
@@ -577,6 +580,19 @@ def q_eval_overall(spark, sf_dir):
     return presentable(run(spark, sf_dir).eval_overall)
 
 
+@register(
+    "eval_overall_unique",
+    _sql(
+        _LOO_UNIQUE,
+        "SELECT n, tp, round(CASE WHEN n > 0 THEN tp / n ELSE 0 END, 6) AS accuracy, "
+        "round(CASE WHEN n > 0 THEN (n - tp) / n ELSE 0 END, 6) AS mae FROM ("
+        "SELECT count(*) AS n, count(*) FILTER (WHERE hit_rank > 0) AS tp FROM lhit)",
+    ),
+)
+def q_eval_overall_unique(spark, sf_dir):
+    return presentable(run(spark, sf_dir, _UNIQUE).eval_overall)
+
+
 @register(
     "eval_confusion",
     _sql(
@@ -763,7 +779,7 @@ _ITEMS_2_7 = DEFAULT.with_(taxo=False, cartsize_max=7)
 _FS = ", ".join(
     f"count(*) FILTER (WHERE h.ts > TIMESTAMP '{y}-01-01') AS fs_{y}" for y in SINCE_YEARS
 )
-_FS_OUT = ", ".join(f"CAST(coalesce(n.fs_{y}, 0) AS INTEGER) AS fs_{y}" for y in SINCE_YEARS)
+_FS_OUT = ", ".join(f"coalesce(n.fs_{y}, 0) AS fs_{y}" for y in SINCE_YEARS)
 
 
 @register(
@@ -775,7 +791,7 @@ _FS_OUT = ", ".join(f"CAST(coalesce(n.fs_{y}, 0) AS INTEGER) AS fs_{y}" for y in
             f"""cnt AS (SELECT b.item, count(*) AS freq_all, {_FS} FROM bitems b LEFT JOIN ht h
                ON h.register IS NOT DISTINCT FROM b.register AND h.receipt = b.receipt GROUP BY b.item)""",
         ],
-        f"SELECT CAST(coalesce(n.freq_all, 0) AS INTEGER) AS freq_all, {_FS_OUT}, c.item, c.name, c.descr "
+        f"SELECT coalesce(n.freq_all, 0) AS freq_all, {_FS_OUT}, c.item, c.name, c.descr "
         f"FROM (SELECT DISTINCT item, name, descr FROM catalog) c LEFT JOIN cnt n ON n.item = c.item",
     ),
 )

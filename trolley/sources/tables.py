@@ -49,11 +49,18 @@ CATEGORY_IDS = T.StructType(
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast the schema's columns; fail on a missing column."""
+    """Select and cast the schema's columns; fail on a missing column.
+
+    Quantities and totals that come as decimals stay exact decimals.
+    """
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    exact = {"qty", "total"}
+    keep = {f.name for f in df.schema.fields if f.name in exact and isinstance(f.dataType, T.DecimalType)}
+    return df.select(
+        [df[f.name] if f.name in keep else df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def read_tables(
