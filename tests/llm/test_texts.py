@@ -11,7 +11,7 @@ import pytest
 from trolley.llm import decontaminate, html_extract, license_scan, lm_score, quality, subword, tokens, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SMALL = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.1"
 
 
 # -- words
