@@ -221,7 +221,8 @@ def _blocks(top: Node, noise: set[str], blocks: list[str]) -> None:
         elif isinstance(n, str):
             line.append(n)
         elif n.hidden or (n.path in noise and n.tag not in INLINE):
-            continue
+            if n.tag in BLOCKS_CLOSE_P:
+                flush()
         elif n.tag == "br":
             line.append(" ")
         elif n.tag in INLINE:
