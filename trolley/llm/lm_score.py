@@ -119,7 +119,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, smoothin
     """Models of the documents whose doc_id is in target_ids and of all documents."""
     numbering = Numbering(vocabulary(docs, size))
     ids = target_ids.select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    target = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    # Labels grow with the documents: a sort-merge join at every size.
+    target = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     background = pair_counts(docs, numbering).toArrow()
     log_background = log_probabilities(background, numbering.size, smoothing)
     del background
