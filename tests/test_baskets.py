@@ -178,3 +178,42 @@ def test_receipts_filter_pushed_to_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThan(o_orderdate" in plan
     assert F is not None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_time_range_is_applied_below_the_first_aggregate(spark):
+    lines = [(1, 1, "a", 1.0), (1, 1, "b", 1.0), (1, 2, "a", 1.0), (1, 2, "b", 1.0)]
+    headers = [(1, 1, ts("2000-01-02"), 5), (1, 2, ts("2001-01-02"), 5)]
+    cfg = DEFAULT.with_(taxo=False, timerange=("2000-01-01", "2000-12-31"))
+    b = B.build_baskets(tables(spark, lines, headers), cfg.with_(cartsize_max=None))
+    assert [r.receipt for r in b.collect()] == [1]
+    plan = _plan(b)  # top of the tree first: a join printed after the last aggregate lies below it
+    assert plan.rindex("LeftSemi") > plan.rindex("Aggregate")
+
+
+def test_too_long_receipt_is_dropped_before_any_set_is_collected(spark):
+    lines = [(1, 0, f"i{k}", 1.0) for k in range(60)]
+    lines += [(r % 3 + 1, r, f"i{r % 7 + k}", 1.0) for r in range(1, 61) for k in range(2)]
+    lines += [(None, None, "x", 1.0), (None, None, "y", 1.0)]
+    b = B.build_baskets(tables(spark, lines), DEFAULT.with_(taxo=False))
+    got = b.collect()
+    assert sorted((r.receipt is None, r.receipt) for r in got if r.receipt is not None) == [(False, r) for r in range(1, 61)]
+    assert [r["items"] for r in got if r.receipt is None] == [["x", "y"]]
+    plan = _plan(b)
+    assert plan.index("collect_set") < plan.index("LeftSemi")
+
+
+def test_decimal_quantities_net_to_zero_and_totals_keep_their_cents(spark):
+    from trolley.sources.tables import HEADERS, LINES, conform
+
+    raw = spark.createDataFrame(
+        [(1, 1, "a", 0.1), (1, 1, "a", 0.2), (1, 1, "a", -0.3), (1, 1, "b", 1.0)],
+        "register int, receipt bigint, item string, qty double",
+    )
+    assert [r.item for r in B.net_lines(conform(raw, LINES)).collect()] == ["b"]
+    totals = spark.createDataFrame([(1, 1, 12.34), (1, 2, 12.99)], "register int, receipt bigint, total double")
+    heads = conform(totals.selectExpr("*", "timestamp_ntz'2000-01-01' AS ts"), HEADERS)
+    assert [tuple(r) for r in B.receipt_total_hist(heads).collect()] == [(1, 2)]

@@ -80,11 +80,11 @@ def test_libsvm_one_based(spark):
 def test_classifiers_run(spark):
     r = _train_run(spark)
     data = r.training_data
-    pred = C.rf_predict(data, seed=1)
+    pred = C.rf_predict(data)
     assert set(pred.columns) == {"label", "indexedLabel", "prediction", "predictedLabel"}
     if pred.count():
         assert 0.0 <= C.accuracy(pred) <= 1.0
-    nb = C.nb_predict(data, seed=1)
+    nb = C.nb_predict(data)
     assert "prediction" in nb.columns
 
 
@@ -116,3 +116,11 @@ def test_item_freq_since(spark):
     r = BasketRun(spark, t, DEFAULT.with_(taxo=False, support_item=0.0), materialize=False)
     got = {x.item: (x.freq_all, x.fs_1996, x.fs_1998) for x in r.item_freq_since([1996, 1998]).collect()}
     assert got == {"a": (2, 2, 1), "b": (1, 1, 0), "c": (1, 1, 1), "e": (0, 0, 0)}
+
+
+def test_split_does_not_depend_on_partitions(spark):
+    data = _train_run(spark).training_data
+    sides = [{r.row_key for r in C.train_test_split(data.repartition(n))[1].collect()} for n in (4, 7)]
+    assert sides[0] == sides[1]
+    keys = [r.row_key for r in data.collect()]
+    assert len(keys) == len(set(keys))

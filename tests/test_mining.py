@@ -132,3 +132,27 @@ def test_pair_freq_long_baskets_in_chunks(spark, support):
         for p in combinations(sorted(set(b) & frequent), 2):
             want[p] = want.get(p, 0) + 1
     assert got == want
+
+
+def test_frequent_subsets_count_every_basket(spark):
+    long = list("abcdefg")
+    data = [long, ["a", "b"], ["b", "c"], ["a", "b", "c"], ["z", "y"]]
+    lines = [(1, r, i, 1.0) for r, items in enumerate(data) for i in items]
+    run = BasketRun(spark, tables(spark, lines), DEFAULT.with_(taxo=False, cartsize_max=None), materialize=False)
+    got = {tuple(r.subset): r.freq for r in run.frequent_subsets(0.2, 3).collect()}
+    want = {}
+    for items in data:
+        for n in (1, 2, 3):
+            for c in combinations(sorted(items), n):
+                want[c] = want.get(c, 0) + 1
+    assert got == {c: f for c, f in want.items() if f > 0.2 * len(data)}
+    assert got[("a", "b")] == 3 and got[("a", "b", "c")] == 2
+
+
+def test_interaction_list_is_whole_by_default(spark):
+    lines = [(1, r, i, 1.0) for r, i in ((0, "a"), (0, "b"), (0, "c"), (0, "d"), (1, "a"), (1, "b"))]
+    run = BasketRun(spark, tables(spark, lines), DEFAULT.with_(taxo=False), materialize=False)
+    names = spark.createDataFrame([("a", "A")], "item string, name string")
+    whole = {r.item: r.list for r in M.item_interaction(run.pair_freq, run.n_baskets, names).collect()}
+    cut = {r.item: r.list for r in M.item_interaction(run.pair_freq, run.n_baskets, names, list_max=1).collect()}
+    assert (whole["a"], cut["a"]) == ("2 1 1", "2")

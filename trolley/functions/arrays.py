@@ -1,8 +1,6 @@
 """Array expressions evaluated inside one basket row.
 
-Baskets are sorted, duplicate-free arrays whose length is capped by
-``cartsize_max``, so everything here does bounded work per row and needs no
-shuffle.
+Baskets are sorted, duplicate-free arrays; nothing here needs a shuffle.
 """
 
 from __future__ import annotations
@@ -11,19 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ordered_pairs(items: str = "items") -> Column:
-    """All pairs ``(a, b)`` with ``a`` before ``b`` in the sorted array.
-
-    A basket of n items gives n(n-1)/2 structs; with the size cap this is a
-    constant per basket (15 for n = 6).
-    """
-    return F.expr(
-        f"flatten(transform({items}, (x, i) -> "
-        f"transform(slice({items}, i + 2, size({items})), "
-        f"y -> named_struct('a', x, 'b', y))))"
-    )
-
-
 def chunk_pairs(items: str, start: Column, length: int) -> Column:
     """Pairs ``(a, b)``, ``a`` before ``b``, whose ``a`` sits at 0-based
     positions ``start`` .. ``start + length - 1`` of the sorted array.
@@ -54,9 +39,3 @@ def subsets(items: str = "items", len_max: int = 6) -> Column:
         f"filter({items}, (x, i) -> (shiftright(m, i) & 1) = 1)) "
         f"ELSE array({items}) END"
     )
-
-
-def joined(items: str | Column, sep: str = "|") -> Column:
-    """Array rendered as one string, for reports and engine comparisons."""
-    c = F.col(items) if isinstance(items, str) else items
-    return F.concat_ws(sep, c)

@@ -5,15 +5,9 @@ receipt (cancellations carry a negative quantity), items with a positive net
 are mapped to their category, categories are de-duplicated, and the basket
 size is the number of distinct categories.
 
-Shuffles, for the full basket build:
-  1. net quantity per (register, receipt, item) — partial sums before the
-     exchange, so a receipt or item holding a large share of all lines is
-     split across tasks by the other keys and pre-reduced on the map side;
-  2. distinct (register, receipt, category) — again pre-reduced map-side, so a
-     huge receipt leaves at most one row per category per map task;
-  3. hash on (register, receipt) for the size window; the array build reuses
-     that partitioning. Rows per receipt are at most the number of distinct
-     categories here, and only baskets within the size cap are collected.
+A time range is applied to the lines, before anything is summed. Size bounds
+are checked on counts of distinct items per receipt, summed map-side, before
+any set is collected, so a receipt with too many items never becomes an array.
 The taxonomy join carries no broadcast hint: the taxonomy grows with the
 catalog, so Spark's size check (autoBroadcastJoinThreshold, and AQE at run
 time) picks broadcast or a skew-aware sort-merge join.
@@ -136,7 +130,10 @@ def basket_items(tables: Tables, cfg: BasketConfig) -> DataFrame:
     several items of one category give repeated rows, removed when the
     basket is collected as a set.
     """
-    net = net_lines(register_filter(tables.lines, cfg.register))
+    lines = register_filter(tables.lines, cfg.register)
+    if cfg.timerange:
+        lines = restrict_to_receipts(lines, receipts_in_range(tables.headers, *cfg.timerange))
+    net = net_lines(lines)
     if cfg.taxo:
         mapped = category_lines(net, item_category(tables.taxonomy), cfg.unknown_category)
         rows = mapped.select("register", "receipt", F.col("category").alias("item"))
@@ -150,18 +147,23 @@ def basket_items(tables: Tables, cfg: BasketConfig) -> DataFrame:
 def collect_baskets(items: DataFrame, lo: int, hi: int | None) -> DataFrame:
     """(register, receipt, items ARRAY sorted, size) with lo <= size <= hi.
 
-    One grouped aggregate: the set is built map-side first, so a receipt
-    holding a third of all lines ships at most one set of its distinct items
-    per map task, and the size bounds are checked on the finished set.
+    With an upper bound, receipts are sized first (partial counts) and only
+    the items of those within bounds are collected: a receipt holding a third
+    of all lines is dropped as rows, which a skewed join splits over tasks.
     """
+    if hi is not None:
+        items = items.distinct()
+        sizes = items.groupBy("register", "receipt").agg(F.count("item").alias("n"))
+        fit = sizes.where(F.col("n").between(lo, hi)).select(
+            F.col("register").alias("_r_register"), F.col("receipt").alias("_r_receipt")
+        )
+        same = F.col("register").eqNullSafe(F.col("_r_register")) & F.col("receipt").eqNullSafe(F.col("_r_receipt"))
+        items = items.join(fit, same, "left_semi")
     b = items.groupBy("register", "receipt").agg(
         F.array_sort(F.collect_set("item")).alias("items")
     )
     size = F.size("items")
-    cond = size >= lo
-    if hi is not None:
-        cond = cond & (size <= hi)
-    return b.where(cond).select("register", "receipt", "items", size.cast("int").alias("size"))
+    return b.where(size >= lo).select("register", "receipt", "items", size.cast("int").alias("size"))
 
 
 def receipts_in_range(headers: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -205,9 +207,6 @@ def build_baskets(tables: Tables, cfg: BasketConfig) -> DataFrame:
     remain (register and receipt are then null).
     """
     baskets = collect_baskets(basket_items(tables, cfg), cfg.cartsize_min, cfg.cartsize_max)
-    if cfg.timerange:
-        lo, hi = cfg.timerange
-        baskets = restrict_to_receipts(baskets, receipts_in_range(tables.headers, lo, hi))
     if cfg.unique:
         baskets = unique_baskets(baskets)
     return baskets
@@ -223,13 +222,6 @@ def unique_baskets(baskets: DataFrame) -> DataFrame:
     )
 
 
-def explode_baskets(baskets: DataFrame) -> DataFrame:
-    """Long form (register, receipt, item, size) of an array-form basket table."""
-    return baskets.select(
-        "register", "receipt", F.explode("items").alias("item"), "size"
-    )
-
-
 # ---------------------------------------------------------------- histograms
 
 

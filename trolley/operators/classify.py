@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorIndexer
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VectorIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLIT_WEIGHTS = (0.8, 0.2)
-SPLIT_SEED = 12345
+from .recommend import with_id
+
+TRAIN_PERCENT = 80
+RF_SEED = 12345
 RF_TREES = 10
 RF_MAX_CATEGORIES = 4
 NB_SMOOTHING = 0.01
@@ -39,31 +41,48 @@ def item_index(frequent: DataFrame) -> DataFrame:
     )
 
 
-def _rows_from_indices(fidx: DataFrame, unique: bool) -> DataFrame:
-    rows = fidx.select("fidx", F.posexplode("fidx").alias("pos", "label_idx")).select(
-        F.col("label_idx").cast("double").alias("label"),
-        F.filter("fidx", lambda x, i: i != F.col("pos")).alias("indices"),
-    )
-    rows = rows.where(F.size("indices") > 0)
-    return rows.distinct() if unique else rows
-
-
-def training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
-    """(label DOUBLE, indices ARRAY<INT>): one row per frequent item of a basket.
+def keyed_training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
+    """(row_key, label DOUBLE, indices ARRAY<INT>): one row per frequent item of a basket.
 
-    Basket items are joined to the index and regrouped per basket (key:
-    register, receipt and the item set, which also tells distinct baskets
-    apart). Labels are then exploded, rows with no other frequent item
-    dropped; ``unique`` keeps distinct rows.
+    Basket items are joined to the index and regrouped per basket. Labels are
+    then exploded, rows with no other frequent item dropped; ``unique`` keeps
+    distinct rows. row_key tells rows apart and is the same in every run: the
+    basket's key and the label, or the row's contents with ``unique``.
     """
-    keys = ["register", "receipt", "items"]
     fidx = (
-        baskets.select(*keys, F.explode("items").alias("item"))
+        with_id(baskets)
+        .select("basket_id", F.explode("items").alias("item"))
         .join(index.select("item", "idx"), "item")
-        .groupBy(*keys)
+        .groupBy("basket_id")
         .agg(F.array_sort(F.collect_list("idx")).alias("fidx"))
     )
-    return _rows_from_indices(fidx, unique)
+    rows = (
+        fidx.where(F.size("fidx") > 1)
+        .select("basket_id", "fidx", F.explode("fidx").alias("x"))
+        .select(
+            F.concat_ws("|", "basket_id", F.col("x").cast("string")).alias("row_key"),
+            F.col("x").cast("double").alias("label"),
+            F.filter("fidx", lambda i: i != F.col("x")).alias("indices"),
+        )
+    )
+    if unique:
+        rows = rows.select("label", "indices").distinct()
+        rows = rows.select(F.to_json(F.struct("label", "indices")).alias("row_key"), "label", "indices")
+    return rows
+
+
+def training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
+    """(label, indices) of :func:`keyed_training_rows`."""
+    return keyed_training_rows(baskets, index, unique).select("label", "indices")
+
+
+def sparse_features(rows: DataFrame, n_features: int) -> DataFrame:
+    """(row_key, label, features): indices 1..n_features as sparse 0/1 vectors, made on the JVM."""
+    terms = rows.withColumn("terms", F.col("indices").cast("array<string>"))
+    model = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(1, n_features + 1)], inputCol="terms", outputCol="features"
+    )
+    return model.setBinary(True).transform(terms).select("row_key", "label", "features")
 
 
 def training_counts(rows: DataFrame) -> DataFrame:
@@ -71,9 +90,11 @@ def training_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def train_test_split(data: DataFrame, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    train, test = data.randomSplit(list(SPLIT_WEIGHTS), seed)
-    return train, test
+def train_test_split(data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """80/20 by a hash of row_key: the same rows whatever the partitions."""
+    bucket = F.conv(F.substring(F.md5("row_key"), 1, 8), 16, 10).cast("bigint") % 100
+    in_train = bucket < TRAIN_PERCENT
+    return data.where(in_train), data.where(~in_train)
 
 
 def rf_pipeline(data: DataFrame) -> Pipeline:
@@ -87,15 +108,15 @@ def rf_pipeline(data: DataFrame) -> Pipeline:
         inputCol="features", outputCol="indexedFeatures", maxCategories=RF_MAX_CATEGORIES
     ).fit(data)
     rf = RandomForestClassifier(
-        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=RF_TREES, seed=SPLIT_SEED
+        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=RF_TREES, seed=RF_SEED
     )
     back = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=labels.labels)
     return Pipeline(stages=[labels, features, rf, back])
 
 
-def rf_predict(data: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
+def rf_predict(data: DataFrame) -> DataFrame:
     """Predictions on the test split: label, indexedLabel, prediction, predictedLabel."""
-    train, test = train_test_split(data, seed)
+    train, test = train_test_split(data)
     model = rf_pipeline(data).fit(train)
     return model.transform(test).select("label", "indexedLabel", "prediction", "predictedLabel")
 
@@ -117,9 +138,9 @@ def accuracy(pred: DataFrame) -> float:
     return ev.evaluate(pred)
 
 
-def nb_predict(data: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
+def nb_predict(data: DataFrame) -> DataFrame:
     """Multinomial naive Bayes (smoothing 0.01) on the indexed label."""
-    train, test = train_test_split(data, seed)
+    train, test = train_test_split(data)
     labels = StringIndexer(inputCol="label", outputCol="indexedLabel").fit(data)
     nb = NaiveBayes(
         smoothing=NB_SMOOTHING, modelType="multinomial", labelCol="indexedLabel", featuresCol="features"

@@ -5,11 +5,14 @@ Joins carry no hints: Spark picks their strategy from the sizes it measures.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BasketConfig
-from ..functions.arrays import chunk_pairs, ordered_pairs, subsets
+from ..functions.arrays import chunk_pairs, subsets
+from .recommend import with_id
 
 
 def basket_count(baskets: DataFrame) -> Column:
@@ -67,43 +70,31 @@ def pair_freq(
 ) -> DataFrame:
     """(a, b, freq): baskets holding both frequent items a < b; only freq > 0.
 
-    Pairs come out of each sorted basket row and are kept when both sides
-    are frequent (semi joins on the frequent items), then counted with
-    map-side partial counts, so a pair present in a third of all baskets
-    costs one row per map task in the shuffle.
-
-    A basket of up to ``chunk`` items makes its pairs in its own row (with the
-    default size cap of 6, at most 15). A longer one — possible only without
-    a size cap — is cut into rows of ``chunk`` anchor positions that are
-    spread round-robin over the shuffle partitions first, so one huge basket
-    does not put its quadratic pair count on one task. Exact either way.
+    Infrequent items leave the baskets first, so no pair is made that is then
+    thrown away. Every basket is cut into rows of ``chunk`` anchor positions,
+    dealt by (basket, row): a huge basket does not put its quadratic pair
+    count on one task. Pairs are counted with map-side partial counts, so one
+    that a third of all baskets hold costs one row per map task.
     """
-    short = baskets
-    parts = []
-    if cfg.cartsize_max is None or cfg.cartsize_max > chunk:
-        short = baskets.where(F.col("size") <= chunk)
-        n_parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        long_rows = (
-            baskets.where(F.col("size") > chunk)
-            .select(
-                "items",
-                F.explode(
-                    F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1)
-                ).alias("c"),
-            )
-            .repartition(n_parts)
-        )
-        parts.append(long_rows.select(F.explode(chunk_pairs("items", F.col("c") * chunk, chunk)).alias("p")))
-    parts.insert(0, short.select(F.explode(ordered_pairs("items")).alias("p")))
-    p = parts[0]
-    for q in parts[1:]:
-        p = p.unionByName(q)
-    pairs = p.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    b = with_id(baskets)
     if cfg.support_item > 0:
-        fa = frequent.select(F.col("item").alias("a"))
-        fb = frequent.select(F.col("item").alias("b"))
-        pairs = pairs.join(fa, "a", "left_semi").join(fb, "b", "left_semi")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("freq"))
+        b = (
+            b.select("basket_id", F.explode("items").alias("item"))
+            .join(frequent.select("item"), "item", "left_semi")
+            .groupBy("basket_id")
+            .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        )
+    rows = b.where(F.size("items") > 1).select(
+        "basket_id",
+        "items",
+        F.explode(F.sequence(F.lit(0), F.ceil(F.size("items") / chunk).cast("int") - 1)).alias("c"),
+    )
+    return (
+        rows.repartition("basket_id", "c")
+        .select(F.explode(chunk_pairs("items", F.col("c") * chunk, chunk)).alias("p"))
+        .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+        .agg(F.count("*").alias("freq"))
+    )
 
 
 def smoothed(freq: Column, n_baskets: Column, n_kinds: Column, k: float) -> Column:
@@ -189,14 +180,14 @@ def item_interaction(
     n_baskets: Column,
     names: DataFrame,
     support_pair: float = 0.0,
-    list_max: int = 100,
+    list_max: int | None = None,
 ) -> DataFrame:
     """Per item, statistics of the pair counts with its partners.
 
     n partners, max, mean, exact median, population standard deviation, and
-    the largest ``list_max`` counts (descending, space separated). The top
-    list uses row_number <= list_max, which Spark limits per group before the
-    shuffle, so no item's full partner list is collected.
+    the partner counts (descending, space separated): all, or the largest
+    ``list_max``, a report width. The narrow list uses row_number <= list_max,
+    which Spark limits per group before the shuffle.
     """
     kept = pairs.where(F.col("freq") > F.lit(float(support_pair)) * n_baskets)
     both = kept.select(F.col("a").alias("item"), "freq").unionByName(
@@ -209,11 +200,12 @@ def item_interaction(
         F.median("freq").cast("double").alias("median"),
         F.stddev_pop("freq").alias("stddev"),
     )
-    w = Window.partitionBy("item").orderBy(F.desc("freq"))
+    shown = both
+    if list_max is not None:
+        w = Window.partitionBy("item").orderBy(F.desc("freq"))
+        shown = both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= list_max)
     top = (
-        both.withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= list_max)
-        .groupBy("item")
+        shown.groupBy("item")
         .agg(F.sort_array(F.collect_list("freq"), asc=False).alias("top"))
         .select("item", F.concat_ws(" ", F.col("top").cast("array<string>")).alias("list"))
     )
@@ -225,10 +217,10 @@ def item_interaction(
 
 
 def basket_subsets(baskets: DataFrame, len_max: int = 6) -> DataFrame:
-    """(subset, size, freq): baskets that hold each subset of up to len_max items.
+    """(subset, size, freq) by the whole-cart rule of the job.
 
-    A basket longer than len_max adds only itself. Each basket yields at most
-    2^len_max - 1 subsets, counted with map-side partial counts.
+    A basket of up to ``len_max`` items adds each of its subsets, a longer one
+    only itself. For supports over every basket see :func:`frequent_subsets`.
     """
     return (
         baskets.select(F.explode(subsets("items", len_max)).alias("subset"))
@@ -236,3 +228,31 @@ def basket_subsets(baskets: DataFrame, len_max: int = 6) -> DataFrame:
         .agg(F.count("*").alias("freq"))
         .select("subset", F.size("subset").alias("size"), "freq")
     )
+
+
+def frequent_subsets(
+    baskets: DataFrame, n_baskets: Column, support: float, k: int, stage: Callable[[str, DataFrame], DataFrame]
+) -> DataFrame:
+    """(subset, size, freq): sets of up to ``k`` items with freq > support * N, over every basket.
+
+    Level by level: a basket's supported sets of one size grow by its later
+    frequent items, the grown sets are counted, and only supported ones grow
+    again. ``stage`` writes a level that the next one reads.
+    """
+    bound = F.lit(float(support)) * n_baskets
+    held = with_id(baskets).select("basket_id", F.explode("items").alias("item"))
+    often = held.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") > bound)
+    singles = stage("subsets_1", held.join(often, "item", "left_semi"))
+    level = singles.select("basket_id", F.array("item").alias("subset"))
+    found = often.select(F.array("item").alias("subset"), "freq")
+    for size in range(2, k + 1):
+        grown = stage(
+            f"subsets_{size}",
+            level.join(singles, "basket_id")
+            .where(F.col("item") > F.element_at("subset", -1))
+            .select("basket_id", F.concat("subset", F.array("item")).alias("subset")),
+        )
+        often = grown.groupBy("subset").agg(F.count("*").alias("freq")).where(F.col("freq") > bound)
+        found = found.unionByName(often)
+        level = grown.join(often, "subset", "left_semi")
+    return found.select("subset", F.size("subset").alias("size"), "freq")

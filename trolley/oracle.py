@@ -4,7 +4,7 @@ The SQL is written independently of the Spark plans: pairs come from a
 self-join instead of an in-row explode, rankings from window functions
 instead of in-row sorts, subsets from a bit-mask list filter. Only the fixed
 input mappings (see :mod:`trolley.sources.fixtures`) are shared. Doubles that
-come out of aggregates are rounded to 6 places on both sides, log scores to 9.
+come out of aggregates are rounded to 6 places on both sides.
 """
 
 from __future__ import annotations

@@ -83,6 +83,9 @@ class BasketRun:
     def pair_freq(self) -> DataFrame:
         return self._stage("pair_freq", M.pair_freq(self.baskets, self.frequent, self.cfg))
 
+    def frequent_subsets(self, support: float, k: int) -> DataFrame:
+        return M.frequent_subsets(self.baskets, self.n_baskets, support, k, self._stage)
+
     # -- probabilities and rules
 
     @cached_property
@@ -171,6 +174,12 @@ class BasketRun:
 
     @cached_property
     def training_data(self) -> DataFrame:
+        """(row_key, label, features): what the classifiers read (stage table)."""
+        rows = C.keyed_training_rows(self.baskets, self.item_index, self.cfg.unique)
+        return self._stage("training", C.sparse_features(rows, max(self.item_index.count(), 1)))
+
+    @cached_property
+    def libsvm_data(self) -> DataFrame:
         """(label, features): the training rows as a libsvm file, read back."""
         path = f"{self.store.path}/training.libsvm"
         S.write_libsvm_text(self.training_rows, path)

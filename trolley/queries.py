@@ -1,7 +1,7 @@
 """Registered queries: one per operator, each with its SQL twin when one exists.
 
 Every query reads the fixture tables of an sf directory (``sf_dir``) in full.
-Output doubles are rounded (6 places; log scores 9) and arrays rendered as
+Output doubles are rounded to 6 places and arrays rendered as
 '|'-joined strings so the two engines can be compared value by value.
 """
 
@@ -186,6 +186,17 @@ def q_lines_by_register(spark, sf_dir):
     return B.register_filter(X.lines(spark, sf_dir), "shop")
 
 
+def _lines_of(register_name: str, where: str) -> None:
+    @register(f"lines_{register_name}", _lines_sql(f"SELECT * FROM lines WHERE {where}"))
+    def q(spark, sf_dir):
+        return B.register_filter(X.lines(spark, sf_dir), register_name)
+
+
+_lines_of("espresso", "register = 3")
+_lines_of("shop1", "register = 1")
+_lines_of("shop2", "register = 2")
+
+
 @register(
     "net_lines",
     _sql(O.basket_ctes(), "SELECT register, receipt, item, qty FROM net"),
@@ -363,10 +374,35 @@ def q_rule_items(spark, sf_dir):
     return run(spark, sf_dir).rule_items
 
 
+# Baskets of two items or more, however long.
+UNCAPPED = DEFAULT.with_(cartsize_max=None)
+_MINING_UNCAPPED = O.mining_ctes(UNCAPPED)
+
+
+@register("item_freq_uncapped", _sql(_MINING_UNCAPPED, "SELECT item, freq FROM item_freq"))
+def q_item_freq_uncapped(spark, sf_dir):
+    return run(spark, sf_dir, UNCAPPED).item_freq
+
+
+@register("pair_freq_uncapped", _sql(_MINING_UNCAPPED, "SELECT a, b, freq FROM pair_freq"))
+def q_pair_freq_uncapped(spark, sf_dir):
+    return run(spark, sf_dir, UNCAPPED).pair_freq
+
+
 @register(
-    "item_interaction",
+    "association_rules_uncapped",
     _sql(
-        _MINING
+        _MINING_UNCAPPED,
+        "SELECT a, b, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules",
+    ),
+)
+def q_association_rules_uncapped(spark, sf_dir):
+    return presentable(run(spark, sf_dir, UNCAPPED).rules)
+
+
+def _interaction_sql(mining: list[str], rows: str) -> str:
+    return _sql(
+        mining
         + [
             O.CATEGORY_NAMES,
             f"kept AS (SELECT * FROM pair_freq WHERE freq > {O._d(DEFAULT.support_pair)} * (SELECT n FROM nb))",
@@ -376,13 +412,21 @@ def q_rule_items(spark, sf_dir):
                FROM both_ GROUP BY item)""",
             f"""top AS (SELECT item, string_agg(CAST(freq AS VARCHAR), ' ' ORDER BY freq DESC) AS list
                FROM (SELECT item, freq, row_number() OVER (PARTITION BY item ORDER BY freq DESC) AS rn
-                     FROM both_) WHERE rn <= {DEFAULT.interaction_list_max} GROUP BY item)""",
+                     FROM both_) WHERE {rows} GROUP BY item)""",
         ],
         "SELECT cn.name, s.item, s.n, s.max, round(s.avg, 6) AS avg, round(s.median, 6) AS median, "
         "round(s.stddev, 6) AS stddev, t.list FROM stats s JOIN top t ON t.item = s.item "
         "LEFT JOIN category_names cn ON cn.item = s.item",
-    ),
-)
+    )
+
+
+@register("item_interaction_uncapped", _interaction_sql(_MINING_UNCAPPED, "TRUE"))
+def q_item_interaction_uncapped(spark, sf_dir):
+    r = run(spark, sf_dir, UNCAPPED)
+    return presentable(M.item_interaction(r.pair_freq, r.n_baskets, r.names, UNCAPPED.support_pair))
+
+
+@register("item_interaction", _interaction_sql(_MINING, f"rn <= {DEFAULT.interaction_list_max}"))
 def q_item_interaction(spark, sf_dir):
     r = run(spark, sf_dir)
     return presentable(
@@ -411,6 +455,36 @@ def q_basket_subsets(spark, sf_dir):
     return presentable(M.basket_subsets(run(spark, sf_dir).baskets, DEFAULT.subset_len_max))
 
 
+# Sets of up to three items (categories) held by over one basket in a thousand.
+SUBSET_SUPPORT, SUBSET_ITEMS = 0.001, 3
+
+
+_SUBSETS = _MINING_UNCAPPED + [
+    f"often AS (SELECT * FROM item_freq WHERE freq > {O._d(SUBSET_SUPPORT)} * (SELECT n FROM nb))",
+    "kept AS (SELECT register, receipt, item FROM bitems WHERE item IN (SELECT item FROM often))",
+    """pairs AS (
+  SELECT x.item || '|' || y.item AS subset, 2 AS size, count(*) AS freq FROM kept x JOIN kept y
+  ON y.register = x.register AND y.receipt = x.receipt AND x.item < y.item GROUP BY 1)""",
+    """triples AS (
+  SELECT x.item || '|' || y.item || '|' || z.item AS subset, 3 AS size, count(*) AS freq
+  FROM kept x JOIN kept y ON y.register = x.register AND y.receipt = x.receipt AND x.item < y.item
+  JOIN kept z ON z.register = x.register AND z.receipt = x.receipt AND y.item < z.item GROUP BY 1)""",
+    "sets AS (SELECT item AS subset, 1 AS size, freq FROM often UNION ALL FROM pairs UNION ALL FROM triples)",
+]
+
+
+@register(
+    "frequent_subsets",
+    _sql(
+        _SUBSETS,
+        "SELECT subset, CAST(size AS INTEGER) AS size, freq FROM sets "
+        f"WHERE freq > {O._d(SUBSET_SUPPORT)} * (SELECT n FROM nb)",
+    ),
+)
+def q_frequent_subsets(spark, sf_dir):
+    return presentable(run(spark, sf_dir, UNCAPPED).frequent_subsets(SUBSET_SUPPORT, SUBSET_ITEMS))
+
+
 # =================================================================== recommend
 
 _LNP = (
@@ -497,6 +571,7 @@ _LOO_STEPS = [
 _LOO = _MINING + _LOO_STEPS
 _UNIQUE = DEFAULT.with_(unique=True)
 _LOO_UNIQUE = O.mining_ctes(_UNIQUE) + _LOO_STEPS
+_LOO_UNCAPPED = _MINING_UNCAPPED + _LOO_STEPS
 
 
 @register(
@@ -527,6 +602,18 @@ def q_topn_recs(spark, sf_dir):
     return presentable(run(spark, sf_dir).topn_recs)
 
 
+@register(
+    "topn_recs_uncapped",
+    _sql(
+        _LOO_UNCAPPED,
+        "SELECT register, receipt, label, CAST(rank AS INTEGER) AS rank, item, "
+        "round(log_score, 6) AS log_score FROM ltop",
+    ),
+)
+def q_topn_recs_uncapped(spark, sf_dir):
+    return presentable(run(spark, sf_dir, UNCAPPED).topn_recs)
+
+
 @register(
     "topn_recs_unique",
     _sql(
@@ -656,7 +743,7 @@ def q_tsv_roundtrip(spark, sf_dir):
 # =================================================================== classification
 
 _INDEX = "item_index AS (SELECT item, freq, CAST(row_number() OVER (ORDER BY freq, item) AS INTEGER) AS idx FROM frequent)"
-_TRAIN = _MINING + [
+_TRAIN_STEPS = [
     _INDEX,
     "fi AS (SELECT b.register, b.receipt, i.idx FROM bitems b JOIN item_index i ON i.item = b.item)",
     "fl AS (SELECT register, receipt, list_sort(list(idx)) AS fidx FROM fi GROUP BY register, receipt)",
@@ -666,6 +753,17 @@ _TRAIN = _MINING + [
 ]
 
 
+_TRAIN = _MINING + _TRAIN_STEPS
+
+
+@register(
+    "training_rows_uncapped",
+    _sql(_MINING_UNCAPPED + _TRAIN_STEPS, "SELECT label, array_to_string(indices, '|') AS indices FROM train"),
+)
+def q_training_rows_uncapped(spark, sf_dir):
+    return presentable(run(spark, sf_dir, UNCAPPED).training_rows)
+
+
 @register("item_index", _sql(_TRAIN, "SELECT item, freq, idx FROM item_index"))
 def q_item_index(spark, sf_dir):
     return run(spark, sf_dir).item_index
@@ -685,7 +783,7 @@ def q_training_counts(spark, sf_dir):
 def q_libsvm_roundtrip(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    data = run(spark, sf_dir).training_data
+    data = run(spark, sf_dir).libsvm_data
     arr = vector_to_array(F.col("features"))
     ones = F.filter(
         F.transform(arr, lambda v, i: F.when(v != 0, i + 1)), lambda x: x.isNotNull()
@@ -693,12 +791,27 @@ def q_libsvm_roundtrip(spark, sf_dir):
     return presentable(data.select("label", ones.alias("indices")))
 
 
-@register("train_test_split")
+_ROW_KEY = """'{"register":' || l.register || ',"receipt":' || l.receipt || '}|' || l.idx"""
+
+
+@register(
+    "train_test_split",
+    _sql(
+        _TRAIN
+        + [
+            f"""keyed AS (
+  SELECT CAST(l.idx AS DOUBLE) AS label, {_ROW_KEY} AS row_key
+  FROM fi l JOIN fl ON fl.register = l.register AND fl.receipt = l.receipt WHERE len(fl.fidx) > 1)"""
+        ],
+        f"SELECT row_key, label, CASE WHEN CAST('0x' || substr(md5(row_key), 1, 8) AS BIGINT) % 100 < {C.TRAIN_PERCENT} "
+        "THEN 'train' ELSE 'test' END AS split FROM keyed",
+    ),
+)
 def q_train_test_split(spark, sf_dir):
     train, test = C.train_test_split(run(spark, sf_dir).training_data)
-    return train.select(F.lit("train").alias("split"), "label").unionByName(
-        test.select(F.lit("test").alias("split"), "label")
-    ).groupBy("split").agg(F.count("*").alias("n"))
+    return train.select("row_key", "label", F.lit("train").alias("split")).unionByName(
+        test.select("row_key", "label", F.lit("test").alias("split"))
+    )
 
 
 @register("rf_predict")
@@ -714,10 +827,7 @@ def q_rf_matches(spark, sf_dir):
 @register("rf_accuracy")
 def q_rf_accuracy(spark, sf_dir):
     pred = run(spark, sf_dir).rf_predictions
-    return pred.agg(
-        F.count("*").alias("n_test"),
-        F.avg((F.col("indexedLabel") == F.col("prediction")).cast("double")).alias("accuracy"),
-    )
+    return pred.agg(F.count("*").alias("n_test")).withColumn("accuracy", F.lit(C.accuracy(pred)))
 
 
 @register("ml_nb_predict")
@@ -799,7 +909,8 @@ def q_item_freq_since(spark, sf_dir):
     return run(spark, sf_dir, _ITEMS_2_7).item_freq_since(SINCE_YEARS)
 
 
-_ITEMS = DEFAULT.with_(taxo=False)
+# One month of raw items: short enough that some are sold at one register only.
+_ITEMS = DEFAULT.with_(taxo=False, timerange=("1996-01-01", "1996-01-31"))
 
 
 @register(

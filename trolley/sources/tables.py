@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .fixtures import Tables
@@ -51,16 +51,23 @@ CATEGORY_IDS = T.StructType(
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and cast the schema's columns; fail on a missing column.
 
-    Quantities and totals that come as decimals stay exact decimals.
+    Quantities become DECIMAL(18,3), so that a cancelled item nets to exactly
+    0, and totals keep the numeric type they come with; decimals stay as they are.
     """
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
-    exact = {"qty", "total"}
-    keep = {f.name for f in df.schema.fields if f.name in exact and isinstance(f.dataType, T.DecimalType)}
-    return df.select(
-        [df[f.name] if f.name in keep else df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
-    )
+
+    def column(f: T.StructField) -> Column:
+        have = df.schema[f.name].dataType
+        if f.name in ("qty", "total") and isinstance(have, T.DecimalType):
+            return df[f.name]
+        if f.name == "total" and isinstance(have, T.NumericType):
+            return df[f.name]
+        want = T.DecimalType(18, 3) if f.name == "qty" else f.dataType
+        return df[f.name].cast(want).alias(f.name)
+
+    return df.select([column(f) for f in schema.fields])
 
 
 def read_tables(
