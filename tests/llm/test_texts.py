@@ -157,6 +157,42 @@ def test_lm_scores(shipped, documents, stages):
     assert lm_score.fit(documents([]), target, size=6).log_target.shape == (4,)
 
 
+def test_lm_scores_count_every_word(shipped, documents):
+    """Rare words have their own counts, more of them than the bounded vocabulary holds; against brute force."""
+    rows = [(i, " ".join(f"r{i * 150 + j}x" for j in range(150)) + " the cat sat") for i in range(20)]
+    rows += [(100 + i, f"r{i}x the R{i + 1}X the r{i}x") for i in range(20)] + [(200, None), (201, "?!"), (None, "the cat"), (None, "the cat"), (3, "the cat")]
+    target = {i for i in range(100, 110)} | {3}
+    ids = shipped.createDataFrame([(i,) for i in [*target, 100, None, 999]], "doc_id bigint")
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    tables = []
+    for some in ([t for i, t in rows if i in target], [t for _, t in rows]):
+        pairs = Counter(p for t in some for p in zip(["", *words(t)], words(t)))
+        unigram, context = Counter(), Counter()
+        for (v, w), n in pairs.items():
+            unigram[w] += n
+            context[v] += n
+        tables.append((pairs, unigram, context, sum(pairs.values())))
+    size = len(tables[1][1])
+    assert size > lm_score.VOCABULARY
+
+    def loss(text, pairs, unigram, context, total):
+        m = max(1.0, lm_score.SMOOTHING * total)
+        found = [
+            np.log((pairs[v, w] + m * (unigram[w] + 1) / (total + size)) / (context[v] + m)) for v, w in zip(["", *words(text)], words(text))
+        ]
+        return -np.mean(found) if found else 0.0
+
+    want = sorted((-1 if i is None else i, len(words(t)), *(loss(t, *table) for table in tables)) for i, t in rows)
+    # One block and bucket, and many of both.
+    for small in ({}, {"block_bytes": 3000, "bucket_bytes": 5000}):
+        got = lm_score.score_corpus(documents(rows), ids, **small).collect()
+        found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.loss_target, r.loss_background) for r in got)
+        assert np.allclose(found, want, rtol=1e-9, atol=1e-12)
+        assert all(r.score == r.loss_background - r.loss_target for r in got)
+    assert lm_score.score_corpus(documents([]), ids).collect() == []
+    assert len(lm_score.score_corpus(documents(rows), ids.limit(0)).collect()) == len(rows)
+
+
 # -- pages
 
 

@@ -1,18 +1,24 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target corpus and one of all documents, share one
-vocabulary: the commonest words of all documents and a symbol for the rest.
-Both smooth alike: p(w | v) = (c(v w) + m p(w)) / (c(v) + m), with add-one word
-probabilities p(w), and m in proportion to the corpus, so that neither model is
-smoother than the other because its corpus is larger. A document's score is the
-mean, over its words, of log p_target - log p_background: higher is closer to
-the target.
-
-Counts cover every document: words, then pairs of word numbers, are counted in
-the map tasks and summed by Spark, so what is gathered follows the corpus. What
-reaches the driver and is broadcast is bounded by the vocabulary size alone: at
-most vocabulary^2 pairs (2048^2; two tables of 16 MB). Texts move once, to meet
-the ids of the target documents.
+vocabulary: every word of all documents. Both smooth alike:
+p(w | v) = (c(v w) + m p(w)) / (c(v) + m), with add-one word probabilities
+p(w), and m in proportion to the corpus, so that neither model is smoother than
+the other because its corpus is larger. A document's score is the mean, over
+its words, of log p_target - log p_background: higher is closer to the target.
+
+score_corpus() counts every document and every word, and nothing of that
+reaches the driver. Texts move once, dealt by id into blocks of bounded size,
+where they meet the ids of the target documents. Each block sends its distinct
+pairs and words, as 64-bit names with counts, to buckets of names; a bucket
+sums them and answers each block with the sums, in the order asked.
+A name reaches its bucket once a block, however often it stands there, so a
+common word is no hot key. Blocks and buckets grow in number with the corpus,
+not in size.
+
+fit() and score() are the same models over a bounded vocabulary, its commonest
+words and a symbol for the rest, small enough to broadcast and to apply to
+other documents; op5 does not use them.
 
 Null, empty and wordless texts have no words and score 0. Null ids are scored
 like others, but are no target. Repeated rows count and score as often as they
@@ -21,6 +27,8 @@ stand there. Without any target document both models are equal up to smoothing.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import NOT_ALNUM, chunks, words
+from .tokens import NOT_ALNUM, chunks, mix, words
 
 VOCABULARY = 2048
 #: Strength of the smoothing, as a share of a corpus' words.
 SMOOTHING = 1e-4
 UNKNOWN, START = 0, 1
+#: Bytes of text of a block, and bytes of text whose share of all names goes to one bucket.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+PAIR, WORD, TEXT = range(3)
+#: What is counted of a name, and how the packed values are stored.
+COUNTS = ("n", "ends", "n_target", "ends_target")
+ASKED, ANSWERED = [np.uint64, *[np.uint32] * len(COUNTS)], [np.int64] * len(COUNTS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -150,6 +164,123 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, n_words bigint, loss_target double, loss_background double, score double")
 
 
+def _names(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names of the pair and of the word that end at each word, one row each; words of each text; words before each text)
+
+    A name is a hash whose two lowest bits tell its kind.
+    """
+    found, counts = [np.zeros((2, 0), np.uint64)], [np.zeros(0, np.int64)]
+    for piece in texts.chunks:
+        for _, part in chunks(piece):
+            w = words(part, NOT_ALNUM, lower=True)
+            h = w.hashes()
+            previous = np.empty_like(h)
+            previous[1:] = h[:-1]
+            previous[w.first[:-1][w.counts > 0]] = START
+            pair = mix(mix(previous + np.uint64(0x9E3779B97F4A7C15)) + h)
+            found.append(np.stack([n & ~np.uint64(3) | np.uint64(kind) for kind, n in ((PAIR, pair), (WORD, h))]))
+            counts.append(w.counts)
+    n = np.concatenate(counts)
+    return np.concatenate(found, axis=1), n, np.cumsum(n) - n
+
+
+def _pack(columns: Sequence[np.ndarray]) -> bytes:
+    """Arrays of one length, byte by byte of their values (most are small), compressed."""
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns)
+    return zlib.compress(b"".join(planes), 1)
+
+
+def _unpack(packed: bytes, kinds: Sequence[type]) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(sum(sizes), -1)
+    ends = np.cumsum(sizes)
+    return [np.ascontiguousarray(planes[e - n : e].T).reshape(-1).view(k) for e, n, k in zip(ends, sizes, kinds)]
+
+
+def score_corpus(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOOTHING, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_words, loss_target, loss_background (nats per word) and score, for every row of docs.
+
+    Models of the documents whose doc_id is in target_ids and of all documents,
+    over the whole vocabulary.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
+    block = lambda c: F.pmod(c, F.lit(blocks)).alias("block")
+    doc_id = F.col("doc_id").cast("bigint")
+    # Rows without id are no target: their text deals them out.
+    texts = docs.select(block(F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(doc_id))), doc_id.alias("doc_id"), "text")
+    ids = target_ids.select(block(F.xxhash64(doc_id)), doc_id.alias("target")).where(F.col("target").isNotNull()).distinct()
+
+    def ask(t: pa.Table, ids: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(t):
+            found, n, first = _names(t["text"])
+            wanted = np.isin(t["doc_id"].fill_null(0).to_numpy(), ids["target"].to_numpy()) & t["doc_id"].is_valid().to_numpy()
+            name, at = np.unique(np.append(found, np.uint64(TEXT)), return_inverse=True)
+            at = at.reshape(-1)
+            last = found.shape[1] + (first + n)[n > 0] - 1  # the words that no word follows
+            inside = np.tile(np.repeat(wanted, n), 2)
+            count = lambda some: np.bincount(some, minlength=len(name)).astype(np.uint32)
+            counts = [count(at[:-1]), count(at[last]), count(at[:-1][inside]), count(at[last[wanted[n > 0]]])]
+            # Texts with words, the context of their first words, have a name too.
+            counts[0][at[-1]], counts[2][at[-1]] = (n > 0).sum(), ((n > 0) & wanted).sum()
+            # Buckets are ranges of names; sorted names are sent as steps from one to the next.
+            bucket = (name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64)).tolist()
+            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                steps = np.diff(name[lo:hi], prepend=np.uint64(0))
+                out.append((t["block"][0].as_py(), b, _pack([steps, *(c[lo:hi] for c in counts)])))
+        schema = pa.schema({"block": pa.int64(), "bucket": pa.int64(), "asked": pa.binary()})
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def answer(t: pa.Table) -> pa.Table:
+        rows = [_unpack(r, ASKED) for r in t["asked"].to_pylist()]
+        cuts = np.cumsum([0, *(len(r[0]) for r in rows)]).tolist()
+        name, at = np.unique(np.concatenate([np.cumsum(r[0], dtype=np.uint64) for r in rows]), return_inverse=True)
+        at = at.reshape(-1)
+        # Sums of floats are exact up to 2^53.
+        sums = [np.bincount(at, np.concatenate([r[i] for r in rows]), len(name)).astype(np.int64) for i in range(1, len(ASKED))]
+        word = (name & np.uint64(3)) == WORD
+        facts = [int(word.sum()), int(sums[0][word].sum()), int(sums[2][word].sum())]
+        packed = [_pack([c[at[lo:hi]] for c in sums]) for lo, hi in zip(cuts, cuts[1:])]
+        columns = [t["block"], t["bucket"], pa.array(packed, pa.binary()), *(pa.array([f] * len(t), pa.int64()) for f in facts)]
+        return pa.table(columns, names=["block", "bucket", "answered", "vocabulary", "words", "words_target"])
+
+    def rate(t: pa.Table, answers: pa.Table) -> pa.Table:
+        found, n, first = _names(t["text"])
+        # The same sorted names as were asked for, so the buckets' answers follow one another.
+        at = np.unique(np.append(found, np.uint64(TEXT)), return_inverse=True)[1].reshape(-1)
+        answers = answers.sort_by("bucket")
+        rows = [_unpack(r, ANSWERED) for r in answers["answered"].to_pylist()]
+        counted = dict(zip(COUNTS, (np.concatenate(c) for c in zip(*rows))))
+        vocabulary = sum(answers["vocabulary"].to_pylist())
+        pair, word, text = at[: found.shape[1]], at[found.shape[1] : -1], at[-1]
+        doc = np.repeat(np.arange(len(n)), n)
+        loss = []
+        for corpus in ("_target", ""):
+            c, total = counted["n" + corpus], sum(answers["words" + corpus].to_pylist())
+            context = np.empty(len(word), np.int64)
+            context[1:] = (c - counted["ends" + corpus])[word[:-1]]
+            context[first[n > 0]] = c[text]
+            m = max(1.0, smoothing * total)
+            p = (c[word] + 1.0) / (total + vocabulary)
+            nats = np.log((c[pair] + m * p) / (context + m))
+            loss.append(-np.bincount(doc, nats, len(n)) / np.maximum(n, 1) + 0.0)
+        return pa.table(
+            [t["doc_id"], pa.array(n.astype(np.int64)), *map(pa.array, loss), pa.array(loss[1] - loss[0])],
+            names=["doc_id", "n_words", "loss_target", "loss_background", "score"],
+        )
+
+    by_block = texts.groupBy("block")
+    asked = by_block.cogroup(ids.groupBy("block")).applyInArrow(ask, "block bigint, bucket bigint, asked binary")
+    answered = asked.groupBy("bucket").applyInArrow(
+        answer, "block bigint, bucket bigint, answered binary, vocabulary bigint, words bigint, words_target bigint"
+    )
+    return by_block.cogroup(answered.groupBy("block")).applyInArrow(
+        rate, "doc_id bigint, n_words bigint, loss_target double, loss_background double, score double"
+    )
+
+
 def good_ids(labels: DataFrame) -> DataFrame:
     """doc_id of the documents labelled good and not toxic: the default target corpus."""
     return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id")

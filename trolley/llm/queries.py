@@ -27,7 +27,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, lm_score.good_ids(table(spark, sf_dir, "labels"))))
+    return lm_score.score_corpus(docs, lm_score.good_ids(table(spark, sf_dir, "labels")))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
