@@ -210,6 +210,28 @@ def test_main_text():
     assert page(html_extract.parse("<div>a<!-- b --><div style='display: none'>c</div>d</div>"), set()) == "a\n\nd"
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<p>See <a href="/hidden-lake" title="A">the lake</a></p>', "See the lake"),
+        ('<article data-title="the hidden valley" data-style="display:none"><p>Walk</p></article>', "Walk"),
+        ("<p>a<b class='x' class='ad'>b</b><i HIDDEN>c</i><u aria-hidden=true>d</u><s hidden=''>e</s></p>", "ab"),
+        *((f'<div class="{c}"><p>Long text</p></div>', "Long text") for c in ("content has-sidebar", "content no-sidebar", "post comments-open", "social-policy", "search-engines", "notice-of-appeal")),
+        *((f'<p>x</p><div class="{c}"><p>gone</p></div>', "x") for c in ("ad", "site-footer", "main-nav", "comments-area", "cookie_consent-banner", "x social-share-buttons", "widget-2", "related-posts")),
+        # A wrapper of the main element or of the page's article stays, whatever it is called.
+        ('<div>top</div><div class="widget"><main><p>Text</p></main></div>', "Text"),
+        ('<form><div class="page social"><article class="related"><p>All of the text</p></article></div></form><p>low</p>', "All of the text"),
+        ('<main><h1>H</h1><div class="popup"><article>All of the text</article></div></main>', "All of the text"),
+        # Teasers and what the page hides itself do not.
+        ("<article>Text of the page</article><aside><article>Another page, with a long teaser</article></aside>", "Text of the page"),
+        ('<p>Text of this page</p><div class="related"><article>Teaser</article></div>', "Text of this page"),
+        ("<p>Text</p><div hidden><article>Not shown, though it is longer</article></div>", "Text"),
+    ],
+)
+def test_only_whole_names_hide(html, text):
+    assert html_extract.text_of(html_extract.parse(html), set()) == text
+
+
 def test_style_tree(shipped, stages):
     """Unnamed boilerplate goes because it is alike on all pages of its host; content stays."""
     def page(i):

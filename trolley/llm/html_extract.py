@@ -8,7 +8,8 @@ alike on all pages of a host has no entropy: menus, notices, footers. Branches
 whose every node has low importance are removed from each page. What an
 element's name says is used besides: navigation, forms, scripts, asides,
 adverts and reader comments go wherever they stand, and where a page marks its
-article, only that is kept.
+article, only that is kept. A name tells that only as a whole; a wrapper stays,
+whatever its name, if the main element or the page's article stands in it.
 
 Spark does the merging: each page gives one row for each node with hashes of
 its child sequence and text; these are counted by (host, node, value), so a
@@ -63,18 +64,31 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-# Words of class, id and role values that name parts which are not the article.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|"
+# Of these, the ones that pages also put around their whole content.
+WRAPPERS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+# Class, id and role values that name parts which are not the article: such a word, alone or with words for a place before
+# it and for a part of a page behind it. Words of other meaning make it another name: has-sidebar, social-policy.
+_WORD = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|"
     r"masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|related|replies|"
-    r"respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search)(?:$|[\s_-])"
+    r"respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget|contentinfo|complementary|search)"
 )
+_PLACE = (
+    r"(?:article|bottom|desktop|entry|fixed|floating|global|header|inline|js|left|main|mobile|page|post|primary|right|"
+    r"secondary|site|sticky|story|sub|tertiary|top|user|wp)"
+)
+_PART = (
+    r"(?:area|articles|bar|block|body|bottom|box|btn|buttons?|center|close|column|container|content|field|form|group|head|"
+    r"header|heading|holder|icons?|inner|input|items?|label|left|links?|list|main|media|outer|overlay|panel|posts|primary|"
+    r"right|row|secondary|section|signup|slot|stories|strip|thread|title|to|toggle|tools|top|unit|wrap|wrapper|\d+)"
+)
+_NOISE = re.compile(rf"(?:{_PLACE}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PART}))*[_-]*")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
@@ -84,6 +98,7 @@ class Node:
     tag: str
     path: str
     hidden: bool = False
+    stated: bool = False  # hidden by the page itself, not for its name
     children: list = field(default_factory=list)  # nodes and strings
 
 
@@ -91,6 +106,7 @@ def parse(page: str) -> Node:
     """Tree of a page; unclosed and misnested elements end where browsers end them."""
     root = Node("#root", "")
     stack = [root]
+    marked: list[tuple[Node, list[Node]]] = []  # main and article elements, and what hides them
     at = 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
@@ -114,20 +130,29 @@ def parse(page: str) -> Node:
             _close(stack, {"p"}, {"button", "td", "th", "table", "div", "article", "section"})
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
-        attributes = {a.lower(): v.strip("\"'") for a, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+        # Of a repeated attribute the first counts.
+        attributes = {a.lower(): v.strip("\"'") for a, v in reversed(_ATTRIBUTE.findall(m[3]))} if m[3] else {}
         names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()
         inside = any(n.tag == "article" for n in stack)
         # Numbers in names differ from page to page; the style is the same.
         look = re.sub(r"\d+", "0", attributes.get("class", "").lower()).strip()
         node = Node(tag, f"{stack[-1].path}/{tag}" + (f".{look}" if look else ""))
-        node.hidden = (
-            tag in NEVER and not (tag == "header" and inside)
-            or (bool(names.strip()) and tag not in ("html", "body", "main") and bool(_NOISE.search(names)))
-            or ("header" in names.split() and not inside)
+        node.stated = (
+            tag in NEVER - WRAPPERS
             or "hidden" in attributes
             or attributes.get("aria-hidden", "") == "true"
             or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         )
+        node.hidden = (
+            node.stated
+            or tag in NEVER and not (tag == "header" and inside)
+            or tag not in ("html", "body", "main") and any(map(_NOISE.fullmatch, names.split()))
+            or ("header" in names.split() and not inside)
+        )
+        if tag in ("article", "main"):
+            hides = [n for n in (*stack, node) if n.hidden]
+            if not any(n.stated for n in hides):
+                marked.append((node, hides))
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in BLOCKS_CLOSE_P:
             continue
@@ -140,9 +165,43 @@ def parse(page: str) -> Node:
         stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
+    _reveal(root, marked)
     return root
 
 
+def _reveal(root: Node, marked: list[tuple[Node, list[Node]]]) -> None:
+    """Shows the wrappers of the main element and, if no article is seen otherwise, of the page's articles.
+
+    Articles in a hidden part are the page's own if they hold more text than all that is seen without them; else they
+    are teasers of other pages.
+    """
+    for node, hides in marked:
+        if node.tag == "main":
+            for n in hides:
+                n.hidden = False
+    articles = [(node, hides) for node, hides in marked if node.tag == "article"]
+    if articles and all(any(n.hidden for n in hides) for _, hides in articles):
+        names = [(n, n.hidden) for _, hides in articles for n in hides]
+        before = sum(map(_length, _articles(root) or [root]))
+        for n, _ in names:
+            n.hidden = False
+        if sum(map(_length, _articles(root))) <= before:
+            for n, hidden in names:
+                n.hidden = hidden
+
+
+def _length(top: Node) -> int:
+    """Characters of text seen under a node, white space at the ends of its pieces left out."""
+    total, stack = 0, [top]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                total += len(c.strip())
+            elif not c.hidden:
+                stack.append(c)
+    return total
+
+
 def _close(stack: list[Node], names: set[str], fences: set[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in fences:
