@@ -98,6 +98,22 @@ def test_held_out_accuracy(shipped, model, label, least):
     assert sum(p == y for p, y in known) / len(known) >= least
 
 
+@pytest.mark.parametrize("table,least", [("sf0.01", 0.5), ("sf0.1", 0.7)])
+def test_toxic_rows_are_found(shipped, table, least):
+    """Held-out toxic rows, by few labels and by more; accuracy alone is high if none is found."""
+    docs = shipped.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    labels = shipped.read.parquet(f"/root/testdata/{table}/labels.parquet")
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
+    found = [rows[r.doc_id].predicted for r in labels.where("toxic = 1").collect() if rows[r.doc_id].held_out]
+    assert sum(found) / len(found) >= least
+
+
+def test_few_rows_follow_the_base_rate():
+    spec = subword.Spec(telling=True)
+    model = subword.train(["some words", "other words", "more of them", "bad words"], [0, 0, 0, 1], spec)
+    assert subword.score(["nothing known"], model)[0] < 0.5
+
+
 def test_classifier_edges(shipped, documents):
     spec = subword.Spec(epochs=3, min_texts=1)
     rows = [(i, "good words here" if i % 2 else "### $$$ ###") for i in range(40)] + [(100, None), (101, ""), (102, " \n"), (None, "good")]

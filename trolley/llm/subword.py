@@ -33,6 +33,8 @@ class Spec:
     bits: int = 19  # 2^bits feature buckets
     #: Buckets seen in fewer fitting texts keep a zero vector: they only tell texts apart by heart.
     min_texts: int = 5
+    #: Instead, learn the buckets whose texts' classes chance does not explain, few texts or many; see _telling.
+    telling: bool = False
     dim: int = 4
     epochs: int = 8
     #: Few rows are gone through more often, until so many batches have been seen.
@@ -115,6 +117,21 @@ def _bags(texts: list[str], spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int) -> np.ndarray:
+    """Buckets whose share of class 1 is far from that of all texts.
+
+    For n texts that differ from the base rate by a relative entropy of d nats, chance gives as much in a share of
+    exp(-n d) of all buckets at most; it should do so for about one of those seen. So how many texts a bucket needs
+    follows the class sizes: the rarer its class, the fewer.
+    """
+    count = lambda some: np.bincount(np.concatenate([b[0] for b in some]), minlength=size)
+    texts, ones, base = count(bags), count([b for b, one in zip(bags, y) if one]), y.mean()
+    share = ones / np.maximum(texts, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
+    return (texts > 0) & (texts * d >= np.log(max(2, np.count_nonzero(texts))))
+
+
 def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
     """Softmax over two classes by minibatch SGD with Adagrad step sizes."""
     rng = np.random.RandomState(spec.seed)
@@ -128,7 +145,11 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
     g_emb = np.full(size, 1e-8, dtype=np.float32)
     g_out = np.full(out.shape, 1e-8, dtype=np.float32)
     bags, y = _bags(texts, spec), np.asarray(labels)
-    seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=size) >= spec.min_texts
+    if spec.telling:
+        seen = _telling(bags, y, size)
+        bias[1] = np.log(y.mean() / (1 - y.mean()))
+    else:
+        seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=size) >= spec.min_texts
     # Only buckets seen often enough are learned; they are numbered densely while training.
     number = np.cumsum(seen) - 1
     bags = [(number[u[seen[u]]], share[seen[u]]) for u, share in bags]
@@ -141,6 +162,11 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), spec.batch):
             part = order[lo : lo + spec.batch]
+            if spec.telling:  # texts without a learned bucket tell about the bias
+                blank = [y[i] for i in part if not len(bags[i][0])]
+                one = np.float32(1 / (1 + np.exp(bias[0] - bias[1])))
+                pull = np.float32(0.05 * sum(one - b for b in blank) / len(part))
+                bias += np.array([pull, -pull], dtype=np.float32)
             part = [i for i in part if len(bags[i][0])]
             if not part:
                 continue

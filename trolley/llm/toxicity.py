@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from . import subword
 
-#: Toxic words are few in a long text: only buckets that many fitting texts share tell about unseen ones.
-SPEC = subword.Spec(lower=True, word_pairs=False, ngrams=(3, 4, 5), min_texts=20, rows_per_class=(3000, 1500))
+#: Toxic words are few in a long text: only buckets whose texts' classes chance does not explain are learned.
+SPEC = subword.Spec(lower=True, word_pairs=False, ngrams=(3, 4, 5), telling=True, rows_per_class=(3000, 1500))
 THRESHOLD = 0.5
 
 
