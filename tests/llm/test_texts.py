@@ -63,6 +63,22 @@ def test_license_scan(documents):
     assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in got)
 
 
+def test_license_bodies(documents):
+    """Passages of the licences themselves, wrapped over lines and with a word changed, without a notice."""
+    bodies = {
+        "gpl-3.0": "For the developers' and authors' protection, the GPL requires that modified versions\nbe marked as changed, so that their problems will not be attributed erroneously to authors of earlier versions.",
+        "lgpl": "When a program is linked with a library, whether statically or using\na shared library, the combination of the two is legally a combined work, a derivative of the original library.",
+        "agpl": "It requires the operator of a network server to\nprovide the source code of the modified version running there to the users of that server.",
+        "epl": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE,\nREPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT\'S ACCEPTANCE OF THIS AGREEMENT.',
+        "artistic-2.0": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",
+        "public-domain": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, and by any means.",
+        "cc-by-nc": "NonCommercial means not primarily intended for or directed towards commercial advantage or monetary compensation.",
+        "": "under the terms of the General Public Library, provided that the output of the program is a work",
+    }
+    got = license_scan.scan_licenses(documents(list(enumerate(bodies.values())))).collect()
+    assert [r.labels for r in sorted(got, key=lambda r: r.doc_id)] == list(bodies)
+
+
 def test_matching_statistics():
     """The automaton's longest matches, against a search for every substring."""
     scanner = license_scan.Scanner(templates=(("t", "a b c a b d"), ("u", "b c b c a")), base=(("a b", "x"),), min_run=1)

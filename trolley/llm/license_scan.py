@@ -8,7 +8,7 @@ gaps, into spans of one template; a template whose best span covers at least
 ``MIN_COVER`` of it gives its label. Base phrases are found on the way: a
 phrase stands at a place when it is a suffix of the current run.
 
-The automaton is built from the constants below (a few hundred words) and goes
+The automaton is built from the constants below (some hundred words) and goes
 to the tasks in the function's closure; texts are scanned whole, row by row, so
 no row moves and memory is bounded by the longest text.
 
@@ -49,6 +49,25 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("public-domain", "This is free and unencumbered software released into the public domain"),
+    # Names that no other licence's text holds, and passages of the licences themselves that their relatives do not share.
+    ("agpl", "GNU Affero General Public License"),
+    ("agpl", "It requires the operator of a network server to provide the source code of the modified version running there to the users of that server"),
+    ("apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("artistic-2.0", "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc-by-nc", "NonCommercial means not primarily intended for or directed towards commercial advantage or monetary compensation"),
+    ("cc-by-sa-4.0", "The Adapter's License You apply must be a Creative Commons license with the same License Elements, this version or later, or a BY-SA Compatible License"),
+    ("cc0", "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights"),
+    ("epl", "The accompanying program is provided under the terms of this Eclipse Public License (\"Agreement\"). Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement"),
+    ("gpl-2.0", "the output from the Program is covered only if its contents constitute a work based on the Program (independent of having been made by running the Program)"),
+    ("gpl-3.0", "the GPL requires that modified versions be marked as changed, so that their problems will not be attributed erroneously to authors of previous versions"),
+    ("isc", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("lgpl", "When a program is linked with a library, whether statically or using a shared library, the combination of the two is legally speaking a combined work, a derivative of the original library"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mpl-2.0", "Covered Software means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof"),
+    ("public-domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 )
 MIN_RUN = 3
 MAX_GAP = 6
