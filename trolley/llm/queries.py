@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, html_extract, license_scan, lm_score, mixing, ngram_join, quality, recompression, toxicity
+from . import (
+    cover_tree, decontaminate, html_extract, license_scan, lm_score, mixing, ngram_join, quality, recompression, token_counts, toxicity,
+)
 from .common import Stages, table
 
 
@@ -51,11 +54,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"), Stages(spark, "op10"))
 
 
+#: Token limit of the report, and the tokenizer file it counts with.
+TOKEN_LIMIT = 512
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    counted = token_counts.count_tokens(docs, token_counts.frequent_table(docs, public_tokenizers.path(TOKENIZER)))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 SPARK = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_license_scan, op3_quality_classifier, op4_mixing, op5_lm_scoring, op6_html_extraction,
-        op7_toxicity, op8_decontamination, op9_substring_dedup, op10_ngram_join,
+        op7_toxicity, op8_decontamination, op9_substring_dedup, op10_ngram_join, op13_token_counts,
     )
 }
 ORACLE: dict[str, str] = {}
