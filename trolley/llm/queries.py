@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    cover_tree, decontaminate, html_extract, license_scan, lm_score, mixing, ngram_join, quality, recompression, token_counts, toxicity,
+    conversation_repair, cover_tree, decontaminate, html_extract, license_scan, lm_score, mixing, ngram_join, quality, recompression, token_counts, toxicity,
 )
 from .common import Stages, table
 
@@ -54,6 +54,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"), Stages(spark, "op10"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of conversations with faults put in, as the repair query asks for.
+
+    By crc32 of "conv_id:turn" modulo 20: 0 drops the row, 1 empties its text, 2
+    takes its full stops and exclamation and question marks out, 3 repeats it, 4
+    makes it the user's. Nulls count as one space.
+    """
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    fate = F.crc32(F.concat_ws(":", shown[0], shown[1]).cast("binary")) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace(shown[3], "[.!?]", "")).otherwise(shown[3])
+    rows = conversations.where(fate != 0).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.when(fate == 4, "user").otherwise(shown[2]).alias("role"),
+        text.alias("text"), F.explode(F.sequence(F.lit(1), F.when(fate == 3, 2).otherwise(1))).alias("_copy"),
+    )
+    return rows.drop("_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(damaged(conversations), Stages(spark, "op12"), conversations)
+
+
 #: Token limit of the report, and the tokenizer file it counts with.
 TOKEN_LIMIT = 512
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,7 +93,8 @@ SPARK = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_license_scan, op3_quality_classifier, op4_mixing, op5_lm_scoring, op6_html_extraction,
-        op7_toxicity, op8_decontamination, op9_substring_dedup, op10_ngram_join, op13_token_counts,
+        op7_toxicity, op8_decontamination, op9_substring_dedup, op10_ngram_join, op12_conversation_repair,
+        op13_token_counts,
     )
 }
 ORACLE: dict[str, str] = {}
