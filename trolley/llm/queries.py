@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    conversation_repair, cover_tree, decontaminate, html_extract, license_scan, lm_score, mixing, ngram_join, quality, recompression, token_counts, toxicity,
+    conversation_repair, conversation_trie, cover_tree, decontaminate, html_extract, license_scan, lm_score, mixing, ngram_join, quality, recompression, token_counts, toxicity,
 )
 from .common import Stages, table
 
@@ -54,6 +54,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"), Stages(spark, "op10"))
 
 
+def rebuilt(turns: DataFrame, ids: DataFrame) -> DataFrame:
+    """turns with the first h of each conversation c taken from conversation c - c % 20, h = crc32(c) % 4."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).alias("_h")
+    own = turns.where(F.col("pos") > h)
+    heads = turns.where((F.col("conv_id") % 20 == 0) & (F.col("pos") <= 3)).withColumnRenamed("conv_id", "_base")
+    wanted = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("_base"), h)
+    return own.unionByName(wanted.join(heads, "_base").where(F.col("pos") <= F.col("_h")).select(turns.columns))
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark, "op11")
+    turns = stages.put(conversation_trie.turns_of(table(spark, sf_dir, "conversations")))
+    ids = turns.select("conv_id").distinct()
+    return conversation_trie.prefix_trie(rebuilt(turns, ids), ids, stages)
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) of conversations with faults put in, as the repair query asks for.
 
@@ -93,7 +109,7 @@ SPARK = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_license_scan, op3_quality_classifier, op4_mixing, op5_lm_scoring, op6_html_extraction,
-        op7_toxicity, op8_decontamination, op9_substring_dedup, op10_ngram_join, op12_conversation_repair,
+        op7_toxicity, op8_decontamination, op9_substring_dedup, op10_ngram_join, op11_conversation_trie, op12_conversation_repair,
         op13_token_counts,
     )
 }
