@@ -10,6 +10,7 @@ from tests.conftest import SF_SMALL
 from tests.helpers import tables
 from trolley import queries as Q
 from trolley.config import DEFAULT
+from trolley.operators import recommend as R
 from trolley.plans.market_basket import BasketRun
 
 
@@ -55,7 +56,7 @@ def small(spark):
     lines = [(1, i, x, 1.0) for i, b in enumerate(baskets) for x in b]
     t = tables(spark, lines)
     cfg = DEFAULT.with_(taxo=False, support_item=0.15, smooth_k=0.01, topn=3)
-    return baskets, BasketRun(spark, t, cfg, materialize=False)
+    return baskets, BasketRun(spark, t, cfg)
 
 
 def _model(run):
@@ -69,7 +70,7 @@ def _model(run):
 @pytest.mark.parametrize("n", [2, 50])
 def test_recommendations_match_enumeration(spark, small, variant, n):
     baskets, run0 = small
-    run = BasketRun(spark, run0.tables, run0.cfg.with_(topn=n), materialize=False)
+    run = BasketRun(spark, run0.tables, run0.cfg.with_(topn=n))
     rules, p = _model(run)
     got = {}
     for r in run.recommendations(variant).collect():
@@ -96,7 +97,7 @@ def _loo(baskets, rules, p, n, variant="subset"):
 @pytest.mark.parametrize("subset", [True, False])
 def test_leave_one_out_top_lists(spark, small, subset):
     baskets, run0 = small
-    run = BasketRun(spark, run0.tables, run0.cfg.with_(subset=subset), materialize=False)
+    run = BasketRun(spark, run0.tables, run0.cfg.with_(subset=subset))
     rules, p = _model(run)
     got = sorted((r.receipt, r.label, r.top_items, r.hit_rank) for r in run.ranked.collect())
     assert got == sorted(_loo(enumerate(baskets), rules, p, 3, "subset" if subset else "classic"))
@@ -106,11 +107,11 @@ def test_distinct_baskets_null_registers_and_large_ids(spark, small):
     baskets, run0 = small
     big = 2**53 + 1
     lines = [(None if i % 2 else 1, big + i, x, 1.0) for i, b in enumerate(baskets + baskets[:3]) for x in b]
-    run = BasketRun(spark, tables(spark, lines), run0.cfg, materialize=False)
+    run = BasketRun(spark, tables(spark, lines), run0.cfg)
     rules, p = _model(run)
     got = sorted((r.receipt - big, r.label, r.top_items, r.hit_rank) for r in run.ranked.collect())
     assert got == sorted(_loo(enumerate(baskets + baskets[:3]), rules, p, 3))
-    distinct = BasketRun(spark, tables(spark, lines), run0.cfg.with_(unique=True), materialize=False)
+    distinct = BasketRun(spark, tables(spark, lines), run0.cfg.with_(unique=True))
     rules, p = _model(distinct)
     got = sorted((r.label, r.top_items, r.hit_rank) for r in distinct.ranked.collect())
     assert got == sorted(t[1:] for t in _loo(enumerate(baskets), rules, p, 3))
@@ -130,6 +131,57 @@ def test_evaluation_identities(spark):
 
 def test_zero_sized_evaluation(spark):
     t = tables(spark, [(1, 1, "a", 1.0)])
-    run = BasketRun(spark, t, DEFAULT.with_(taxo=False, cartsize_min=1), materialize=False)
+    run = BasketRun(spark, t, DEFAULT.with_(taxo=False, cartsize_min=1))
     o = run.eval_overall.first()
     assert (o.n, o.tp, o.accuracy, o.mae) == (0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("variant", ["classic", "subset", "best"])
+@pytest.mark.parametrize("n,cells", [(3, 1 << 21), (3, 7), (40, 1 << 21)])
+def test_held_out_lists_of_every_variant(spark, small, variant, n, cells, monkeypatch):
+    """Blocks of any size, short and long lists: the same as enumerating each held-out cart."""
+    baskets, run0 = small
+    monkeypatch.setattr(R, "BLOCK_CELLS", cells)
+    rules, p = _model(run0)
+    got = R.ranked_samples(run0.baskets, run0.rule_vectors, variant, n).collect()
+    have = sorted((r.receipt, r.label, r.top_items, r.hit_rank) for r in got)
+    assert have == sorted(_loo(enumerate(baskets), rules, p, n, variant))
+    for r in got:
+        scores = brute_scores([x for x in sorted(set(baskets[r.receipt])) if x != r.label], rules, p, variant)
+        for x, v in zip(r.top_items, r.top_logs):
+            assert (v is None and scores[x] is None) or math.isclose(v, scores[x], rel_tol=1e-9)
+
+
+def test_one_basket_with_a_third_of_all_rows(spark):
+    """A basket of every item, beside many small ones that hold two thirds of the rows."""
+    import random
+
+    rng = random.Random(3)
+    items = [f"i{k:03d}" for k in range(300)]
+    baskets = [items] + [rng.sample(items[:40], 2) for _ in range(300)]
+    lines = [(1, i, x, 1.0) for i, b in enumerate(baskets) for x in b]
+    cfg = DEFAULT.with_(taxo=False, support_item=0.0, cartsize_max=None, topn=4)
+    run = BasketRun(spark, tables(spark, lines), cfg)
+    got = {(r.receipt, r.label): (r.top_items, r.hit_rank) for r in run.ranked.collect()}
+    assert len(got) == sum(map(len, baskets))
+    rules, p = _model(run)
+    # The hot basket without one item lacks that item only.
+    assert all(got[0, x] == ([x], 1) for x in items)
+    for i in range(1, 25):
+        for label in baskets[i]:
+            cart = [x for x in baskets[i] if x != label]
+            top = brute_top(brute_scores(cart, rules, p, "subset"), 4)
+            assert got[i, label] == (top, top.index(label) + 1 if label in top else 0)
+
+
+def test_equal_scores_are_ordered_by_item(spark):
+    """Candidates that score alike keep item order, whatever order the rules come in."""
+    baskets = [["a", x] for x in ("d", "b", "c")] * 5
+    lines = [(1, i, x, 1.0) for i, b in enumerate(baskets) for x in b]
+    run = BasketRun(spark, tables(spark, lines), DEFAULT.with_(taxo=False, support_item=0.1, topn=3))
+    assert {tuple(r.top_items) for r in run.ranked.where("label <> 'a'").collect()} == {("b", "c", "d")}
+
+
+def test_no_rules(spark):
+    run = BasketRun(spark, tables(spark, [(1, 1, "a", 1.0), (1, 1, "b", 1.0)]), DEFAULT.with_(taxo=False, lift_threshold=1e9))
+    assert run.ranked.collect() == [] and run.recommendations("subset").collect() == [] and run.recommendations("best").collect() == []

@@ -1,8 +1,8 @@
-"""Naive Bayes recommendations: score items missing from a basket, by joins.
+"""Naive Bayes recommendations: score the items missing from a basket.
 
 score(X | cart) = P(X) * prod over cart items A with a rule (A, X) of
 P(A given X). Ranking uses logs: ln P(X) + sum ln conf(A, X), rounded to 9
-places, descending, nulls last, ties by item.
+places, descending, unscored ones last, ties by item.
 
 Three variants:
   classic  — X without any rule from the cart is not listed;
@@ -11,23 +11,40 @@ Three variants:
              the single largest factor when none is (a closed form of the
              subset search, exact for carts of any length).
 
-Plan: every basket is taken once. Its items meet the rules on the evidence
-item; the terms of one basket go to one place (its id is the only key that all
-later steps need) and are summed per candidate. A held-out label's score is the
-basket's sum without the label's own term, so leave-one-out needs no second
-pass over the terms. A ``row_number() <= n`` window keeps the best n. No table
-is hinted, collected or shipped whole: Spark sizes the joins.
+Plan. The rule vocabulary (items of any rule; at most mean basket size / item
+support of them) is numbered, and each item has one row vector over it: ln
+confidence of the rule to each candidate, as an integer (see ``scale``). A
+basket's items meet their vectors in one join, whose strategy Spark picks by
+size, and are gathered per basket: as many vectors as it has vocabulary items.
+Integers add up exactly in any order, so a held-out label's scores are the
+basket's sum minus the label's own vector, and leave-one-out needs no second pass
+over the rules. Adding, subtracting and taking the n best run on whole Arrow
+batches in numpy: as rows, every sample has as many candidates as the vocabulary
+has items, and sorting those takes Spark tens of times longer (see README).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BasketConfig
+from ..session import ship
 
 VARIANTS = ("classic", "subset", "best")
 
+#: Scores are ranked by this many parts of one (9 decimal places).
+RANKED = 10**9
+#: Marks: no rule in a vector, a candidate without a score, a candidate that is not listed.
+NO_RULE = UNSCORED = np.int64(-(2**62))
+UNLISTED = np.int64(-(2**63))
+#: Numbers of a block's vectors handled at a time; lists up to this length are found by repeated maxima.
+BLOCK_CELLS, FEW = 1 << 21, 16
+
 
 def variant_of(cfg: BasketConfig) -> str:
     return "subset" if cfg.subset else "classic"
@@ -49,117 +66,233 @@ def log_prob(rule_items: DataFrame, item_freq: DataFrame, n_baskets: Column) ->
     return rule_items.join(item_freq, "item").select(F.col("item").alias("x"), F.ln(F.col("freq") / n_baskets).alias("lnp"))
 
 
-def weighted_rules(rules: DataFrame, lnp: DataFrame) -> DataFrame:
-    """(a, x, l, lnp): evidence item, candidate, ln confidence, ln P(candidate)."""
-    return rules.select("a", F.col("b").alias("x"), F.ln("confidence").alias("l")).join(lnp, "x")
-
-
-def candidate_terms(baskets: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(basket_id, x, own, lnp, parts): a basket's candidates with their terms.
+def scale(n: int) -> int:
+    """Parts of one that logs are counted in, for n vocabulary items: as fine as their sum fits 64 bits.
 
-    parts maps each evidence item to ln confidence (as many as the basket has
-    items at most); own marks candidates that are items of the basket, which
-    count only while they are held out.
+    A basket has at most n terms, and no log of a count's share is beyond 40.
     """
-    evidence = baskets.select("basket_id", "items", F.explode("items").alias("a"))
-    terms = evidence.join(weighted, "a").select(
-        "basket_id", "x", F.array_contains("items", F.col("x")).alias("own"), "lnp", F.struct("a", "l").alias("part")
-    )
-    # All that follows is per basket: one shuffle serves the sums, the labels and the ranking.
-    return (
-        terms.repartition("basket_id")
-        .groupBy("basket_id", "x", "own", "lnp")
-        .agg(F.map_from_entries(F.collect_list("part")).alias("parts"))
-    )
+    return 10 ** (len(str(2**61 // (40 * (n + 2)))) - 1)
 
 
-def log_score(parts: Column, lnp: Column, variant: str) -> Column:
-    """Log score of a candidate from its terms; null without any."""
-    terms = F.array_sort(F.map_values(parts))
-    positive = F.filter(terms, lambda v: v > 0)
+def rule_vectors(rules: DataFrame, lnp: DataFrame) -> DataFrame:
+    """(item, idx, lnp, terms): the vocabulary numbered from 0 in item order, with each item's row vector.
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-
-    if variant == "best":
-        best = F.when(F.size(positive) > 0, total(positive)).otherwise(F.array_max(terms))
-    elif variant in VARIANTS:
-        best = total(terms)
-    else:
+    terms holds as many 64-bit integers as there are vocabulary items: ln
+    confidence of the rule from this item to each of them, NO_RULE without one;
+    lnp is ln P of this item.
+    """
+    ship(rules.sparkSession)
+    listed = lnp.agg(F.array_sort(F.collect_list(F.struct(F.col("x").alias("item"), "lnp"))).alias("v"))
+    vocab = listed.select(F.size("v").alias("n"), F.posexplode("v").alias("idx", "e")).select("n", "idx", "e.item", "e.lnp")
+    to = vocab.select(F.col("item").alias("b"), F.col("idx").alias("x"))
+    links = rules.select("a", "b", F.ln("confidence").alias("l")).join(to, "b").select(F.col("a").alias("item"), "x", "l")
+    lists = vocab.join(links, "item", "left").groupBy("item", "idx", "lnp", "n").agg(
+        F.collect_list(F.when(F.col("x").isNotNull(), F.struct("x", "l"))).alias("links")
+    )
+    return lists.mapInArrow(_dense, "item string, idx int, lnp long, terms binary")
+
+
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(logs: np.ndarray, n: int) -> np.ndarray:
+        return np.rint(logs * float(scale(n))).astype(np.int64)
+
+    for b in batches:
+        n = b.column("n").to_numpy()
+        terms = []
+        for size, links in zip(n.tolist(), b.column("links")):
+            v = np.full(size, NO_RULE, dtype=np.int64)
+            if len(links.values):
+                v[links.values.field("x").to_numpy()] = parts(links.values.field("l").to_numpy(), size)
+            terms.append(v.tobytes())
+        lnp = parts(b.column("lnp").to_numpy(), int(n[0])) if len(n) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("item"), b.column("idx"), pa.array(lnp), pa.array(terms, pa.binary())], names=["item", "idx", "lnp", "terms"]
+        )
+
+
+def _column(vectors: DataFrame, name: str) -> Column:
+    """One column of the vocabulary as an array in item order, a scalar subquery."""
+    rows = vectors.agg(F.array_sort(F.collect_list(F.struct("idx", name))).alias("v"))
+    return rows.select(F.transform("v", lambda r: r[name])).scalar()
+
+
+def gathered(baskets: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(register, receipt, own, lnp): own holds (idx, terms) of the basket's vocabulary items."""
+    ship(baskets.sparkSession)
+    # Dealt by basket before the join: if Spark broadcasts the vectors, nothing wide is shuffled. The number of
+    # partitions is given so that few narrow rows still spread over all cores: the work is in what they meet.
+    parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = with_id(baskets).select("basket_id", "register", "receipt", "items").repartition(parts, "basket_id")
+    evidence = dealt.select("basket_id", "register", "receipt", F.explode_outer("items").alias("item"))
+    met = evidence.join(vectors.select("item", "idx", "terms"), "item", "left")
+    own = F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "terms")))
+    # One basket per id, so its other columns are the same in all its rows.
+    rows = met.groupBy("basket_id", "register", "receipt").agg(own.alias("own"))
+    return rows.select("register", "receipt", "own", _column(vectors, "lnp").alias("lnp"))
+
+
+class Block:
+    """Some baskets' vocabulary items and their vectors: row e of ``terms`` belongs to basket ``basket[e]``."""
+
+    def __init__(self, first: np.ndarray, idx: np.ndarray, terms: np.ndarray, lnp: np.ndarray):
+        self.first, self.idx, self.terms, self.lnp = first, idx, terms, lnp
+        self.counts = np.diff(first)
+        self.basket = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.has = terms != NO_RULE
+        self.value = np.where(self.has, terms, 0)
+
+    def per_basket(self, cells: np.ndarray, add: np.ufunc = np.add, empty: int = 0) -> np.ndarray:
+        out = np.full((len(self.counts), len(self.lnp)), empty, dtype=np.int64)
+        full = self.counts > 0
+        if full.any():
+            out[full] = add.reduceat(cells, self.first[:-1][full], axis=0)
+        return out
+
+    def own(self) -> np.ndarray:
+        mine = np.zeros((len(self.counts), len(self.lnp)), dtype=bool)
+        mine[self.basket, self.idx] = True
+        return mine
+
+    def best(self) -> np.ndarray:
+        """Per basket: the sum of positive terms, else the largest term, else NO_RULE."""
+        positive = self.per_basket(np.maximum(self.value, 0))
+        return np.where(positive > 0, positive, self.per_basket(self.terms, np.maximum, NO_RULE))
+
+    def basket_scores(self, variant: str) -> np.ndarray:
+        if variant == "best":
+            best = self.best()
+            return np.where(best == NO_RULE, UNSCORED, best + self.lnp)
+        counts = self.per_basket(self.has.astype(np.int64))
+        return np.where(counts > 0, self.per_basket(self.value) + self.lnp, UNSCORED)
+
+    def sample_scores(self, variant: str) -> np.ndarray:
+        """Scores of every basket without one of its items: one row per vector."""
+        if variant == "best":
+            out = np.full(self.terms.shape, UNSCORED)
+            for e, b in enumerate(self.basket):
+                rest = np.arange(self.first[b], self.first[b + 1])
+                rest = rest[rest != e]
+                if len(rest):
+                    out[e] = Block(np.array([0, len(rest)]), self.idx[rest], self.terms[rest], self.lnp).basket_scores(variant)[0]
+            return out
+        counts = self.per_basket(self.has.astype(np.int64))[self.basket] - self.has
+        sums = self.per_basket(self.value)[self.basket] - self.value
+        return np.where(counts > 0, sums + self.lnp, UNSCORED)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
+    """(first row, block) of a batch of gathered(), of about BLOCK_CELLS numbers each."""
+    if not batch.num_rows:
+        return
+    lnp = np.array(batch.column("lnp")[0].as_py() or [], dtype=np.int64)
+    own = batch.column("own")
+    offsets = own.offsets.to_numpy()
+    wanted = max(1, BLOCK_CELLS // max(1, len(lnp)))
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + wanted, side="right")) - 1)
+        end = min(end, batch.num_rows, row + wanted)
+        part = own.values.slice(offsets[row], offsets[end] - offsets[row])
+        raw = b"".join(part.field("terms").to_pylist())
+        terms = np.frombuffer(raw, dtype=np.int64).reshape(len(part), len(lnp))
+        yield row, Block(offsets[row : end + 1].astype(np.int64) - offsets[row], part.field("idx").to_numpy(), terms, lnp)
+        row = end
+
+
+def best_places(scores: np.ndarray, listed: np.ndarray, variant: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, kept): for each row of scores the numbers of its n best listed candidates, best first.
+
+    Scores are compared by RANKED parts of one, ties by number; kept tells which places are filled.
+    """
+    unit = max(1, scale(scores.shape[1]) // RANKED)
+    keys = scores + unit // 2
+    keys = np.where(scores == UNSCORED, UNLISTED if variant == "classic" else UNSCORED, keys - keys % unit)
+    keys[~listed] = UNLISTED
+    n = min(n, keys.shape[1])
+    rows = np.arange(len(keys))
+    if n > FEW:
+        places = np.argsort(-1 - keys, axis=1, kind="stable")[:, :n]  # -1 - key turns the order without overflow
+        return places, keys[rows[:, None], places] != UNLISTED
+    places, kept = np.zeros((len(keys), n), dtype=np.int64), np.zeros((len(keys), n), dtype=bool)
+    for r in range(n):
+        places[:, r] = keys.argmax(axis=1) if keys.shape[1] else 0
+        kept[:, r] = keys[rows, places[:, r]] != UNLISTED
+        keys[rows, places[:, r]] = UNLISTED
+    return places, kept
+
+
+def _lists(scores: np.ndarray, places: np.ndarray, kept: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Places and scores as list columns; unscored ones are null."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(kept.sum(axis=1)))).astype(np.int32))
+    found = np.take_along_axis(scores, places, axis=1)[kept] if places.size else np.zeros(0, np.int64)
+    logs = pa.array(found / scale(scores.shape[1]), pa.float64(), mask=found == UNSCORED)
+    return pa.ListArray.from_arrays(offsets, pa.array(places[kept].astype(np.int32))), pa.ListArray.from_arrays(offsets, logs)
+
+
+def _per_block(run: Callable[[Block], tuple[np.ndarray, list[pa.Array]]], names: list[str]):
+    """A function over batches of gathered(): run gives the rows (in the block) its output rows belong to, and columns."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, block in _blocks(b):
+                at, columns = run(block)
+                at = pa.array(at + row)
+                yield pa.RecordBatch.from_arrays([b.column("register").take(at), b.column("receipt").take(at), *columns], names=names)
+
+    return over
+
+
+def _keys(df: DataFrame) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("register", "receipt"))
+
+
+def _check(variant: str) -> None:
+    if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant}")
-    return F.when(F.size(terms) > 0, lnp + best)
-
-
-def top_lists(scores: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys..., top_items, top_logs): best n scored candidates of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.round("log_score", 9)), F.col("x"))
-    best = scores.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    lists = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rn", "x", "log_score"))).alias("t"))
-    return lists.select(*keys, F.col("t.x").alias("top_items"), F.col("t.log_score").alias("top_logs"))
 
 
-def vocabulary_head(rule_items: DataFrame, length: int) -> Column:
-    """The first ``length`` vocabulary items in order, as one array value."""
-    head = rule_items.orderBy("item").limit(max(1, int(length)))
-    return head.agg(F.array_sort(F.collect_list("item"))).scalar()
-
-
-def listed(keyed: DataFrame, keys: list[str], tops: DataFrame, rule_items: DataFrame, variant: str, n: int) -> DataFrame:
-    """keyed (keys, cart, others) with top_items and top_logs.
-
-    For "subset" and "best" a list shorter than n goes on with vocabulary items
-    without a rule (null log), in order. Such a list holds every scored
-    candidate, so the first 2n + |cart| vocabulary items hold all that can
-    follow; |cart| is measured here, on the table itself.
-    """
-    j = keyed.join(tops, keys, "left")
-    items = F.coalesce("top_items", F.array().cast("array<string>"))
-    logs = F.coalesce("top_logs", F.array().cast("array<double>"))
-    if variant != "classic":
-        longest = int(keyed.agg(F.max(F.size("cart"))).first()[0] or 0)
-        # A subquery cannot sit inside a lambda: attach it as a column first.
-        j = j.withColumn("_head", vocabulary_head(rule_items, 2 * n + longest))
-        free = F.filter("_head", lambda v: ~F.array_contains("cart", v) & ~F.array_contains(items, v))
-        short = F.greatest(F.lit(n) - F.size(items), F.lit(0))
-        more = F.when(short > 0, F.slice(free, 1, short)).otherwise(F.array().cast("array<string>"))
-        items, logs = F.concat(items, more), F.concat(logs, F.transform(more, lambda v: F.lit(None).cast("double")))
-    others = [c for c in keyed.columns if c != "cart"]
-    return j.select(*others, items.alias("top_items"), logs.alias("top_logs"))
-
-
-def recommend(baskets: DataFrame, rules: DataFrame, rule_items: DataFrame, lnp: DataFrame, variant: str, n: int) -> DataFrame:
+def recommend(baskets: DataFrame, vectors: DataFrame, variant: str, n: int) -> DataFrame:
     """(register, receipt, rank, item, log_score): the n best items that each basket lacks."""
-    b = with_id(baskets)
-    terms = candidate_terms(b, weighted_rules(rules, lnp)).where(~F.col("own"))
-    scores = terms.select("basket_id", "x", log_score(F.col("parts"), F.col("lnp"), variant).alias("log_score"))
-    keyed = b.select("basket_id", "register", "receipt", F.col("items").alias("cart"))
-    found = listed(keyed, ["basket_id"], top_lists(scores, ["basket_id"], n), rule_items, variant, n)
-    z = F.arrays_zip(F.col("top_items").alias("item"), F.col("top_logs").alias("log_score"))
-    return found.select("register", "receipt", F.posexplode(z).alias("pos", "c")).select(
-        "register", "receipt", (F.col("pos") + 1).alias("rank"), F.col("c.item").alias("item"), F.col("c.log_score").alias("log_score")
+    _check(variant)
+
+    def run(block: Block):
+        scores = block.basket_scores(variant)
+        return np.arange(len(scores)), list(_lists(scores, *best_places(scores, ~block.own(), variant, n)))
+
+    rows = gathered(baskets, vectors)
+    schema = f"{_keys(rows)}, top array<int>, top_logs array<double>"
+    top = rows.mapInArrow(_per_block(run, ["register", "receipt", "top", "top_logs"]), schema)
+    z = F.arrays_zip(F.col("top").alias("place"), F.col("top_logs").alias("log_score"))
+    out = top.select("register", "receipt", F.posexplode(z).alias("pos", "c"))
+    return out.select(
+        "register", "receipt", (F.col("pos") + 1).alias("rank"),
+        F.get(_column(vectors, "item"), F.col("c.place")).alias("item"), F.col("c.log_score").alias("log_score"),
     )
 
 
-def ranked_samples(baskets: DataFrame, rules: DataFrame, rule_items: DataFrame, lnp: DataFrame, variant: str, n: int) -> DataFrame:
+def ranked_samples(baskets: DataFrame, vectors: DataFrame, variant: str, n: int) -> DataFrame:
     """(register, receipt, label, top_items, top_logs, hit_rank) of every leave-one-out sample.
 
     A sample is a basket of two items or more without one of its vocabulary
     items, the label. hit_rank is the label's place in the list, 0 if missing.
     """
-    b = with_id(baskets.where(F.size("items") > 1))
-    samples = (
-        b.select("basket_id", "register", "receipt", "items", F.explode("items").alias("label"))
-        .join(rule_items.select(F.col("item").alias("label")), "label", "left_semi")
-        .select("basket_id", "label", "register", "receipt", F.filter("items", lambda v: v != F.col("label")).alias("cart"))
+    _check(variant)
+
+    def run(block: Block):
+        scores = block.sample_scores(variant)
+        listed = ~block.own()[block.basket]
+        # An item of the basket is a candidate only as the label held out.
+        listed[np.arange(len(scores)), block.idx] = True
+        places, kept = best_places(scores, listed, variant, n)
+        hit = (places == block.idx[:, None]) & kept
+        rank = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0) if hit.size else np.zeros(len(scores), np.int64)
+        return block.basket, [pa.array(block.idx, pa.int32()), *_lists(scores, places, kept), pa.array(rank, pa.int32())]
+
+    rows = gathered(baskets.where(F.size("items") > 1), vectors)
+    schema = f"{_keys(rows)}, label int, top array<int>, top_logs array<double>, hit_rank int"
+    top = rows.mapInArrow(_per_block(run, ["register", "receipt", "label", "top", "top_logs", "hit_rank"]), schema)
+    named = top.withColumn("_names", _column(vectors, "item"))
+    return named.select(
+        "register", "receipt", F.get("_names", F.col("label")).alias("label"),
+        F.transform("top", lambda i: F.get("_names", i)).alias("top_items"), "top_logs", "hit_rank",
     )
-    terms = candidate_terms(b, weighted_rules(rules, lnp))
-    held = terms.join(samples.select("basket_id", "label"), "basket_id")
-    # An item of the basket is a candidate only as the label held out.
-    held = held.where(~F.col("own") | (F.col("x") == F.col("label")))
-    rest = F.map_filter("parts", lambda a, l: a != F.col("label"))
-    scores = held.select("basket_id", "label", "x", log_score(rest, F.col("lnp"), variant).alias("log_score"))
-    keys = ["basket_id", "label"]
-    scores = scores.where(F.col("log_score").isNotNull())
-    found = listed(samples, keys, top_lists(scores, keys, n), rule_items, variant, n)
-    hit = F.coalesce(F.array_position("top_items", F.col("label")), F.lit(0)).cast("int")
-    return found.select("register", "receipt", "label", "top_items", "top_logs", hit.alias("hit_rank"))

@@ -125,20 +125,21 @@ class BasketRun:
     def log_prob(self) -> DataFrame:
         return R.log_prob(self.rule_items, self.item_freq, self.n_baskets)
 
+    @cached_property
+    def rule_vectors(self) -> DataFrame:
+        """(item, idx, lnp, terms): the rules as one vector per vocabulary item (stage table)."""
+        return self._stage("rule_vectors", R.rule_vectors(self.rules, self.log_prob))
+
     def recommendations(self, variant: str | None = None) -> DataFrame:
         """(register, receipt, rank, item, log_score): the top n of every basket."""
-        return R.recommend(
-            self.baskets, self.rules, self.rule_items, self.log_prob, variant or R.variant_of(self.cfg), self.cfg.topn
-        )
+        return R.recommend(self.baskets, self.rule_vectors, variant or R.variant_of(self.cfg), self.cfg.topn)
 
     @cached_property
     def ranked(self) -> DataFrame:
         """Leave-one-out samples with their top-n lists (stage table)."""
         return self._stage(
             "ranked",
-            R.ranked_samples(
-                self.baskets, self.rules, self.rule_items, self.log_prob, R.variant_of(self.cfg), self.cfg.topn
-            ),
+            R.ranked_samples(self.baskets, self.rule_vectors, R.variant_of(self.cfg), self.cfg.topn),
         )
 
     @cached_property

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +64,21 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="trolley-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors (once per session), as --py-files would.
+
+    Python functions that run in tasks refer to its modules.
+    """
+    context = spark.sparkContext
+    if any(os.path.basename(f) == "trolley.zip" for f in context._python_includes):
+        return
+    top = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    path = os.path.join(tempfile.mkdtemp(prefix="trolley-"), "trolley.zip")
+    Path(path).write_bytes(packed.getvalue())
+    context.addPyFile(path)
