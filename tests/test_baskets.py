@@ -207,13 +207,13 @@ def test_too_long_receipt_is_dropped_before_any_set_is_collected(spark):
 
 
 def test_decimal_quantities_net_to_zero_and_totals_keep_their_cents(spark):
-    from trolley.sources.tables import HEADERS, LINES, conform
+    from trolley.sources.tables import conform
 
     raw = spark.createDataFrame(
         [(1, 1, "a", 0.1), (1, 1, "a", 0.2), (1, 1, "a", -0.3), (1, 1, "b", 1.0)],
         "register int, receipt bigint, item string, qty double",
     )
-    assert [r.item for r in B.net_lines(conform(raw, LINES)).collect()] == ["b"]
+    assert [r.item for r in B.net_lines(conform(raw, "lines")[0]).collect()] == ["b"]
     totals = spark.createDataFrame([(1, 1, 12.34), (1, 2, 12.99)], "register int, receipt bigint, total double")
-    heads = conform(totals.selectExpr("*", "timestamp_ntz'2000-01-01' AS ts"), HEADERS)
+    heads = conform(totals.selectExpr("*", "timestamp_ntz'2000-01-01' AS ts"), "headers")[0]
     assert [tuple(r) for r in B.receipt_total_hist(heads).collect()] == [(1, 2)]

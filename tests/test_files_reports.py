@@ -77,17 +77,6 @@ def test_libsvm_one_based(spark):
     assert got == [(1.0, (1,)), (2.0, (0, 2))]
 
 
-def test_classifiers_run(spark):
-    r = _train_run(spark)
-    data = r.training_data
-    pred = C.rf_predict(data)
-    assert set(pred.columns) == {"label", "indexedLabel", "prediction", "predictedLabel"}
-    if pred.count():
-        assert 0.0 <= C.accuracy(pred) <= 1.0
-    nb = C.nb_predict(data)
-    assert "prediction" in nb.columns
-
-
 def test_register_only_items(spark):
     lines = [
         (3, 1, "x", 1.0), (3, 1, "y", 1.0),

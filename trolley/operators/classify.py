@@ -1,4 +1,8 @@
-"""Training sets over baskets and classifiers from Spark ML.
+"""Training sets over baskets and two classifiers.
+
+The forest is fitted by Spark ML; its trees are then a table, and predictions are
+joins with it, level by level. Naive Bayes is trained by grouped counts and scored
+by joins.
 
 A training row is a basket with one frequent item X held out: label =
 index(X), features = the sorted indices of the basket's other frequent items
@@ -8,37 +12,32 @@ item), from 1.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from collections.abc import Callable
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VectorIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from .recommend import with_id
 
+Put = Callable[[DataFrame], DataFrame]
+
 TRAIN_PERCENT = 80
 RF_SEED = 12345
 RF_TREES = 10
 RF_MAX_CATEGORIES = 4
+RF_DEPTH = 5
 NB_SMOOTHING = 0.01
+SHUFFLE_SEED = 12345
 
 
-def item_index(frequent: DataFrame) -> DataFrame:
-    """(item, freq, idx): frequent items numbered from 1 by (freq, item).
-
-    No window over the whole table: items are counted per freq value, a
-    running sum over the distinct freq values (far fewer than items) gives
-    each value's offset, and the items sharing one freq value are numbered
-    within their own partition.
-    """
-    per_freq = frequent.groupBy("freq").agg(F.count("*").alias("k"))
-    before = Window.orderBy("freq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_freq.select("freq", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("off"))
-    local = Window.partitionBy("freq").orderBy("item")
-    return frequent.join(offsets, "freq").select(
-        "item", "freq", (F.col("off") + F.row_number().over(local)).cast("int").alias("idx")
-    )
+def item_index(frequent: DataFrame, put: Put) -> DataFrame:
+    """(item, freq, idx): frequent items numbered from 1 by (freq, item)."""
+    rows = frequent.select("item", "freq")
+    return numbered(rows, [F.col("freq"), F.col("item")], put, "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def keyed_training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
@@ -85,6 +84,15 @@ def sparse_features(rows: DataFrame, n_features: int) -> DataFrame:
     return model.setBinary(True).transform(terms).select("row_key", "label", "features")
 
 
+def shuffled(rows: DataFrame, put: Put, seed: int = SHUFFLE_SEED) -> DataFrame:
+    """rows with ``pos``, their place in a seeded shuffle: the order of a hash of seed and row_key.
+
+    The same places whatever the partitions; rows of equal keys are equal rows.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("row_key")).cast("binary"))
+    return numbered(rows.withColumn("_key", key), [F.col("_key"), F.col("row_key")], put).drop("_key")
+
+
 def training_counts(rows: DataFrame) -> DataFrame:
     """Training rows per label."""
     return rows.groupBy("label").agg(F.count("*").alias("n"))
@@ -108,17 +116,117 @@ def rf_pipeline(data: DataFrame) -> Pipeline:
         inputCol="features", outputCol="indexedFeatures", maxCategories=RF_MAX_CATEGORIES
     ).fit(data)
     rf = RandomForestClassifier(
-        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=RF_TREES, seed=RF_SEED
+        labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=RF_TREES, maxDepth=RF_DEPTH, seed=RF_SEED
     )
     back = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=labels.labels)
     return Pipeline(stages=[labels, features, rf, back])
 
 
-def rf_predict(data: DataFrame) -> DataFrame:
-    """Predictions on the test split: label, indexedLabel, prediction, predictedLabel."""
-    train, test = train_test_split(data)
-    model = rf_pipeline(data).fit(train)
-    return model.transform(test).select("label", "indexedLabel", "prediction", "predictedLabel")
+def rf_fit(data: DataFrame) -> PipelineModel:
+    train, _ = train_test_split(data)
+    return rf_pipeline(data).fit(train)
+
+
+def forest_table(model: PipelineModel, spark: SparkSession, path: str) -> DataFrame:
+    """(tree, node, feature, left_values, threshold, left, right, shares): the fitted forest.
+
+    Spark ML writes the model's nodes under ``path`` and they are read back as a
+    table. Inner nodes have a feature (from 1, as in the training rows) and
+    children; a categorical split sends the values in left_values to the left, a
+    continuous one those up to threshold. shares are the classes' parts of a
+    node's training rows.
+    """
+    model.stages[2].write().overwrite().save(path)
+    n = F.col("nodeData")
+    split = n["split"]
+    values = split["leftCategoriesOrThreshold"]
+    categorical = split["numCategories"] >= 0
+    inner = n["leftChild"] >= 0
+    stats = n["impurityStats"]
+    total = F.aggregate(stats, F.lit(0.0), lambda s, x: s + x)
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").cast("int").alias("tree"),
+        n["id"].cast("int").alias("node"),
+        F.when(inner, split["featureIndex"] + 1).cast("int").alias("feature"),
+        F.when(inner & categorical, values).alias("left_values"),
+        F.when(inner & ~categorical, F.get(values, F.lit(0))).alias("threshold"),
+        F.when(inner, n["leftChild"]).cast("int").alias("left"),
+        F.when(inner, n["rightChild"]).cast("int").alias("right"),
+        F.transform(stats, lambda x: F.when(total != 0, x / total).otherwise(0.0)).alias("shares"),
+    )
+
+
+def _category_maps(model: PipelineModel) -> list[tuple[int, dict[float, int]]]:
+    maps = model.stages[1].categoryMaps
+    return [(f, dict(maps[f])) for f in maps]
+
+
+def feature_codes(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """(feature, absent, present): how the feature indexer codes 0 and 1 of each categorical feature.
+
+    One row per frequent item; continuous features are left out and keep 0 and 1.
+    """
+    rows = [
+        (f + 1, float(codes[0.0] if 0.0 in codes else 0), float(codes[1.0] if 1.0 in codes else 0))
+        for f, codes in _category_maps(model)
+    ]
+    return spark.createDataFrame(rows, "feature int, absent double, present double")
+
+
+def leaves(rows: DataFrame, forest: DataFrame, codes: DataFrame) -> DataFrame:
+    """(row_key, tree, node): the leaf that each row (row_key, indices) reaches in each tree.
+
+    One join with the node table per level; rows at a leaf stay there.
+    """
+    inner = forest.where(F.col("left").isNotNull()).join(codes, "feature", "left").select(
+        "tree", "node", "feature", "left_values", "threshold", "left", "right",
+        F.coalesce("absent", F.lit(0.0)).alias("absent"), F.coalesce("present", F.lit(1.0)).alias("present"),
+    )
+    roots = forest.groupBy("tree").agg(F.min("node").alias("node"))
+    trees = roots.agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("r")).select("r").scalar()
+    at = rows.select("row_key", "indices", F.explode(trees).alias("r")).select("row_key", "indices", "r.tree", "r.node")
+    for _ in range(RF_DEPTH):
+        value = F.when(F.array_contains("indices", F.col("feature")), F.col("present")).otherwise(F.col("absent"))
+        goes_left = F.when(F.col("left_values").isNotNull(), F.array_contains("left_values", value)).otherwise(value <= F.col("threshold"))
+        below = F.when(F.col("left").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
+        at = at.join(inner, ["tree", "node"], "left").select("row_key", "indices", "tree", below.alias("node"))
+    return at.select("row_key", "tree", "node")
+
+
+def forest_votes(reached: DataFrame, forest: DataFrame) -> DataFrame:
+    """(row_key, prediction): the class with the largest sum of shares over a row's leaves, the lowest of equals.
+
+    Rows that reach the same leaves are scored once. Shares are added in the order of trees.
+    """
+    tuples = reached.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("at"))
+    kinds = tuples.select("at").distinct()
+    shares = (
+        kinds.select("at", F.explode("at").alias("l")).select("at", "l.tree", "l.node")
+        .join(forest.select("tree", "node", "shares"), ["tree", "node"])
+        .select("at", "tree", F.posexplode("shares").alias("class", "share"))
+    )
+    votes = shares.groupBy("at", "class").agg(F.array_sort(F.collect_list(F.struct("tree", "share"))).alias("v"))
+    votes = votes.select("at", "class", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["share"]).alias("vote"))
+    won = votes.groupBy("at").agg(F.max(F.struct("vote", (-F.col("class")).alias("class")))["class"].alias("c"))
+    return tuples.join(won, "at").select("row_key", (-F.col("c")).cast("double").alias("prediction"))
+
+
+def label_index(data: DataFrame, put: Put) -> DataFrame:
+    """(label, indexedLabel): labels numbered from 0, the commonest first, ties by the label's text."""
+    counts = data.groupBy("label").agg(F.count("*").alias("_n")).withColumn("_text", F.col("label").cast("string"))
+    rows = numbered(counts, [F.desc("_n"), F.col("_text")], put, "idx")
+    return rows.select("label", (F.col("idx") - 1).cast("double").alias("indexedLabel"))
+
+
+def rf_predict(rows: DataFrame, forest: DataFrame, codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row_key, label, indexedLabel, prediction, predictedLabel) of the test rows (row_key, label, indices)."""
+    _, test = train_test_split(rows)
+    votes = forest_votes(leaves(test, forest, codes), forest)
+    back = labels.select(F.col("indexedLabel").alias("prediction"), F.col("label").cast("string").alias("predictedLabel"))
+    return (
+        test.join(votes, "row_key").join(labels, "label").join(back, "prediction")
+        .select("row_key", "label", "indexedLabel", "prediction", "predictedLabel")
+    )
 
 
 def matches(pred: DataFrame) -> DataFrame:
@@ -131,19 +239,55 @@ def matches(pred: DataFrame) -> DataFrame:
     )
 
 
-def accuracy(pred: DataFrame) -> float:
-    ev = MulticlassClassificationEvaluator(
-        labelCol="indexedLabel", predictionCol="prediction", metricName="accuracy"
+def accuracy(pred: DataFrame) -> DataFrame:
+    """(n_test, accuracy): share of predictions equal to the indexed label, 0 without rows."""
+    right = F.count_if(F.col("indexedLabel") == F.col("prediction"))
+    return pred.agg(F.count("*").alias("n_test"), F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"))
+
+
+def nb_model(train: DataFrame, n_features: Column, put: Put) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes of (indexedLabel, indices) rows by grouped counts.
+
+    classes (class, base, none): ln prior, and what every item of a row without
+    counts in the class adds; terms (idx, class, gain): what an item that has
+    counts adds to that. Counts are smoothed by NB_SMOOTHING.
+    """
+    s = F.lit(NB_SMOOTHING)
+    per = train.groupBy(F.col("indexedLabel").alias("class")).agg(F.count("*").alias("n"), F.sum(F.size("indices")).alias("k"))
+    per = put(per)
+    totals = per.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
+    n, kinds = totals.select("rows").scalar(), totals.select("classes").scalar()
+    classes = per.select(
+        "class",
+        (F.ln(F.col("n") + s) - F.ln(n + kinds * s)).alias("base"),
+        (F.ln(s) - F.ln(F.col("k") + n_features * s)).alias("none"),
     )
-    return ev.evaluate(pred)
+    counts = train.select(F.col("indexedLabel").alias("class"), F.explode("indices").alias("idx")).groupBy("class", "idx").agg(F.count("*").alias("c"))
+    return put(classes), put(counts.select("idx", "class", (F.ln(F.col("c") + s) - F.ln(s)).alias("gain")))
 
 
-def nb_predict(data: DataFrame) -> DataFrame:
-    """Multinomial naive Bayes (smoothing 0.01) on the indexed label."""
-    train, test = train_test_split(data)
-    labels = StringIndexer(inputCol="label", outputCol="indexedLabel").fit(data)
-    nb = NaiveBayes(
-        smoothing=NB_SMOOTHING, modelType="multinomial", labelCol="indexedLabel", featuresCol="features"
+def nb_predict(rows: DataFrame, labels: DataFrame, n_features: Column, put: Put) -> DataFrame:
+    """(row_key, label, indexedLabel, prediction) of the test rows: multinomial naive Bayes on the indexed label.
+
+    Rows of equal items are scored once. A set's score in a class is its base, what
+    its size adds without any counts, and the gains of its items, which come by a
+    join; the largest, rounded to 9 places, wins, the lowest class of equals.
+    """
+    train, test = train_test_split(rows.join(labels, "label"))
+    classes, terms = nb_model(train, n_features, put)
+    sets = put(test.select("indices").distinct())
+    gains = (
+        sets.select("indices", F.explode("indices").alias("idx")).join(terms, "idx")
+        .groupBy("indices", "class").agg(F.sum("gain").alias("gain"))
+    )
+    listed = classes.agg(F.collect_list("class").alias("c")).select("c").scalar()
+    scored = (
+        sets.select("indices", F.explode(listed).alias("class"))
+        .join(classes, "class")
+        .join(gains, ["indices", "class"], "left")
+        .select("indices", "class", F.round(F.col("base") + F.size("indices") * F.col("none") + F.coalesce("gain", F.lit(0.0)), 9).alias("score"))
+    )
+    won = scored.groupBy("indices").agg(F.max(F.struct("score", (-F.col("class")).alias("class")))["class"].alias("c"))
+    return test.join(won.select("indices", (-F.col("c")).alias("prediction")), "indices").select(
+        "row_key", "label", "indexedLabel", "prediction"
     )
-    model = Pipeline(stages=[labels, nb]).fit(train)
-    return model.transform(test).select("label", "indexedLabel", "prediction")

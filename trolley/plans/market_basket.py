@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,32 +165,68 @@ class BasketRun:
 
     # -- classification
 
+    def _put(self, df: DataFrame) -> DataFrame:
+        """A stage table without a name of its own; written even if stages are not materialized."""
+        self._n_put = getattr(self, "_n_put", 0) + 1
+        return self.store.put(f"part_{self._n_put:03d}", df)
+
     @cached_property
     def item_index(self) -> DataFrame:
-        return C.item_index(self.frequent)
+        return C.item_index(self.frequent, self._put)
+
+    @property
+    def n_features(self) -> Column:
+        return self.item_index.select(F.count("*")).scalar()
 
     @cached_property
+    def keyed_training_rows(self) -> DataFrame:
+        """(row_key, label, indices) — see operators.classify.keyed_training_rows."""
+        return self._stage("training_rows", C.keyed_training_rows(self.baskets, self.item_index, self.cfg.unique))
+
+    @property
     def training_rows(self) -> DataFrame:
-        """(label, indices) — see operators.classify.training_rows."""
-        return C.training_rows(self.baskets, self.item_index, self.cfg.unique)
+        return self.keyed_training_rows.select("label", "indices")
+
+    @cached_property
+    def shuffled_rows(self) -> DataFrame:
+        """(row_key, label, indices, pos): the training rows in their seeded order."""
+        return C.shuffled(self.keyed_training_rows, self._put)
 
     @cached_property
     def training_data(self) -> DataFrame:
-        """(row_key, label, features): what the classifiers read (stage table)."""
-        rows = C.keyed_training_rows(self.baskets, self.item_index, self.cfg.unique)
-        return self._stage("training", C.sparse_features(rows, max(self.item_index.count(), 1)))
+        """(row_key, label, features): what the forest is fitted on (stage table)."""
+        size = max(self.item_index.count(), 1)  # a vector's size is part of its plan
+        return self._stage("training", C.sparse_features(self.keyed_training_rows, size))
+
+    @cached_property
+    def label_index(self) -> DataFrame:
+        return C.label_index(self.keyed_training_rows, self._put)
 
     @cached_property
     def libsvm_data(self) -> DataFrame:
-        """(label, features): the training rows as a libsvm file, read back."""
+        """(label, features): the shuffled training rows as a libsvm file, read back."""
         path = f"{self.store.path}/training.libsvm"
-        S.write_libsvm_text(self.training_rows, path)
+        S.write_libsvm_text(self.shuffled_rows.repartitionByRange("pos").sortWithinPartitions("pos"), path)
         n_features = self.item_index.count()
         return S.read_libsvm(self.spark, path, max(n_features, 1))
 
+    @cached_property
+    def rf_model(self) -> PipelineModel:
+        return C.rf_fit(self.training_data)
+
+    @cached_property
+    def forest(self) -> DataFrame:
+        """The fitted forest as a table of nodes (stage table)."""
+        return self._put(C.forest_table(self.rf_model, self.spark, f"{self.store.path}/forest"))
+
     @cached_property
     def rf_predictions(self) -> DataFrame:
-        return self._stage("rf_predictions", C.rf_predict(self.training_data))
+        codes = C.feature_codes(self.rf_model, self.spark)
+        return self._stage("rf_predictions", C.rf_predict(self.keyed_training_rows, self.forest, codes, self.label_index))
+
+    @cached_property
+    def nb_predictions(self) -> DataFrame:
+        return C.nb_predict(self.keyed_training_rows, self.label_index, self.n_features, self._put)
 
     # -- reports
 

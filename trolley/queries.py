@@ -21,8 +21,11 @@ from .operators import classify as C
 from .operators import mining as M
 from .operators import reports as P
 from .plans.market_basket import BasketRun
+from .plans.results import FILES, export, resume
 from .sources import files as S
 from .sources import fixtures as X
+from .sources import results as R
+from .sources.tables import read_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -740,6 +743,86 @@ def q_tsv_roundtrip(spark, sf_dir):
     return presentable(S.read_carts(spark, path))
 
 
+def _fixed(x: str) -> str:
+    return f"printf('%10.5f', round({x}, 5))"
+
+
+_EXPORT = _LOO + [
+    f"kept AS (SELECT * FROM pair_freq WHERE freq > {O._d(DEFAULT.support_pair)} * (SELECT n FROM nb))",
+    "both_ AS (SELECT a AS item, freq FROM kept UNION ALL SELECT b AS item, freq FROM kept)",
+    """stats AS (SELECT item, count(*) AS n, max(freq) AS max, avg(freq) AS avg, CAST(median(freq) AS DOUBLE) AS median,
+                     stddev_pop(freq) AS stddev FROM both_ GROUP BY item)""",
+    f"""top AS (SELECT item, string_agg(CAST(freq AS VARCHAR), ' ' ORDER BY freq DESC) AS list FROM (
+           SELECT item, freq, row_number() OVER (PARTITION BY item ORDER BY freq DESC) AS rn FROM both_)
+         WHERE rn <= {DEFAULT.interaction_list_max} GROUP BY item)""",
+    """hits AS (SELECT item, string_agg(CAST(hits AS VARCHAR), chr(9) ORDER BY hit_rank) AS hits FROM (
+           SELECT label AS item, hit_rank, count(*) AS hits FROM lhit WHERE hit_rank > 0 GROUP BY 1, 2) GROUP BY item)""",
+    "per AS (SELECT *, CASE WHEN nX > 0 THEN tp / nX END AS recall FROM lcount)",
+    f"""out_ AS (
+  SELECT 'freq_item.tsv' AS file, row_number() OVER (ORDER BY freq DESC, item) AS pos, concat_ws(chr(9), item, freq) AS line FROM item_freq
+  UNION ALL
+  SELECT 'freq_pair.tsv', row_number() OVER (ORDER BY a, b), concat_ws(chr(9), a, b, freq) FROM pair_freq
+  UNION ALL
+  SELECT 'interaction.tsv', 1, {"'" + chr(9).join(R.INTERACTION_HEADER) + "'"}
+  UNION ALL
+  SELECT 'interaction.tsv', 1 + row_number() OVER (ORDER BY s.item),
+         concat_ws(chr(9), coalesce(cn.name, ''), s.item, s.n, s.max, {_fixed("s.avg")},
+                   CASE WHEN s.n % 2 = 1 THEN CAST(CAST(s.median AS BIGINT) AS VARCHAR) ELSE printf('%.1f', s.median) END,
+                   {_fixed("s.stddev")}, t.list)
+  FROM stats s JOIN top t ON t.item = s.item LEFT JOIN category_names cn ON cn.item = s.item
+  UNION ALL
+  SELECT 'confidence_ab.tsv', 1, {"'" + chr(9).join(R.RULES_HEADER) + "'"}
+  UNION ALL
+  SELECT 'confidence_ab.tsv', 1 + row_number() OVER (ORDER BY round(confidence, 9) DESC, round(lift, 9) DESC, a, b),
+         concat_ws(chr(9), a, b, {_fixed("confidence")}, {_fixed("lift")}) FROM rules
+  UNION ALL
+  SELECT 'eval_nb.tsv', row_number() OVER (ORDER BY round(p.recall, 9) DESC NULLS LAST, p.item),
+         concat_ws(chr(9), coalesce(cn.name, ''), p.item, (SELECT count(*) FROM loo), p.nX, p.tp, coalesce({_fixed("p.recall")}, ''), h.hits)
+  FROM per p LEFT JOIN category_names cn ON cn.item = p.item LEFT JOIN hits h ON h.item = p.item)""",
+]
+
+
+@register("results_export", _sql(_EXPORT, "SELECT file, pos, line FROM out_"))
+def q_results_export(spark, sf_dir):
+    r = run(spark, sf_dir)
+    path = f"{r.store.path}/results"
+    export(r, path)
+    out = None
+    for name in ("items", "pairs", "interaction", "rules", "evaluation"):
+        lines = R.read_lines(spark, f"{path}/{FILES[name]}", r._put).select(F.lit(FILES[name]).alias("file"), "pos", "line")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+@register(
+    "results_roundtrip",
+    _sql(_MINING, "SELECT a, b, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rules"),
+)
+def q_results_roundtrip(spark, sf_dir):
+    r = run(spark, sf_dir)
+    path = f"{r.store.path}/results"
+    export(r, path)
+    again, _ = resume(spark, path, r.tables)
+    return presentable(again.rules)
+
+
+@register(
+    "net_lines_from_tables",
+    _sql(O.basket_ctes(), "SELECT register, receipt, item, CAST(qty AS DOUBLE) AS qty FROM net"),
+)
+def q_net_lines_from_tables(spark, sf_dir):
+    """The fixture as DECIMAL tables on disk, read back through the contract and netted."""
+    t = X.fixture_tables(spark, sf_dir)
+    store = run(spark, sf_dir).store
+    decimal = {"lines": t.lines.withColumn("qty", F.col("qty").cast("decimal(18,3)")), "headers": t.headers, "catalog": t.catalog, "taxonomy": t.taxonomy}
+    paths = {}
+    for name, df in decimal.items():
+        paths[name] = f"{store.path}/feed/{name}"
+        df.write.parquet(paths[name])
+    tables, _ = read_tables(spark, **paths)
+    return B.net_lines(tables.lines).withColumn("qty", F.col("qty").cast("double"))
+
+
 # =================================================================== classification
 
 _INDEX = "item_index AS (SELECT item, freq, CAST(row_number() OVER (ORDER BY freq, item) AS INTEGER) AS idx FROM frequent)"
@@ -794,18 +877,15 @@ def q_libsvm_roundtrip(spark, sf_dir):
 _ROW_KEY = """'{"register":' || l.register || ',"receipt":' || l.receipt || '}|' || l.idx"""
 
 
+_KEYED = f"""keyed AS (
+  SELECT CAST(l.idx AS DOUBLE) AS label, list_filter(fl.fidx, lambda x: x <> l.idx) AS indices, {_ROW_KEY} AS row_key
+  FROM fi l JOIN fl ON fl.register = l.register AND fl.receipt = l.receipt WHERE len(fl.fidx) > 1)"""
+_IN_TRAIN = f"(CAST('0x' || substr(md5(row_key), 1, 8) AS BIGINT) % 100 < {C.TRAIN_PERCENT})"
+
+
 @register(
     "train_test_split",
-    _sql(
-        _TRAIN
-        + [
-            f"""keyed AS (
-  SELECT CAST(l.idx AS DOUBLE) AS label, {_ROW_KEY} AS row_key
-  FROM fi l JOIN fl ON fl.register = l.register AND fl.receipt = l.receipt WHERE len(fl.fidx) > 1)"""
-        ],
-        f"SELECT row_key, label, CASE WHEN CAST('0x' || substr(md5(row_key), 1, 8) AS BIGINT) % 100 < {C.TRAIN_PERCENT} "
-        "THEN 'train' ELSE 'test' END AS split FROM keyed",
-    ),
+    _sql(_TRAIN + [_KEYED], f"SELECT row_key, label, CASE WHEN {_IN_TRAIN} THEN 'train' ELSE 'test' END AS split FROM keyed"),
 )
 def q_train_test_split(spark, sf_dir):
     train, test = C.train_test_split(run(spark, sf_dir).training_data)
@@ -814,6 +894,20 @@ def q_train_test_split(spark, sf_dir):
     )
 
 
+@register(
+    "training_rows_shuffled",
+    _sql(
+        _TRAIN + [_KEYED],
+        f"SELECT row_number() OVER (ORDER BY md5('{C.SHUFFLE_SEED}|' || row_key), row_key) AS pos, label, "
+        "array_to_string(indices, '|') AS indices FROM keyed",
+    ),
+)
+def q_training_rows_shuffled(spark, sf_dir):
+    return presentable(run(spark, sf_dir).shuffled_rows.select("pos", "label", "indices"))
+
+
+# The forest is fitted by Spark ML, so these have no SQL over the input tables;
+# tests hold them to the stored node table, in SQL, and to Spark ML's own predictions.
 @register("rf_predict")
 def q_rf_predict(spark, sf_dir):
     return run(spark, sf_dir).rf_predictions
@@ -826,13 +920,44 @@ def q_rf_matches(spark, sf_dir):
 
 @register("rf_accuracy")
 def q_rf_accuracy(spark, sf_dir):
-    pred = run(spark, sf_dir).rf_predictions
-    return pred.agg(F.count("*").alias("n_test")).withColumn("accuracy", F.lit(C.accuracy(pred)))
+    return presentable(C.accuracy(run(spark, sf_dir).rf_predictions))
+
+
+_NB = [
+    _KEYED,
+    """labels_ AS (
+  SELECT label, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(label AS VARCHAR)) - 1 AS DOUBLE) AS indexedLabel
+  FROM keyed GROUP BY label)""",
+    f"split AS (SELECT k.*, l.indexedLabel, {_IN_TRAIN} AS train FROM keyed k JOIN labels_ l ON l.label = k.label)",
+    """cls AS (SELECT indexedLabel AS class, count(*) AS n, sum(len(indices)) AS k FROM split WHERE train GROUP BY 1)""",
+    f"""model AS (
+  SELECT class, ln(n + {O._d(C.NB_SMOOTHING)}) - ln((SELECT sum(n) FROM cls) + (SELECT count(*) FROM cls) * {O._d(C.NB_SMOOTHING)}) AS base,
+         ln({O._d(C.NB_SMOOTHING)}) - ln(k + (SELECT count(*) FROM item_index) * {O._d(C.NB_SMOOTHING)}) AS none FROM cls)""",
+    f"""gains AS (
+  SELECT idx, class, ln(count(*) + {O._d(C.NB_SMOOTHING)}) - ln({O._d(C.NB_SMOOTHING)}) AS gain
+  FROM (SELECT indexedLabel AS class, unnest(indices) AS idx FROM split WHERE train) GROUP BY 1, 2)""",
+    "sets AS (SELECT DISTINCT indices FROM split WHERE NOT train)",
+    """hits AS (
+  SELECT s.indices, g.class, sum(g.gain) AS gain FROM (SELECT indices, unnest(indices) AS idx FROM sets) s
+  JOIN gains g ON g.idx = s.idx GROUP BY 1, 2)""",
+    """scored AS (
+  SELECT s.indices, m.class, round(m.base + len(s.indices) * m.none + coalesce(h.gain, 0), 9) AS score
+  FROM sets s CROSS JOIN model m LEFT JOIN hits h ON h.indices = s.indices AND h.class = m.class)""",
+    """won AS (
+  SELECT indices, class FROM (SELECT *, row_number() OVER (PARTITION BY indices ORDER BY score DESC, class) AS rn
+                              FROM scored) WHERE rn = 1)""",
+]
 
 
-@register("ml_nb_predict")
+@register(
+    "ml_nb_predict",
+    _sql(
+        _TRAIN + _NB,
+        "SELECT s.row_key, s.label, s.indexedLabel, w.class AS prediction FROM split s JOIN won w ON w.indices = s.indices WHERE NOT s.train",
+    ),
+)
 def q_ml_nb_predict(spark, sf_dir):
-    return C.nb_predict(run(spark, sf_dir).training_data)
+    return run(spark, sf_dir).nb_predictions
 
 
 # =================================================================== reports

@@ -1,8 +1,9 @@
-"""Schemas of the input tables and readers that enforce them."""
+"""Schemas of the input tables and readers that hold tables to them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fixtures import Tables
@@ -48,39 +49,66 @@ CATEGORY_IDS = T.StructType(
 )
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast the schema's columns; fail on a missing column.
+#: Columns that no row may lack; a row without one, or whose value is no value of the type, is rejected.
+NEEDED = {
+    "lines": ("receipt", "item", "qty"),
+    "headers": ("receipt", "ts"),
+    "catalog": ("item",),
+    "taxonomy": ("cat0_id", "cat1_id", "item"),
+}
+SCHEMAS = {"lines": LINES, "headers": HEADERS, "catalog": CATALOG, "taxonomy": TAXONOMY}
+
+
+def _cast(df: DataFrame, f: T.StructField) -> Column:
+    """A column in the contract's type, null where it has no such value.
 
     Quantities become DECIMAL(18,3), so that a cancelled item nets to exactly
     0, and totals keep the numeric type they come with; decimals stay as they are.
     """
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; have {df.columns}")
-
-    def column(f: T.StructField) -> Column:
-        have = df.schema[f.name].dataType
-        if f.name in ("qty", "total") and isinstance(have, T.DecimalType):
-            return df[f.name]
-        if f.name == "total" and isinstance(have, T.NumericType):
-            return df[f.name]
-        want = T.DecimalType(18, 3) if f.name == "qty" else f.dataType
-        return df[f.name].cast(want).alias(f.name)
-
-    return df.select([column(f) for f in schema.fields])
-
-
-def read_tables(
-    spark: SparkSession,
-    lines: str,
-    headers: str,
-    catalog: str,
-    taxonomy: str,
-) -> Tables:
-    """Production entry point: parquet tables already in the logical schema."""
-    return Tables(
-        lines=conform(spark.read.parquet(lines), LINES),
-        headers=conform(spark.read.parquet(headers), HEADERS),
-        catalog=conform(spark.read.parquet(catalog), CATALOG),
-        taxonomy=conform(spark.read.parquet(taxonomy), TAXONOMY),
-    )
+    have = df.schema[f.name].dataType
+    if f.name in ("qty", "total") and isinstance(have, T.DecimalType):
+        return df[f.name]
+    if f.name == "total" and isinstance(have, T.NumericType):
+        return df[f.name]
+    want = T.DecimalType(18, 3) if f.name == "qty" else f.dataType
+    return df[f.name].try_cast(want)
+
+
+def missing_columns(found: dict[str, DataFrame]) -> dict[str, list[str]]:
+    """Columns that the tables lack, by table; no entry for a whole table."""
+    lacks = {n: [c for c in SCHEMAS[n].fieldNames() if c not in df.columns] for n, df in found.items()}
+    return {n: cols for n, cols in lacks.items() if cols}
+
+
+def conform(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows in the contract's columns, rejects (table, row, reason)) of a table that has all of them."""
+    schema = SCHEMAS[name]
+    raw = F.to_json(F.struct(*[df[c] for c in schema.fieldNames()]), {"ignoreNullFields": "false"})
+    reason = F.lit(None).cast("string")
+    for f in schema.fields:
+        value = _cast(df, f)
+        reason = F.when(reason.isNotNull(), reason).when(df[f.name].isNotNull() & value.isNull(), F.lit(f"not a value: {f.name}"))
+        if f.name in NEEDED[name]:
+            reason = F.when(reason.isNotNull(), reason).when(df[f.name].isNull(), F.lit(f"missing: {f.name}"))
+    checked = df.select(*[_cast(df, f).alias(f.name) for f in schema.fields], raw.alias("_row"), reason.alias("_reason"))
+    good = checked.where(F.col("_reason").isNull()).select(*schema.fieldNames())
+    bad = checked.where(F.col("_reason").isNotNull()).select(F.lit(name).alias("table"), F.col("_row").alias("row"), F.col("_reason").alias("reason"))
+    return good, bad
+
+
+def read_tables(spark: SparkSession, lines: str, headers: str, catalog: str, taxonomy: str) -> tuple[Tables, DataFrame]:
+    """(tables, rejects): parquet tables held to the contract.
+
+    Missing columns of all tables are reported in one error, before anything is
+    read. Rows that break the contract are left out and listed as (table, row as
+    JSON, reason).
+    """
+    paths = {"lines": lines, "headers": headers, "catalog": catalog, "taxonomy": taxonomy}
+    found = {n: spark.read.parquet(p) for n, p in paths.items()}
+    if lacks := missing_columns(found):
+        raise ValueError("missing columns: " + "; ".join(f"{n}: {', '.join(c)}" for n, c in lacks.items()))
+    parts = {n: conform(df, n) for n, df in found.items()}
+    rejects = None
+    for _, bad in parts.values():
+        rejects = bad if rejects is None else rejects.unionByName(bad)
+    return Tables(**{n: good for n, (good, _) in parts.items()}), rejects
