@@ -156,3 +156,37 @@ def test_interaction_list_is_whole_by_default(spark):
     whole = {r.item: r.list for r in M.item_interaction(run.pair_freq, run.n_baskets, names).collect()}
     cut = {r.item: r.list for r in M.item_interaction(run.pair_freq, run.n_baskets, names, list_max=1).collect()}
     assert (whole["a"], cut["a"]) == ("2 1 1", "2")
+
+
+def test_only_candidates_are_staged(spark):
+    """A set is written only if each of its subsets one smaller is supported; results equal enumeration up to five items."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(7)
+    baskets = [rng.sample("abcdefghij", rng.randint(1, 8)) for _ in range(60)]
+    lines = [(1, i, x, 1.0) for i, b in enumerate(baskets) for x in b]
+    run = BasketRun(spark, tables(spark, lines), DEFAULT.with_(taxo=False, cartsize_min=1, cartsize_max=None))
+    staged = {}
+
+    def stage(name, df):
+        staged[name] = run.store.put(name, df)
+        return staged[name]
+
+    support = 0.2
+    got = {tuple(r.subset): r.freq for r in M.frequent_subsets(run.baskets, run.n_baskets, support, 5, stage).collect()}
+    counts = Counter(c for b in baskets for n in range(1, 6) for c in combinations(sorted(b), n))
+    want = {c: f for c, f in counts.items() if f > support * len(baskets)}
+    assert got == want and max(map(len, want)) >= 3
+    for n in (3, 4, 5):
+        candidates = {c for c in counts if len(c) == n and all(s in want for s in combinations(c, n - 1))}
+        rows = {tuple(r.subset) for r in staged[f"subsets_{n}"].collect()}
+        assert rows == candidates
+    assert staged["subsets_3"].count() < sum(f for c, f in counts.items() if len(c) == 3)
+
+
+def test_blocks_of_a_long_basket_hold_few_items(spark):
+    run = BasketRun(spark, tables(spark, [(1, 1, f"{i:03d}", 1.0) for i in range(100)]), DEFAULT.with_(taxo=False, cartsize_max=None, support_item=0.0))
+    got = {(r.a, r.b) for r in M.pair_freq(run.baskets, run.frequent, run.cfg, chunk=7).collect()}
+    assert got == {(f"{i:03d}", f"{j:03d}") for i in range(100) for j in range(i + 1, 100)}

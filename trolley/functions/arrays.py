@@ -9,19 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def chunk_pairs(items: str, start: Column, length: int) -> Column:
-    """Pairs ``(a, b)``, ``a`` before ``b``, whose ``a`` sits at 0-based
-    positions ``start`` .. ``start + length - 1`` of the sorted array.
-
-    The chunks of one basket together give exactly its ordered pairs, so a
-    long basket's pairs can be made by several tasks.
-    """
+def block_pairs(left: str, right: str, same: Column) -> Column:
+    """All pairs (a, b), a < b, of two blocks of one sorted array; ``same`` tells that they are the same block."""
     return F.flatten(
         F.transform(
-            F.slice(F.col(items), start + 1, F.lit(length)),
-            lambda x, i: F.transform(
-                F.slice(F.col(items), start + i + 2, F.size(items)),
-                lambda y: F.struct(x.alias("a"), y.alias("b")),
+            F.col(left),
+            lambda a, i: F.transform(
+                F.when(same, F.slice(F.col(right), i + 2, F.size(right))).otherwise(F.col(right)),
+                lambda b: F.struct(a.alias("a"), b.alias("b")),
             ),
         )
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BasketConfig
-from ..functions.arrays import chunk_pairs, subsets
+from ..functions.arrays import block_pairs, subsets
 from .recommend import with_id
 
 
@@ -61,7 +61,7 @@ def candidate_pairs(frequent: DataFrame) -> DataFrame:
     )
 
 
-# Anchor positions per pair-making row for long baskets.
+# Items per block of a long basket.
 PAIR_CHUNK = 32
 
 
@@ -71,10 +71,11 @@ def pair_freq(
     """(a, b, freq): baskets holding both frequent items a < b; only freq > 0.
 
     Infrequent items leave the baskets first, so no pair is made that is then
-    thrown away. Every basket is cut into rows of ``chunk`` anchor positions,
-    dealt by (basket, row): a huge basket does not put its quadratic pair
-    count on one task. Pairs are counted with map-side partial counts, so one
-    that a third of all baskets hold costs one row per map task.
+    thrown away. Every basket is cut into blocks of ``chunk`` items and each pair of
+    blocks is a row of its own, dealt by (basket, blocks): a huge basket does not
+    put its quadratic pair count on one task, and no row holds more than two
+    blocks. Pairs are counted with map-side partial counts, so one that a third of
+    all baskets hold costs one row per map task.
     """
     b = with_id(baskets)
     if cfg.support_item > 0:
@@ -84,14 +85,20 @@ def pair_freq(
             .groupBy("basket_id")
             .agg(F.array_sort(F.collect_list("item")).alias("items"))
         )
-    rows = b.where(F.size("items") > 1).select(
-        "basket_id",
-        "items",
-        F.explode(F.sequence(F.lit(0), F.ceil(F.size("items") / chunk).cast("int") - 1)).alias("c"),
+    last = F.ceil(F.size("items") / chunk).cast("int") - 1
+    rows = (
+        b.where(F.size("items") > 1)
+        .select("basket_id", "items", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        .select("basket_id", "items", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+        .select(
+            "basket_id", "i", "j",
+            F.slice("items", F.col("i") * chunk + 1, chunk).alias("left"),
+            F.slice("items", F.col("j") * chunk + 1, chunk).alias("right"),
+        )
     )
     return (
-        rows.repartition("basket_id", "c")
-        .select(F.explode(chunk_pairs("items", F.col("c") * chunk, chunk)).alias("p"))
+        rows.repartition("basket_id", "i", "j")
+        .select(F.explode(block_pairs("left", "right", F.col("i") == F.col("j"))).alias("p"))
         .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
         .agg(F.count("*").alias("freq"))
     )
@@ -235,24 +242,41 @@ def frequent_subsets(
 ) -> DataFrame:
     """(subset, size, freq): sets of up to ``k`` items with freq > support * N, over every basket.
 
-    Level by level: a basket's supported sets of one size grow by its later
-    frequent items, the grown sets are counted, and only supported ones grow
-    again. ``stage`` writes a level that the next one reads.
+    Level by level: supported sets that differ in their last item join to
+    candidates, and a candidate stays only if each of its subsets one smaller is
+    supported. A basket's supported sets then grow by its later items, but only
+    into candidates, before anything is written; the grown sets are counted, and
+    supported ones grow again. ``stage`` writes a level that the next one reads.
     """
     bound = F.lit(float(support)) * n_baskets
     held = with_id(baskets).select("basket_id", F.explode("items").alias("item"))
     often = held.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") > bound)
     singles = stage("subsets_1", held.join(often, "item", "left_semi"))
     level = singles.select("basket_id", F.array("item").alias("subset"))
-    found = often.select(F.array("item").alias("subset"), "freq")
+    often = stage("often_1", often.select(F.array("item").alias("subset"), "freq"))
+    found = often
     for size in range(2, k + 1):
-        grown = stage(
-            f"subsets_{size}",
-            level.join(singles, "basket_id")
-            .where(F.col("item") > F.element_at("subset", -1))
-            .select("basket_id", F.concat("subset", F.array("item")).alias("subset")),
-        )
+        wanted = stage(f"candidates_{size}", candidate_sets(often, size)) if size > 2 else None
+        grown = level.join(singles, "basket_id").where(F.col("item") > F.element_at("subset", -1))
+        grown = grown.select("basket_id", F.concat("subset", F.array("item")).alias("subset"))
+        if wanted is not None:
+            grown = grown.join(wanted, "subset", "left_semi")
+        grown = stage(f"subsets_{size}", grown)
         often = grown.groupBy("subset").agg(F.count("*").alias("freq")).where(F.col("freq") > bound)
+        often = stage(f"often_{size}", often)
         found = found.unionByName(often)
         level = grown.join(often, "subset", "left_semi")
     return found.select("subset", F.size("subset").alias("size"), "freq")
+
+
+def candidate_sets(often: DataFrame, size: int) -> DataFrame:
+    """(subset): sets of ``size`` items all of whose subsets one smaller are in ``often`` (subset, sorted)."""
+    head = F.slice("subset", 1, size - 2)
+    ends = often.select(head.alias("head"), F.element_at("subset", -1).alias("x"))
+    grown = ends.join(ends.select("head", F.col("x").alias("y")), "head").where(F.col("x") < F.col("y"))
+    grown = grown.select(F.concat("head", F.array("x", "y")).alias("subset"))
+    # The two subsets that lack one of the last items are supported by the way the set was made.
+    for gone in range(size - 2):
+        rest = F.filter("subset", lambda _, i: i != gone)
+        grown = grown.withColumn("rest", rest).join(often.select(F.col("subset").alias("rest")), "rest", "left_semi").drop("rest")
+    return grown.select("subset")

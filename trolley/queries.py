@@ -159,26 +159,26 @@ def q_item_names(spark, sf_dir):
 
 @register(
     "item_category",
-    _sql([O.TAXONOMY, O.ITEM_CATEGORY], "SELECT item, category FROM item_category"),
+    _sql([O.TAXONOMY_WHOLE, O.ITEM_CATEGORY], "SELECT item, category FROM item_category"),
 )
 def q_item_category(spark, sf_dir):
-    return B.item_category(X.taxonomy(spark, sf_dir))
+    return B.item_category(X.taxonomy(spark, sf_dir, whole=True))
 
 
 @register(
     "category_names",
-    _sql([O.TAXONOMY, O.CATEGORY_NAMES], "SELECT item AS category, name FROM category_names"),
+    _sql([O.TAXONOMY_WHOLE, O.CATEGORY_NAMES], "SELECT item AS category, name FROM category_names"),
 )
 def q_category_names(spark, sf_dir):
-    return B.category_names(X.taxonomy(spark, sf_dir))
+    return B.category_names(X.taxonomy(spark, sf_dir, whole=True))
 
 
 @register(
     "category_short_names",
-    _sql([O.TAXONOMY], f"SELECT DISTINCT {O.CODE} AS category, cat1_name FROM taxonomy"),
+    _sql([O.TAXONOMY_WHOLE], f"SELECT DISTINCT {O.CODE} AS category, cat1_name FROM taxonomy"),
 )
 def q_category_short_names(spark, sf_dir):
-    return B.category_short_names(X.taxonomy(spark, sf_dir))
+    return B.category_short_names(X.taxonomy(spark, sf_dir, whole=True))
 
 
 @register(
@@ -488,6 +488,34 @@ def q_frequent_subsets(spark, sf_dir):
     return presentable(run(spark, sf_dir, UNCAPPED).frequent_subsets(SUBSET_SUPPORT, SUBSET_ITEMS))
 
 
+# Sets of up to five items that occur in more than one basket in ten thousand.
+FIVES_SUPPORT, FIVES_ITEMS = 0.0001, 5
+
+
+def _fives_sql() -> str:
+    """Sets of each size by joining the sets of one item less with the basket's later items."""
+    ctes = _MINING_UNCAPPED + [
+        f"often AS (SELECT item FROM item_freq WHERE freq > {O._d(FIVES_SUPPORT)} * (SELECT n FROM nb))",
+        "kept AS (SELECT register, receipt, item FROM bitems WHERE item IN (SELECT item FROM often))",
+        "s1 AS (SELECT register, receipt, item AS subset, item AS last FROM kept)",
+    ]
+    for n in range(2, FIVES_ITEMS + 1):
+        ctes.append(
+            f"s{n} AS (SELECT s.register, s.receipt, s.subset || '|' || k.item AS subset, k.item AS last FROM s{n - 1} s JOIN kept k "
+            "ON k.register = s.register AND k.receipt = s.receipt AND k.item > s.last)"
+        )
+    sets = " UNION ALL ".join(f"SELECT subset, CAST({n} AS INTEGER) AS size FROM s{n}" for n in range(1, FIVES_ITEMS + 1))
+    return _sql(
+        ctes,
+        f"SELECT subset, size, count(*) AS freq FROM ({sets}) GROUP BY 1, 2 HAVING count(*) > {O._d(FIVES_SUPPORT)} * (SELECT n FROM nb)",
+    )
+
+
+@register("frequent_subsets_of_five", _fives_sql())
+def q_frequent_subsets_of_five(spark, sf_dir):
+    return presentable(run(spark, sf_dir, UNCAPPED).frequent_subsets(FIVES_SUPPORT, FIVES_ITEMS))
+
+
 # =================================================================== recommend
 
 _LNP = (
@@ -617,6 +645,22 @@ def q_topn_recs_uncapped(spark, sf_dir):
     return presentable(run(spark, sf_dir, UNCAPPED).topn_recs)
 
 
+# Items instead of categories, with a low support, and baskets of any length.
+_ITEMS_UNCAPPED = DEFAULT.with_(taxo=False, cartsize_max=None, support_item=0.0025)
+
+
+@register(
+    "topn_recs_items",
+    _sql(
+        O.mining_ctes(_ITEMS_UNCAPPED) + _LOO_STEPS,
+        "SELECT register, receipt, label, CAST(rank AS INTEGER) AS rank, item, "
+        "round(log_score, 6) AS log_score FROM ltop",
+    ),
+)
+def q_topn_recs_items(spark, sf_dir):
+    return presentable(run(spark, sf_dir, _ITEMS_UNCAPPED).topn_recs)
+
+
 @register(
     "topn_recs_unique",
     _sql(
@@ -710,11 +754,11 @@ def q_eval_confusion(spark, sf_dir):
 # =================================================================== files
 
 
-@register("taxonomy_scan", _sql([O.TAXONOMY], "SELECT cat0_id, cat1_id, cat0_name, cat1_name, item FROM taxonomy"))
+@register("taxonomy_scan", _sql([O.TAXONOMY_WHOLE], "SELECT cat0_id, cat1_id, cat0_name, cat1_name, item FROM taxonomy"))
 def q_taxonomy_scan(spark, sf_dir):
     r = run(spark, sf_dir)
     path = f"{r.store.path}/taxonomy.tsv"
-    S.write_taxonomy_tsv(r.tables.taxonomy, path)
+    S.write_taxonomy_tsv(X.taxonomy(spark, sf_dir, whole=True), path)
     return S.read_taxonomy_tsv(spark, path)
 
 

@@ -76,10 +76,15 @@ def _cat0_id() -> Column:
     return expr
 
 
-def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cat0_id, cat1_id, cat0_name, cat1_name, item — all STRING."""
+def taxonomy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """cat0_id, cat1_id, cat0_name, cat1_name, item — all STRING.
+
+    The baskets' taxonomy lacks some parts, which get the default category; the
+    queries about the taxonomy itself take the whole one.
+    """
     p = _table(spark, sf_dir, "part")
-    return p.where(F.col("p_partkey") % TAXONOMY_GAP_MOD != TAXONOMY_GAP_REM).select(
+    known = F.lit(True) if whole else F.col("p_partkey") % TAXONOMY_GAP_MOD != TAXONOMY_GAP_REM
+    return p.where(known).select(
         _cat0_id().alias("cat0_id"),
         F.expr("substr(p_brand, 7)").cast("int").cast("string").alias("cat1_id"),
         F.col("p_type").alias("cat0_name"),
