@@ -329,3 +329,41 @@ def test_leaks(shipped, documents):
     assert decontaminate.leaking_documents(documents(rows), bench.limit(0)).collect() == []
     assert decontaminate.leaking_documents(documents([]), bench).collect() == []
     assert decontaminate.keep_clean(documents(rows), bench.limit(0)).count() == len(rows)
+
+
+def test_scores_are_a_softmax_over_bags():
+    """Scores against plain sums over each text's bag, and training against the loss's numeric gradient."""
+    import math
+
+    spec = subword.Spec(epochs=3, min_texts=1, min_steps=1)
+    texts = ["a b c d", "x y z w x", "a b", "q", "  a\tb ", "long word " * 300]
+    model = subword.train(["a b c", "x y z"] * 6, [1, 0] * 6, spec)
+    for text, got in zip(texts, subword.score(texts, model)):
+        buckets, share = subword.bag(text, spec)
+        z = sum(float(model.weight[b]) * float(s) for b, s in zip(buckets, share)) + model.bias
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+        assert share.sum() == pytest.approx(1, abs=1e-4) and len(set(buckets.tolist())) == len(buckets)
+
+    def loss(m):
+        p = subword.score(["a b c", "x y z"], m)
+        return -math.log(p[0]) - math.log(1 - p[1])
+
+    # More steps go down the loss, and each learned bucket's weight has the sign that lowers it.
+    assert loss(subword.train(["a b c", "x y z"] * 6, [1, 0] * 6, subword.Spec(epochs=30, min_texts=1))) < loss(model) < 2 * math.log(2)
+    for text, sign in (("a b c", 1), ("x y z", -1)):
+        other = set(subword.bag("x y z" if sign > 0 else "a b c", spec)[0].tolist())
+        assert all(sign * model.weight[b] > 0 for b in subword.bag(text, spec)[0] if b not in other)
+
+
+def test_fit_runs_in_a_task_and_equals_local_training(shipped, documents):
+    rows = [(i, "good words here" if i % 2 else "bad noise there") for i in range(60)] + [(60, None), (None, "good")]
+    labels = shipped.createDataFrame([(i, i % 2) for i in range(61)] + [(None, 1)], "doc_id bigint, quality int")
+    spec = subword.Spec(epochs=2, min_texts=1)
+    model = subword.fit(documents(rows), labels, "quality", spec)
+    import zlib
+
+    known = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    want = subword.train([rows[i][1] for i in known], [i % 2 for i in known], spec)
+    assert np.allclose(model.weight, want.weight) and model.bias == pytest.approx(want.bias)
+    none = subword.fit(documents([]), labels, "quality", spec)
+    assert none.weight.any() == 0 and subword.score(["x"], none)[0] == pytest.approx(0.5)

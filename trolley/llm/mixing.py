@@ -210,8 +210,11 @@ def attach(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def taken(docs: DataFrame, stages: Stages, **how) -> DataFrame:
-    """The rows of docs that the mix takes, columns unchanged, with ``takes``, how often (1 or more)."""
-    columns = docs.columns
+    """The rows of docs that the mix takes, columns unchanged, with ``takes``, how often (1 or more).
+
+    A column of that name in docs gives way to the mix's.
+    """
+    columns = [c for c in docs.columns if c != "takes"]
     sized = with_size(docs, columns)
     names = [f"_c{i}" for i in range(len(columns))]
     key = {"_id": F.col(names[columns.index("doc_id")]), "_source": F.col(names[columns.index("source")])}

@@ -340,10 +340,16 @@ def report(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
-    """Rows of docs that are alone or have the smallest id of their component; of rows with one id, one stays."""
+    """Rows of docs that are alone or have the smallest id of their component; of rows with one id, one stays.
+
+    docs' columns may have any names; the others are carried as they are.
+    """
     found = stages.put(groups(docs, stages, k).where("node <> component").select(F.col("node").alias("_gone")))
-    kept = docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    plain = docs.toDF(*names)
+    kept = plain.join(found, F.col(own["doc_id"]) == F.col("_gone"), "left_anti")
     # Rows without an id are kept, each for itself.
-    alone = Window.partitionBy("doc_id").orderBy("text")
-    ids = kept.where(F.col("doc_id").isNotNull()).withColumn("_turn", F.row_number().over(alone)).where("_turn = 1").drop("_turn")
-    return ids.unionByName(kept.where(F.col("doc_id").isNull()))
+    alone = Window.partitionBy(own["doc_id"]).orderBy(own["text"])
+    ids = kept.where(F.col(own["doc_id"]).isNotNull()).withColumn("_turn", F.row_number().over(alone)).where("_turn = 1").drop("_turn")
+    return ids.unionByName(kept.where(F.col(own["doc_id"]).isNull())).toDF(*docs.columns)

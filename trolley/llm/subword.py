@@ -103,18 +103,17 @@ def features(texts: list[str], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndar
         yield _hash([c[at + j] for j in range(n)], n if n < 7 else 6, spec.bits), per_text(at)
 
 
-def _bags(texts: list[str], spec: Spec) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, share of each) of each text; each family of features has the same say."""
-    out = []
-    for t in texts:
-        found = [f[0] for f in features([t], spec) if len(f[0])]
-        if not found:
-            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        share = np.concatenate([np.full(len(f), 1 / len(f) / len(found)) for f in found])
-        u, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        out.append((u, np.bincount(inverse, share, len(u)).astype(np.float32)))
-    return out
+def bag(text: str, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct buckets, share of each) of a text; each family of features has the same say.
+
+    At most 2^bits buckets, however long the text.
+    """
+    found = [f[0] for f in features([text], spec) if len(f[0])]
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    share = np.concatenate([np.full(len(f), 1 / len(f) / len(found)) for f in found])
+    u, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    return u, np.bincount(inverse, share, len(u)).astype(np.float32)
 
 
 def _telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int) -> np.ndarray:
@@ -133,6 +132,10 @@ def _telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int
 
 
 def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
+    return train_bags([bag(t, spec) for t in texts], labels, spec)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], spec: Spec) -> Model:
     """Softmax over two classes by minibatch SGD with Adagrad step sizes."""
     rng = np.random.RandomState(spec.seed)
     size = 1 << spec.bits
@@ -144,7 +147,7 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
         return Model(spec, np.zeros(size, np.float32), 6.0 * (2 * sure - 1))
     g_emb = np.full(size, 1e-8, dtype=np.float32)
     g_out = np.full(out.shape, 1e-8, dtype=np.float32)
-    bags, y = _bags(texts, spec), np.asarray(labels)
+    y = np.asarray(labels)
     if spec.telling:
         seen = _telling(bags, y, size)
         bias[1] = np.log(y.mean() / (1 - y.mean()))
@@ -220,9 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, spec: Spec) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out.
 
     At most spec.rows_per_class rows of each class, picked by a hash of the id,
-    reach the driver; everything else is scored, never collected. Rows with a
-    null id, label or text are not learned from; an id with several labels
-    counts with the largest.
+    go to one task, which turns each text into its bag of buckets as it arrives
+    (a text of any length has at most 2^bits) and trains; only the weights reach
+    the driver. Rows with a null id, label or text are not learned from; an id
+    with several labels counts with the largest.
     """
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"))
@@ -240,10 +244,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, spec: Spec) -> Model:
         .join(picked, "_id")
         .groupBy("_id", "_y")
         .agg(F.min("_text").alias("_text"))
-        .collect()
+        .repartition(1)
+        .sortWithinPartitions("_id")
     )
-    rows.sort(key=lambda r: r["_id"])
-    return train([r["_text"] for r in rows], [int(r["_y"]) for r in rows], spec)
+
+    def run(batches):
+        bags, y = [], []
+        for b in batches:
+            for i in range(b.num_rows):
+                bags.append(bag(b.column("_text")[i].as_py(), spec))
+                y.append(int(b.column("_y")[i].as_py()))
+        model = train_bags(bags, y, spec)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    found = rows.select("_y", "_text").mapInArrow(run, "weight binary, bias double").first()
+    if found is None:  # no rows, no task
+        return train_bags([], [], spec)
+    return Model(spec, np.frombuffer(found["weight"], dtype=np.float32), float(found["bias"]))
 
 
 def apply(docs: DataFrame, model: Model, threshold: float, keep: list[str] | None = None) -> DataFrame:
