@@ -319,11 +319,12 @@ def test_leaks(shipped, documents):
         (6, " ".join(item[:8])), (7, "x " * 3000 + other + "!"), (8, "short one"), (9, " ".join(item)), (9, " ".join(item)),
     ]
     bench = shipped.createDataFrame([(0, " ".join(item)), (1, other), (2, None), (3, "..."), (4, "short one")], "item_id bigint, text string")
-    for words in (1_000_000, 10):  # one block, several blocks
-        got = {r.doc_id: r for r in decontaminate.leaking_documents(documents(rows), bench, block_words=words).collect()}
+    big = bench.unionByName(shipped.createDataFrame([(100 + i, f"filler{i} " * 9 + f"words{i}") for i in range(300)], bench.schema))
+    for benchmark in (bench, big.repartition(7)):
+        got = {r.doc_id: r for r in decontaminate.leaking_documents(documents(rows), benchmark).collect()}
         assert {i: r.item_ids for i, r in got.items()} == {1: [0], 2: [0], 7: [1], 8: [4], 9: [0]}
         assert got[2].coverage == 1.0
-        kept = decontaminate.keep_clean(documents(rows), bench, block_words=words)
+        kept = decontaminate.keep_clean(documents(rows), benchmark)
         assert kept.columns == documents(rows).columns
         assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert decontaminate.leaking_documents(documents(rows), bench.limit(0)).collect() == []
@@ -331,6 +332,44 @@ def test_leaks(shipped, documents):
     assert decontaminate.keep_clean(documents(rows), bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_against_tiling_every_pair(shipped, documents, monkeypatch):
+    """Every document with every item, by the plain tiling; bitmaps of any size give the same."""
+    rng = np.random.RandomState(11)
+    item = lambda n: " ".join(f"w{rng.randint(6)}" for _ in range(n))
+    items = [(i, item(rng.randint(1, 16))) for i in range(12)] + [(5, item(9)), (None, item(7))]
+    rows = [(i, item(rng.randint(0, 40))) for i in range(50)]
+    rows += [(100 + i, item(8) + " " + t + " " + item(5)) for i, (_, t) in enumerate(items)] + [(None, items[2][1]), (100, items[3][1])]
+    bench = shipped.createDataFrame(items + items[:2], "item_id bigint, text string")
+    want = []
+    for d, t in rows:
+        for i, x in set(items):
+            text, words = t.split(), x.split()
+            n = brute_tiles(text, words, min(4, len(words)))
+            if n >= decontaminate.MIN_COVER * len(words):
+                want.append((d, i, len(words), n))
+    docs = documents(rows).selectExpr("*", "1 AS _item", "2 AS item_id", "3 AS _d")
+    for bits in (3, decontaminate.MIN_BITS):
+        monkeypatch.setattr(decontaminate, "MIN_BITS", bits)
+        monkeypatch.setattr(decontaminate, "MAX_BITS", max(bits, 5))
+        got = decontaminate.leaks(docs, bench, ["doc_id"]).collect()
+        assert sorted(((r._k0, r.item_id, r.n_item_words, r.n_covered) for r in got), key=str) == sorted(want, key=str)
+    leaking = {(d, t) for d, t in rows if any(w[0] == d and brute_tiles(t.split(), x.split(), min(4, len(x.split()))) >= 0.6 * len(x.split())
+                                              for w in want for _, x in items)}
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((x for x in rows if x not in leaking), key=str)
+
+
+def test_documents_are_read_once_for_any_benchmark(shipped, tmp_path):
+    shipped.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    docs = shipped.read.parquet(str(tmp_path / "docs"))
+    found = decontaminate.seeded(docs, ["doc_id"], [4], decontaminate.Bitmap(20))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    bench = shipped.createDataFrame([(i, f"some words of item {i}") for i in range(500)], "item_id bigint, text string")
+    out = decontaminate.leaks(docs, bench, ["doc_id"])
+    assert f"{tmp_path}/docs" not in out._jdf.queryExecution().executedPlan().toString()  # what follows reads the stage tables
+
+
 def test_scores_are_a_softmax_over_bags():
     """Scores against plain sums over each text's bag, and training against the loss's numeric gradient."""
     import math

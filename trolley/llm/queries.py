@@ -43,7 +43,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaking_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Stages(spark, "op8")
+    )
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
