@@ -7,29 +7,31 @@ p(w), and m in proportion to the corpus, so that neither model is smoother than
 the other because its corpus is larger. A document's score is the mean, over
 its words, of log p_target - log p_background: higher is closer to the target.
 
-score_corpus() counts every document and every word, and nothing of that
-reaches the driver. Texts move once, dealt by id into blocks of bounded size,
-where they meet the ids of the target documents. Each block sends its distinct
-pairs and words, as 64-bit names with counts, to buckets of names; a bucket
-sums them and answers each block with the sums, in the order asked.
-A name reaches its bucket once a block, however often it stands there, so a
-common word is no hot key. Blocks and buckets grow in number with the corpus,
-not in size.
+A document is scored by models that have not seen it: its own counts are taken
+out of both (of the target's only if it is a target document), so a target
+document is not close to the target because its own words are counted there.
 
-fit() and score() are the same models over a bounded vocabulary, its commonest
-words and a symbol for the rest, small enough to broadcast and to apply to
-other documents; op5 does not use them.
+score_corpus() counts every document and every word, and nothing of that
+reaches the driver. Texts move once, dealt by row into blocks of bounded size.
+Each block sends its distinct pairs and words, as 64-bit names with counts, to
+buckets of names; a bucket sums them and answers each block with the sums, in the
+order asked. A name reaches its bucket once a block, however often it stands
+there, so a common word is no hot key. Blocks and buckets grow in number with the
+corpus, not in size, and a block writes to the buckets only that it has names
+for: messages are never more than names, which are in proportion to the words.
 
 Null, empty and wordless texts have no words and score 0. Null ids are scored
 like others, but are no target. Repeated rows count and score as often as they
-stand there. Without any target document both models are equal up to smoothing.
+stand there, each without itself only; rows are dealt by their place, not by id
+or text, so an id or a text that a third of all rows share is spread. Very long
+texts are rows of one block. Without any target document both models are equal
+up to smoothing. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .tokens import NOT_ALNUM, chunks, mix, words
 
-VOCABULARY = 2048
 #: Strength of the smoothing, as a share of a corpus' words.
 SMOOTHING = 1e-4
-UNKNOWN, START = 0, 1
+#: What stands before a text's first word.
+START = 1
 #: Bytes of text of a block, and bytes of text whose share of all names goes to one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 PAIR, WORD, TEXT = range(3)
@@ -50,118 +52,22 @@ COUNTS = ("n", "ends", "n_target", "ends_target")
 ASKED, ANSWERED = [np.uint64, *[np.uint32] * len(COUNTS)], [np.int64] * len(COUNTS)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; equal words of a chunk are summed before they move."""
-
-    def run(batches):
-        for b in batches:
-            for _, part in chunks(b.column("text")):
-                w = words(part, NOT_ALNUM, lower=True)
-                _, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                found = [w.word(i).decode("utf-8", "replace") for i in first.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The size - 2 commonest words, ties by code point; a bounded top-k."""
-    top = word_counts(docs).orderBy(F.desc("n"), F.col("word").cast("binary")).limit(size - 2)
-    return [r["word"] for r in top.collect()]
-
-
-class Numbering:
-    """Words to numbers: 0 unknown, 1 start of a text, then the vocabulary in order."""
-
-    def __init__(self, vocab: list[str]):
-        w = words(pa.array(vocab, pa.large_string()), NOT_ALNUM)
-        h = w.hashes()
-        order = np.argsort(h)
-        self.hashes, self.ids = h[order], order + 2
-        self.size = len(vocab) + 2
-
-    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(pair number = previous * size + word, for every word; words of each text)."""
-        w = words(texts, NOT_ALNUM, lower=True)
-        h = w.hashes()
-        ids = np.zeros(len(h), dtype=np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            ids = np.where(self.hashes[at] == h, self.ids[at], UNKNOWN)
-        previous = np.empty_like(ids)
-        previous[1:] = ids[:-1]
-        previous[w.first[:-1][w.counts > 0]] = START
-        return previous * self.size + ids, w.counts
-
-
-def pair_counts(texts: DataFrame, numbering: Numbering) -> DataFrame:
-    """(pair, n) over a column ``text``, summed in each task before it moves."""
-
-    def run(batches):
-        for b in batches:
-            for _, part in chunks(b.column("text"), 8 << 20):
-                pair, n = np.unique(numbering.pairs(part)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
-
-    return texts.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Model:
-    numbering: Numbering
-    log_target: np.ndarray
-    log_background: np.ndarray
-
-
-def log_probabilities(counts: pa.Table, size: int, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p(w | v) for all pairs of numbers, float32, row by previous word."""
-    c = np.zeros(size * size, dtype=np.float32)
-    c[counts["pair"].to_numpy()] = counts["n"].to_numpy()
-    c = c.reshape(size, size)
-    unigram = c.sum(axis=0, dtype=np.float64) + 1.0
-    unigram[START] = 0.0
-    p = (unigram / unigram.sum()).astype(np.float32)
-    context = c.sum(axis=1, dtype=np.float64)
-    m = max(1.0, smoothing * float(context.sum()))
-    c += np.float32(m) * p[None, :]
-    c /= (context + m).astype(np.float32)[:, None]
-    with np.errstate(divide="ignore"):
-        return np.log(c, out=c).reshape(-1)
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY, smoothing: float = SMOOTHING) -> Model:
-    """Models of the documents whose doc_id is in target_ids and of all documents."""
-    numbering = Numbering(vocabulary(docs, size))
-    ids = target_ids.select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    # Labels grow with the documents: a sort-merge join at every size.
-    target = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    background = pair_counts(docs, numbering).toArrow()
-    log_background = log_probabilities(background, numbering.size, smoothing)
-    del background
-    return Model(numbering, log_probabilities(pair_counts(target, numbering).toArrow(), numbering.size, smoothing), log_background)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, loss_target, loss_background (nats per word) and score, for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _corpus_facts(texts: DataFrame) -> DataFrame:
+    """One row (vocabulary, words, words_target) of texts (text, wanted); words of a chunk are summed before they move."""
 
     def run(batches):
-        m = sent.value
         for b in batches:
+            wanted = b.column("wanted").to_numpy(zero_copy_only=False)
             for row, part in chunks(b.column("text")):
-                pair, n = m.numbering.pairs(part)
-                cut = np.concatenate(([0], np.cumsum(n)))
-                loss = []
-                for table in (m.log_target, m.log_background):
-                    total = np.concatenate(([0.0], np.cumsum(table[pair], dtype=np.float64)))
-                    loss.append(-(total[cut[1:]] - total[cut[:-1]]) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(row, len(part)), pa.array(n.astype(np.int64)), *map(pa.array, loss), pa.array(loss[1] - loss[0])],
-                    names=["doc_id", "n_words", "loss_target", "loss_background", "score"],
-                )
+                w = words(part, NOT_ALNUM, lower=True)
+                h, at = np.unique(w.hashes(), return_inverse=True)
+                inside = np.repeat(wanted[row : row + len(part)], w.counts)
+                n = [np.bincount(at[some], minlength=len(h)) for some in (slice(None), inside)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, n)], names=["h", "n", "t"])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id bigint, n_words bigint, loss_target double, loss_background double, score double")
+    counted = texts.select("text", "wanted").mapInArrow(run, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counted.agg(F.struct(F.count("*").alias("vocabulary"), total("n").alias("words"), total("t").alias("words_target")).alias("facts"))
 
 
 def _names(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,31 +111,32 @@ def score_corpus(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOO
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = size // block_bytes + 1, size // bucket_bytes + 1
-    block = lambda c: F.pmod(c, F.lit(blocks)).alias("block")
-    doc_id = F.col("doc_id").cast("bigint")
-    # Rows without id are no target: their text deals them out.
-    texts = docs.select(block(F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(doc_id))), doc_id.alias("doc_id"), "text")
-    ids = target_ids.select(block(F.xxhash64(doc_id)), doc_id.alias("target")).where(F.col("target").isNotNull()).distinct()
+    # A row's place in the table deals it out, before anything moves: the same for a task that runs again.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    rows = docs.select(place.alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    ids = target_ids.select(F.col("doc_id").cast("bigint").alias("target")).where(F.col("target").isNotNull()).distinct()
+    texts = rows.join(ids, F.col("doc_id") == F.col("target"), "left").select(
+        "block", "doc_id", "text", F.col("target").isNotNull().alias("wanted")
+    )
 
-    def ask(t: pa.Table, ids: pa.Table) -> pa.Table:
+    def ask(t: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if len(t):
-            found, n, first = _names(t["text"])
-            wanted = np.isin(t["doc_id"].fill_null(0).to_numpy(), ids["target"].to_numpy()) & t["doc_id"].is_valid().to_numpy()
-            name, at = np.unique(np.append(found, np.uint64(TEXT)), return_inverse=True)
-            at = at.reshape(-1)
-            last = found.shape[1] + (first + n)[n > 0] - 1  # the words that no word follows
-            inside = np.tile(np.repeat(wanted, n), 2)
-            count = lambda some: np.bincount(some, minlength=len(name)).astype(np.uint32)
-            counts = [count(at[:-1]), count(at[last]), count(at[:-1][inside]), count(at[last[wanted[n > 0]]])]
-            # Texts with words, the context of their first words, have a name too.
-            counts[0][at[-1]], counts[2][at[-1]] = (n > 0).sum(), ((n > 0) & wanted).sum()
-            # Buckets are ranges of names; sorted names are sent as steps from one to the next.
-            bucket = (name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64)).tolist()
-            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                steps = np.diff(name[lo:hi], prepend=np.uint64(0))
-                out.append((t["block"][0].as_py(), b, _pack([steps, *(c[lo:hi] for c in counts)])))
+        found, n, first = _names(t["text"])
+        wanted = t["wanted"].to_numpy()
+        name, at = np.unique(np.append(found, np.uint64(TEXT)), return_inverse=True)
+        at = at.reshape(-1)
+        last = found.shape[1] + (first + n)[n > 0] - 1  # the words that no word follows
+        inside = np.tile(np.repeat(wanted, n), 2)
+        count = lambda some: np.bincount(some, minlength=len(name)).astype(np.uint32)
+        counts = [count(at[:-1]), count(at[last]), count(at[:-1][inside]), count(at[last[wanted[n > 0]]])]
+        # Texts with words, the context of their first words, have a name too.
+        counts[0][at[-1]], counts[2][at[-1]] = (n > 0).sum(), ((n > 0) & wanted).sum()
+        # Buckets are ranges of names; sorted names are sent as steps from one to the next.
+        bucket = (name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        to, starts = np.unique(bucket, return_index=True)
+        for b, lo, hi in zip(to.tolist(), starts.tolist(), [*starts[1:].tolist(), len(name)]):
+            steps = np.diff(name[lo:hi], prepend=np.uint64(0))
+            out.append((t["block"][0].as_py(), b, _pack([steps, *(c[lo:hi] for c in counts)])))
         schema = pa.schema({"block": pa.int64(), "bucket": pa.int64(), "asked": pa.binary()})
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -240,11 +147,8 @@ def score_corpus(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOO
         at = at.reshape(-1)
         # Sums of floats are exact up to 2^53.
         sums = [np.bincount(at, np.concatenate([r[i] for r in rows]), len(name)).astype(np.int64) for i in range(1, len(ASKED))]
-        word = (name & np.uint64(3)) == WORD
-        facts = [int(word.sum()), int(sums[0][word].sum()), int(sums[2][word].sum())]
         packed = [_pack([c[at[lo:hi]] for c in sums]) for lo, hi in zip(cuts, cuts[1:])]
-        columns = [t["block"], t["bucket"], pa.array(packed, pa.binary()), *(pa.array([f] * len(t), pa.int64()) for f in facts)]
-        return pa.table(columns, names=["block", "bucket", "answered", "vocabulary", "words", "words_target"])
+        return pa.table([t["block"], t["bucket"], pa.array(packed, pa.binary())], names=["block", "bucket", "answered"])
 
     def rate(t: pa.Table, answers: pa.Table) -> pa.Table:
         found, n, first = _names(t["text"])
@@ -253,18 +157,26 @@ def score_corpus(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOO
         answers = answers.sort_by("bucket")
         rows = [_unpack(r, ANSWERED) for r in answers["answered"].to_pylist()]
         counted = dict(zip(COUNTS, (np.concatenate(c) for c in zip(*rows))))
-        vocabulary = sum(answers["vocabulary"].to_pylist())
+        facts = answers["facts"][0].as_py()
         pair, word, text = at[: found.shape[1]], at[found.shape[1] : -1], at[-1]
         doc = np.repeat(np.arange(len(n)), n)
+        # How often each word's own text has its pair and its word, and has the word with another behind it.
+        ends = np.zeros(len(word), np.int64)
+        ends[(first + n)[n > 0] - 1] = 1
+        own_pair, _ = _within(doc, pair, len(counted["n"]))
+        own_word, own_ends = _within(doc, word, len(counted["n"]), ends)
         loss = []
         for corpus in ("_target", ""):
-            c, total = counted["n" + corpus], sum(answers["words" + corpus].to_pylist())
+            mine = t["wanted"].to_numpy() if corpus else np.ones(len(n), dtype=bool)
+            here = mine[doc].astype(np.int64)
+            c, total = counted["n" + corpus], facts["words" + corpus] - n * mine
+            follows = (c - counted["ends" + corpus])[word] - here * (own_word - own_ends)
             context = np.empty(len(word), np.int64)
-            context[1:] = (c - counted["ends" + corpus])[word[:-1]]
-            context[first[n > 0]] = c[text]
-            m = max(1.0, smoothing * total)
-            p = (c[word] + 1.0) / (total + vocabulary)
-            nats = np.log((c[pair] + m * p) / (context + m))
+            context[1:] = follows[:-1]
+            context[first[n > 0]] = c[text] - mine[n > 0]
+            m = np.maximum(1.0, smoothing * total)
+            p = (c[word] - here * own_word + 1.0) / (total + facts["vocabulary"])[doc]
+            nats = np.log((c[pair] - here * own_pair + m[doc] * p) / (context + m[doc]))
             loss.append(-np.bincount(doc, nats, len(n)) / np.maximum(n, 1) + 0.0)
         return pa.table(
             [t["doc_id"], pa.array(n.astype(np.int64)), *map(pa.array, loss), pa.array(loss[1] - loss[0])],
@@ -272,15 +184,21 @@ def score_corpus(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOO
         )
 
     by_block = texts.groupBy("block")
-    asked = by_block.cogroup(ids.groupBy("block")).applyInArrow(ask, "block bigint, bucket bigint, asked binary")
-    answered = asked.groupBy("bucket").applyInArrow(
-        answer, "block bigint, bucket bigint, answered binary, vocabulary bigint, words bigint, words_target bigint"
-    )
+    asked = by_block.applyInArrow(ask, "block bigint, bucket bigint, asked binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "block bigint, bucket bigint, answered binary")
+    answered = answered.withColumn("facts", _corpus_facts(texts).scalar())
     return by_block.cogroup(answered.groupBy("block")).applyInArrow(
         rate, "doc_id bigint, n_words bigint, loss_target double, loss_background double, score double"
     )
 
 
+def _within(doc: np.ndarray, name: np.ndarray, names: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each word: how often its text has this name, and the sum of weight there."""
+    _, at, n = np.unique(doc * names + name, return_inverse=True, return_counts=True)
+    at = at.reshape(-1)
+    return n[at], None if weight is None else np.bincount(at, weight, len(n)).astype(np.int64)[at]
+
+
 def good_ids(labels: DataFrame) -> DataFrame:
     """doc_id of the documents labelled good and not toxic: the default target corpus."""
     return labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id")
