@@ -271,6 +271,74 @@ def test_style_tree(shipped, stages):
     assert html_extract.extract(pages.limit(0), stages).collect() == []
 
 
+def test_entropy_against_counting(shipped, stages):
+    """Importance of every path against plain counts, and the noise they give."""
+    import math
+
+    def page(i):
+        return (f"<body><div class=a>same</div><div class=b><p>t{i % 2}</p></div><div class=c><p>all {i}</p><ul>{'<li>x' * (i % 3)}</ul></div>"
+                f"<nav><ul><li>menu</ul></nav><span class=s>fixed</span></body>")
+
+    pages = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(99, None, page(3)), (98, "/relative", page(4))]
+    df = html_extract.named(shipped.createDataFrame(pages, "page_id bigint, url string, html string"))
+    seen = {}
+    for i in range(12):
+        for p, (look, text) in html_extract.nodes(html_extract.parse(page(i))).items():
+            seen.setdefault(p, []).append((look, text))
+
+    def entropy(values):
+        m = len(values)
+        return 1.0 if m == 1 else -sum(n / m * math.log(n / m, m) for n in Counter(values).values())
+
+    worth = {p: max(entropy([v[0] for v in vs]), entropy([v[1] for v in vs])) for p, vs in seen.items()}
+    low = {p for p in worth if all(worth[q] < html_extract.MIN_IMPORTANCE and len(seen[q]) >= html_extract.MIN_PAGES
+                                   for q in worth if q == p or q.startswith(p + "/"))}
+    inline = lambda p: p.rsplit("/", 1)[-1].split(".")[0] in html_extract.INLINE
+    want = {p for p in low if p.rsplit("/", 1)[0] not in low or inline(p.rsplit("/", 1)[0])}
+    got = {r["_host"]: set(r["_noise"]) for r in html_extract.style_tree(df, stages).collect()}
+    assert got == {"h.example": want} and {"/body/div.a", "/body/nav", "/body/span.s"} <= want
+    texts = {r.page_id: r.text for r in html_extract.extract(shipped.createDataFrame(pages, "page_id bigint, url string, html string"), stages, names=False).collect()}
+    assert texts[4].startswith("t0\n\nall 4") and "same" not in texts[4] and "menu" not in texts[4]
+    assert texts[99].startswith("same") and "menu" in texts[98]  # no host, no tree
+
+
+def _shares(whole, found):
+    """(mean share of a page's words found, mean share of further words)."""
+    out = []
+    for p, text in whole.items():
+        a, b = Counter(text.split()), Counter(found[p].split())
+        if a:
+            out.append((sum((a & b).values()) / sum(a.values()), sum((b - a).values()) / sum(a.values())))
+    return np.mean(out, axis=0)
+
+
+def test_pages_stripped_of_names(shipped, stages):
+    """The given pages without article tags, classes, ids and roles: the text is found with little else."""
+    from pyspark.sql import functions as F
+
+    pages = shipped.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole = {r.page_id: r.text for r in html_extract.extract(pages, stages).collect()}
+    bare = F.regexp_replace(F.regexp_replace("html", "(?i)<(/?)article", "<$1div"), """(?i)\\s(class|id|role)\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>]+)""", "")
+    found = html_extract.extract(pages.withColumn("html", bare), stages).collect()
+    kept, extra = _shares(whole, {r.page_id: r.text for r in found})
+    assert kept >= 0.9 and extra <= 0.1
+
+
+def test_tree_decides_without_any_name(shipped, stages):
+    """The given pages' articles in one site's frame of plain divs: the tree alone finds them, without it the frame stays."""
+    pages = shipped.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole = {r.page_id: r.text for r in html_extract.extract(pages, stages).collect()}
+    whole = {p: t for p, t in list(whole.items())[:60] if t}
+    frame = "<div>" + "".join(f"<p>Menu entry {i} of the site</p>" for i in range(30)) + "</div>"
+    rows = [(p, f"http://one.example/{p}", f"<body>{frame}<div>" + "".join(f"<p>{x}</p>" for x in t.split("\n\n")) + f"</div>{frame}</body>")
+            for p, t in whole.items()]
+    df = shipped.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    found = lambda **how: {r.page_id: r.text for r in html_extract.extract(df, stages, names=False, **how).collect()}
+    kept, extra = _shares(whole, found())
+    assert kept >= 0.9 and extra <= 0.1
+    assert _shares(whole, found(min_pages=10**9))[1] > 0.5
+
+
 # -- benchmark passages
 
 

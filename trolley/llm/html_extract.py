@@ -1,15 +1,17 @@
 """Main text of web pages by site style trees.
 
 The pages of one host are merged into a style tree. A node of the tree is a
-path of elements (tag and class names) from the root; its importance is an
+path of elements (tag, class names, order of like parts) from the root; its importance is an
 entropy: of the child sequences that pages show at it (presentation), and of
 the texts that stand directly in it (content). A node that looks and reads
-alike on all pages of a host has no entropy: menus, notices, footers. Branches
-whose every node has low importance are removed from each page. What an
-element's name says is used besides: navigation, forms, scripts, asides,
-adverts and reader comments go wherever they stand, and where a page marks its
-article, only that is kept. A name tells that only as a whole; a wrapper stays,
-whatever its name, if the main element or the page's article stands in it.
+alike on all pages of a host has no entropy: menus, notices, footers. Every
+branch that a reader sees is judged, whatever its name, and branches whose every
+node has low importance are removed from each page first. What is left and has no
+sign in the entropy, because it differs from page to page, is told by names: forms,
+adverts, asides and reader comments go wherever they stand, and where a page marks
+its article, only that is kept. A name tells that only as a whole; a wrapper
+stays, whatever its name, if the main element or the page's article stands in it.
+With ``names=False`` the tree decides alone.
 
 Spark does the merging: each page gives one row for each node with hashes of
 its child sequence and text; these are counted by (host, node, value), so a
@@ -18,8 +20,10 @@ gathered. The few low-importance nodes of each host are joined back to its
 pages, an equi-join whose hot keys Spark splits.
 
 Nulls and empty pages give an empty text. Hosts with fewer than MIN_PAGES
-different pages are judged by element names alone. Repeated rows give repeated
-results; copies of a page count once in the tree.
+different pages, and pages without a host, are judged by element names alone.
+Repeated rows give repeated results; copies of a page count once in the tree. Very
+long pages are parsed whole, one at a time. Other columns are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -54,6 +58,8 @@ BLOCKS_CLOSE_P = {
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol",
     "p", "pre", "section", "summary", "table", "ul",
 }
+# Parts of a page: those of one look under one parent are told apart by their order.
+ORDERED = {"div", "section", "table", "ul", "ol", "dl"}
 # An opening tag that ends an open element of these names, unless one of the fences stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -100,6 +106,7 @@ class Node:
     hidden: bool = False
     stated: bool = False  # hidden by the page itself, not for its name
     children: list = field(default_factory=list)  # nodes and strings
+    looks: dict = field(default_factory=dict)  # how many children of each look that are told apart by order
 
 
 def parse(page: str) -> Node:
@@ -136,7 +143,11 @@ def parse(page: str) -> Node:
         inside = any(n.tag == "article" for n in stack)
         # Numbers in names differ from page to page; the style is the same.
         look = re.sub(r"\d+", "0", attributes.get("class", "").lower()).strip()
-        node = Node(tag, f"{stack[-1].path}/{tag}" + (f".{look}" if look else ""))
+        step = tag + (f".{look}" if look else "")
+        if tag in ORDERED:
+            nth = stack[-1].looks[step] = stack[-1].looks.get(step, 0) + 1
+            step += f"#{nth}" if nth > 1 else ""
+        node = Node(tag, f"{stack[-1].path}/{step}")
         node.stated = (
             tag in NEVER - WRAPPERS
             or "hidden" in attributes
@@ -216,7 +227,7 @@ def clean(text: str) -> str:
 
 
 def nodes(root: Node) -> dict[str, tuple[str, str]]:
-    """Path -> (its child sequences, its direct texts) on this page, hidden branches left out."""
+    """Path -> (its child sequences, its direct texts) on this page, without what the page itself hides."""
     out: dict[str, tuple[list[str], list[str]]] = {}
     stack = [root]
     while stack:
@@ -225,17 +236,20 @@ def nodes(root: Node) -> dict[str, tuple[str, str]]:
         inner = [c for c in n.children if isinstance(c, Node)]
         looks.append(",".join(c.path.rsplit("/", 1)[1] for c in inner))
         texts += [t for t in (clean(c) for c in n.children if isinstance(c, str)) if t]
-        stack += [c for c in inner if not c.hidden]
+        stack += [c for c in inner if not c.stated]
     return {p: (";".join(a), "\n".join(b)) for p, (a, b) in out.items()}
 
 
-def text_of(root: Node, noise: set[str]) -> str:
+def text_of(root: Node, noise: set[str], names: bool = True) -> str:
     """Blocks of the main content, in page order, two line breaks between them.
 
-    noise: paths of the host's style tree whose whole branch has low importance.
-    If nothing were left without them, they stay.
+    noise: paths of the host's style tree whose whole branch has low importance;
+    names: whether element names hide what is left, and mark the article. If
+    nothing were left without the noise, it stays.
     """
-    tops = _articles(root) or [root]
+    if not names:
+        _unname(root)
+    tops = (_articles(root) if names else []) or [root]
     for unwanted in (noise, set()) if noise else (set(),):
         blocks: list[str] = []
         for top in tops:
@@ -245,6 +259,14 @@ def text_of(root: Node, noise: set[str]) -> str:
     return "\n\n".join(blocks)
 
 
+def _unname(root: Node) -> None:
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.hidden = n.stated
+        stack += [c for c in n.children if isinstance(c, Node)]
+
+
 def _articles(root: Node) -> list[Node]:
     """Outermost article elements, else the first main element, if any."""
     stack = [root]
@@ -309,7 +331,7 @@ def named(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame, stages: Stages, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """(_host, _noise): for each host, the paths whose whole branch has low importance.
+    """(_host, _noise): for each host, the paths whose whole branch has low importance, without those below another.
 
     pages: as named() gives. Importance of a node with m different pages: the
     entropy, base m, of its child sequences or of its texts, whichever is
@@ -326,7 +348,8 @@ def style_tree(pages: DataFrame, stages: Stages, min_pages: int = MIN_PAGES, min
             columns = [pa.array(c, pa.string()) for c in zip(*(f[:4] for f in found))] or [pa.array([], pa.string())] * 4
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f[4] for f in found], pa.int64())], names=names)
 
-    seen = pages.mapInArrow(run, "_host string, _path string, _look string, _text string, _copy bigint")
+    # Pages without a host are nobody's: each is judged alone, by names.
+    seen = pages.where(F.col("_host").isNotNull()).mapInArrow(run, "_host string, _path string, _look string, _text string, _copy bigint")
     # Values only matter as equal or not; hashes move instead of texts. Copies of a page count once.
     seen = stages.put(
         seen.select("_host", "_path", F.xxhash64("_look").alias("_look"), F.xxhash64("_text").alias("_text"), "_copy").distinct()
@@ -350,20 +373,27 @@ def style_tree(pages: DataFrame, stages: Stages, min_pages: int = MIN_PAGES, min
         .select(F.col("_host").alias("_h2"), F.explode(ancestors).alias("_p2"))
         .distinct()
     )
-    same = F.col("_host").eqNullSafe(F.col("_h2")) & (F.col("_path") == F.col("_p2"))
-    return per.join(wanted, same, "left_anti").groupBy("_host").agg(F.collect_set("_path").alias("_noise"))
-
-
-def extract(pages: DataFrame, stages: Stages, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+    same = (F.col("_host") == F.col("_h2")) & (F.col("_path") == F.col("_p2"))
+    low = stages.put(per.join(wanted, same, "left_anti").select("_host", "_path"))
+    # What stands below a block that goes need not be listed.
+    last = F.regexp_extract(F.col("_path"), r"([^/.#]*)[^/]*$", 1)
+    tops = low.where(~last.isin(*INLINE)).select(F.col("_host").alias("_h2"), F.col("_path").alias("_p2"))
+    under = (F.col("_host") == F.col("_h2")) & (F.regexp_replace("_path", "/[^/]*$", "") == F.col("_p2"))
+    return low.join(tops, under, "left_anti").groupBy("_host").agg(F.collect_set("_path").alias("_noise"))
+
+
+def extract(
+    pages: DataFrame, stages: Stages, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE, names: bool = True
+) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
     source = named(pages)
     noise = stages.put(style_tree(source, stages, min_pages, min_importance)).withColumnRenamed("_host", "_h2")
-    joined = source.join(noise, F.col("_host").eqNullSafe(F.col("_h2")), "left").select("_id", "_url", "_html", "_noise")
+    joined = source.join(noise, F.col("_host") == F.col("_h2"), "left").select("_id", "_url", "_html", "_noise")
 
     def run(batches):
         for b in batches:
             noises = b.column("_noise").to_pylist()
-            texts = [text_of(parse(p), set(n or ())) for p, n in zip(b.column("_html").to_pylist(), noises)]
+            texts = [text_of(parse(p), set(n or ()), names) for p, n in zip(b.column("_html").to_pylist(), noises)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), b.column("_url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
