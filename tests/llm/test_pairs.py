@@ -63,6 +63,77 @@ def test_cover_tree_empty(shipped, stages):
     assert cover_tree.near_duplicates(df, stages).collect() == []
 
 
+def clustered(rng, n, dim=6, tight=0.05):
+    centres = rng.normal(size=(max(2, n // 25), dim))
+    x = centres[rng.randint(len(centres), size=n)] + rng.normal(size=(n, dim)) * rng.choice([tight, 4 * tight], size=(n, 1))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_are_nested_and_cover(seed):
+    rng = np.random.RandomState(seed)
+    x = clustered(rng, 400) if seed % 2 else clustered(rng, 300, 3, 0.2)
+    tree = cover_tree.levels(x, 0.05)
+    assert len(tree) >= 4 and len(tree[0].centre) == 1
+    limit = 4.0
+    for above, level in zip([None, *tree[:-1]], tree):
+        limit /= 2
+        assert (level.node[level.centre] == np.arange(len(level.centre))).all()  # a centre is in its own node
+        away = cover_tree.distance(x, x[level.centre])[np.arange(len(x)), level.node]
+        assert (away <= level.radius[level.node] + 1e-7).all()
+        if level is not tree[-1]:
+            assert (level.radius <= limit + 1e-9).all()
+        if above is not None:
+            assert set(above.centre.tolist()) <= set(level.centre.tolist())  # nested
+            assert (level.parent[level.node] == above.node).all()  # a node's vectors share the node above
+    assert (tree[-1].centre == np.arange(len(x))).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_traversal_prunes_pairs_and_loses_none(seed, monkeypatch):
+    rng = np.random.RandomState(20 + seed)
+    a, b = clustered(rng, 300), clustered(rng, 260, tight=0.2)
+    b[:40] = a[:40]
+    t = float(np.sqrt(2 - 2 * 0.95))
+    monkeypatch.setattr(cover_tree, "TILE", 37)
+    la, lb = cover_tree.levels(a, t / 2), cover_tree.levels(b, t / 2 if seed % 2 else 0.9)
+    got = [(i, j) for r, c in cover_tree.links(a, la, b, lb, t, 0.95) for i, j in zip(r.tolist(), c.tolist())]
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(a @ b.T >= 0.95))}
+    assert len(got) == len(set(got)) and set(got) == want
+    seen = 0
+    real = cover_tree.distance
+
+    def counting(p, q):
+        nonlocal seen
+        seen += len(p) * len(q)
+        return real(p, q)
+
+    far = np.concatenate([a, -a])  # two halves that no ball of the one comes near the other
+    half = cover_tree.levels(far[:300], t / 2), cover_tree.levels(far[300:] * 1.0, t / 2)
+    monkeypatch.setattr(cover_tree, "distance", counting)
+    list(cover_tree.links(far[:300], half[0], far[300:], half[1], t, 0.95))
+    assert seen < 300 * 300 * len(half[0])  # branches were left out
+
+
+def test_descent_ends_in_a_cell_of_the_path():
+    rng = np.random.RandomState(3)
+    top = cover_tree.Top(clustered(rng, 500, 4, 0.1), 0.3)
+    assert len(top.levels) >= 3 and len(top.centre) > 10
+    x = clustered(rng, 200, 4, 0.3)
+    cell = top.cell(x)
+    at = top.levels[-1].parent[cell]
+    for lv, above in zip(top.levels[-2:0:-1], top.levels[-3::-1]):
+        siblings = np.flatnonzero(lv.parent == -1)
+        assert len(siblings) == 0
+        at = lv.parent[at]
+    assert (at == 0).all()
+    last = top.levels[-1]
+    for v, c in zip(x, cell):
+        family = np.flatnonzero(last.parent == last.parent[c])
+        d = cover_tree.distance(v[None], top.sample[last.centre[family]])[0]
+        assert d.min() == pytest.approx(cover_tree.distance(v[None], top.centre[[c]])[0, 0])
+
+
 # -- shingles
 
 

@@ -1,22 +1,28 @@
 """Exact near-duplicate pairs of vectors by dual traversal of cover trees.
 
 Vectors are scaled to length 1, so cosine >= c means distance <= t with
-t^2 = 2 - 2c. A cover tree has nested levels of centres whose radii halve; two
-nodes whose centres lie further apart than t plus both covering radii hold no
-pair and are pruned with all below them. What survives is compared in full, so
-the pairs are exact.
-
-On Spark the tree has two parts. The top levels are built from a bounded sample
-(at most MAX_CELLS centres, broadcast); every vector descends them to a cell,
-and the cells' covering radii are measured over all vectors. Pairs of cells
+t^2 = 2 - 2c. A cover tree has nested levels: the centres of a level are centres
+of every finer one, radii halve from level to level, and each vector lies within
+its node's radius of the node's centre. Two nodes whose centres lie further apart
+than t plus both covering radii hold no pair and are pruned with all below them.
+What survives down to the vectors is compared in full, so the pairs are exact.
+
+On Spark the tree has two parts. The top is a cover tree of a bounded sample (at
+most MAX_CELLS vectors, broadcast); every vector descends it level by level to a
+cell, and the cells' covering radii are measured over all vectors. Pairs of cells
 that survive are joined block by block: a cell is cut, by a hash, into blocks
 of about BLOCK vectors, a vector goes to a partner block only if it lies within
 the partner cell's radius plus t, and each task holds two blocks. There both
-blocks get the lower levels and are traversed together. Tasks return sums of
-links and a spanning forest, never pairs, so a group of copies of any size
-gives rows in proportion to its vectors. Equal vectors are one node with a
-count. If no radius prunes (vectors without any structure), every block still
-meets every other one; that work is quadratic, as for any exact method.
+blocks get trees of their own, which are traversed together, pair of nodes by
+pair of nodes. Tasks return sums of links and a spanning forest, never pairs, so
+a group of copies of any size gives rows in proportion to its vectors. Equal
+vectors are one node with a count. If no radius prunes (vectors without any
+structure), every block still meets every other one; that work is quadratic, as
+for any exact method.
+
+Edge cases: see near_duplicates(). Ties: of several centres as near, the first
+takes a vector; that changes the tree, not the pairs. An empty table gives an
+empty result, and other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ COSINE = 0.95
 MAX_CELLS = 4096
 BLOCK = 4096
 TILE = 512
+#: Distances near 0 are off by the root of a product's rounding; pruning allows for more than that.
+SLACK = 1e-6
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,55 +75,72 @@ def cover(x: np.ndarray, radius: float, batch: int = 256) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Nodes of one level: their centres, covering radii, and each vector's node."""
+    """Nodes of one level: rows of their centres, nodes above, covering radii, and each vector's node."""
 
     centre: np.ndarray
+    parent: np.ndarray
     radius: np.ndarray
     node: np.ndarray
 
 
 def levels(x: np.ndarray, smallest: float) -> list[Level]:
-    """Nested levels with halving radii over some vectors, the last one the vectors themselves."""
+    """Cover tree of some vectors, from one node down to radius ``smallest``, then the vectors themselves."""
+    n = len(x)
     found: list[Level] = []
-    radius, rows = 1.0, None
-    while radius >= smallest and len(x):
-        owner = cover(x, radius)
-        if found:
-            # Nested: a node lies inside one node of the level above.
-            key = found[-1].node.astype(np.int64) * len(x) + owner
-        else:
-            key = owner.astype(np.int64)
-        ids, node = np.unique(key, return_inverse=True)
-        centre = x[ids % len(x)]
-        away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x, centre[node])))
-        reach = np.zeros(len(ids))
+    owner, limit = np.zeros(n, dtype=np.int64), 2.0  # no two unit vectors are further apart
+    while n:
+        rows, node = np.unique(owner, return_inverse=True)
+        node = node.reshape(-1)
+        away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x, x[owner])))
+        reach = np.zeros(len(rows))
         np.maximum.at(reach, node, away)
-        if len(ids) > len(x) // 2:
+        # Nested: a centre is among the members of the node above, and is a centre of every finer level.
+        parent = found[-1].node[rows] if found else np.zeros(len(rows), dtype=np.int64)
+        found.append(Level(rows, parent, reach, node))
+        limit /= 2
+        if limit < smallest or len(rows) > n // 2:
             break  # finer than that a level prunes nothing that its vectors don't
-        found.append(Level(centre, reach, node))
-        radius /= 2
-    found.append(Level(x, np.zeros(len(x)), np.arange(len(x))))
+        # A member stays with its centre while it is near enough; the others get centres of their own, node by node.
+        out = np.flatnonzero((away > limit) & (owner != np.arange(n)))
+        order = out[np.argsort(node[out], kind="stable")]
+        for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            if len(part):
+                owner[part] = part[cover(x[part], limit)]
+    every = np.arange(n)
+    found.append(Level(every, found[-1].node if found else every, np.zeros(n), every))
     return found
 
 
-def links(a: list[Level], b: list[Level], t: float, least: float):
-    """Dual traversal: (rows of a, rows of b) with cosine >= least, tile by tile."""
-    slack = t + 1e-9
-    depth = max(len(a), len(b))
-    a = [a[min(i, len(a) - 1)] for i in range(depth)]
-    b = [b[min(i, len(b) - 1)] for i in range(depth)]
+def links(xa: np.ndarray, a: list[Level], xb: np.ndarray, b: list[Level], t: float, least: float):
+    """Dual traversal: (rows of a, rows of b) with cosine >= least, a tile of a's vectors at a time.
+
+    At each level a pair of nodes lives on if the pair above did and their balls
+    come within t of each other. The tree that ends first waits at its last node level.
+    """
+    depth = max(len(a), len(b)) - 1
+    a, b = ([*lv[:-1], *[lv[-2]] * (depth + 1 - len(lv)), lv[-1]] for lv in (a, b))
     order = np.lexsort([lv.node for lv in reversed(a)])  # vectors of a node stand together
     for lo in range(0, len(order), TILE):
         rows = order[lo : lo + TILE]
-        cols = np.arange(len(b[-1].node))
+        cols = np.arange(len(xb))
+        na = nb = alive = None
         for la, lb in zip(a[:-1], b[:-1]):
             if not len(cols):
                 break
-            na, nb = np.unique(la.node[rows]), np.unique(lb.node[cols])
-            close = distance(la.centre[na], lb.centre[nb]) <= la.radius[na][:, None] + lb.radius[nb][None, :] + slack
-            cols = cols[close.any(axis=0)[np.searchsorted(nb, lb.node[cols])]]
+            ma, mb = np.unique(la.node[rows]), np.unique(lb.node[cols])
+            near = distance(xa[la.centre[ma]], xb[lb.centre[mb]]) <= la.radius[ma][:, None] + lb.radius[mb][None, :] + t + SLACK
+            if alive is not None:
+                # The node above, or the same one where a tree waits.
+                up = np.searchsorted(na, pa_.node[la.centre[ma]]), np.searchsorted(nb, pb_.node[lb.centre[mb]])
+                near &= alive[np.ix_(*up)]
+            some = near.any(axis=0)
+            cols = cols[some[np.searchsorted(mb, lb.node[cols])]]
+            na, nb, alive, pa_, pb_ = ma, mb[some], near[:, some], la, lb
         if len(cols):
-            i, j = np.nonzero(a[-1].centre[rows] @ b[-1].centre[cols].T >= least)
+            pair = xa[rows] @ xb[cols].T >= least
+            if alive is not None:
+                pair &= alive[np.ix_(np.searchsorted(na, pa_.node[rows]), np.searchsorted(nb, pb_.node[cols]))]
+            i, j = np.nonzero(pair)
             if len(i):
                 yield rows[i], cols[j]
 
@@ -144,18 +169,30 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-@dataclass
 class Top:
-    """Top levels: cells' centres and, once measured, radii and numbers of blocks."""
-
-    centre: np.ndarray
-    radius: np.ndarray | None = None
-    blocks: np.ndarray | None = None
-
-    def cell(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = distance(x, self.centre)
-        c = d.argmin(axis=1)
-        return c, d[np.arange(len(x)), c]
+    """Cover tree of a sample: cells are its finest nodes; once measured, their radii and numbers of blocks."""
+
+    def __init__(self, sample: np.ndarray, smallest: float):
+        tree = levels(sample, smallest)
+        self.levels = tree[:-1] if len(tree) > 1 else tree  # vectors of the sample are no cells of their own
+        self.sample = sample
+        self.centre = sample[self.levels[-1].centre]
+        self.radius: np.ndarray | None = None
+        self.blocks: np.ndarray | None = None
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The cell each vector descends to: at each level the nearest child of its node."""
+        at = np.zeros(len(x), dtype=np.int64)
+        for lv in self.levels[1:]:
+            order = np.argsort(lv.parent, kind="stable")
+            first = np.searchsorted(lv.parent[order], np.arange(lv.parent.max() + 2))
+            below = np.empty_like(at)
+            for node in np.unique(at):
+                some = np.flatnonzero(at == node)
+                children = order[first[node] : first[node + 1]]
+                below[some] = children[distance(x[some], self.sample[lv.centre[children]]).argmin(axis=1)]
+            at = below
+        return at
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -221,12 +258,14 @@ def _linked(reps: DataFrame, stages: Stages, cosine: float, block: int, max_cell
     n = reps.count()
     wanted = int(min(max_cells, max(1, -(-n // block))))
     sample = reps.orderBy(F.xxhash64("_v"), "_r").limit(wanted).select("_v").toArrow()["_v"].combine_chunks()
-    top = Top(levels(unit(sample), t)[-1].centre if len(sample) < 2 else _centres(unit(sample), t))
+    top = Top(unit(sample), t)
     sent = context.broadcast(top)
 
     def measure(batches):
         for b in batches:
-            c, d = sent.value.cell(unit(b.column("_v")))
+            x = unit(b.column("_v"))
+            c = sent.value.cell(x)
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x, sent.value.centre[c])))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(d)], names=["_cell", "_d"])
 
     cells = reps.select("_v").mapInArrow(measure, "_cell bigint, _d double").groupBy("_cell").agg(F.max("_d"), F.count("*")).collect()
@@ -239,18 +278,18 @@ def _linked(reps: DataFrame, stages: Stages, cosine: float, block: int, max_cell
         """Each vector once for every pair of blocks in which it can have a partner."""
         m: Top = sent.value
         first = np.concatenate(([0], np.cumsum(m.blocks)))
+        # Cells whose balls come within t of each other; once a task.
+        meet = distance(m.centre, m.centre) <= m.radius[:, None] + m.radius[None, :] + t + SLACK
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 some = b.slice(lo, 1024)
                 x = unit(some.column("_v"))
                 d = distance(x, m.centre)
-                cell = d.argmin(axis=1)
+                cell = m.cell(x)
                 part = (some.column("_r").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 own = first[cell] + (part.astype(np.int64) % m.blocks[cell])
                 # The other cell's ball, and the other vectors' own ball around this one's cell.
-                reach = (d <= m.radius[None, :] + t + 1e-9) & (m.blocks > 0)[None, :]
-                gap = distance(m.centre, m.centre)[cell]
-                reach &= gap <= m.radius[cell][:, None] + m.radius[None, :] + t + 1e-9
+                reach = (d <= m.radius[None, :] + t + SLACK) & (m.blocks > 0)[None, :] & meet[cell]
                 who, other = np.nonzero(reach)
                 k = m.blocks[other]
                 who = np.repeat(who, k)
@@ -280,7 +319,7 @@ def _linked(reps: DataFrame, stages: Stages, cosine: float, block: int, max_cell
         if len(left_rows) and len(right_rows):
             la = levels(x[left_rows], t / 2)
             lb = la if same else levels(x[right_rows], t / 2)
-            for i, j in links(la, lb, t, cosine):
+            for i, j in links(x[left_rows], la, x[right_rows], lb, t, cosine):
                 i, j = left_rows[i], right_rows[j]
                 if same:
                     i, j = i[i != j], j[i != j]
@@ -294,7 +333,3 @@ def _linked(reps: DataFrame, stages: Stages, cosine: float, block: int, max_cell
 
     return dealt.groupBy("_a", "_b").applyInArrow(compare, "_r bigint, _links bigint, _root bigint")
 
-
-def _centres(x: np.ndarray, smallest: float) -> np.ndarray:
-    """Centres of the finest level whose radius is still above ``smallest``: nearer ones share a cell."""
-    return x[np.unique(cover(x, smallest))]
