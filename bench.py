@@ -43,9 +43,9 @@ def run_noop(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    # One JVM holds all tasks; Spark's default of 1 GB is too little for the scorer at sf0.1.
+    # One JVM holds all tasks.
     spark = build_session(
-        f"local[{cpus}]", "trolley-bench", shuffle_partitions=4 * cpus, extra={"spark.driver.memory": "12g"}
+        f"local[{cpus}]", "trolley-bench", shuffle_partitions=4 * cpus, extra={"spark.driver.memory": "4g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
 
