@@ -134,6 +134,24 @@ def test_descent_ends_in_a_cell_of_the_path():
         assert d.min() == pytest.approx(cover_tree.distance(v[None], top.centre[[c]])[0, 0])
 
 
+@pytest.mark.parametrize("shape", ["stars", "path", "random", "one hub", "none"])
+def test_components(shipped, stages, shape):
+    from trolley.llm.components import components
+
+    rng = random.Random(6)
+    edges = {
+        "stars": [(10 * k, 10 * k + i) for k in range(5) for i in range(1, 8)],
+        "path": [(i, i + 1) for i in rng.sample(range(70), 70)],
+        "random": [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(7, 7)],
+        "one hub": [(500, i) for i in range(300)] + [(i, 1000 + i) for i in range(0, 300, 3)],
+        "none": [],
+    }[shape]
+    df = shipped.createDataFrame([(a, b) if i % 2 else (b, a) for i, (a, b) in enumerate(edges)], "a bigint, b bigint").repartition(3)
+    got = [(r.node, r.component) for r in components(df, stages).collect()]
+    want = groups({x for e in edges for x in e}, edges)
+    assert len(got) == len(set(got)) and dict(got) == {n: c for n, c in want.items() if any(n in e for e in edges if e[0] != e[1])}
+
+
 # -- shingles
 
 
