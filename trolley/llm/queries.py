@@ -12,47 +12,57 @@ from .common import Stages, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of embeddings."""
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), Stages(spark, "op1"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered template spans of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
     return mixing.mixed(table(spark, sf_dir, "documents"), Stages(spark, "op4"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, losses and score of every document; target: documents labelled good and not toxic."""
     docs = table(spark, sf_dir, "documents")
     return lm_score.score_corpus(docs, lm_score.good_ids(table(spark, sf_dir, "labels")))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"), Stages(spark, "op6"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark passages, with the items."""
     return decontaminate.leaking_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Stages(spark, "op8")
     )
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return recompression.dedup_report(table(spark, sf_dir, "documents"), Stages(spark, "op9"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
     return ngram_join.report(table(spark, sf_dir, "documents"), Stages(spark, "op10"))
 
 
@@ -66,6 +76,7 @@ def rebuilt(turns: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of rebuilt conversations."""
     stages = Stages(spark, "op11")
     turns = stages.put(conversation_trie.turns_of(table(spark, sf_dir, "conversations")))
     ids = turns.select("conv_id").distinct()
@@ -90,6 +101,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation: faults after damage, cheapest repair and its digest."""
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(damaged(conversations), Stages(spark, "op12"), conversations)
 
@@ -100,6 +112,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every document."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
