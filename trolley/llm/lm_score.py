@@ -47,6 +47,8 @@ START = 1
 #: Bytes of text of a block, and bytes of text whose share of all names goes to one bucket.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 PAIR, WORD, TEXT = range(3)
+#: Target ids that are broadcast (32 MB of them).
+BROADCAST_IDS = 4_000_000
 #: What is counted of a name, and how the packed values are stored.
 COUNTS = ("n", "ends", "n_target", "ends_target")
 ASKED, ANSWERED = [np.uint64, *[np.uint32] * len(COUNTS)], [np.int64] * len(COUNTS)
@@ -115,6 +117,9 @@ def score_corpus(docs: DataFrame, target_ids: DataFrame, smoothing: float = SMOO
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
     rows = docs.select(place.alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ids = target_ids.select(F.col("doc_id").cast("bigint").alias("target")).where(F.col("target").isNotNull()).distinct()
+    # Ids of a counted, small number go to the texts; beyond it the join moves the texts once more.
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = rows.join(ids, F.col("doc_id") == F.col("target"), "left").select(
         "block", "doc_id", "text", F.col("target").isNotNull().alias("wanted")
     )
