@@ -24,8 +24,9 @@ theirs, so a text gives one row for about every ten words, not one for each.
 
 Counting and the choice of the first occurrence are grouped sums and minima,
 combined in the map tasks; matches come back by equi-joins whose hot keys Spark
-splits. No group is ever gathered but the stretches of a single document. Names
-and contents are hashed to 64 bits each; windows must agree in both.
+splits. No group is ever gathered but the stretches of a single text: rows that
+repeat an id, or have none, are told apart by a hash of their text, and equal rows
+share one list. Names and contents are hashed to 64 bits each; windows must agree in both.
 """
 
 from __future__ import annotations
@@ -177,31 +178,40 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """(_id, _x, _text); _x tells apart the texts of rows that repeat an id."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_x"), F.col("text").alias("_text"))
+
+
+def _same_text():
+    return F.col("_id").eqNullSafe(F.col("_at")) & (F.col("_x") == F.col("_ax"))
+
+
 def segments(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(_name, _seg, _id, _lo, _n): stretches of windows sharing an anchor, of every text."""
+    """(_name, _seg, _id, _x, _lo, _n): stretches of windows sharing an anchor, of every text."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("_id")
+            ids, marks = b.column("_id"), b.column("_x")
             for row, part in chunks(b.column("_text")):
                 w = words(part)
                 h = w.hashes()
                 lo, n, name = anchors(h, w.first, width)
                 text = np.searchsorted(w.first, lo, side="right") - 1
+                whose = pa.array(text + row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _long(name), _long(Contents(h).of(lo, lo + n + width - 1)), ids.take(pa.array(text + row)),
+                        _long(name), _long(Contents(h).of(lo, lo + n + width - 1)), ids.take(whose), marks.take(whose),
                         pa.array((lo - w.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
                     ],
-                    names=["_name", "_seg", "_id", "_lo", "_n"],
+                    names=["_name", "_seg", "_id", "_x", "_lo", "_n"],
                 )
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
-    return source.mapInArrow(run, "_name bigint, _seg bigint, _id bigint, _lo int, _n int")
+    return _texts(docs).mapInArrow(run, "_name bigint, _seg bigint, _id bigint, _x bigint, _lo int, _n int")
 
 
 def repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> DataFrame:
-    """(_id, _cuts): for each document its stretches (lo, n, seg) of repeated windows.
+    """(_at, _ax, _cuts): for each text (id and _x) its stretches (lo, n, seg) of repeated windows.
 
     Windows lo .. lo + n - 1 also start earlier: in a document of smaller id, or
     further up in the same one. seg is the hash of their words.
@@ -211,25 +221,38 @@ def repeats(docs: DataFrame, stages: Stages, width: int = WIDTH) -> DataFrame:
     again = stages.put(found.groupBy("_name").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_name").alias("_again")))
     found = stages.put(found.join(again, F.col("_name") == F.col("_again")).drop("_again"))
     here = F.struct("_id", "_lo")
-    kinds = stages.put(found.groupBy("_name", "_seg").agg(F.min(here).alias("_first"), F.first("_n").alias("_n"), F.count("*").alias("_c")))
-    copied = kinds.where("_c > 1").select(F.col("_name").alias("_k"), F.col("_seg").alias("_s"), "_first")
+    # The first place is the least (_id, _lo); _x only says in which text it is.
+    first = F.min(F.struct("_id", "_lo", "_x"))
+    kinds = stages.put(found.groupBy("_name", "_seg").agg(first.alias("_at"), F.first("_n").alias("_n"), F.count("*").alias("_c")))
+    copied = kinds.where("_c > 1").select(
+        F.col("_name").alias("_k"), F.col("_seg").alias("_s"), F.struct("_at._id", "_at._lo").alias("_first"), F.col("_at._x").alias("_fx")
+    )
     same = (F.col("_name") == F.col("_k")) & (F.col("_seg") == F.col("_s"))
-    whole = found.join(copied, same).where(here > F.col("_first")).select("_id", "_lo", "_n", "_seg")
+    later = here > F.col("_first")
+    equal = found.join(copied, same).where(later | (F.col("_x") != F.col("_fx")))
+    equal = stages.put(equal.select("_name", "_seg", "_id", "_x", "_lo", "_n", later.alias("_later")))
+    whole = equal.where("_later").select("_id", "_x", "_lo", "_n", "_seg")
+    # Other texts of the same id that hold the segment at the first place: no later than it, so they are judged as it is.
+    beside = equal.where("not _later").drop("_later").distinct()
     # One segment of each kind, of the anchors that have several kinds, window by window.
     several = stages.put(kinds.groupBy("_name").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_name").alias("_k")))
-    mixed = kinds.join(several, F.col("_name") == F.col("_k")).select(
-        F.col("_first._id").alias("_at"), F.struct("_name", F.col("_first._lo").alias("lo"), F.col("_n").alias("n"), F.col("_seg").alias("seg")).alias("_part")
+    ones = kinds.select("_name", "_seg", "_at.*", "_n").unionByName(beside)
+    mixed = ones.join(several, F.col("_name") == F.col("_k")).select(
+        F.col("_id").alias("_at"),
+        F.col("_x").alias("_ax"),
+        F.struct("_name", F.col("_lo").alias("lo"), F.col("_n").alias("n"), F.col("_seg").alias("seg")).alias("_part"),
     )
-    mixed = mixed.groupBy("_at").agg(F.collect_list("_part").alias("_parts"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
-    windows = stages.put(pack(texts).join(mixed, F.col("_id").eqNullSafe(F.col("_at"))).select("_id", "_z", "_zn", "_parts").mapInArrow(
-        _windows(width), "_name bigint, _seg bigint, _id bigint, _lo int"
+    mixed = mixed.groupBy("_at", "_ax").agg(F.collect_list("_part").alias("_parts"))
+    windows = stages.put(pack(_texts(docs)).join(mixed, _same_text()).select("_id", "_x", "_z", "_zn", "_parts").mapInArrow(
+        _windows(width), "_name bigint, _seg bigint, _id bigint, _x bigint, _lo int"
     ))
     first = windows.groupBy("_name", "_seg").agg(F.min(here).alias("_first"), F.max(here).alias("_last")).where("_first < _last")
     first = stages.put(first.select(F.col("_name").alias("_k"), F.col("_seg").alias("_s"), "_first"))
-    single = windows.join(first, same).where(here > F.col("_first")).select("_id", "_lo", F.lit(1).alias("_n"), "_seg")
-    cuts = whole.unionByName(single)
-    return stages.put(cuts.groupBy("_id").agg(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_n").alias("n"), F.col("_seg").alias("seg"))).alias("_cuts")))
+    single = windows.join(first, same).where(later).select("_id", "_x", "_lo", F.lit(1).alias("_n"), "_seg")
+    cuts = whole.unionByName(single).groupBy(F.col("_id").alias("_at"), F.col("_x").alias("_ax"))
+    stretch = F.struct(F.col("_lo").alias("lo"), F.col("_n").alias("n"), F.col("_seg").alias("seg"))
+    # A set: equal rows of one id bring the same stretches.
+    return stages.put(cuts.agg(F.collect_set(stretch).alias("_cuts")))
 
 
 def _parts(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
@@ -240,7 +263,7 @@ def _parts(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
 
 
 def _inside(w: Words, h: np.ndarray, row: np.ndarray, lo: np.ndarray, n: np.ndarray, seg: np.ndarray, width: int):
-    """Which stretches stand in their text as recorded (a repeated id may bring another text's), and where."""
+    """Which stretches stand in their text as recorded, and where."""
     at = w.first[row] + lo
     fits = at + n + width - 1 <= w.first[row + 1]
     contents = Contents(h)
@@ -258,14 +281,15 @@ def _windows(width: int):
                 row, name, lo, n, seg = _parts(b.column("_parts").slice(offset, len(part)), ("_name", "lo", "n", "seg"))
                 good, at, contents = _inside(w, h, row, lo.astype(np.int64), n.astype(np.int64), seg, width)
                 row, name, at, n = row[good], name[good], at[good], n[good].astype(np.int64)
+                whose = np.repeat(row, n) + offset
                 each = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(name, n)), _long(contents.of(each, each + width)),
-                        b.column("_id").take(pa.array(row + offset)), pa.array((each - w.first[row]).astype(np.int32)),
+                        b.column("_id").take(pa.array(whose)), b.column("_x").take(pa.array(whose)), pa.array((each - w.first[row]).astype(np.int32)),
                     ],
-                    names=["_name", "_seg", "_id", "_lo"],
+                    names=["_name", "_seg", "_id", "_x", "_lo"],
                 )
 
     return run
@@ -278,15 +302,16 @@ def cut(docs: DataFrame, stages: Stages, columns: list[str], texts: bool, width:
     one space. _sha: SHA-256 of the kept words joined by one space.
     """
     names = [f"_c{i}" for i in range(len(columns))]
-    found = repeats(docs, stages, width).withColumnRenamed("_id", "_at")
+    found = repeats(docs, stages, width)
     # The text moves once, compressed; as a column of the result it is _kept.
     source = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names) if c != "text"],
         F.col("doc_id").cast("bigint").alias("_id"),
+        F.xxhash64("text").alias("_x"),
         F.col("text").alias("_text"),
     )
     names = [n for c, n in zip(columns, names) if c != "text"]
-    joined = pack(source).join(found, F.col("_id").eqNullSafe(F.col("_at")), "left").drop("_at", "_id")
+    joined = pack(source).join(found, _same_text(), "left").drop("_at", "_ax", "_id", "_x")
     last = "_kept" if texts else "_sha"
 
     def run(batches):
