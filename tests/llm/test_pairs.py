@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trolley.llm import cover_tree, ngram_join, recompression
 
@@ -285,3 +288,64 @@ def test_repeats_same_id(documents, stages):
 
 def test_repeats_empty(documents, stages):
     assert recompression.dedup_report(documents([]), stages).collect() == []
+
+
+def copies_of_ids(n):
+    """n rows without an id and n of id 7, every third with one text, each other text repeating a passage."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} only {i} here") for i in range(20)]
+    for i in range(n):
+        text = passage if i % 3 == 0 else f"r{i % 50} {passage} tail{i % 7}"
+        rows += [(None, text), (7, text)]
+    return passage, rows
+
+
+def longest_list(stages, column):
+    """Most entries that a row of the run's stage tables holds in this list."""
+    sizes = [0]
+    for path in Path(stages.path).iterdir():
+        df = stages.spark.read.parquet(str(path))
+        if column in df.columns:
+            sizes.append(df.agg(F.max(F.size(column))).first()[0] or 0)
+    return max(sizes)
+
+
+def test_repeats_of_ten_thousand_rows_of_one_id(documents, stages):
+    passage, rows = copies_of_ids(10_000)
+    got = recompression.dedup_report(documents(rows, 8), stages).collect()
+    # A null id is the smallest: of its rows, those that start with the passage have it first of all.
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 19):
+            key, here = tuple(w[p : p + 20]), (-1 if i is None else i, p)
+            first[key] = min(first.get(key, here), here)
+    want = Counter()
+    for (i, t), times in Counter(rows).items():
+        w = t.split()
+        gone = set()
+        for p in range(len(w) - 19):
+            if first[tuple(w[p : p + 20])] < (-1 if i is None else i, p):
+                gone.update(range(p, p + 20))
+        kept = " ".join(x for q, x in enumerate(w) if q not in gone)
+        want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += times
+    assert Counter(map(tuple, got)) == want
+    assert longest_list(stages, "_cuts") <= 40
+
+
+def test_ngram_join_of_ten_thousand_rows_of_one_id(documents, stages):
+    _, rows = copies_of_ids(10_000)
+    rows.append((3000, "nothing like the others stands in this text"))
+    got = ngram_join.report(documents(rows, 8), stages).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.doc_id == 7} == {0}
+    assert {r.component_id for r in got if r.doc_id is None} == {None}
+    assert {r.doc_id: r.component_id for r in got}[3000] == 3000
+    assert longest_list(stages, "_meet") <= 40
+
+
+def test_one_of_each_reduces_repeated_ids(shipped, stages):
+    rows = [(1, "b", {"k": 1}), (1, None, {"k": 2}), (1, "a", {"k": 3}), (2, "c", None), (None, "d", None), (None, "d", None)]
+    docs = shipped.createDataFrame(rows, "doc_id bigint, text string, _often map<string, int>")
+    got = Counter((r.doc_id, r.text, None if r[2] is None else r[2]["k"]) for r in ngram_join.one_of_each(docs, stages).collect())
+    assert got == Counter({(1, None, 2): 1, (2, "c", None): 1, (None, "d", None): 2})

@@ -24,14 +24,15 @@ shingles shares at least a = ceil(3n/4) of them with any partner.
 4. Links and equal sets are joined into components.
 
 No step emits pairs or gathers a group: what grows with a group of near copies
-is rows in proportion to its members, and tasks of bounded size.
+is rows in proportion to its members, and tasks of bounded size. Lists are kept
+for each text of an id, so an id that many rows repeat gathers none either.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages
@@ -78,28 +79,30 @@ def extra(n: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
+    """(_id, _x, _text); _x tells apart the texts of rows that repeat an id."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_x"), F.col("text").alias("_text"))
 
 
 def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(_id, _need, _h): the first n - a + l shingles, by hash, of every text."""
+    """(_id, _x, _need, _h): the first n - a + l shingles, by hash, of every text."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("_id")
+            ids, marks = b.column("_id"), b.column("_x")
             for row, part in chunks(b.column("_text")):
                 h, n = shingles(part, k)
                 take = np.minimum(n, n - shared_at_least(n) + extra(n))
                 at = ranges(np.cumsum(n) - n, take)
                 owner = np.repeat(np.arange(len(n)), take)
+                whose = pa.array(owner + row)
                 # A partner has at least 3n/4 shingles, so its own l may be smaller by that much.
                 need = np.maximum(1, extra(np.maximum(1, shared_at_least(n))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner + row)), pa.array(need[owner].astype(np.int32)), pa.array(h[at].view(np.int64))],
-                    names=["_id", "_need", "_h"],
+                    [ids.take(whose), marks.take(whose), pa.array(need[owner].astype(np.int32)), pa.array(h[at].view(np.int64))],
+                    names=["_id", "_x", "_need", "_h"],
                 )
 
-    return _texts(docs).where("_id is not null").mapInArrow(run, "_id bigint, _need int, _h bigint")
+    return _texts(docs).where("_id is not null").mapInArrow(run, "_id bigint, _x bigint, _need int, _h bigint")
 
 
 def marked(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -123,19 +126,19 @@ def marked(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def candidates(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
-    """(_p, _meet): ids that can have a partner, with the shingles in which they meet it."""
+    """(_p, _px, _meet): texts (id and _x) that can have a partner, with the shingles in which they meet it."""
     first = prefixes(docs, k)
     # Written before it is joined: of a join of two plain shuffles Spark can split the hot keys.
     twice = stages.put(first.groupBy("_h").agg(F.count("*").alias("_df")).where("_df > 1").select(F.col("_h").alias("_t"), "_df"))
-    # A list holds shingles of one document's prefix.
+    # A list holds shingles of one text's prefix, however often its row is repeated.
     shared = (
         first.join(twice, F.col("_h") == F.col("_t"))
-        .groupBy("_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_df", "_h"))).alias("_o"), F.min("_need").alias("_need"))
+        .groupBy("_id", "_x")
+        .agg(F.sort_array(F.collect_set(F.struct("_df", "_h"))).alias("_o"), F.min("_need").alias("_need"))
         .where(F.size("_o") >= F.col("_need"))
     )
     meet = F.transform(F.slice("_o", 1, F.size("_o") - F.col("_need") + 1), lambda x: x["_h"])
-    return stages.put(shared.select(F.col("_id").alias("_p"), meet.alias("_meet")))
+    return stages.put(shared.select(F.col("_id").alias("_p"), F.col("_x").alias("_px"), meet.alias("_meet")))
 
 
 def groups(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
@@ -148,8 +151,8 @@ def groups(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
     ties = meet.join(low, F.col("_h") == F.col("_t")).select(F.col("_id").alias("a"), F.col("_low").alias("b")).distinct()
     tied = components(ties, stages)
     # 3. One document for all with equal sets.
-    ids = possible.select("_p")
-    found = stages.put(marked(pack(_texts(docs)).join(ids, F.col("_id") == F.col("_p")), k))
+    ids = possible.select("_p", "_px")
+    found = stages.put(marked(pack(_texts(docs)).join(ids, (F.col("_id") == F.col("_p")) & (F.col("_x") == F.col("_px"))), k))
     kinds = stages.put(found.groupBy("_f", "_g", "_n").agg(F.min("_id").alias("_rep"), F.count("*").alias("_c")))
     rep = kinds.select(F.col("_f").alias("_kf"), F.col("_g").alias("_kg"), F.col("_n").alias("_kn"), "_rep", "_c")
     equal = [F.col(a) == F.col(b) for a, b in (("_f", "_kf"), ("_g", "_kg"), ("_n", "_kn"))]
@@ -342,14 +345,19 @@ def report(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
 def one_of_each(docs: DataFrame, stages: Stages, k: int = SHINGLE) -> DataFrame:
     """Rows of docs that are alone or have the smallest id of their component; of rows with one id, one stays.
 
-    docs' columns may have any names; the others are carried as they are.
+    That is a row of the smallest text (null first). docs' columns may have any
+    names; the others are carried as they are.
     """
     found = stages.put(groups(docs, stages, k).where("node <> component").select(F.col("node").alias("_gone")))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
     plain = docs.toDF(*names)
-    kept = plain.join(found, F.col(own["doc_id"]) == F.col("_gone"), "left_anti")
-    # Rows without an id are kept, each for itself.
-    alone = Window.partitionBy(own["doc_id"]).orderBy(own["text"])
-    ids = kept.where(F.col(own["doc_id"]).isNotNull()).withColumn("_turn", F.row_number().over(alone)).where("_turn = 1").drop("_turn")
-    return ids.unionByName(kept.where(F.col(own["doc_id"]).isNull())).toDF(*docs.columns)
+    doc_id = F.col(own["doc_id"])
+    often = plain.where(doc_id.isNotNull()).groupBy(doc_id.alias("_often")).agg(F.count("*").alias("_n")).where("_n > 1")
+    often = stages.put(often.select("_often"))
+    kept = plain.join(found, doc_id == F.col("_gone"), "left_anti")
+    # Rows without an id are kept, each for itself; those of a repeated id are reduced in the map tasks.
+    alone = kept.join(often, doc_id == F.col("_often"), "left_anti")
+    least = F.min_by(F.struct(*names), F.struct(own["text"]))
+    one = kept.join(often, doc_id == F.col("_often"), "left_semi").groupBy(doc_id.alias("_often")).agg(least.alias("_row"))
+    return alone.unionByName(one.select("_row.*")).toDF(*docs.columns)
