@@ -185,3 +185,37 @@ def test_equal_scores_are_ordered_by_item(spark):
 def test_no_rules(spark):
     run = BasketRun(spark, tables(spark, [(1, 1, "a", 1.0), (1, 1, "b", 1.0)]), DEFAULT.with_(taxo=False, lift_threshold=1e9))
     assert run.ranked.collect() == [] and run.recommendations("subset").collect() == [] and run.recommendations("best").collect() == []
+
+
+def _rows(df):
+    return sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("variant", ["classic", "subset", "best"])
+def test_no_row_carries_a_vector(spark, small, variant):
+    """Groups of baskets get the vectors once; the join, for vocabularies too wide for that, gives the same rows."""
+    _, run0 = small
+    for scored in (R.recommend, R.ranked_samples):
+        whole, joined = (scored(run0.baskets, run0.rule_vectors, variant, 3, whole=w) for w in (R.WHOLE, 0))
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (whole, joined)]
+        assert ["Join LeftOuter" in p for p in plans] == [False, True]
+        assert "collect_list" not in plans[0] and "FlatMapCoGroupsInArrow" in plans[0]
+        assert _rows(whole) == _rows(joined) != []
+
+
+def test_many_groups_and_items_outside_the_vocabulary(spark, small, monkeypatch):
+    from trolley.plans import groups as G
+
+    _, run0 = small
+    baskets = run0.baskets.unionByName(
+        spark.createDataFrame([(7, 1, ["a", "?"], 2), (7, 2, ["?", "!"], 2), (None, None, ["a", "b"], 2)], run0.baskets.schema)
+    )
+    want = _rows(R.ranked_samples(baskets, run0.rule_vectors, "subset", 3))
+    assert {r[2] for r in want if r[:2] == (7, 1)} == {"a"} and not [r for r in want if r[:2] == (7, 2)]
+    monkeypatch.setattr(G, "GROUP", 1)
+    n = run0.rule_vectors.count()
+    rows = baskets.select("register", "receipt", "items")
+    spread = G.with_whole(rows, 10**4, run0.rule_vectors, 1, lambda a, b: a.append_column("n", [[b.num_rows] * a.num_rows]),
+                          "register int, receipt bigint, items array<string>, n bigint", 1)
+    got = spread.collect()
+    assert len(got) == rows.count() and {r.n for r in got} == {n}

@@ -13,9 +13,10 @@ Three variants:
 
 Plan. The rule vocabulary (items of any rule; at most mean basket size / item
 support of them) is numbered, and each item has one row vector over it: ln
-confidence of the rule to each candidate, as an integer (see ``scale``). A
-basket's items meet their vectors in one join, whose strategy Spark picks by
-size, and are gathered per basket: as many vectors as it has vocabulary items.
+confidence of the rule to each candidate, as an integer (see ``scale``).
+Baskets are dealt into groups, and each group gets the vectors once; no row
+carries one. Only a vocabulary whose vectors do not fit a task (over WHOLE numbers)
+meets the items in a join instead, a vector beside each, gathered per basket.
 Integers add up exactly in any order, so a held-out label's scores are the
 basket's sum minus the label's own vector, and leave-one-out needs no second pass
 over the rules. Adding, subtracting and taking the n best run on whole Arrow
@@ -29,10 +30,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BasketConfig
+from ..plans.groups import WHOLE, with_whole
 from ..session import ship
 
 VARIANTS = ("classic", "subset", "best")
@@ -44,6 +48,8 @@ NO_RULE = UNSCORED = np.int64(-(2**62))
 UNLISTED = np.int64(-(2**63))
 #: Numbers of a block's vectors handled at a time; lists up to this length are found by repeated maxima.
 BLOCK_CELLS, FEW = 1 << 21, 16
+#: The same where the vectors are at hand and blocks can be as small as a core's cache.
+GROUP_CELLS = 1 << 17
 
 
 def variant_of(cfg: BasketConfig) -> str:
@@ -199,15 +205,37 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
         row = end
 
 
+def _group_blocks(rows: pa.Table, table: pa.Table) -> Iterator[tuple[int, Block]]:
+    """(first row, block) of a group's baskets, with the vectors (in idx order) of their vocabulary items."""
+    lnp = table["lnp"].to_numpy()
+    terms = np.frombuffer(b"".join(table["terms"].to_pylist()), dtype=np.int64).reshape(len(lnp), len(lnp))
+    items = rows["items"].combine_chunks()
+    items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+    found = pc.index_in(items.flatten(), value_set=table["item"].combine_chunks())
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    idx = found.drop_null().to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(items), 0).to_numpy()
+    before = np.concatenate(([0], np.cumsum(known)))
+    first = before[np.concatenate(([0], np.cumsum(sizes)))]
+    wanted = max(1, min(BLOCK_CELLS, GROUP_CELLS) // max(1, len(lnp)))
+    row = 0
+    while row < rows.num_rows:
+        end = max(row + 1, int(np.searchsorted(first, first[row] + wanted, side="right")) - 1)
+        end = min(end, rows.num_rows, row + wanted)
+        own = idx[first[row] : first[end]]
+        yield row, Block(first[row : end + 1] - first[row], own, terms[own], lnp)
+        row = end
+
+
 def best_places(scores: np.ndarray, listed: np.ndarray, variant: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, kept): for each row of scores the numbers of its n best listed candidates, best first.
 
     Scores are compared by RANKED parts of one, ties by number; kept tells which places are filled.
     """
     unit = max(1, scale(scores.shape[1]) // RANKED)
-    keys = scores + unit // 2
-    keys = np.where(scores == UNSCORED, UNLISTED if variant == "classic" else UNSCORED, keys - keys % unit)
-    keys[~listed] = UNLISTED
+    keys = (scores + unit // 2) // unit
+    # An unscored candidate's key stays below all others; division by one number is faster than its remainder.
+    keys[~listed | (scores == UNSCORED) if variant == "classic" else ~listed] = UNLISTED
     n = min(n, keys.shape[1])
     rows = np.arange(len(keys))
     if n > FEW:
@@ -242,6 +270,27 @@ def _per_block(run: Callable[[Block], tuple[np.ndarray, list[pa.Array]]], names:
     return over
 
 
+def _per_group(run: Callable[[Block], tuple[np.ndarray, list[pa.Array]]], names: list[str], places: tuple[str, ...]):
+    """The same over groups of with_whole(); columns named in ``places`` get their items' names."""
+
+    def over(rows: pa.Table, table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx").combine_chunks()
+        items = table["item"].combine_chunks()
+        out = []
+        for row, block in _group_blocks(rows, table):
+            at, columns = run(block)
+            at = pa.array(at + row)
+            named = [rows["register"].take(at), rows["receipt"].take(at)]
+            for name, c in zip(names[2:], columns):
+                if name in places:
+                    c = pa.ListArray.from_arrays(c.offsets, items.take(c.values)) if pa.types.is_list(c.type) else items.take(c)
+                named.append(c)
+            out.append(pa.table(named, names=names))
+        return pa.concat_tables(out)
+
+    return over
+
+
 def _keys(df: DataFrame) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("register", "receipt"))
 
@@ -251,7 +300,23 @@ def _check(variant: str) -> None:
         raise ValueError(f"unknown variant {variant}")
 
 
-def recommend(baskets: DataFrame, vectors: DataFrame, variant: str, n: int) -> DataFrame:
+def _met(baskets: DataFrame, vectors: DataFrame, run, schema: str, places: tuple[str, ...], whole: int) -> DataFrame:
+    """run over the blocks of all baskets: (register, receipt) and the columns of ``schema``, those in ``places`` as items."""
+    names = ["register", "receipt", *(c.split()[0] for c in schema.split(", "))]
+    n = vectors.count()
+    if n * n <= whole:
+        rows = baskets.select("register", "receipt", "items")
+        named = ", ".join(c.replace("int", "string") if c.split()[0] in places else c for c in schema.split(", "))
+        return with_whole(rows, rows.count(), vectors, n, _per_group(run, names, places), f"{_keys(rows)}, {named}")
+    rows = gathered(baskets, vectors)
+    out = rows.mapInArrow(_per_block(run, names), f"{_keys(rows)}, {schema}").withColumn("_names", _column(vectors, "item"))
+    for p in places:
+        listed = isinstance(out.schema[p].dataType, T.ArrayType)
+        out = out.withColumn(p, F.transform(p, lambda i: F.get("_names", i)) if listed else F.get("_names", F.col(p)))
+    return out.drop("_names")
+
+
+def recommend(baskets: DataFrame, vectors: DataFrame, variant: str, n: int, whole: int = WHOLE) -> DataFrame:
     """(register, receipt, rank, item, log_score): the n best items that each basket lacks."""
     _check(variant)
 
@@ -259,18 +324,15 @@ def recommend(baskets: DataFrame, vectors: DataFrame, variant: str, n: int) -> D
         scores = block.basket_scores(variant)
         return np.arange(len(scores)), list(_lists(scores, *best_places(scores, ~block.own(), variant, n)))
 
-    rows = gathered(baskets, vectors)
-    schema = f"{_keys(rows)}, top array<int>, top_logs array<double>"
-    top = rows.mapInArrow(_per_block(run, ["register", "receipt", "top", "top_logs"]), schema)
-    z = F.arrays_zip(F.col("top").alias("place"), F.col("top_logs").alias("log_score"))
+    top = _met(baskets, vectors, run, "top array<int>, top_logs array<double>", ("top",), whole)
+    z = F.arrays_zip(F.col("top").alias("item"), F.col("top_logs").alias("log_score"))
     out = top.select("register", "receipt", F.posexplode(z).alias("pos", "c"))
     return out.select(
-        "register", "receipt", (F.col("pos") + 1).alias("rank"),
-        F.get(_column(vectors, "item"), F.col("c.place")).alias("item"), F.col("c.log_score").alias("log_score"),
+        "register", "receipt", (F.col("pos") + 1).alias("rank"), F.col("c.item").alias("item"), F.col("c.log_score").alias("log_score")
     )
 
 
-def ranked_samples(baskets: DataFrame, vectors: DataFrame, variant: str, n: int) -> DataFrame:
+def ranked_samples(baskets: DataFrame, vectors: DataFrame, variant: str, n: int, whole: int = WHOLE) -> DataFrame:
     """(register, receipt, label, top_items, top_logs, hit_rank) of every leave-one-out sample.
 
     A sample is a basket of two items or more without one of its vocabulary
@@ -288,11 +350,5 @@ def ranked_samples(baskets: DataFrame, vectors: DataFrame, variant: str, n: int)
         rank = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 0) if hit.size else np.zeros(len(scores), np.int64)
         return block.basket, [pa.array(block.idx, pa.int32()), *_lists(scores, places, kept), pa.array(rank, pa.int32())]
 
-    rows = gathered(baskets.where(F.size("items") > 1), vectors)
-    schema = f"{_keys(rows)}, label int, top array<int>, top_logs array<double>, hit_rank int"
-    top = rows.mapInArrow(_per_block(run, ["register", "receipt", "label", "top", "top_logs", "hit_rank"]), schema)
-    named = top.withColumn("_names", _column(vectors, "item"))
-    return named.select(
-        "register", "receipt", F.get("_names", F.col("label")).alias("label"),
-        F.transform("top", lambda i: F.get("_names", i)).alias("top_items"), "top_logs", "hit_rank",
-    )
+    schema = "label int, top_items array<int>, top_logs array<double>, hit_rank int"
+    return _met(baskets.where(F.size("items") > 1), vectors, run, schema, ("label", "top_items"), whole)
