@@ -126,3 +126,35 @@ def test_shuffle_does_not_depend_on_partitions(spark, trained):
 def test_no_training_rows(spark):
     run = BasketRun(spark, tables(spark, [(1, 1, "a", 1.0)]), DEFAULT.with_(taxo=False, cartsize_min=1))
     assert run.training_rows.collect() == [] and run.nb_predictions.collect() == [] and run.shuffled_rows.collect() == []
+
+
+def test_naive_bayes_holds_no_row_per_class(trained):
+    """Test rows meet all weights in groups: no row per set of items and class. The join for many weights agrees."""
+    args = (trained.keyed_training_rows, trained.label_index, trained.n_features, trained._put)
+    ours, joined = C.nb_predict(*args), C.nb_predict(*args, whole=0)
+    plan = ours._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.split("FlatMapCoGroupsInArrow")[1].split("\n")[1] and "Aggregate" not in plan
+    assert ours.exceptAll(joined).count() == joined.exceptAll(ours).count() == 0 < ours.count()
+
+
+def test_forest_rows_meet_the_nodes_once(trained):
+    """No join of rows with nodes level by level, and none on the leaves that rows reach: most rows reach the same ones."""
+    _, test = C.train_test_split(trained.keyed_training_rows)
+    codes = C.feature_codes(trained.rf_model, trained.spark)
+    ours = C.rf_predict(trained.keyed_training_rows, trained.forest, codes, trained.label_index, trained._put)
+    plan = ours._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Aggregate" not in plan
+    assert ours.count() == test.count() > 0
+
+
+def test_training_rows_are_spread_by_what_the_forest_keeps(trained):
+    """Partitions follow from the rows' size in memory, not from the files; rows and their order from row_key alone."""
+    train, _ = C.train_test_split(trained.training_data)
+    n = trained.item_index.count()
+    most = train.count() * (4 * n + 100) // 11
+    few, many = C.spread(train.coalesce(1), n, most), C.spread(train.repartition(3), n, most)
+    assert few.rdd.getNumPartitions() == many.rdd.getNumPartitions() == 12
+    parts = [[[r.row_key for r in p] for p in df.select("row_key").rdd.glom().collect()] for df in (few, many)]
+    assert parts[0] == parts[1] and max(map(len, parts[0])) < 2 * train.count() / 12
+    assert few.exceptAll(train).count() == 0 == train.exceptAll(few).count()
+    assert C.spread(train, n) is train

@@ -1,8 +1,8 @@
 """Training sets over baskets and two classifiers.
 
-The forest is fitted by Spark ML; its trees are then a table, and predictions are
-joins with it, level by level. Naive Bayes is trained by grouped counts and scored
-by joins.
+The forest is fitted by Spark ML; its trees are then a table. Naive Bayes is trained
+by grouped counts. Rows to predict are dealt into groups, and each group gets the
+whole table of nodes or weights once (see plans/groups.py).
 
 A training row is a basket with one frequent item X held out: label =
 index(X), features = the sorted indices of the basket's other frequent items
@@ -14,12 +14,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VectorIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.groups import WHOLE, with_whole
 from ..plans.numbering import numbered
 from .recommend import with_id
 
@@ -32,12 +36,19 @@ RF_MAX_CATEGORIES = 4
 RF_DEPTH = 5
 NB_SMOOTHING = 0.01
 SHUFFLE_SEED = 12345
+#: Rows of a group that is predicted at once, at least, and numbers of their scores handled at a time.
+ROWS, SCORES = 1 << 14, 1 << 17
+#: Bytes of training rows in a task of the forest, as it keeps them.
+TASK_BYTES = 1 << 27
 
 
 def item_index(frequent: DataFrame, put: Put) -> DataFrame:
-    """(item, freq, idx): frequent items numbered from 1 by (freq, item)."""
+    """(item, freq, idx): frequent items numbered from 1 by (freq, item).
+
+    Written, so that Spark knows how small it is and does not broadcast the baskets to it.
+    """
     rows = frequent.select("item", "freq")
-    return numbered(rows, [F.col("freq"), F.col("item")], put, "idx").withColumn("idx", F.col("idx").cast("int"))
+    return put(numbered(rows, [F.col("freq"), F.col("item")], put, "idx").withColumn("idx", F.col("idx").cast("int")))
 
 
 def keyed_training_rows(baskets: DataFrame, index: DataFrame, unique: bool = False) -> DataFrame:
@@ -122,9 +133,21 @@ def rf_pipeline(data: DataFrame) -> Pipeline:
     return Pipeline(stages=[labels, features, rf, back])
 
 
-def rf_fit(data: DataFrame) -> PipelineModel:
+def spread(train: DataFrame, n_features: int, most: int = TASK_BYTES) -> DataFrame:
+    """train in partitions of at most about ``most`` bytes as the forest keeps it: a number per feature and row.
+
+    On disk these rows are a hundred times smaller, so file splits hold too many. The
+    rows of a partition and their order, on which the forest's bags depend, follow from row_key.
+    """
+    parts = -(-train.count() * (4 * n_features + 100) // most)
+    if parts <= train.rdd.getNumPartitions():
+        return train
+    return train.repartition(parts, "row_key").sortWithinPartitions("row_key")
+
+
+def rf_fit(data: DataFrame, n_features: int) -> PipelineModel:
     train, _ = train_test_split(data)
-    return rf_pipeline(data).fit(train)
+    return rf_pipeline(data).fit(spread(train, n_features))
 
 
 def forest_table(model: PipelineModel, spark: SparkSession, path: str) -> DataFrame:
@@ -173,58 +196,90 @@ def feature_codes(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "feature int, absent double, present double")
 
 
-def leaves(rows: DataFrame, forest: DataFrame, codes: DataFrame) -> DataFrame:
-    """(row_key, tree, node): the leaf that each row (row_key, indices) reaches in each tree.
-
-    One join with the node table per level; rows at a leaf stay there.
-    """
-    inner = forest.where(F.col("left").isNotNull()).join(codes, "feature", "left").select(
+def forest_rows(forest: DataFrame, codes: DataFrame) -> DataFrame:
+    """The nodes with the codes of their feature (absent, present), as the tasks that predict get them."""
+    return forest.join(codes, "feature", "left").select(
         "tree", "node", "feature", "left_values", "threshold", "left", "right",
-        F.coalesce("absent", F.lit(0.0)).alias("absent"), F.coalesce("present", F.lit(1.0)).alias("present"),
+        F.coalesce("absent", F.lit(0.0)).alias("absent"), F.coalesce("present", F.lit(1.0)).alias("present"), "shares",
     )
-    roots = forest.groupBy("tree").agg(F.min("node").alias("node"))
-    trees = roots.agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("r")).select("r").scalar()
-    at = rows.select("row_key", "indices", F.explode(trees).alias("r")).select("row_key", "indices", "r.tree", "r.node")
-    for _ in range(RF_DEPTH):
-        value = F.when(F.array_contains("indices", F.col("feature")), F.col("present")).otherwise(F.col("absent"))
-        goes_left = F.when(F.col("left_values").isNotNull(), F.array_contains("left_values", value)).otherwise(value <= F.col("threshold"))
-        below = F.when(F.col("left").isNull(), F.col("node")).when(goes_left, F.col("left")).otherwise(F.col("right"))
-        at = at.join(inner, ["tree", "node"], "left").select("row_key", "indices", "tree", below.alias("node"))
-    return at.select("row_key", "tree", "node")
 
 
-def forest_votes(reached: DataFrame, forest: DataFrame) -> DataFrame:
-    """(row_key, prediction): the class with the largest sum of shares over a row's leaves, the lowest of equals.
+class Trees:
+    """The node table in arrays: a node's row, whether it sends a row with or without its item to the left, children, shares."""
 
-    Rows that reach the same leaves are scored once. Shares are added in the order of trees.
-    """
-    tuples = reached.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("at"))
-    kinds = tuples.select("at").distinct()
-    shares = (
-        kinds.select("at", F.explode("at").alias("l")).select("at", "l.tree", "l.node")
-        .join(forest.select("tree", "node", "shares"), ["tree", "node"])
-        .select("at", "tree", F.posexplode("shares").alias("class", "share"))
-    )
-    votes = shares.groupBy("at", "class").agg(F.array_sort(F.collect_list(F.struct("tree", "share"))).alias("v"))
-    votes = votes.select("at", "class", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["share"]).alias("vote"))
-    won = votes.groupBy("at").agg(F.max(F.struct("vote", (-F.col("class")).alias("class")))["class"].alias("c"))
-    return tuples.join(won, "at").select("row_key", (-F.col("c")).cast("double").alias("prediction"))
+    def __init__(self, nodes: pa.Table):
+        nodes = nodes.sort_by([("tree", "ascending"), ("node", "ascending")])
+        tree, node = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
+        step = int(node.max()) + 1
+        key = tree.astype(np.int64) * step + node
+        self.feature = pc.fill_null(nodes["feature"], 0).to_numpy()
+        self.inner = pc.is_valid(nodes["left"]).to_numpy()
+        self.down = [np.searchsorted(key, tree * step + pc.fill_null(nodes[c], 0).to_numpy()) for c in ("left", "right")]
+        self.goes_left = [np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)]
+        columns = (nodes[c].to_pylist() for c in ("left_values", "threshold", "absent", "present"))
+        for i, (values, threshold, absent, present) in enumerate(zip(*columns)):
+            for has, value in enumerate((absent, present)):
+                self.goes_left[has][i] = self.inner[i] and (value in values if values is not None else value <= threshold)
+        self.roots = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+        self.shares = np.array(nodes["shares"].to_pylist(), dtype=np.float64).reshape(len(key), -1)
+
+    def leaves(self, has: np.ndarray) -> np.ndarray:
+        """Rows of the nodes that rows of flags (by feature, from 1) reach, one column per tree."""
+        at = np.repeat(self.roots[None, :], len(has), axis=0)
+        rows = np.arange(len(has))[:, None]
+        for _ in range(RF_DEPTH):
+            left = np.where(has[rows, self.feature[at]], self.goes_left[1][at], self.goes_left[0][at])
+            at = np.where(self.inner[at], np.where(left, self.down[0][at], self.down[1][at]), at)
+        return at
+
+    def classes(self, reached: np.ndarray) -> np.ndarray:
+        """The class with the largest sum of shares over a row's leaves, the lowest of equals.
+
+        Rows that reach the same leaves are scored once. Shares are added in the order of trees.
+        """
+        kinds, kind = np.unique(reached, axis=0, return_inverse=True)
+        votes = np.zeros((len(kinds), self.shares.shape[1]))
+        for t in range(kinds.shape[1]):
+            votes += self.shares[kinds[:, t]]
+        return votes.argmax(axis=1)[kind.reshape(-1)]
+
+
+KEYED = "row_key string, label double, indices array<int>"
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row of each) of a list column."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return pc.list_flatten(lists).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _vote(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+    trees = Trees(nodes)
+    items, row = _flat(rows["indices"])
+    has = np.zeros((rows.num_rows, max(int(trees.feature.max()), int(items.max(initial=0))) + 1), dtype=bool)
+    has[row, items] = True
+    return rows.append_column("prediction", pa.array(trees.classes(trees.leaves(has)).astype(np.float64)))
 
 
 def label_index(data: DataFrame, put: Put) -> DataFrame:
-    """(label, indexedLabel): labels numbered from 0, the commonest first, ties by the label's text."""
+    """(label, indexedLabel): labels numbered from 0, the commonest first, ties by the label's text.
+
+    Written, so that Spark knows how small it is when it is joined.
+    """
     counts = data.groupBy("label").agg(F.count("*").alias("_n")).withColumn("_text", F.col("label").cast("string"))
     rows = numbered(counts, [F.desc("_n"), F.col("_text")], put, "idx")
-    return rows.select("label", (F.col("idx") - 1).cast("double").alias("indexedLabel"))
+    return put(rows.select("label", (F.col("idx") - 1).cast("double").alias("indexedLabel")))
 
 
-def rf_predict(rows: DataFrame, forest: DataFrame, codes: DataFrame, labels: DataFrame) -> DataFrame:
+def rf_predict(rows: DataFrame, forest: DataFrame, codes: DataFrame, labels: DataFrame, put: Put) -> DataFrame:
     """(row_key, label, indexedLabel, prediction, predictedLabel) of the test rows (row_key, label, indices)."""
     _, test = train_test_split(rows)
-    votes = forest_votes(leaves(test, forest, codes), forest)
+    nodes = put(forest_rows(forest, codes))
+    test = test.select("row_key", "label", "indices")
+    voted = with_whole(test, test.count(), nodes, labels.count(), _vote, f"{KEYED}, prediction double", ROWS)
     back = labels.select(F.col("indexedLabel").alias("prediction"), F.col("label").cast("string").alias("predictedLabel"))
     return (
-        test.join(votes, "row_key").join(labels, "label").join(back, "prediction")
+        voted.join(labels, "label").join(back, "prediction")
         .select("row_key", "label", "indexedLabel", "prediction", "predictedLabel")
     )
 
@@ -266,15 +321,58 @@ def nb_model(train: DataFrame, n_features: Column, put: Put) -> tuple[DataFrame,
     return put(classes), put(counts.select("idx", "class", (F.ln(F.col("c") + s) - F.ln(s)).alias("gain")))
 
 
-def nb_predict(rows: DataFrame, labels: DataFrame, n_features: Column, put: Put) -> DataFrame:
+def _score(rows: pa.Table, weights: pa.Table) -> pa.Table:
+    """rows with the class of the largest score, rounded to 9 places, the lowest of equals."""
+    weights = weights.sort_by("idx")
+    lists = weights["of"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, owner = lists.flatten(), np.repeat(weights["idx"].to_numpy(), lists.value_lengths().to_numpy())
+    number, x = flat.field("class").to_numpy(), flat.field("x").to_numpy()
+    own = owner == 0  # the classes themselves: item numbers begin at 1
+    classes = np.sort(number[own])
+    at = np.searchsorted(classes, number)
+    base, none = np.zeros(len(classes)), np.zeros(len(classes))
+    base[at[own]], none[at[own]] = x[own], flat.field("none").to_numpy(zero_copy_only=False)[own]
+    items, row = _flat(rows["indices"])
+    gains = np.zeros((max(int(owner.max()), int(items.max(initial=0))) + 1, len(classes)))
+    gains[owner[~own], at[~own]] = x[~own]
+    first = np.searchsorted(row, np.arange(rows.num_rows + 1))
+    won = np.zeros(rows.num_rows, dtype=np.int64)
+    step = max(1, SCORES // len(classes))
+    for lo in range(0, rows.num_rows, step):
+        cut = first[lo : lo + step + 1]
+        size = np.diff(cut)
+        gain = np.zeros((len(size), len(classes)))
+        some = size > 0
+        if some.any():
+            gain[some] = np.add.reduceat(gains[items[cut[0] : cut[-1]]], (cut[:-1] - cut[0])[some], axis=0)
+        won[lo : lo + step] = np.round(base + size[:, None] * none + gain, 9).argmax(axis=1)
+    return rows.append_column("prediction", pa.array(classes[won]))
+
+
+def nb_predict(rows: DataFrame, labels: DataFrame, n_features: Column, put: Put, whole: int = WHOLE) -> DataFrame:
     """(row_key, label, indexedLabel, prediction) of the test rows: multinomial naive Bayes on the indexed label.
 
-    Rows of equal items are scored once. A set's score in a class is its base, what
-    its size adds without any counts, and the gains of its items, which come by a
-    join; the largest, rounded to 9 places, wins, the lowest class of equals.
+    A row's score in a class is its base, what its size adds without any counts, and
+    the gains of its items; the largest, rounded to 9 places, wins, the lowest class of
+    equals. Rows are scored in groups that hold all weights; where these are more than
+    ``whole`` numbers, the items meet their gains in a join.
     """
     train, test = train_test_split(rows.join(labels, "label"))
     classes, terms = nb_model(train, n_features, put)
+    n_labels = labels.count()
+    if n_labels * n_labels > whole:
+        return _nb_joined(test, classes, terms, put)
+    x = terms.select("idx", F.struct("class", F.col("gain").alias("x"), F.lit(0.0).alias("none")).alias("w"))
+    own = classes.select(F.lit(0).alias("idx"), F.struct("class", F.col("base").alias("x"), "none").alias("w"))
+    weights = put(own.unionByName(x).groupBy("idx").agg(F.collect_list("w").alias("of")))
+    test = test.select("row_key", "label", "indices", "indexedLabel")
+    scored = with_whole(test, test.count(), weights, n_labels, _score, f"{KEYED}, indexedLabel double, prediction double", ROWS)
+    return scored.select("row_key", "label", "indexedLabel", "prediction")
+
+
+def _nb_joined(test: DataFrame, classes: DataFrame, terms: DataFrame, put: Put) -> DataFrame:
+    """The same by joins, for weights that do not fit a task; rows of equal items are scored once."""
     sets = put(test.select("indices").distinct())
     gains = (
         sets.select("indices", F.explode("indices").alias("idx")).join(terms, "idx")

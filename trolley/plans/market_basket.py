@@ -212,7 +212,7 @@ class BasketRun:
 
     @cached_property
     def rf_model(self) -> PipelineModel:
-        return C.rf_fit(self.training_data)
+        return C.rf_fit(self.training_data, max(self.item_index.count(), 1))
 
     @cached_property
     def forest(self) -> DataFrame:
@@ -222,7 +222,7 @@ class BasketRun:
     @cached_property
     def rf_predictions(self) -> DataFrame:
         codes = C.feature_codes(self.rf_model, self.spark)
-        return self._stage("rf_predictions", C.rf_predict(self.keyed_training_rows, self.forest, codes, self.label_index))
+        return self._stage("rf_predictions", C.rf_predict(self.keyed_training_rows, self.forest, codes, self.label_index, self._put))
 
     @cached_property
     def nb_predictions(self) -> DataFrame:
