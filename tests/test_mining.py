@@ -186,6 +186,31 @@ def test_only_candidates_are_staged(spark):
     assert staged["subsets_3"].count() < sum(f for c, f in counts.items() if len(c) == 3)
 
 
+@pytest.mark.parametrize("long, few", [(64, 1 << 16), (3, 0)])
+def test_staged_sets_are_counts(spark, long, few):
+    """A level writes one row per set, not one per basket and set; rare items, long baskets and late candidates included."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(11)
+    baskets = [rng.sample("abcdefgh", rng.randint(1, 7)) + ([f"rare{i}"] if i % 3 == 0 else []) for i in range(60)]
+    lines = [(1, i, x, 1.0) for i, b in enumerate(baskets) for x in b]
+    run = BasketRun(spark, tables(spark, lines), DEFAULT.with_(taxo=False, cartsize_min=1, cartsize_max=None))
+    staged = {}
+
+    def stage(name, df):
+        staged[name] = run.store.put(name, df)
+        return staged[name]
+
+    got = {tuple(r.subset): r.freq for r in M.frequent_subsets(run.baskets, run.n_baskets, 0.2, 4, stage, long, few).collect()}
+    counts = Counter(c for b in baskets for n in range(1, 5) for c in combinations(sorted(b), n))
+    assert got == {c: f for c, f in counts.items() if f > 0.2 * len(baskets)} and max(map(len, got)) >= 3
+    for n in (2, 3, 4):
+        rows = [tuple(r.subset) for r in staged[f"subsets_{n}"].collect()]
+        assert len(rows) == len(set(rows))
+
+
 def test_blocks_of_a_long_basket_hold_few_items(spark):
     run = BasketRun(spark, tables(spark, [(1, 1, f"{i:03d}", 1.0) for i in range(100)]), DEFAULT.with_(taxo=False, cartsize_max=None, support_item=0.0))
     got = {(r.a, r.b) for r in M.pair_freq(run.baskets, run.frequent, run.cfg, chunk=7).collect()}

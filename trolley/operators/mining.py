@@ -237,38 +237,72 @@ def basket_subsets(baskets: DataFrame, len_max: int = 6) -> DataFrame:
     )
 
 
+# Items of a basket from which its rows are dealt anew, and candidates up to which rows meet them before they are counted.
+LONG_BASKET = 64
+FEW_CANDIDATES = 1 << 16
+
+
 def frequent_subsets(
-    baskets: DataFrame, n_baskets: Column, support: float, k: int, stage: Callable[[str, DataFrame], DataFrame]
+    baskets: DataFrame,
+    n_baskets: Column,
+    support: float,
+    k: int,
+    stage: Callable[[str, DataFrame], DataFrame],
+    long: int = LONG_BASKET,
+    few: int = FEW_CANDIDATES,
 ) -> DataFrame:
     """(subset, size, freq): sets of up to ``k`` items with freq > support * N, over every basket.
 
     Level by level: supported sets that differ in their last item join to
     candidates, and a candidate stays only if each of its subsets one smaller is
-    supported. A basket's supported sets then grow by its later items, but only
-    into candidates, before anything is written; the grown sets are counted, and
-    supported ones grow again. ``stage`` writes a level that the next one reads.
+    supported. A basket's sets carry its later items with them and grow by these in
+    their row, so no level joins the baskets again. Grown sets are counted with
+    partial counts; what is shuffled and staged is counts of sets, and the rows
+    of sets that begin a candidate. ``stage`` writes what the next level reads.
     """
     bound = F.lit(float(support)) * n_baskets
-    held = with_id(baskets).select("basket_id", F.explode("items").alias("item"))
-    often = held.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") > bound)
-    singles = stage("subsets_1", held.join(often, "item", "left_semi"))
-    level = singles.select("basket_id", F.array("item").alias("subset"))
+    counts = stage("subsets_1", item_freq(baskets))
+    often = counts.where(F.col("freq") > bound)
+    kept = baskets.select("items")
+    if not counts.where(F.col("item").isNull() | ~(F.col("freq") > bound)).isEmpty():
+        held = with_id(baskets).select("basket_id", F.explode("items").alias("item"))
+        held = held.join(often, "item", "left_semi").groupBy("basket_id")
+        kept = stage("kept", held.agg(F.array_sort(F.collect_list("item")).alias("items")))
+    kept = kept.select(F.array().cast("array<string>").alias("subset"), F.col("items").alias("rest"))
+    # A long basket's sets are dealt to all tasks, with the later items of each.
+    rows = grown_sets(kept.where(F.size("rest") <= long)).unionByName(
+        grown_sets(kept.where(F.size("rest") > long)).repartition("subset", "rest")
+    )
     often = stage("often_1", often.select(F.array("item").alias("subset"), "freq"))
     found = often
     for size in range(2, k + 1):
-        wanted = stage(f"candidates_{size}", candidate_sets(often, size)) if size > 2 else None
-        grown = level.join(singles, "basket_id").where(F.col("item") > F.element_at("subset", -1))
-        grown = grown.select("basket_id", F.concat("subset", F.array("item")).alias("subset"))
-        if wanted is not None:
-            grown = grown.join(wanted, "subset", "left_semi")
-        grown = stage(f"subsets_{size}", grown)
-        often = grown.groupBy("subset").agg(F.count("*").alias("freq")).where(F.col("freq") > bound)
-        often = stage(f"often_{size}", often)
+        wanted = None
+        if size > 2:
+            wanted = stage(f"candidates_{size}", candidate_sets(often, size))
+            heads = wanted.select(F.slice("subset", 1, size - 1).alias("subset")).distinct()
+            rows = stage(f"level_{size - 1}", rows.where(F.size("rest") > 0).join(heads, "subset", "left_semi"))
+        rows = grown_sets(rows)
+        sets = rows
+        # Few candidates leave few rows to count; many cost less to meet once the rows are counted.
+        early = wanted is not None and wanted.count() <= few
+        if early:
+            sets = rows = rows.join(wanted, "subset", "left_semi")
+        counts = sets.groupBy("subset").agg(F.count("*").alias("freq"))
+        if wanted is not None and not early:
+            counts = counts.join(wanted, "subset", "left_semi")
+        counts = stage(f"subsets_{size}", counts)
+        often = stage(f"often_{size}", counts.where(F.col("freq") > bound))
         found = found.unionByName(often)
-        level = grown.join(often, "subset", "left_semi")
     return found.select("subset", F.size("subset").alias("size"), "freq")
 
 
+def grown_sets(rows: DataFrame) -> DataFrame:
+    """(subset, rest): each set with each later item of its basket added, and the items after that one."""
+    each = rows.select("subset", "rest", F.posexplode("rest").alias("i", "item"))
+    later = F.slice("rest", F.col("i") + 2, F.size("rest"))
+    return each.select(F.concat("subset", F.array("item")).alias("subset"), later.alias("rest"))
+
+
 def candidate_sets(often: DataFrame, size: int) -> DataFrame:
     """(subset): sets of ``size`` items all of whose subsets one smaller are in ``often`` (subset, sorted)."""
     head = F.slice("subset", 1, size - 2)
