@@ -118,6 +118,46 @@ def test_traversal_prunes_pairs_and_loses_none(seed, monkeypatch):
     assert seen < 300 * 300 * len(half[0])  # branches were left out
 
 
+def test_vectors_without_structure_meet_once(monkeypatch):
+    """Where radii prune nothing, neither trees nor node levels cost a distance per pair of vectors."""
+    rng = np.random.RandomState(8)
+    x = rng.normal(size=(2000, 64))
+    x[1000:1040] = x[:40] + 0.01 * rng.normal(size=(40, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = x[:1000], x[1000:]
+    seen = 0
+    real = cover_tree.distance
+
+    def counting(p, q):
+        nonlocal seen
+        seen += len(p) * len(q)
+        return real(p, q)
+
+    monkeypatch.setattr(cover_tree, "distance", counting)
+    t = float(np.sqrt(2 - 2 * 0.95))
+    la, lb = cover_tree.levels(a, t / 2, sparse=True), cover_tree.levels(b, t / 2, sparse=True)
+    got = {(i, j) for r, c in cover_tree.links(a, la, b, lb, t, 0.95) for i, j in zip(r.tolist(), c.tolist())}
+    assert got == {(i, i) for i in range(40)}
+    assert seen < len(a) * len(b) / 4
+
+
+def test_cosines_about_the_threshold_are_decided_in_double(monkeypatch):
+    rng = np.random.RandomState(9)
+    a = rng.normal(size=(60, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = 0.95 + np.where(np.arange(60) % 2, 1e-10, -1e-10)
+    b = cosine[:, None] * a + np.sqrt(1 - cosine**2)[:, None] * side
+    t = float(np.sqrt(2 - 2 * 0.95))
+    monkeypatch.setattr(cover_tree, "COLUMNS", 7)
+    for sparse in (False, True):
+        la, lb = cover_tree.levels(a, t / 2, sparse), cover_tree.levels(b, t / 2, sparse)
+        got = {(i, j) for r, c in cover_tree.links(a, la, b, lb, t, 0.95) for i, j in zip(r.tolist(), c.tolist())}
+        assert got == {(i, i) for i in range(1, 60, 2)}
+
+
 def test_descent_ends_in_a_cell_of_the_path():
     rng = np.random.RandomState(3)
     top = cover_tree.Top(clustered(rng, 500, 4, 0.1), 0.3)

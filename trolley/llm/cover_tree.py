@@ -11,7 +11,7 @@ On Spark the tree has two parts. The top is a cover tree of a bounded sample (at
 most MAX_CELLS vectors, broadcast); every vector descends it level by level to a
 cell, and the cells' covering radii are measured over all vectors. Pairs of cells
 that survive are joined block by block: a cell is cut, by a hash, into blocks
-of about BLOCK vectors, a vector goes to a partner block only if it lies within
+of about BLOCK vectors (fewer if they are long), a vector goes to a partner block only if it lies within
 the partner cell's radius plus t, and each task holds two blocks. There both
 blocks get trees of their own, which are traversed together, pair of nodes by
 pair of nodes. Tasks return sums of links and a spanning forest, never pairs, so
@@ -39,8 +39,13 @@ from .components import components
 
 COSINE = 0.95
 MAX_CELLS = 4096
-BLOCK = 4096
+BLOCK = 16384
+#: Numbers that a block's vectors hold at most.
+BLOCK_NUMBERS = 1 << 22
 TILE = 512
+COLUMNS = 2048
+#: Vectors from which the nodes of a level are estimated.
+PROBES = 64
 #: Distances near 0 are off by the root of a product's rounding; pruning allows for more than that.
 SLACK = 1e-6
 
@@ -83,8 +88,17 @@ class Level:
     node: np.ndarray
 
 
-def levels(x: np.ndarray, smallest: float) -> list[Level]:
-    """Cover tree of some vectors, from one node down to radius ``smallest``, then the vectors themselves."""
+def alone(x: np.ndarray, radius: float) -> float:
+    """Share of vectors that would be centres at this radius, from a few vectors' neighbours."""
+    some = x[:: -(-len(x) // PROBES)]
+    return float((1.0 / np.maximum(1, (distance(some, x) <= radius).sum(axis=1))).mean())
+
+
+def levels(x: np.ndarray, smallest: float, sparse: bool = False) -> list[Level]:
+    """Cover tree of some vectors, from one node down to radius ``smallest``, then the vectors themselves.
+
+    ``sparse`` leaves out a level that would give most vectors nodes of their own, and what is below it.
+    """
     n = len(x)
     found: list[Level] = []
     owner, limit = np.zeros(n, dtype=np.int64), 2.0  # no two unit vectors are further apart
@@ -100,6 +114,8 @@ def levels(x: np.ndarray, smallest: float) -> list[Level]:
         limit /= 2
         if limit < smallest or len(rows) > n // 2:
             break  # finer than that a level prunes nothing that its vectors don't
+        if sparse and alone(x, limit) > 0.5:
+            break
         # A member stays with its centre while it is near enough; the others get centres of their own, node by node.
         out = np.flatnonzero((away > limit) & (owner != np.arange(n)))
         order = out[np.argsort(node[out], kind="stable")]
@@ -116,7 +132,11 @@ def links(xa: np.ndarray, a: list[Level], xb: np.ndarray, b: list[Level], t: flo
 
     At each level a pair of nodes lives on if the pair above did and their balls
     come within t of each other. The tree that ends first waits at its last node level.
+    A level with nearly as many pairs of nodes as of vectors is passed over. Vectors are
+    multiplied in single precision, and again in double where its error leaves a doubt.
     """
+    error = (xa.shape[1] + 8) * float(np.finfo(np.float32).eps)
+    sa, sb = xa.astype(np.float32), xb.astype(np.float32)
     depth = max(len(a), len(b)) - 1
     a, b = ([*lv[:-1], *[lv[-2]] * (depth + 1 - len(lv)), lv[-1]] for lv in (a, b))
     order = np.lexsort([lv.node for lv in reversed(a)])  # vectors of a node stand together
@@ -128,6 +148,8 @@ def links(xa: np.ndarray, a: list[Level], xb: np.ndarray, b: list[Level], t: flo
             if not len(cols):
                 break
             ma, mb = np.unique(la.node[rows]), np.unique(lb.node[cols])
+            if 4 * len(ma) * len(mb) > len(rows) * len(cols):
+                continue
             near = distance(xa[la.centre[ma]], xb[lb.centre[mb]]) <= la.radius[ma][:, None] + lb.radius[mb][None, :] + t + SLACK
             if alive is not None:
                 # The node above, or the same one where a tree waits.
@@ -136,13 +158,20 @@ def links(xa: np.ndarray, a: list[Level], xb: np.ndarray, b: list[Level], t: flo
             some = near.any(axis=0)
             cols = cols[some[np.searchsorted(mb, lb.node[cols])]]
             na, nb, alive, pa_, pb_ = ma, mb[some], near[:, some], la, lb
-        if len(cols):
-            pair = xa[rows] @ xb[cols].T >= least
-            if alive is not None:
-                pair &= alive[np.ix_(np.searchsorted(na, pa_.node[rows]), np.searchsorted(nb, pb_.node[cols]))]
-            i, j = np.nonzero(pair)
-            if len(i):
-                yield rows[i], cols[j]
+        for some in np.split(cols, range(COLUMNS, len(cols), COLUMNS)):
+            cosine = (sa[rows] @ sb[some].T).reshape(-1)
+            found = np.flatnonzero(cosine >= least - error)
+            i, j = np.divmod(found, max(1, len(some)))
+            if alive is not None and not alive.all():
+                up = np.searchsorted(na, pa_.node[rows]), np.searchsorted(nb, pb_.node[some])
+                kept = alive[up[0][i], up[1][j]]
+                found, i, j = found[kept], i[kept], j[kept]
+            sure = cosine[found] >= least + error
+            doubt = np.flatnonzero(~sure)
+            for part in np.split(doubt, range(COLUMNS, len(doubt), COLUMNS)):
+                sure[part] = np.einsum("ij,ij->i", xa[rows[i[part]]], xb[some[j[part]]]) >= least
+            if sure.any():
+                yield rows[i[sure]], some[j[sure]]
 
 
 class Forest:
@@ -225,7 +254,7 @@ def near_duplicates(vectors: DataFrame, stages: Stages, cosine: float = COSINE,
     )
     sums, edges = None, None
     for (size,) in [tuple(r) for r in reps.groupBy(F.size("_v")).count().select(F.col("size(_v)")).collect()]:
-        part = stages.put(_linked(reps.where(F.size("_v") == size), stages, cosine, block, max_cells))
+        part = stages.put(_linked(reps.where(F.size("_v") == size), size, stages, cosine, block, max_cells))
         s = part.groupBy("_r").agg(F.sum("_links").alias("_links"))
         e = part.select(F.col("_r").alias("a"), F.col("_root").alias("b"))
         sums, edges = (s, e) if sums is None else (sums.unionByName(s), edges.unionByName(e))
@@ -251,11 +280,12 @@ def near_duplicates(vectors: DataFrame, stages: Stages, cosine: float = COSINE,
     )
 
 
-def _linked(reps: DataFrame, stages: Stages, cosine: float, block: int, max_cells: int) -> DataFrame:
-    """(_r, _links, _root): partial sums of links and forest edges of vectors of one length."""
+def _linked(reps: DataFrame, size: int, stages: Stages, cosine: float, block: int, max_cells: int) -> DataFrame:
+    """(_r, _links, _root): partial sums of links and forest edges of vectors of one length, ``size``."""
     context = reps.sparkSession.sparkContext
     t = float(np.sqrt(2.0 - 2.0 * cosine))
     n = reps.count()
+    block = max(1, min(block, BLOCK_NUMBERS // size))
     wanted = int(min(max_cells, max(1, -(-n // block))))
     sample = reps.orderBy(F.xxhash64("_v"), "_r").limit(wanted).select("_v").toArrow()["_v"].combine_chunks()
     top = Top(unit(sample), t)
@@ -317,8 +347,8 @@ def _linked(reps: DataFrame, stages: Stages, cosine: float, block: int, max_cell
         right_rows = left_rows if same else np.flatnonzero(right)
         total, forest = np.zeros(len(r), dtype=np.int64), Forest(len(r))
         if len(left_rows) and len(right_rows):
-            la = levels(x[left_rows], t / 2)
-            lb = la if same else levels(x[right_rows], t / 2)
+            la = levels(x[left_rows], t / 2, sparse=True)
+            lb = la if same else levels(x[right_rows], t / 2, sparse=True)
             for i, j in links(x[left_rows], la, x[right_rows], lb, t, cosine):
                 i, j = left_rows[i], right_rows[j]
                 if same:
