@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .common import Stages
 from .packing import pack, unpack
-from .tokens import Words, chunks, mix, powers, words
+from .tokens import Words, chunks, mix, pieces, powers, words
 
 WIDTH = 20
 ROUNDS = 2
@@ -114,7 +114,19 @@ def rounds(h: np.ndarray, first: np.ndarray, n: int) -> Iterator[tuple[np.ndarra
 
 
 def anchors(h: np.ndarray, first: np.ndarray, width: int = WIDTH, n: int = ROUNDS):
-    """(first window, number of windows, anchor name) of the stretches of windows that share an anchor."""
+    """(first window, number of windows, anchor name) of the stretches of windows that share an anchor.
+
+    A few texts at a time: the levels take many bytes for each word.
+    """
+    found = [([], [], np.zeros(0, dtype=np.uint64))]
+    for a, b in pieces(first[:-1], first[1:]):
+        lo, count, name = _anchors(h[first[a] : first[b]], first[a : b + 1] - first[a], width, n)
+        found.append((lo + first[a], count, name))
+    lo, count, name = (np.concatenate(x) for x in zip(*found))
+    return lo.astype(np.int64), count.astype(np.int64), name
+
+
+def _anchors(h: np.ndarray, first: np.ndarray, width: int, n: int):
     counts = np.maximum(np.diff(first) - width + 1, 0)
     if not counts.sum():
         none = np.zeros(0, dtype=np.int64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import chunks
+from .tokens import PIECE, chunks, pieces
 
 _rng = np.random.RandomState(7)
 _MULTIPLIERS = _rng.randint(0, 2**63, size=(8, 8), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,6 +63,21 @@ def _hash(parts: list[np.ndarray], family: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
+def _words(c: np.ndarray, space: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A word's hash: sum of its characters' codes times odd powers, by position in the word."""
+    out = np.empty(len(start), dtype=np.uint64)
+    for a, b in pieces(start, end):
+        some = slice(int(start[a]), int(end[b - 1]))
+        scrambled = (c[some].astype(np.uint64) + np.uint64(77)) * _MULTIPLIERS[7, 0]
+        scrambled ^= scrambled >> np.uint64(31)
+        index = np.arange(len(scrambled))
+        place = index - np.maximum.accumulate(np.where(space[some], index, -1))
+        code = np.zeros(len(scrambled) + 1, dtype=np.uint64)
+        np.cumsum(scrambled * (place.astype(np.uint64) * _MULTIPLIERS[7, 1] | np.uint64(1)), out=code[1:])
+        out[a:b] = code[end[a:b] - some.start] - code[start[a:b] - some.start]
+    return out
+
+
 def features(texts: list[str], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Families of (bucket of each feature, number of them in each text)."""
     texts = [t.lower() for t in texts] if spec.lower else texts
@@ -76,13 +91,7 @@ def features(texts: list[str], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndar
 
     start = np.flatnonzero(~space[1:] & space[:-1]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    code = np.zeros(len(c) + 1, dtype=np.uint64)
-    scrambled = (c.astype(np.uint64) + np.uint64(77)) * _MULTIPLIERS[7, 0]
-    scrambled ^= scrambled >> np.uint64(31)
-    # A word's hash: sum of its characters' codes times odd powers, by position in the word.
-    place = np.arange(len(c)) - np.maximum.accumulate(np.where(space, np.arange(len(c)), 0))
-    np.cumsum(scrambled * (place.astype(np.uint64) * _MULTIPLIERS[7, 1] | np.uint64(1)), out=code[1:])
-    word = code[end] - code[start]
+    word = _words(c, space, start, end)
     yield _hash([word], 0, spec.bits), per_text(start)
     if spec.word_pairs and len(start) > 1:
         same = word[1:] == word[:-1]
@@ -100,7 +109,13 @@ def features(texts: list[str], spec: Spec) -> Iterator[tuple[np.ndarray, np.ndar
         at = np.flatnonzero(ok)
         if n > 1 and len(at):
             at = at[~(space[at] & space[at + n - 1])] if n <= 2 else at
-        yield _hash([c[at + j] for j in range(n)], n if n < 7 else 6, spec.bits), per_text(at)
+        ids = np.empty(len(at), dtype=np.int32)
+        for lo in range(0, len(at), PIECE):
+            some = at[lo : lo + PIECE]
+            ids[lo : lo + PIECE] = _hash([c[some + j] for j in range(n)], n if n < 7 else 6, spec.bits)
+        counts = per_text(at)
+        del ok, at
+        yield ids, counts
 
 
 def bag(text: str, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +131,14 @@ def bag(text: str, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inverse, share, len(u)).astype(np.float32)
 
 
+def _texts_with(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Number of bags that hold each bucket."""
+    count = np.zeros(size, dtype=np.int64)
+    for u, _ in bags:
+        count[u] += 1
+    return count
+
+
 def _telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int) -> np.ndarray:
     """Buckets whose share of class 1 is far from that of all texts.
 
@@ -123,8 +146,7 @@ def _telling(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int
     exp(-n d) of all buckets at most; it should do so for about one of those seen. So how many texts a bucket needs
     follows the class sizes: the rarer its class, the fewer.
     """
-    count = lambda some: np.bincount(np.concatenate([b[0] for b in some]), minlength=size)
-    texts, ones, base = count(bags), count([b for b, one in zip(bags, y) if one]), y.mean()
+    texts, ones, base = _texts_with(bags, size), _texts_with([b for b, one in zip(bags, y) if one], size), y.mean()
     share = ones / np.maximum(texts, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         d = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
@@ -136,7 +158,10 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
 
 
 def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], spec: Spec) -> Model:
-    """Softmax over two classes by minibatch SGD with Adagrad step sizes."""
+    """Softmax over two classes by minibatch SGD with Adagrad step sizes.
+
+    bags is used up: each gives way to its part that is learned.
+    """
     rng = np.random.RandomState(spec.seed)
     size = 1 << spec.bits
     emb = rng.uniform(-1, 1, (size, spec.dim)).astype(np.float32) / spec.dim
@@ -152,10 +177,11 @@ def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], spe
         seen = _telling(bags, y, size)
         bias[1] = np.log(y.mean() / (1 - y.mean()))
     else:
-        seen = np.bincount(np.concatenate([b[0] for b in bags]), minlength=size) >= spec.min_texts
+        seen = _texts_with(bags, size) >= spec.min_texts
     # Only buckets seen often enough are learned; they are numbered densely while training.
-    number = np.cumsum(seen) - 1
-    bags = [(number[u[seen[u]]], share[seen[u]]) for u, share in bags]
+    number = (np.cumsum(seen) - 1).astype(np.int32)
+    for i, (u, share) in enumerate(bags):
+        bags[i] = number[u[seen[u]]], share[seen[u]]
     n = int(seen.sum())
     emb, g_emb = emb[seen], g_emb[seen]
     # The mean of many near-random vectors is short; a fixed gain keeps steps sensible.
@@ -205,9 +231,11 @@ def score(texts: list[str], model: Model) -> np.ndarray:
     families = np.zeros(len(texts))
     words = None
     for ids, counts in features(texts, model.spec):
-        sums = np.concatenate(([0.0], np.cumsum(model.weight[ids], dtype=np.float64)))
+        sums = np.zeros(len(ids) + 1)
+        np.cumsum(model.weight[ids], dtype=np.float64, out=sums[1:])
         at = np.concatenate(([0], np.cumsum(counts)))
         total += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(counts, 1)
+        del ids, sums
         families += counts > 0
         words = counts if words is None else words
     z = total / np.maximum(families, 1) + model.bias
@@ -271,9 +299,12 @@ def apply(docs: DataFrame, model: Model, threshold: float, keep: list[str] | Non
     """
     keep = keep or ["doc_id"]
     names = [f"_k{i}" for i in range(len(keep))]
+    # A kept text is the one that is scored: it moves once.
+    own = {c.lower(): n for c, n in zip(keep, names)}.get("text")
+    text = own or "_text"
     source = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
-        F.coalesce(F.col("text"), F.lit("")).alias("_text"),
+        *([] if own else [F.col("text").alias(text)]),
         held_out("doc_id").alias("_held"),
     )
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -281,8 +312,7 @@ def apply(docs: DataFrame, model: Model, threshold: float, keep: list[str] | Non
     def run(batches):
         m = sent.value
         for b in batches:
-            texts = b.column("_text")
-            parts = [score(c.to_pylist(), m) for _, c in chunks(texts)]
+            parts = [score(c.to_pylist(), m) for _, c in chunks(b.column(text))]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [b.column(n) for n in names] + [b.column("_held"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],

@@ -14,8 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Bytes per chunk: bounds the temporary arrays (about 60 bytes for each byte).
+# Bytes per chunk: bounds the temporary arrays.
 CHUNK_BYTES = 2 << 20
+# Bytes or items worked on at a time inside a chunk, where arrays take many bytes for each.
+PIECE = 1 << 16
 
 _rng = np.random.RandomState(20240229)
 _BYTE = _rng.randint(0, 2**63, size=256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,7 +43,7 @@ _LOWER[0x41:0x5B] += 32
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """First n powers of the base and of its inverse, modulo 2^64."""
     if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = 1 << max(n, PIECE + 1).bit_length()
         for key, base in (("p", _BASE), ("i", _BASE_INVERSE)):
             a = np.full(size, np.uint64(base), dtype=np.uint64)
             a[0] = 1
@@ -78,16 +80,29 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        p, inverse = powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * p[:-1], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        out = np.empty(len(self.start), dtype=np.uint64)
+        for a, b in pieces(self.start, self.end):
+            start, end = self.start[a:b] - self.start[a], self.end[a:b] - self.start[a]
+            data = self.data[self.start[a] : self.end[b - 1]]
+            p, inverse = powers(len(data) + 1)
+            total = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[data] * p[:-1], out=total[1:])
+            out[a:b] = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def pieces(start: np.ndarray, end: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs a .. b - 1 of consecutive ranges start .. end - 1 that together span most at the most, or one longer range."""
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + most, side="right")))
+        yield a, b
+        a = b
+
+
 def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) of about max_bytes each; a longer text stands alone."""
     texts = texts.cast(pa.large_string()).fill_null("")
